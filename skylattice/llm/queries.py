@@ -9,6 +9,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 from skylattice.llm.bpe import bpe_digest
 from skylattice.llm.exact_dedup import exact_dedup
+from skylattice.llm.language_id import identify_language
+from skylattice.llm.pii import find_pii
+from skylattice.llm.toxicity import fit_toxicity, score_toxicity
+from skylattice.llm.url_filter import filter_urls
+from skylattice.llm.url_filter import oracle_sql as url_sql
 
 #: Folder of the public tokenizers' vocabulary files.
 TOKENIZERS = os.environ.get("SKYLATTICE_TOKENIZERS", "/opt/tokenizers")
@@ -18,20 +23,37 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_pii(table(spark, sf_dir, "documents"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_digest(table(spark, sf_dir, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
 
 
+def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_urls(table(spark, sf_dir, "pages"))
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return identify_language(table(spark, sf_dir, "documents"))
+
+
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_bpe, op6_exact_dedup)}
+    return {f.__name__: f for f in (op3_pii, op4_bpe, op5_url_filter, op6_exact_dedup, op9_language_id, op10_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_dedup": OP6_SQL}
+    return {"op5_url_filter": url_sql(), "op6_exact_dedup": OP6_SQL}
 
 
 OP6_SQL = """
