@@ -8,9 +8,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skylattice.llm.bpe import bpe_digest
+from skylattice.llm.decontaminate import contaminated
 from skylattice.llm.exact_dedup import exact_dedup
 from skylattice.llm.language_id import identify_language
+from skylattice.llm.near_dedup import near_duplicates
 from skylattice.llm.pii import find_pii
+from skylattice.llm.substring_dedup import remove_shared
+from skylattice.llm.suffix_dedup import remove_repeats
 from skylattice.llm.toxicity import fit_toxicity, score_toxicity
 from skylattice.llm.url_filter import filter_urls
 from skylattice.llm.url_filter import oracle_sql as url_sql
@@ -23,6 +27,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_repeats(table(spark, sf_dir, "documents"))
+
+
+def op2_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), shingle=2)
+
+
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_pii(table(spark, sf_dir, "documents"))
 
@@ -39,6 +51,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return remove_shared(table(spark, sf_dir, "documents"))
+
+
+def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return identify_language(table(spark, sf_dir, "documents"))
 
@@ -48,8 +68,13 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+_QUERIES = (
+    op1_suffix_dedup, op2_near_dedup, op3_pii, op4_bpe, op5_url_filter, op6_exact_dedup, op7_substring_dedup, op8_decontaminate, op9_language_id, op10_toxicity,
+)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op3_pii, op4_bpe, op5_url_filter, op6_exact_dedup, op9_language_id, op10_toxicity)}
+    return {f.__name__: f for f in _QUERIES}
 
 
 def oracle_sql() -> dict[str, str]:
