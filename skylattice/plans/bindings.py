@@ -41,7 +41,7 @@ def obs_sql(hours: int = 24) -> str:
     day = "CAST(datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT)"
     return f"""obs AS (
   SELECT {day} AS day, {day} * 86400 + (hour(ts) // {hours}) * {hours * 3600} AS epoch, CAST(user_id % 15 AS INT) AS iy, CAST(user_id // 15 AS INT) AS ix,
-         (user_id % 15) * 2.5 - 17.5 AS lat, round((user_id // 15) * 3.6 - 180, 10) AS lon, avg(value) AS v, count(*) AS n
+         CAST((user_id % 15) * 2.5 - 17.5 AS DOUBLE) AS lat, CAST(round((user_id // 15) * 3.6 - 180, 10) AS DOUBLE) AS lon, avg(value) AS v, count(*) AS n
   FROM events GROUP BY ALL)"""
 
 

@@ -32,14 +32,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
     return register
 
 
-def r(column: Column | str, name: str | None = None) -> Column:
-    """Rounded to six decimals, without a negative zero."""
-    out = F.round(F.col(column) if isinstance(column, str) else column, 6) + F.lit(0.0)
+def r(column: Column | str, name: str | None = None, digits: int = 6) -> Column:
+    """Rounded to six decimals (nine where ties at the seventh are common), without a negative zero."""
+    out = F.round(F.col(column) if isinstance(column, str) else column, digits) + F.lit(0.0)
     return out.alias(name or column) if name or isinstance(column, str) else out
 
 
-def rs(expression: str, name: str) -> str:
-    return f"round(CAST({expression} AS DOUBLE), 6) + CAST(0 AS DOUBLE) AS {name}"
+def rs(expression: str, name: str, digits: int = 6) -> str:
+    return f"round(CAST({expression} AS DOUBLE), {digits}) + CAST(0 AS DOUBLE) AS {name}"
 
 
 OBS, OBS6 = b.obs_sql(), b.obs_sql(6)
@@ -621,3 +621,598 @@ def k7_merge_series(spark, sf_dir):
     parts = [obs.where(F.col("day") == DAY0 + i) for i in range(6)]
     whole, _ = topk.merge_series(parts, "source", ["lat"], ["iy", "ix"])
     return whole.groupBy("iy", "ix").agg(F.max("day").alias("day"), r(F.max_by("v", "day"), "v"), F.count("*").alias("versions"))
+
+
+# --- grids and fields --------------------------------------------------------------------------
+
+
+@query(f"""WITH {OBS}, {_TARGETS} SELECT day, ty, tx, CASE WHEN count(*) = max(needed) THEN round(sum(weight * v), 6) + CAST(0 AS DOUBLE) END AS v, count(*) AS corners, CASE WHEN count(*) < max(needed) THEN 'missing_corner' END AS reject_reason
+FROM obs JOIN co USING (iy, ix) GROUP BY day, ty, tx""")
+def g1_regional_table(spark, sf_dir):
+    out = grid.interpolate(b.obs_grid(spark, sf_dir), ["day"], _corners(spark), "v")
+    return out.select("day", "ty", "tx", r("v"), "corners", "reject_reason")
+
+
+@query(f"""WITH {OBS}, a AS (SELECT DISTINCT day, lat FROM obs WHERE ix = 2), s AS (SELECT day, lat, round(lead(lat) OVER (PARTITION BY day ORDER BY lat) - lat, 9) AS gap FROM a), t AS (SELECT *, min(gap) OVER (PARTITION BY day) AS step FROM s)
+SELECT day, {rs('min(step)', 'step')}, {rs('min(lat)', 'first')}, {rs('max(lat)', 'last')}, count(*) AS size, CASE WHEN count(*) < 2 THEN 'ambiguous' WHEN count(*) FILTER (gap > step + 1e-9) = 0 THEN 'regular' WHEN count(*) FILTER (gap > step + 1e-9) = 1 THEN 'cut' ELSE 'ambiguous' END AS status FROM t GROUP BY day""")
+def g2_axis_inference(spark, sf_dir):
+    out = grid.axis(b.obs_grid(spark, sf_dir).where("ix = 2"), ["day"], "lat")
+    return out.select("day", r("step"), r("first"), r("last"), "size", "status")
+
+
+@query(f"""WITH {OBS}, d AS (SELECT DISTINCT day FROM obs), c AS (SELECT CAST(y AS INT) AS iy, CAST(x AS INT) AS ix FROM range(15) a(y), range(10) e(x)),
+k AS (SELECT CAST(datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS day, CAST(user_id % 15 AS INT) AS iy, CAST(user_id // 15 AS INT) AS ix, CAST(bit_or(CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 4 WHEN 'signup' THEN 8 ELSE 16 END) AS BIGINT) AS mask FROM events GROUP BY ALL)
+SELECT d.day, c.iy, c.ix, {rs('v', 'v')}, v IS NOT NULL AS valid, coalesce(mask, 0) AS mask FROM d, c LEFT JOIN obs ON obs.day = d.day AND obs.iy = c.iy AND obs.ix = c.ix LEFT JOIN k ON k.day = d.day AND k.iy = c.iy AND k.ix = c.ix""")
+def g3_densify(spark, sf_dir):
+    obs = b.obs_grid(spark, sf_dir)
+    lats, lons = [i * 2.5 - 17.5 for i in range(15)], [round(i * 3.6 - 180, 10) for i in range(10)]
+    full = grid.densify(obs, obs.select("day").distinct(), lats, lons, "v")
+    e = b.table(spark, sf_dir, "events").select(F.unix_date(F.to_date("ts")).cast("bigint").alias("day"), (F.col("user_id") % 15).cast("int").alias("iy"), F.expr("cast(user_id div 15 as int)").alias("ix"), "event_type")
+    masks = e.groupBy("day", "iy", "ix").agg(encode.flag_mask(F.collect_set("event_type"), list(b.EVENT_TYPES)).alias("mask"))
+    return full.join(masks, ["day", "iy", "ix"], "left").select("day", "iy", "ix", r("v"), "valid", F.coalesce("mask", F.lit(0).cast("bigint")).alias("mask"))
+
+
+@query(f"""WITH {OBS}, o AS (SELECT * FROM obs WHERE day < {DAY0 + 5} AND ix < 10), off AS (SELECT CAST(a AS INT) AS dy, CAST(e AS INT) AS dx, (1 - abs(a) / 3.0::DOUBLE) * (1 - abs(e) / 4.0::DOUBLE) AS w FROM range(-2, 3) x(a), range(-3, 4) y(e)),
+t AS (SELECT day, iy * 3 + dy AS ty, (ix * 4 + dx + 40) % 40 AS tx, sum(w * v) AS v, sum(w) AS w, CAST(bit_or(n) AS BIGINT) AS mask FROM o, off GROUP BY ALL)
+SELECT day, ty, tx, {rs('v', 'v', 9)}, mask FROM t WHERE w > 1 - 1e-9 AND ty BETWEEN 0 AND 42""")
+def g4_working_grid(spark, sf_dir):
+    obs = b.obs_grid(spark, sf_dir).where((F.col("day") < DAY0 + 5) & (F.col("ix") < 10))
+    return grid.refine(obs, ["day"], "v", "n", 15, 10, 3, 4).select("day", "ty", "tx", r("v", digits=9), F.col("n").alias("mask"))
+
+
+@query(f"WITH {OBS} SELECT lat, lon, {rs('v', 'v')} FROM obs WHERE day = {DAY0 + 9} AND v IS NOT NULL")
+def g5_epoch_rows(spark, sf_dir):
+    obs = b.obs_grid(spark, sf_dir).where(F.col("day") == DAY0 + 9)
+    lats, lons = [i * 2.5 - 17.5 for i in range(15)], [round(i * 3.6 - 180, 10) for i in range(100)]
+    return grid.densify(obs, obs.select("day").distinct(), lats, lons, "v").where("valid").select("lat", "lon", r("v"))
+
+
+@query()
+def g6_metric_regrid(spark, sf_dir):
+    out = grid.regrid_metric(b.obs_grid(spark, sf_dir), ["day"], "v", 0.0, -165.0, 2.5, 3.6, -17.5, -180.0, 1_000_000, 125_000)
+    return out.select("day", "ty", "tx", "y_m", "x_m", r("v"), "spatially_interpolated")
+
+
+_KERNEL = ", ".join(f"({k}, {w!r})" for k, w in grid.kernel(1.0))
+
+
+@query(f"""WITH {OBS}, o AS (SELECT day, iy, ix, v FROM obs WHERE ix < 10), k(k, w) AS (SELECT k, CAST(w AS DOUBLE) FROM (VALUES {_KERNEL}) t(k, w)),
+s AS (SELECT day, iy + a.k AS iy, ix + e.k AS ix, sum(a.w * e.w * v) AS s, sum(a.w * e.w) AS m FROM o, k a, k e GROUP BY ALL),
+dy AS (SELECT CAST(y AS INT) AS iy, sum(w) AS d FROM range(15) r(y), k WHERE y - k BETWEEN 0 AND 14 GROUP BY y), dx AS (SELECT CAST(x AS INT) AS ix, sum(w) AS d FROM range(10) r(x), k WHERE x - k BETWEEN 0 AND 9 GROUP BY x)
+SELECT day, iy, ix, round(CASE WHEN m / (dy.d * dx.d) >= 0.8 THEN s / m END, 6) + CAST(0 AS DOUBLE) AS v_smooth FROM o JOIN s USING (day, iy, ix) JOIN dy USING (iy) JOIN dx USING (ix)""")
+def g7_masked_smoothing(spark, sf_dir):
+    out = grid.smooth(b.obs_grid(spark, sf_dir).where("ix < 10"), ["day"], ["v"], 1.0, 15, 10)
+    return out.select("day", "iy", "ix", r("v_smooth"))
+
+
+@query(f"""WITH {OBS}, n AS (SELECT o.day, o.iy, o.ix, o.v, e.v AS e, w.v AS w, n.v AS n, s.v AS s, max(o.ix) OVER (PARTITION BY o.day, o.iy) AS xm, min(o.ix) OVER (PARTITION BY o.day, o.iy) AS x0, max(o.iy) OVER (PARTITION BY o.day) AS ym, min(o.iy) OVER (PARTITION BY o.day) AS y0,
+  max(o.ix) OVER (PARTITION BY o.day) AS gx1, min(o.ix) OVER (PARTITION BY o.day) AS gx0 FROM obs o
+  LEFT JOIN obs e ON e.day = o.day AND e.iy = o.iy AND e.ix = o.ix + 1 LEFT JOIN obs w ON w.day = o.day AND w.iy = o.iy AND w.ix = o.ix - 1
+  LEFT JOIN obs n ON n.day = o.day AND n.ix = o.ix AND n.iy = o.iy + 1 LEFT JOIN obs s ON s.day = o.day AND s.ix = o.ix AND s.iy = o.iy - 1),
+d AS (SELECT *, CASE WHEN ix = gx0 THEN (e - v) / 2 WHEN ix = gx1 THEN (v - w) / 2 ELSE (e - w) / 4 END AS dx, CASE WHEN iy = y0 THEN (n - v) / 3 WHEN iy = ym THEN (v - s) / 3 ELSE (n - s) / 6 END AS dy, (e - 2 * v + w) / 4 + (n - 2 * v + s) / 9 AS lap FROM n)
+SELECT day, iy, ix, {rs('dx', 'd_dx')}, {rs('dy', 'd_dy')}, {rs('sqrt(dx * dx + dy * dy)', 'grad_mag')}, {rs('lap', 'laplacian')} FROM d""")
+def g8_spatial_derivatives(spark, sf_dir):
+    out = grid.spatial_derivatives(b.obs_grid(spark, sf_dir), ["day"], "v", 3.0, 2.0)
+    return out.select("day", "iy", "ix", r("d_dx"), r("d_dy"), r("grad_mag"), r("laplacian"))
+
+
+@query()
+def g9_structure_tensor(spark, sf_dir):
+    d = grid.spatial_derivatives(b.obs_grid(spark, sf_dir).where("ix < 10"), ["day"], "v", 3.0, 2.0)
+    return grid.structure_tensor(d, ["day"], 1.0, 15, 10).select("day", "iy", "ix", r("major"), r("minor"), r("coherence"), r("orientation"))
+
+
+_BLOBS = f"""{OBS}, c AS (SELECT day, iy, ix, iy * 100000 + ix AS id FROM obs WHERE v > 60),
+reach AS (SELECT day, id, id AS seed, iy, ix FROM c UNION SELECT c.day, c.id, reach.seed, c.iy, c.ix FROM reach JOIN c ON c.day = reach.day AND abs(c.iy - reach.iy) + abs(c.ix - reach.ix) = 1)"""
+
+
+@query(f"WITH RECURSIVE {_BLOBS} SELECT day, iy, ix, CAST(min(seed) AS BIGINT) AS blob FROM reach GROUP BY day, iy, ix")
+def g10_frame_components(spark, sf_dir):
+    return tracks.frame_components(b.obs_grid(spark, sf_dir).where("v > 60").select("day", "iy", "ix"), ["day"])
+
+
+@query(f"""WITH RECURSIVE {_BLOBS}, bl AS (SELECT day, iy, ix, min(seed) AS blob FROM reach GROUP BY day, iy, ix), nd AS (SELECT DISTINCT day, blob, day * 10000000 + blob AS node FROM bl),
+ed AS (SELECT DISTINCT p.day * 10000000 + p.blob AS a, q.day * 10000000 + q.blob AS e FROM bl p JOIN bl q ON q.day = p.day + 1 AND abs(p.iy - q.iy) + abs(p.ix - q.ix) <= 1),
+bo AS (SELECT a, e FROM ed UNION SELECT e, a FROM ed), tr AS (SELECT node, node AS seed FROM nd UNION SELECT bo.e, tr.seed FROM tr JOIN bo ON bo.a = tr.node),
+lb AS (SELECT node, min(seed) AS track FROM tr GROUP BY node)
+SELECT count(DISTINCT node) AS regions, min(day) AS first_day, max(day) AS last_day FROM lb JOIN nd USING (node) GROUP BY track""")
+def g11_track_linking(spark, sf_dir):
+    blobs = tracks.frame_components(b.obs_grid(spark, sf_dir).where("v > 60").select("day", "iy", "ix"), ["day"]).withColumn("polarity", F.lit(1))
+    linked = tracks.link_tracks(blobs, "day", "polarity", 1.0)
+    return linked.groupBy("track").agg(F.count_distinct("day", "blob").alias("regions"), F.min("day").alias("first_day"), F.max("day").alias("last_day")).drop("track")
+
+
+def _survey_obs(spark, sf_dir) -> DataFrame:
+    return b.obs_grid(spark, sf_dir).withColumn("slot", F.col("epoch") % 86400).withColumn("rms", F.lit(1.0))
+
+
+@query()
+def g12_anomaly_survey(spark, sf_dir):
+    dev = survey.deviations(_survey_obs(spark, sf_dir))
+    found = survey.candidates(survey.flagged(dev, (DAY0 + 7) * 86400.0), 86400.0)
+    return found.select(*[c for c in found.columns if c not in ("track", "footprint")])
+
+
+@query(f"""WITH {OBS}, d AS (SELECT o.day, o.iy, o.ix, any_value(o.v) AS v, median(p.v) AS c, list(p.v) AS l, count(p.v) AS k FROM obs o LEFT JOIN obs p ON p.iy = o.iy AND p.ix = o.ix AND p.day BETWEEN o.day - 7 AND o.day - 1 GROUP BY ALL)
+SELECT day, iy, ix, k AS n_prior, round(CASE WHEN k >= 3 THEN v - c END, 9) + CAST(0 AS DOUBLE) AS deviation, round(greatest(2.0, 1.0, 1.4826 * list_median(list_transform(l, lambda x: abs(x - c)))), 9) + CAST(0 AS DOUBLE) AS scale FROM d""")
+def g12_deviation_map(spark, sf_dir):
+    dev = survey.deviations(_survey_obs(spark, sf_dir))
+    return dev.select("day", "iy", "ix", F.col("n_prior").cast("bigint").alias("n_prior"), r("deviation", digits=9), r("scale", digits=9))
+
+
+@query()
+def g12_survey_status(spark, sf_dir):
+    return survey.survey_status(survey.deviations(_survey_obs(spark, sf_dir)), (DAY0 + 7) * 86400.0)
+
+
+@query()
+def k4_ranked_suppression(spark, sf_dir):
+    dev = survey.deviations(_survey_obs(spark, sf_dir))
+    found = survey.candidates(survey.flagged(dev, (DAY0 + 7) * 86400.0), 86400.0).withColumn("scan", F.lit("scan"))
+    return tracks.suppress_overlaps(found.withColumn("_order", F.struct("rank", "start", "peak_lat", "peak_lon")), "scan", "_order", "footprint").select("polarity", "start", "end", "cells", "epochs", r("rank"))
+
+
+@query()
+def g13_focus_region(spark, sf_dir):
+    frame = b.obs_grid(spark, sf_dir).withColumn("a", F.col("v") - 50)
+    return tracks.focus_region(frame, ["day"], "a", 60.0).groupBy("day").agg(F.count_if(F.col("focus")).alias("focus_cells"), F.count("*").alias("cells"))
+
+
+def _pairs(spark, sf_dir) -> DataFrame:
+    return motion.frame_pairs(b.obs_grid(spark, sf_dir).where("ix < 10").select("day", "iy", "ix", "v"), [], "day", "v", 1.0)
+
+
+@query()
+def g14_feature_flow(spark, sf_dir):
+    return motion.feature_flow(_pairs(spark, sf_dir), ["day"], 3.0, 2.0, 1.5, 15, 10).select("day", "iy", "ix", r("u"), r("v"), r("confidence"), "accepted")
+
+
+@query(f"""WITH {OBS}, p AS (SELECT day, v AS c, lag(v) OVER w AS p, day - lag(day) OVER w AS dt FROM obs WHERE ix < 10 WINDOW w AS (PARTITION BY iy, ix ORDER BY day)), q AS (SELECT * FROM p WHERE dt <= 1.5)
+SELECT day, {rs('covar_pop(p, c) / var_pop(p)', 'gain')}, {rs('corr(p, c)', 'correlation')}, {rs('greatest(0.0, 1 - (var_pop(c) - covar_pop(p, c) ** 2 / var_pop(p)) / var_pop(c - p))', 'ambiguity')}, count(*) AS cells FROM q GROUP BY day""")
+def g15_growth_ambiguity(spark, sf_dir):
+    return motion.growth_ambiguity(_pairs(spark, sf_dir), ["day"]).select("day", r("gain"), r("correlation"), r("ambiguity"), "cells")
+
+
+@query()
+def g16_flow_kinematics(spark, sf_dir):
+    flow = motion.feature_flow(_pairs(spark, sf_dir), ["day"], 3.0, 2.0, 1.5, 15, 10)
+    k = motion.flow_kinematics(flow.select("day", "iy", "ix", "u", "v"), ["day"], 3.0, 2.0)
+    g = grid.spatial_derivatives(_pairs(spark, sf_dir), ["day"], "current", 3.0, 2.0).withColumn("rate", (F.col("current") - F.col("previous")) / F.col("dt"))
+    joined = k.join(g.select("day", "iy", "ix", "rate", "d_dx", "d_dy"), ["day", "iy", "ix"]).join(flow.select("day", "iy", "ix", "accepted"), ["day", "iy", "ix"])
+    out = motion.advection_residual(joined, "rate", "d_dx", "d_dy", accepted="accepted")
+    return out.select("day", "iy", "ix", r("divergence"), r("vorticity"), r("strain"), r("residual_raw"), r("residual"))
+
+
+@query(f"""WITH {OBS}, f AS (SELECT iy % 3 AS region, day, count(v) AS valid, count(*) AS cells FROM obs GROUP BY ALL), s AS (SELECT *, day - lag(day) OVER (PARTITION BY region ORDER BY day) AS step FROM f),
+a AS (SELECT region, count(*) AS epochs, CAST(median(step) AS DOUBLE) AS cadence, max(step) AS gap, max(day) - min(day) AS span, sum(valid) / (count(*) * 50.0::DOUBLE) AS share FROM s GROUP BY region)
+SELECT region, epochs, cadence, {rs('share', 'valid_share')}, 2 * cadence AS min_period, span / 2.0::DOUBLE AS max_period, CASE WHEN epochs < 8 THEN 'insufficient_samples' WHEN share < 0.5 THEN 'invalid_support' WHEN gap > 1.5 * cadence THEN 'unsupported_resolution' ELSE 'supported' END AS status FROM a""")
+def g17_capability_gate(spark, sf_dir):
+    out = spectral.capabilities(b.obs_grid(spark, sf_dir).withColumn("region", F.col("iy") % 3), ["region"], "day", "v", cells=50)
+    return out.select("region", "epochs", "cadence", r("valid_share"), "min_period", "max_period", "status")
+
+
+_WAVES = [(kx / 40.0, ky / 40.0) for kx in (-2, -1, 0, 1, 2) for ky in (-2, -1, 0, 1, 2) if (kx, ky) != (0, 0)]
+_WAVE_ROWS = ", ".join(f"({kx!r}, {ky!r})" for kx, ky in _WAVES)
+
+
+@query(f"""WITH {OBS}, t AS (SELECT iy, ix, regr_slope(v, day) AS s, avg(v) AS m, avg(day) AS d FROM obs GROUP BY iy, ix), o AS (SELECT day, iy, ix, v - m - coalesce(s, 0) * (day - d) AS x FROM obs JOIN t USING (iy, ix)),
+bi AS (SELECT 1.0 / p AS f, CAST(kx AS DOUBLE) AS kx, CAST(ky AS DOUBLE) AS ky FROM (VALUES (4.0::DOUBLE), (6.0), (8.0), (12.0)) a(p), (VALUES {_WAVE_ROWS}) e(kx, ky)),
+w AS (SELECT f, kx, ky, x, 2 * pi() * (f * day - kx * ix * 3 - ky * iy * 2) AS ph FROM o, bi)
+SELECT {rs('1 / f', 'period')}, {rs('kx', 'kx')}, {rs('ky', 'ky')}, {rs('(sum(x * cos(ph)) ** 2 + sum(x * sin(ph)) ** 2) / (count(*) * count(*)::DOUBLE)', 'power')} FROM w GROUP BY f, kx, ky""")
+def g18_wave_power(spark, sf_dir):
+    residual = spectral.detrended(b.obs_grid(spark, sf_dir).withColumn("region", F.lit(0)), ["region"], "day", "v")
+    power = spectral.wave_power(residual, ["region"], "day", "residual", [4.0, 6.0, 8.0, 12.0], _WAVES, 2.0, 3.0)
+    return power.select(r(1 / F.col("f"), "period"), r("kx"), r("ky"), r("power"))
+
+
+@query()
+def g18_wave_peak(spark, sf_dir):
+    residual = spectral.detrended(b.obs_grid(spark, sf_dir).withColumn("region", F.col("iy") % 3), ["region"], "day", "v")
+    peak = spectral.wave_peak(spectral.wave_power(residual, ["region"], "day", "residual", [4.0, 6.0, 8.0, 12.0], _WAVES, 2.0, 3.0), ["region"])
+    return peak.select("region", *[r(c) for c in ("period", "wavelength", "phase_speed", "bearing", "amplitude", "concentration")])
+
+
+@query(f"""WITH {OBS}, t AS (SELECT unnest([{DAY0 + 10}, {DAY0 + 15}, {DAY0 + 20}, {DAY0 + 29}]) AS target), e AS (SELECT target, iy, ix, day, v FROM obs, t WHERE day <= target), m AS (SELECT *, median(v) OVER (PARTITION BY target, iy, ix) AS c FROM e),
+k AS (SELECT target, iy, ix, any_value(c) AS c, greatest(1.0, 1.4826 * median(abs(v - c))) AS s FROM m GROUP BY ALL)
+SELECT CAST(k.target AS BIGINT) AS target, k.iy, k.ix, {rs('(v - c) / s', 'z')} FROM k JOIN obs ON obs.day = k.target AND obs.iy = k.iy AND obs.ix = k.ix""")
+def g19_epoch_series(spark, sf_dir):
+    obs = b.obs_grid(spark, sf_dir)
+    targets = F.broadcast(spark.createDataFrame([(DAY0 + d,) for d in (10, 15, 20, 29)], "target bigint"))
+    prefix = obs.join(targets, F.col("day") <= F.col("target"))
+    scale = agg.robust_scale(prefix, ["target", "iy", "ix"], "v", 1.0)
+    now = obs.select(F.col("day").alias("target"), "iy", "ix", "v")
+    return scale.join(now, ["target", "iy", "ix"]).select("target", "iy", "ix", r((F.col("v") - F.col("centre")) / F.col("scale"), "z"))
+
+
+@query()
+def g20_field_pipeline(spark, sf_dir):
+    from skylattice.plans.fields import analyse
+
+    return analyse(b.obs_grid(spark, sf_dir).where("ix < 10"), 15, 10).select("day", r("anomaly"), r("gradient"), r("coherence"), r("flow"), r("temporal"), "label", r("margin"))
+
+
+# --- forecast lifecycle ------------------------------------------------------------------------
+
+
+def _history(spark, sf_dir) -> DataFrame:
+    e = b.table(spark, sf_dir, "events").where("event_type = 'view'").withColumn("t", F.col("ts").cast("timestamp"))
+    return e.select("user_id", F.date_trunc("minute", "t").alias("observed_at"), "t", "event_id", "value").groupBy("user_id", "observed_at").agg(
+        F.max("value").alias("value"), F.lit(0.9).alias("coverage"), F.max(F.col("t") + F.expr("INTERVAL 5 MINUTES")).alias("produced_at")
+    )
+
+
+def _requests(spark, sf_dir) -> DataFrame:
+    t = F.date_trunc("hour", F.col("ts").cast("timestamp"))
+    e = b.table(spark, sf_dir, "events").where("event_type = 'purchase'")
+    return e.select("user_id", "event_id", t.alias("origin_at"), (t + F.expr("INTERVAL 1 MINUTE")).alias("issued_at"), (t + F.expr("INTERVAL 2 HOURS")).alias("valid_at"), (F.col("event_id") % 2 == 0).alias("live"))
+
+
+@query("""WITH h AS (SELECT user_id, date_trunc('minute', ts) AS at_, max(value) AS value, max(ts + INTERVAL 5 MINUTE) AS produced FROM events WHERE event_type = 'view' GROUP BY ALL),
+q AS (SELECT event_id, user_id, date_trunc('hour', ts) AS origin FROM events WHERE event_type = 'purchase'),
+j AS (SELECT q.*, h.at_, h.value, h.produced FROM q ASOF LEFT JOIN h ON q.user_id = h.user_id AND q.origin >= h.at_),
+k AS (SELECT *, CASE WHEN at_ IS NULL THEN 'no_history' WHEN event_id % 2 = 0 AND produced > origin + INTERVAL 1 MINUTE THEN 'input_not_available' END AS reject_reason FROM j)
+SELECT event_id, round(CASE WHEN reject_reason IS NULL THEN value END, 6) + CAST(0 AS DOUBLE) AS predicted, reject_reason FROM k""")
+def l1_issue_forecasts(spark, sf_dir):
+    return lifecycle.issue_forecasts(_requests(spark, sf_dir), _history(spark, sf_dir), ["user_id"]).select("event_id", r("predicted"), "reject_reason")
+
+
+def _decided(spark, sf_dir, available: str) -> DataFrame:
+    forecasts = _forecasts(spark, sf_dir).select("series", F.col("valid_day").cast("timestamp").alias("valid_at"), "predicted")
+    forecasts = forecasts.withColumn("forecast_id", encode.stable_id("forecast", F.col("series"), F.unix_date(F.col("valid_at").cast("date"))))
+    actuals = b.obs_rev(spark, sf_dir).withColumn("observed_at", F.col("day").cast("timestamp")).withColumn("coverage", F.when(F.array_contains("flags", "error"), 0.2).otherwise(0.9))
+    matched = lifecycle.match_actuals(forecasts, actuals, ["series"], F.lit(available).cast("timestamp"))
+    return lifecycle.decide(matched, F.lit(0.0), F.lit(30.0), 3.0, uncertain=F.col("series") % 10 == 0)
+
+
+def _decided_sql(available: str) -> str:
+    return f"""{b.REV_SQL}, {_FORECASTS}, a AS (SELECT series, day AS valid_day, artifact_id AS actual_id, value AS actual, CASE WHEN event_type = 'error' THEN 0.2 ELSE 0.9 END AS cov FROM rev WHERE ingested_at <= TIMESTAMP '{available}' QUALIFY row_number() OVER (PARTITION BY series, day {_ORDER}) = 1),
+d AS (SELECT f.series, f.valid_day, predicted, actual_id, coalesce(cov >= 0.5, false) AS usable, CASE WHEN cov >= 0.5 THEN actual - predicted END AS residual FROM f LEFT JOIN a ON a.series = f.series AND a.valid_day = f.valid_day),
+z AS (SELECT *, abs(residual / 30.0) >= 3.0 AS is_anomaly, CASE WHEN NOT usable THEN NULL WHEN series % 10 = 0 THEN 'unknown' WHEN abs(residual / 30.0) >= 3.0 THEN 'candidate' ELSE 'normal' END AS assessment FROM d)"""
+
+
+_DAY = "CAST(datediff('day', DATE '1970-01-01', valid_day) AS BIGINT) AS valid_day"
+
+
+def _valid_day() -> Column:
+    return F.unix_date(F.col("valid_at").cast("date")).cast("bigint").alias("valid_day")
+
+
+@query(f"WITH {_decided_sql('2024-02-10 00:00:00')} SELECT series, {_DAY}, {rs('residual', 'residual')}, {rs('abs(residual / 30.0)', 'anomaly_score')}, is_anomaly, assessment FROM z")
+def l2_zscore_decision(spark, sf_dir):
+    return _decided(spark, sf_dir, "2024-02-10 00:00:00").select("series", _valid_day(), r("residual"), r("anomaly_score"), "is_anomaly", "assessment")
+
+
+@query(f"WITH {_decided_sql('2024-02-10 00:00:00')} SELECT valid_day, usable, count(*) AS n FROM (SELECT {_DAY}, usable FROM z) GROUP BY ALL")
+def l3_quality_floor(spark, sf_dir):
+    return _decided(spark, sf_dir, "2024-02-10 00:00:00").groupBy(_valid_day(), "usable").agg(F.count("*").alias("n"))
+
+
+_STATUS = """CASE WHEN valid_day > DATE '2024-01-20' THEN 'NOT_DUE' WHEN usable THEN 'SCORED' WHEN epoch(TIMESTAMP '2024-01-20 05:00:00') - epoch(CAST(valid_day AS TIMESTAMP)) < 21600 THEN 'PENDING' ELSE 'INSUFFICIENT_DATA' END"""
+
+
+def _reconciled(spark, sf_dir) -> DataFrame:
+    now = F.lit("2024-01-20 05:00:00").cast("timestamp")
+    return lifecycle.reconcile(_decided(spark, sf_dir, "2024-01-20 05:00:00"), now, F.lit("2024-01-20 00:00:00").cast("timestamp"))
+
+
+@query(f"WITH {_decided_sql('2024-01-20 05:00:00')} SELECT series, {_DAY}, {_STATUS} AS status FROM z")
+def l4_reconcile(spark, sf_dir):
+    return _reconciled(spark, sf_dir).select("series", _valid_day(), "status")
+
+
+@query(f"""WITH {_decided_sql('2024-02-10 00:00:00')}, o AS (SELECT series, day AS valid_day, artifact_id AS old FROM rev WHERE ingested_at <= TIMESTAMP '2024-01-15 12:00:00' QUALIFY row_number() OVER (PARTITION BY series, day {_ORDER}) = 1),
+old AS (SELECT f.series, f.valid_day, o.old FROM f JOIN o ON o.series = f.series AND o.valid_day = f.valid_day JOIN rev ON rev.artifact_id = o.old WHERE event_type <> 'error')
+SELECT z.series, {_DAY.replace('valid_day)', 'z.valid_day)')}, old.old AS old_actual, z.actual_id FROM z JOIN old ON old.series = z.series AND old.valid_day = z.valid_day WHERE usable AND z.actual_id <> old.old""")
+def l5_reassess(spark, sf_dir):
+    first = _decided(spark, sf_dir, "2024-01-15 12:00:00").where("usable").withColumn("decision_id", F.col("actual_id").cast("string")).withColumn("decided_at", F.lit(1))
+    new = lifecycle.reassess(first.select("forecast_id", "decision_id", "decided_at", "actual_id"), _decided(spark, sf_dir, "2024-02-10 00:00:00"))
+    return new.select("series", _valid_day(), F.col("supersedes_decision_id").cast("bigint").alias("old_actual"), "actual_id")
+
+
+@query(f"""WITH e AS (WITH {_decided_sql('2024-01-20 05:00:00')} SELECT series, valid_day FROM z WHERE {_STATUS} = 'INSUFFICIENT_DATA'), n AS (WITH {_decided_sql('2024-02-10 00:00:00')} SELECT series, valid_day, usable FROM z)
+SELECT n.series, {_DAY.replace('valid_day)', 'n.valid_day)')}, CASE WHEN usable THEN 'SCORED' ELSE 'INSUFFICIENT_DATA' END AS status FROM n JOIN e ON e.series = n.series AND e.valid_day = n.valid_day""")
+def l6_retry(spark, sf_dir):
+    return lifecycle.retry(_reconciled(spark, sf_dir), _decided(spark, sf_dir, "2024-02-10 00:00:00")).select("series", _valid_day(), "status")
+
+
+@query(f"WITH {_decided_sql('2024-02-10 00:00:00')} SELECT series, {_DAY}, assessment FROM z WHERE valid_day >= DATE '2024-01-10' AND valid_day < DATE '2024-01-20' AND is_anomaly AND assessment = 'candidate'")
+def l7_decision_search(spark, sf_dir):
+    made = _decided(spark, sf_dir, "2024-02-10 00:00:00").withColumn("decision_id", F.col("forecast_id")).withColumn("supersedes_decision_id", F.lit(None).cast("string"))
+    out = lifecycle.search(made, F.lit("2024-01-10").cast("timestamp"), F.lit("2024-01-20").cast("timestamp"), True, "candidate")
+    return out.select("series", _valid_day(), "assessment")
+
+
+@query(f"WITH {b.REV_SQL} SELECT series, CAST(datediff('day', DATE '1970-01-01', day) AS BIGINT) AS day, max(artifact_id) AS artifact_id, {rs('arg_max(value, artifact_id)', 'value')}, max(artifact_id) > 4000 AS fresh FROM rev WHERE artifact_id <= 9000 GROUP BY series, day")
+def l8_incremental_scan(spark, sf_dir):
+    rows = b.obs_rev(spark, sf_dir).select("series", F.unix_date("day").cast("bigint").alias("day"), "artifact_id", "value")
+    return lifecycle.incremental_scan(rows, ["series"], "day", "artifact_id", 4000, 9000).select("series", "day", "artifact_id", r("value"), "fresh")
+
+
+@query(f"""WITH {OBS}, l AS (SELECT *, lag(v) OVER (PARTITION BY iy, ix ORDER BY day) AS p FROM obs), x AS (SELECT day, iy, ix, v - p AS res FROM l WHERE p IS NOT NULL), c AS (SELECT *, median(res) OVER (PARTITION BY iy, ix) AS c FROM x),
+s AS (SELECT iy, ix, any_value(c) AS c, greatest(1.0, 1.4826 * median(abs(res - c))) AS s FROM c GROUP BY iy, ix), z AS (SELECT day, greatest(0.0, (abs(res - s.c) - 1.0) / s.s) AS z FROM x JOIN s USING (iy, ix)), m AS (SELECT day, quantile_cont(z, 0.95) AS score, count(*) AS cells FROM z GROUP BY day)
+SELECT day, {rs('score', 'score')}, cells, score >= (SELECT greatest(3.0, quantile_cont(score, 0.995)) FROM m) AS candidate FROM m""")
+def l9_residual_scan(spark, sf_dir):
+    w = Window.partitionBy("iy", "ix").orderBy("day")
+    res = b.obs_grid(spark, sf_dir).withColumn("res", F.col("v") - F.lag("v").over(w)).where("res IS NOT NULL").withColumn("one", F.lit(1.0))
+    scaled = res.join(agg.robust_scale(res, ["iy", "ix"], "res", 1.0), ["iy", "ix"]).withColumn("residual", F.col("res") - F.col("centre"))
+    maps = agg.map_scores(scaled, ["day"], "residual", "one", "scale", ["iy", "ix"])
+    return maps.join(F.broadcast(agg.calibrated_threshold(maps, "score"))).select("day", r("score"), "cells", (F.col("score") >= F.col("threshold")).alias("candidate"))
+
+
+@query(f"""WITH {_decided_sql('2024-01-20 05:00:00')}, s AS (SELECT {_STATUS} AS status FROM z)
+SELECT count(*) AS considered, count(*) FILTER (status = 'SCORED') AS scored, count(*) FILTER (status = 'INSUFFICIENT_DATA') AS insufficient, count(*) FILTER (status = 'PENDING') AS retryable FROM s WHERE status <> 'NOT_DUE'""")
+def l10_vertical_slice(spark, sf_dir):
+    return lifecycle.outcome_counts(_reconciled(spark, sf_dir))
+
+
+# --- data quality and provenance ---------------------------------------------------------------
+
+
+@query("""SELECT rule, key FROM (SELECT event_id AS key, unnest(['value_in_range', 'known_type', 'positive_id', 'large_purchase']) AS rule,
+unnest([value BETWEEN 0 AND 300, event_type IN ('error','view','click','signup','purchase'), event_id >= 1, event_type <> 'purchase' OR value <= 200]) AS ok FROM events) WHERE NOT ok""")
+def q1_rule_check(spark, sf_dir):
+    rules = {"value_in_range": F.col("value").between(0, 300), "known_type": F.col("event_type").isin(*b.EVENT_TYPES), "positive_id": F.col("event_id") >= 1, "large_purchase": (F.col("event_type") != "purchase") | (F.col("value") <= 200)}
+    return joins.violations(b.table(spark, sf_dir, "events"), "event_id", rules)
+
+
+@query(f"""WITH {OBS}, a AS (SELECT *, lag(day) OVER (PARTITION BY iy, ix ORDER BY day) AS before FROM obs), c AS (SELECT day, iy, ix, v <= 200 AND isfinite(v) AS finite, n <= 6 AS confidence, before IS NULL OR day - before <= 2 AS axis FROM a)
+SELECT rule, count(*) AS failures FROM (SELECT unnest(['finite_value', 'count_in_range', 'axis_steps']) AS rule, unnest([finite, confidence, axis]) AS ok FROM c) WHERE NOT ok GROUP BY rule""")
+def q2_field_contract(spark, sf_dir):
+    w = Window.partitionBy("iy", "ix").orderBy("day")
+    obs = b.obs_grid(spark, sf_dir).withColumn("step", F.col("day") - F.lag("day").over(w)).withColumn("key", F.concat_ws(":", "day", "iy", "ix"))
+    rules = {"finite_value": (F.col("v") <= 200) & ~F.isnan("v"), "count_in_range": F.col("n") <= 6, "axis_steps": F.col("step").isNull() | (F.col("step") <= 2)}
+    return joins.violations(obs, "key", rules).groupBy("rule").agg(F.count("*").alias("failures"))
+
+
+@query()
+def q3_snapshot_manifest(spark, sf_dir):
+    from skylattice.operators.manifests import snapshot_manifest
+
+    return snapshot_manifest(b.obs_grid(spark, sf_dir).select("day", "iy", "ix", "v", "n"), "day")
+
+
+@query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), n AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM d),
+p AS (SELECT day, CASE WHEN i < floor(n * 0.7::DOUBLE) THEN 'train' WHEN i < floor(n * 0.8::DOUBLE) THEN 'validation' WHEN i < floor(n * 0.9::DOUBLE) THEN 'calibration' ELSE 'test' END AS part FROM n),
+s AS (SELECT part, min(day) AS a, max(day) AS e, count(*) AS days FROM p GROUP BY part), l AS (SELECT *, lag(e) OVER (ORDER BY a) AS before FROM s)
+SELECT part, days, before IS NULL OR before < a AS in_order FROM l""")
+def q4_split_contract(spark, sf_dir):
+    from skylattice.operators.manifests import split_contract
+
+    days = b.table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias("day")).distinct()
+    return split_contract(timeseries.chronological_split(days, "day"), "part", "day")
+
+
+@query("""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1), y AS (SELECT year(day) AS part, day, n FROM d)
+SELECT CAST(part AS INT) AS part, sha256(string_agg(CAST(day AS VARCHAR) || '=' || n, ',' ORDER BY day)) AS manifest, count(*) AS days FROM y GROUP BY part""")
+def q5_training_manifest(spark, sf_dir):
+    from skylattice.operators.manifests import ordered_hash
+
+    days = b.table(spark, sf_dir, "orders").groupBy(F.to_date("o_orderdate").alias("day")).agg(F.count("*").alias("n"))
+    return ordered_hash(days.withColumn("part", F.year("day")), "part", "day", F.concat(F.col("day").cast("string"), F.lit("="), F.col("n").cast("string")))
+
+
+# --- sources and sinks -------------------------------------------------------------------------
+
+
+def _folder(spark, name: str) -> str:
+    import uuid
+
+    from skylattice.plans.store import shared_dir
+
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _map_archive(spark, sf_dir) -> str:
+    """The observations as daily map files (10 columns, 15 rows), written by Spark to a new folder."""
+    from skylattice.sources.mapfiles import map_file_texts
+
+    obs = b.obs_grid(spark, sf_dir, 6).where("ix < 10")
+    lats, lons = [i * 2.5 - 17.5 for i in range(15)], [round(i * 3.6 - 180, 10) for i in range(10)]
+    full = grid.densify(obs, obs.select("epoch").distinct(), lats, lons, "v").join(obs.select("epoch", "iy", "ix", "n"), ["epoch", "iy", "ix"], "left")
+    path = _folder(spark, "maps")
+    map_file_texts(full, "epoch", "v", "n", lats, lons).repartition("product_date").write.partitionBy("product_date").text(path)
+    return path
+
+
+@query(f"WITH {OBS6} SELECT epoch, lat, lon, CAST(floor(v * 10 + 0.5) / 10 AS DOUBLE) AS vtec FROM obs WHERE ix < 10")
+def s1_map_file_load(spark, sf_dir):
+    from skylattice.sources.mapfiles import load_map_files
+
+    return load_map_files(spark, _map_archive(spark, sf_dir))[0].select("epoch", "lat", "lon", "vtec")
+
+
+@query(f"WITH {OBS6} SELECT epoch, lat, lon, CAST(n AS DOUBLE) AS rms FROM obs WHERE ix < 10")
+def s2_rms_map_join(spark, sf_dir):
+    from skylattice.sources.mapfiles import load_map_files
+
+    return load_map_files(spark, _map_archive(spark, sf_dir))[0].select("epoch", "lat", "lon", "rms")
+
+
+@query("""WITH e AS (SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS k, CAST(ts AS DATE) AS day FROM events)
+SELECT a.event_id FROM e a WHERE a.event_id > 5000 AND NOT EXISTS (SELECT 1 FROM e c WHERE c.event_id <= 5000 AND c.user_id = a.user_id AND c.k IS NOT DISTINCT FROM a.k AND c.day = a.day)""")
+def s3_idempotent_ingest(spark, sf_dir):
+    e = b.table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_type") != "error", F.col("event_type")).alias("k"), F.to_date("ts").alias("day"))
+    return revisions.unseen(e.where("event_id > 5000"), e.where("event_id <= 5000"), ["user_id", "k", "day"]).select("event_id")
+
+
+@query("SELECT CASE WHEN o_orderkey > 5000 THEN 'insert' WHEN o_orderkey % 7 = 0 THEN 'conflict' ELSE 'same' END AS outcome, count(*) AS n FROM orders WHERE o_orderkey > 4000 GROUP BY 1")
+def s4_immutable_insert(spark, sf_dir):
+    o = b.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
+    new = o.where("o_orderkey > 4000").withColumn("o_totalprice", F.when((F.col("o_orderkey") % 7 == 0), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return revisions.split_inserts(new, o.where("o_orderkey <= 5000"), ["o_orderkey"], ["o_totalprice", "o_orderstatus"]).groupBy("outcome").agg(F.count("*").alias("n"))
+
+
+@query(f"""WITH {b.REV_SQL} SELECT series, day, artifact_id FROM rev WHERE day BETWEEN DATE '2024-01-08' AND DATE '2024-01-18' AND ingested_at <= TIMESTAMP '2024-01-16 12:00:00' AND (series % 15) * 2.5 - 17.5 BETWEEN -10 AND 10
+AND round((series // 15) * 3.6 - 180, 10) BETWEEN -180 AND -165 QUALIFY row_number() OVER (PARTITION BY series, day {_ORDER}) = 1 ORDER BY series, day""")
+def s5_windowed_series(spark, sf_dir):
+    from skylattice.sources.tables import read_series
+
+    rows = b.obs_rev(spark, sf_dir).withColumn("lat", (F.col("series") % 15) * 2.5 - 17.5).withColumn("lon", F.round(F.expr("series div 15") * 3.6 - 180, 10))
+    start, end, instant = (F.lit(x).cast("timestamp") for x in ("2024-01-08 00:00:00", "2024-01-18 00:00:00", "2024-01-16 12:00:00"))
+    return read_series(rows, ["series"], "day", start, end, instant, (-10, -180, 10, -165)).select("series", "day", "artifact_id")
+
+
+@query(f"WITH {b.REV_SQL}, m AS (SELECT series, min(day) AS a, max(day) AS e FROM rev WHERE value > 150 GROUP BY series) SELECT series, count(*) AS n FROM rev JOIN m USING (series) WHERE e >= DATE '2024-01-20' AND a <= DATE '2024-01-22' GROUP BY series")
+def s6_overlap_read(spark, sf_dir):
+    from skylattice.sources.tables import read_overlapping
+
+    rows = b.obs_rev(spark, sf_dir)
+    manifest = rows.where("value > 150").groupBy("series").agg(F.min("day").alias("first"), F.max("day").alias("last"))
+    return read_overlapping(rows, manifest, "series", F.lit("2024-01-20").cast("date"), F.lit("2024-01-22").cast("date")).groupBy("series").agg(F.count("*").alias("n"))
+
+
+_KP = "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS c, min(event_id) AS id FROM events WHERE event_type = 'error' GROUP BY ALL"
+
+
+@query(f"WITH k AS ({_KP}), g AS (SELECT day, count(*) AS k0 FROM k WHERE c > 9 OR c < 0 GROUP BY day), t AS (SELECT user_id % 8 AS source, day, count(DISTINCT c) AS n FROM k GROUP BY ALL) SELECT k.user_id % 8 AS source, CAST(datediff('day', DATE '1970-01-01', k.day) AS BIGINT) AS day, CAST(max(c) AS DOUBLE) AS kp FROM k WHERE user_id < 16 AND user_id >= 8 GROUP BY ALL HAVING count(*) > 0")
+def s7_context_series(spark, sf_dir):
+    from skylattice.sources.tables import context_series
+
+    e = b.table(spark, sf_dir, "events").where("event_type = 'error' AND user_id >= 8 AND user_id < 16")
+    days = e.groupBy((F.col("user_id") % 8).alias("source"), F.to_date("ts").alias("day")).agg(F.count("*").cast("double").alias("Kp"))
+    tag = F.concat(F.col("day").cast("string"), F.lit("T00:00:00"))
+    objects = days.where("source % 2 = 0").groupBy("source").agg(F.to_json(F.collect_list(F.struct(tag.alias("time_tag"), "Kp"))).alias("text"))
+    header = F.array(F.lit("time_tag"), F.lit("Kp"))
+    tables = days.where("source % 2 = 1").groupBy("source").agg(F.to_json(F.concat(F.array(header), F.collect_list(F.array(tag, F.col("Kp").cast("string"))))).alias("text"))
+    good, _ = context_series(objects.unionByName(tables))
+    return good.select("source", F.unix_date(F.to_date("time")).cast("bigint").alias("day"), "kp")
+
+
+@query(f"WITH {OBS} SELECT day, iy, ix, {rs('v', 'v')} FROM obs")
+def s8_verified_archive(spark, sf_dir):
+    from skylattice.sources.tables import read_archive, write_archive
+
+    obs, path = b.obs_grid(spark, sf_dir).select("day", "iy", "ix", "v"), _folder(spark, "archive")
+    write_archive(obs, path, "day")
+    return read_archive(spark, path, obs.schema, "day")[0].select("day", "iy", "ix", r("v"))
+
+
+@query("""WITH m AS (SELECT o_orderkey AS id, o_orderkey % 3 = 0 AS native, o_orderkey // 3 * 3 AS parent, o_custkey AS checksum FROM orders), n AS (SELECT id, checksum FROM m WHERE native AND id % 5 <> 0)
+SELECT m.id, CASE WHEN n.id IS NULL THEN 'no_native_parent' ELSE 'checksum_differs' END AS reason FROM m LEFT JOIN n ON n.id = m.parent WHERE NOT m.native AND (n.id IS NULL OR n.checksum % 10 <> m.checksum % 10)""")
+def s9_catalogue_lineage(spark, sf_dir):
+    from skylattice.sources.tables import catalogue_violations
+
+    o = b.table(spark, sf_dir, "orders")
+    native = (F.col("o_orderkey") % 3 == 0) & (F.col("o_orderkey") % 5 != 0)
+    m = o.select(F.col("o_orderkey").alias("id"), F.when(native, "native").when(F.col("o_orderkey") % 3 == 0, "native_hidden").otherwise("derived").alias("layout"), F.expr("o_orderkey div 3 * 3").alias("parent"), (F.col("o_custkey") % 10).alias("checksum"), (F.col("o_custkey") % 10).alias("parent_checksum"))
+    return catalogue_violations(m.where("layout <> 'native_hidden'"))
+
+
+@query(f"WITH {OBS} SELECT day, count(*) AS cells, {rs('avg(v)', 'mean_v')} FROM obs GROUP BY day")
+def s10_csv_export(spark, sf_dir):
+    path = _folder(spark, "csv")
+    b.obs_grid(spark, sf_dir).groupBy("day").agg(F.count("*").alias("cells"), F.avg("v").alias("mean_v")).write.csv(path, header=True)
+    return spark.read.csv(path, header=True, schema="day bigint, cells bigint, mean_v double").select("day", "cells", r("mean_v"))
+
+
+@query(f"""WITH {OBS}, l AS (SELECT day, count(DISTINCT lat) AS n_lats, count(DISTINCT lon) AS n_lons, count(*) AS present FROM obs WHERE ix < 10 GROUP BY day) SELECT day, n_lats, n_lons, n_lats * n_lons - present AS nulls FROM l""")
+def s11_map_payload(spark, sf_dir):
+    from skylattice.sources.tables import map_payload
+
+    out = map_payload(b.obs_grid(spark, sf_dir).where("ix < 10"), ["day"], "v")
+    nulls = F.aggregate(F.flatten("values"), F.lit(0), lambda s, x: s + F.when(x.isNull(), 1).otherwise(0))
+    return out.select("day", F.size("lats").cast("bigint").alias("n_lats"), F.size("lons").cast("bigint").alias("n_lons"), nulls.cast("bigint").alias("nulls"))
+
+
+@query("""WITH c AS (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-02-05', INTERVAL 1 DAY)) AS DATE) AS day), d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE value > 330)
+SELECT day, 'COD0OPSFIN_' || year(day) || lpad(CAST(dayofyear(day) AS VARCHAR), 3, '0') || '0000_01D_01H_GIM.INX.gz' AS file, CASE WHEN day IN (SELECT day FROM d) THEN 'recheck' ELSE 'missing' END AS why FROM c WHERE day NOT IN (SELECT day FROM d) OR day > DATE '2024-02-03'""")
+def s12_missing_days(spark, sf_dir):
+    from skylattice.sources.tables import missing_days, product_calendar
+
+    ledger = b.table(spark, sf_dir, "events").where("value > 330").select(F.to_date("ts").alias("day"))
+    return missing_days(product_calendar(spark, "2024-01-01", "2024-02-05"), ledger).select("day", "file", "why")
+
+
+# --- streaming ---------------------------------------------------------------------------------
+
+
+def _events_stream(spark, sf_dir) -> DataFrame:
+    """The events in eight files by day, as a stream; in one batch, since files that Spark writes have no order in time."""
+    from skylattice.streaming.streams import read_stream
+
+    e = b.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    path = _folder(spark, "stream-in")
+    e.repartitionByRange(8, "ts").sortWithinPartitions("ts").write.parquet(path)
+    return read_stream(spark, path, e.schema, files=8)
+
+
+def _stream_out(spark) -> tuple[str, str]:
+    return _folder(spark, "stream-out"), _folder(spark, "stream-checkpoint")
+
+
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS n, round(sum(value), 4) + CAST(0 AS DOUBLE) AS total FROM events GROUP BY 1")
+def t1_incremental_intake(spark, sf_dir):
+    from skylattice.streaming.streams import append_once
+
+    rows = append_once(_events_stream(spark, sf_dir), *_stream_out(spark))
+    return rows.groupBy(F.to_date("ts").alias("day")).agg(F.count("*").alias("n"), r(F.sum("value"), "total", 4))
+
+
+@query("SELECT count(DISTINCT (user_id, event_type, CAST(ts AS DATE))) AS kept FROM events")
+def t2_duplicate_deliveries(spark, sf_dir):
+    from skylattice.streaming.streams import deduplicate, run_to_table
+
+    stream = _events_stream(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    return run_to_table(deduplicate(stream, "ts", ["user_id", "event_type", "day"], "60 days"), *_stream_out(spark)).agg(F.count("*").alias("kept"))
+
+
+@query("""WITH w AS (SELECT epoch(time_bucket(INTERVAL 2 HOURS, ts)) AS start, count(*) AS n, avg(value) AS m, median(value) AS d FROM events GROUP BY 1)
+SELECT CAST(start AS BIGINT) AS start, n, round(m, 6) + CAST(0 AS DOUBLE) AS mean_v, round(d, 6) + CAST(0 AS DOUBLE) AS median_v FROM w WHERE start < epoch(TIMESTAMP '2024-01-28 00:00:00')""")
+def t3_tumbling_readout(spark, sf_dir):
+    from skylattice.streaming.streams import run_to_table, tumbling_readout
+
+    out = run_to_table(tumbling_readout(_events_stream(spark, sf_dir), "ts", "value", "2 hours", "1 day"), *_stream_out(spark))
+    return out.where("start < TIMESTAMP '2024-01-28 00:00:00'").select(F.unix_seconds("start").alias("start"), "n", r("mean_v"), r("median_v"))
+
+
+@query(f"WITH {OBS}, c AS (SELECT DISTINCT day FROM obs WHERE v > 280) SELECT day, count(*) AS cells, {rs('avg(v)', 'mean_v')} FROM obs WHERE day IN (SELECT day FROM c) OR day - 1 IN (SELECT day FROM c) GROUP BY day")
+def t4_late_revisions(spark, sf_dir):
+    from skylattice.streaming.streams import rescore_late
+
+    obs = b.obs_grid(spark, sf_dir)
+    score = lambda days: obs.join(days, "day", "left_semi").groupBy("day").agg(F.count("*").alias("cells"), r(F.avg("v"), "mean_v"))
+    return rescore_late(obs.where("v > 280").select("day"), score, obs.select("day").distinct(), "day")
+
+
+@query()
+def t5_grace_join(spark, sf_dir):
+    from skylattice.streaming.streams import forecasts_with_grace, run_to_table
+
+    forecasts = _events_stream(spark, sf_dir).where("event_type = 'purchase'").select("event_id", "user_id", F.col("ts").alias("valid_at"), F.col("value").alias("predicted"))
+    actuals = _events_stream(spark, sf_dir).where("event_type = 'view'").select("user_id", F.col("ts").alias("observed_at"), F.col("value").alias("actual"))
+    out = run_to_table(forecasts_with_grace(forecasts, actuals, ["user_id"], "6 hours"), *_stream_out(spark))
+    return out.select("event_id", r("predicted"), r("actual"))
+
+
+@query()
+def t6_ordered_state(spark, sf_dir):
+    from skylattice.streaming.streams import recurrence_stream, run_to_table
+
+    out = run_to_table(recurrence_stream(_events_stream(spark, sf_dir), "user_id", "ts", "value", "1 day"), *_stream_out(spark))
+    return out.select("user_id", F.unix_micros("ts").alias("t"), r("forecast"), r("score"), "late")
+
+
+@query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS i FROM g),
+k AS (SELECT user_id, min(ts) AS a, max(ts) AS e, count(*) AS n FROM s GROUP BY user_id, i) SELECT user_id, epoch_us(a) AS start, n FROM k WHERE e < TIMESTAMP '2024-01-27 00:00:00'""")
+def t7_sessions(spark, sf_dir):
+    from skylattice.streaming.streams import run_to_table, sessions
+
+    out = run_to_table(sessions(_events_stream(spark, sf_dir), ["user_id"], "ts", "12 hours", "1 day"), *_stream_out(spark))
+    return out.where("end < TIMESTAMP '2024-01-27 12:00:00'").select("user_id", F.unix_micros("start").alias("start"), "n")
+
+
+@query("WITH m AS (SELECT user_id, median(value) AS m FROM events GROUP BY user_id) SELECT event_id, round(value - m, 6) + CAST(0 AS DOUBLE) AS deviation FROM events JOIN m USING (user_id)")
+def t8_sliding_baseline(spark, sf_dir):
+    from skylattice.streaming.streams import against_baseline, run_to_table
+
+    baseline = b.table(spark, sf_dir, "events").groupBy("user_id").agg(F.median("value").alias("baseline"))
+    return run_to_table(against_baseline(_events_stream(spark, sf_dir), baseline, ["user_id"], "value"), *_stream_out(spark)).select("event_id", r("deviation"))
+
+
+@query("SELECT coalesce(CASE WHEN value > 200 THEN 'value_too_large' WHEN event_type = 'error' THEN 'error_event' END, 'kept') AS outcome, count(*) AS n FROM events GROUP BY 1")
+def t9_rejects(spark, sf_dir):
+    from skylattice.streaming.streams import split_rejects
+
+    rules = {"value_too_large": F.col("value") <= 200, "error_event": F.col("event_type") != "error"}
+    good, bad = split_rejects(_events_stream(spark, sf_dir), rules, *_stream_out(spark))
+    return good.select(F.lit("kept").alias("outcome")).unionByName(bad.select(F.col("reason").alias("outcome"))).groupBy("outcome").agg(F.count("*").alias("n"))
