@@ -3,8 +3,9 @@
 COVER is a difference cover modulo PERIOD: for any two positions i and j some shift d < PERIOD puts
 both i + d and j + d on cover positions. Windows of ``window - PERIOD + 1`` words are hashed at the
 cover positions of each document alone; wherever two documents share ``window`` words, they share
-such an anchor within the first PERIOD words. Anchors of one document only are dropped. Around the
-others the match is extended: full windows are hashed and compared between documents.
+such an anchor within the first PERIOD words. Anchors of one text only are dropped. Around the
+others the match is extended: full windows are hashed and compared between documents. Documents with
+the very same words are one text to all this: but for the first of them, they lose all their words.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import Words, sliced, window_hashes, written
+from skylattice.llm.common import Powers, Words, mix, sliced, window_hashes, written
 
 WINDOW = 13
 #: The perfect difference set modulo 7; every nonzero difference occurs once.
@@ -34,18 +35,34 @@ def _anchors(words: Words, size: int, window: int) -> tuple[np.ndarray, np.ndarr
     return row[able], place[able], hashes[able]
 
 
+_SEQUENCE = [Powers(b) for b in (0xA24BAED4963EE407, 0x9FB21C651E98DF25)]
+
+
+def _sequences(words: Words, which: int) -> np.ndarray:
+    """Hash of all words of each row in order."""
+    count = np.diff(words.bounds)
+    up, _ = _SEQUENCE[which].get(int(count.max(initial=0)) + 1)
+    place = np.arange(len(words.hash)) - np.repeat(words.bounds[:-1], count)
+    total = np.concatenate([[np.uint64(0)], np.cumsum(mix(words.hash + np.uint64(which)) * up[place], dtype=np.uint64)])
+    return mix(total[words.bounds[1:]] - total[words.bounds[:-1]] + count.astype(np.uint64))
+
+
 def _ids(b: pa.RecordBatch) -> np.ndarray:
     return np.asarray(b.column(0), dtype=np.int64)
 
 
 def shared_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
-    """doc_id, place: starts of windows whose words also start in a document with a smaller id."""
+    """doc_id, place: starts of windows whose words also start in a document with a smaller id.
+
+    Of a document with the words of an earlier one, windows that cover all its words.
+    """
     size = window - PERIOD + 1
 
     def anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
-            row, _, h = _anchors(Words(b.column(1)), size, window)
-            ids = _ids(b)[row]
+            words = Words(b.column(1))
+            row, _, h = _anchors(words, size, window)
+            ids = _sequences(words, 0).view(np.int64)[row]
             order = np.argsort(h, kind="stable")
             h, ids = h[order], ids[order]
             first = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]])) if len(h) else np.zeros(0, int)
@@ -58,6 +75,12 @@ def shared_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             row, place, h = _anchors(Words(b.column(1)), size, window)
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(_ids(b)[row]), pa.array(place.astype(np.int32))], ["h", "doc_id", "place"])
 
+    def sequences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches):
+            words = Words(b.column(1))
+            hashes = [pa.array(_sequences(words, i).view(np.int64)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.diff(words.bounds), pa.int64()), *hashes], ["doc_id", "n", "s1", "s2"])
+
     def extend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             words = Words(b.column(1))
@@ -76,14 +99,21 @@ def shared_windows(docs: DataFrame, window: int = WINDOW) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, ["h1", "h2", "doc_id", "place"])
 
     texts = docs.where("doc_id IS NOT NULL")
+    whole = written(texts.mapInArrow(sequences, "doc_id bigint, n bigint, s1 bigint, s2 bigint").where(F.col("n") >= window), "substring-texts")
+    key = ["n", "s1", "s2"]
+    several = whole.groupBy(*key).agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select(*key, "low")
+    copies = written(whole.join(several.hint("merge"), key).where("doc_id > low").select("doc_id", "n"), "substring-copies")
+
     seen = texts.mapInArrow(anchors, "h bigint, low bigint, high bigint").groupBy("h").agg(F.min("low").alias("low"), F.max("high").alias("high"))
     common = written(seen.where("low < high").select("h"), "substring-anchors")
     hits = texts.mapInArrow(places, "h bigint, doc_id bigint, place int").join(common.hint("shuffle_hash"), "h").groupBy("doc_id").agg(F.collect_list("place").alias("places"))
-    hits = written(hits, "substring-hits").withColumnRenamed("doc_id", "_id")
+    hits = written(hits.join(copies.hint("merge"), "doc_id", "left_anti"), "substring-hits").withColumnRenamed("doc_id", "_id")
     near = texts.join(hits.hint("merge"), texts["doc_id"] == hits["_id"]).select("doc_id", "text", "places")
     windows = written(near.mapInArrow(extend, "h1 bigint, h2 bigint, doc_id bigint, place int"), "substring-windows")
-    earliest = windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h1", "h2", "low")
-    return windows.join(earliest.hint("shuffle_hash"), ["h1", "h2"]).where("doc_id > low").select("doc_id", "place")
+    earliest = written(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high").select("h1", "h2", "low"), "substring-earliest")
+    late = windows.join(earliest.hint("shuffle_hash"), ["h1", "h2"]).where("doc_id > low").select("doc_id", "place")
+    all_of = copies.select("doc_id", F.explode(F.array_append(F.sequence(F.lit(0), F.col("n") - window, F.lit(window)), F.col("n") - window)).alias("place"))
+    return late.unionByName(all_of.withColumn("place", F.col("place").cast("int")))
 
 
 def remove_shared(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -95,7 +125,8 @@ def remove_shared(docs: DataFrame, window: int = WINDOW, id_col: str = "doc_id",
     removed, clipped to their text. Rows without an id lose nothing and take nothing from others.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    gone = shared_windows(texts, window).groupBy("doc_id").agg(F.collect_list("place").alias("places")).withColumnRenamed("doc_id", "_id")
+    gone = shared_windows(texts, window).groupBy("doc_id").agg(F.collect_list("place").alias("places"))
+    gone = written(gone, "substring-gone").withColumnRenamed("doc_id", "_id")
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
