@@ -69,7 +69,7 @@ def _runs(length: int, span: int):
     seed = length - span + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, limit=2 << 20):
+        for b in sliced(batches, limit=1 << 20):
             raw, offsets = text_bytes(b.column(1))
             if len(raw) < length:
                 continue
@@ -101,7 +101,7 @@ def _blocks(length: int, cut: int):
     """mapInArrow function: (doc_id, text, runs) -> rows of aligned blocks of ``cut`` starts of these runs."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches, limit=2 << 20):
+        for b in sliced(batches, limit=1 << 20):
             raw, offsets = text_bytes(b.column(1))
             lists = b.column(2)
             flat, row = lists.flatten(), np.repeat(np.arange(b.num_rows), np.diff(np.asarray(lists.offsets)))
@@ -130,7 +130,7 @@ def _resolve(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     key = ["core", "c1", "c2"]
     first = [F.first(c).alias(c) for c in ("doc_id", "q", "lo", "hi")]  # of one and the same row
     groups = written(rows.groupBy(*key).agg(F.count("*").alias("n"), *first), f"{label}-groups")
-    repeated = rows.join(groups.where("n > 1").select(*key).hint("shuffle_hash"), key, "left_semi").select("doc_id", "lo", "hi")
+    repeated = written(rows.join(groups.where("n > 1").select(*key).hint("shuffle_hash"), key, "left_semi").select("doc_id", "lo", "hi"), f"{label}-repeated")
     mixed = groups.groupBy("core").agg(F.count("*").alias("covers")).where("covers > 1").select("core")
     left = groups.join(mixed.hint("merge"), "core", "left_semi").select("doc_id", "q", "lo", "hi")
     return repeated, left
@@ -186,4 +186,5 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, span: int = SPAN, cut:
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     spans = repeated_starts(docs, length, span, cut, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    spans = written(spans, "suffix-spans")
     return _with_texts(texts, spans, "spans", "left").mapInArrow(cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
