@@ -103,16 +103,30 @@ def shape_descriptors(cells: DataFrame, keys: list[str], iy: str, ix: str, dx: f
     )
 
 
-def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Spearman's rho with average ranks.
+def running_total(df: DataFrame, order: str, amount: str, name: str, ranges: int = 64) -> DataFrame:
+    """Adds the sum of ``amount`` over all rows before each in an order without ties, with no single-task window.
 
-    Ranks come from counts of distinct values and a running sum over these, so ties share a rank.
+    Rows are cut into ranges at approximate quantiles; windows run inside a range, and the ranges'
+    own totals, of which there are at most ``ranges``, are added from a broadcast table.
     """
+    cuts = sorted(set(df.approxQuantile(order, [i / ranges for i in range(1, ranges)], 0.005)))
+    part = F.lit(0)
+    for cut in cuts:
+        part = part + (F.col(order) > cut).cast("int")
+    parted = df.withColumn("_part", part)
+    totals = parted.groupBy("_part").agg(F.sum(amount).alias("_total"))
+    offsets = totals.select("_part", F.coalesce(F.sum("_total").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_offset"))
+    inside = F.coalesce(F.sum(amount).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parted.join(F.broadcast(offsets), "_part").withColumn(name, inside + F.col("_offset")).drop("_part", "_offset")
+
+
+def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
+    """Spearman's rho with average ranks, from counts of distinct values, so that ties share a rank."""
 
     def ranks(column: str) -> DataFrame:
         counts = df.groupBy(column).agg(F.count("*").alias("_n"))
-        before = F.coalesce(F.sum("_n").over(Window.orderBy(column).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-        return counts.select(F.col(column).alias(f"_{column}"), (before + (F.col("_n") + 1) / 2).alias(f"_r{column}"))
+        placed = running_total(counts, column, "_n", "_before")
+        return placed.select(F.col(column).alias(f"_{column}"), (F.col("_before") + (F.col("_n") + 1) / 2).alias(f"_r{column}"))
 
     joined = df.join(ranks(x), F.col(x) == F.col(f"_{x}")).join(ranks(y), F.col(y) == F.col(f"_{y}"))
     return joined.agg(F.corr(f"_r{x}", f"_r{y}").alias("rho"), F.count("*").alias("n"))

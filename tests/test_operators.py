@@ -317,3 +317,12 @@ def test_archive_refuses_changed_partitions(spark, tmp_path):
 def test_file_names_of_both_eras(spark):
     names = {str(r["day"]): r["file"] for r in tables.product_calendar(spark, "2022-11-25", "2022-11-26").collect()}
     assert names == {"2022-11-25": "CODG3290.22I.Z", "2022-11-26": "COD0OPSFIN_20223300000_01D_01H_GIM.INX.gz"}
+
+
+def test_rank_correlation_with_ties(spark):
+    df = spark.createDataFrame([(float(i % 7), float((i * i) % 11)) for i in range(200)], "x double, y double")
+    pdf = df.toPandas()
+    assert aggregates.rank_correlation(df, "x", "y").first()["rho"] == pytest.approx(pdf["x"].rank().corr(pdf["y"].rank()))
+    ordered = spark.range(1000).select(F.col("id").cast("double").alias("k"), F.lit(2).alias("n"))
+    got = aggregates.running_total(ordered, "k", "n", "before", ranges=8).where("before <> 2 * k").count()
+    assert got == 0
