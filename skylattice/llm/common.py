@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -45,10 +44,6 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def table_path(df: DataFrame) -> str:
-    return os.path.dirname(df.inputFiles()[0])
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambler of 64-bit integers (splitmix64 finaliser)."""
     x = x.astype(np.uint64, copy=True)
@@ -157,10 +152,6 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 4
             at = to
 
 
-def partitions_for(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
-
-
 def trained_on(id_col: str = "doc_id"):
     """The rows that a classifier may learn from: crc32 of the id as text is not 1 modulo 3."""
     return F.crc32(F.col(id_col).cast("string")) % 3 != 1

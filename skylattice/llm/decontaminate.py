@@ -34,8 +34,8 @@ def _seeds(df: DataFrame, *keep: str) -> DataFrame:
     return at.select(*keep, "words", "place", F.explode(F.array(*seeds)).alias("seed"))
 
 
-def _best_window() -> Column:
-    """Most agreeing words in a window of the aligned words ``a`` (document) and ``b`` (item)."""
+def _best_window() -> tuple[Column, Column]:
+    """Which of the aligned words ``a`` (document) and ``b`` (item) agree, and how many do in the best window."""
     flags = F.zip_with("a", "b", lambda x, y: F.when(x == y, 1).otherwise(0))
     sums = F.transform(
         F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("flags") - F.col("span") + 1)),
