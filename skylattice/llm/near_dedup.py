@@ -1,15 +1,15 @@
-"""Near-duplicate detection with bottom-k sketches of one hash function.
-
-Texts with one and the same set of shingles form a class and need no comparison. Each class keeps the
-``k`` least hashes of its set. Inverted lists of the retained hashes generate overlaps: in a list of up
-to LIST classes every pair, in a longer one the pairs with its hub. An estimate of the Jaccard
-similarity from the sketch of the union filters pairs, the full sets confirm them, and the links are
-followed to connected components. Of a long list whose members are still apart, the members outside its largest component
-are compared with all others if they are at most REST, and else with another hub, in turns, until a
-turn brings no link.
-
-Two sets of similarity 0.8 share none of the k least hashes of their union with a chance of 0.2**k,
-under 1e-33 for k = 48.
+"""Near-duplicate detection by a prefix filter, exact but for the 64-bit hashes of shingles.
+
+Texts with one and the same set of shingles form a class and need no comparison. All shingles have one
+order, rare ones first: by their count in a hashed table of fixed size, then by hash. Two sets of
+similarity 0.8 share one of the first n - ceil(0.8 n) + 1 shingles of each (its prefix), whatever the
+order, so pairs that share none in the inverted lists of the prefixes need no comparison. Lengths, the places of the shared shingle
+and bitmaps of the sets give further bounds, which drop no similar pair; the full sets confirm the
+others, and the links are followed to connected components.
+
+In a list of up to LIST classes every pair is generated. In a longer one the pairs with a hub come first,
+in turns, since they join most of a large group; then all pairs of the list whose classes are
+still in different components, in blocks.
 """
 
 from __future__ import annotations
@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 
 from skylattice.llm.common import Words, mix, sliced, window_hashes, written
 
-K, LIST, REST = 48, 16, 64
-#: A pair is dropped if its estimate is so far under the threshold: five standard deviations at k = 48.
-SLACK = 0.3
+LIST, REST = 16, 64
+#: So many turns of hubs at most, before the rest of each long list is compared as a whole.
+TURNS = 3
+#: The table of counts has 2**BITS places and is dealt out in parts of 2**PART; a byte for each goes to the tasks.
+BITS, PART = 22, 15
 
 
 def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,35 +52,85 @@ def shingle_sets(texts: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return hashes, np.searchsorted(row, np.arange(len(texts) + 1))
 
 
-def _sketches(size: int, k: int):
+def _counts(size: int):
+    """mapInArrow function: id and text -> counts of the shingles of all its rows by the first BITS of their hash, in parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << BITS, dtype=np.int32)
+        for b in sliced(batches):
+            hashes, _ = shingle_sets(b.column(1), size)
+            total += np.bincount((hashes >> np.uint64(64 - BITS)).astype(np.int64), minlength=1 << BITS).astype(np.int32)
+        parts = np.minimum(total, 65_535).astype(np.uint16).reshape(-1, 1 << PART)
+        some = np.flatnonzero(parts.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())], ["part", "counts"])
+
+    return run
+
+
+def _levels(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """mapInArrow function: all counts of some parts -> a byte for each place, eight times the logarithm of one more than the sum."""
+    total: dict[int, np.ndarray] = {}
+    for b in batches:
+        for part, counts in zip(b.column(0).to_pylist(), b.column(1), strict=True):
+            total[part] = total.get(part, 0) + np.frombuffer(counts.as_buffer(), dtype=np.uint16).astype(np.int64)
+    levels = [np.minimum(8 * np.log2(1.0 + t), 255).astype(np.uint8).tobytes() for t in total.values()]
+    yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(levels, pa.binary())], ["part", "levels"])
+
+
+def frequencies(texts: DataFrame, size: int) -> np.ndarray:
+    """How frequent the shingles at each place of the table are, in 256 steps; 8 is a single one."""
+    counts = texts.mapInArrow(_counts(size), "part int, counts binary").repartition("part")
+    out = np.zeros((1 << (BITS - PART), 1 << PART), dtype=np.uint8)
+    for part, levels in counts.mapInArrow(_levels, "part int, levels binary").collect():
+        out[part] = np.frombuffer(levels, dtype=np.uint8)
+    return out.reshape(-1)
+
+
+def _prefixes(size: int, percent: int, levels: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches):
             hashes, bounds = shingle_sets(b.column(1), size)
             total = [np.concatenate([[np.uint64(0)], np.cumsum(mix(hashes + np.uint64(s)), dtype=np.uint64)]) for s in (1, 2)]
             f1, f2 = ((t[bounds[1:]] - t[bounds[:-1]]).view(np.int64) for t in total)
             n = np.diff(bounds)
-            least = np.minimum(n, k)
-            take = np.repeat(bounds[:-1], least) + np.arange(least.sum()) - np.repeat(np.cumsum(least) - least, least)
-            sketch = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(least)]), pa.int32()), pa.array(hashes[take].view(np.int64)))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1), pa.array(f2), sketch], ["doc_id", "n", "f1", "f2", "sketch"])
+            row = np.repeat(np.arange(len(n)), n)
+            # parity of the shingles at each place of a bitmap that has at least as many places as the set has shingles
+            places = np.maximum(64, 1 << np.ceil(np.log2(np.maximum(n, 1))).astype(np.int64))
+            ends = np.concatenate([[0], np.cumsum(places)])
+            at = ends[row] + (hashes & (places[row] - 1).astype(np.uint64)).astype(np.int64)
+            packed = np.packbits((np.bincount(at, minlength=ends[-1]) & 1).astype(np.uint8))
+            bits = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer((ends // 8).astype(np.int32)), pa.py_buffer(packed)])
+            level = levels[(hashes >> np.uint64(64 - BITS)).astype(np.int64)]
+            order = np.argsort(row << 8 | level, kind="stable")  # hashes ascend in each row
+            place = np.arange(len(row)) - bounds[row]
+            # what is single in its place of the table is in no other set
+            take = (place < (n - (percent * n + 99) // 100 + 1)[row]) & (level[order] > 8)
+            offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[take], minlength=len(n)))]), pa.int32())
+            prefix = pa.ListArray.from_arrays(offsets, pa.array(hashes[order][take].view(np.int64)))
+            where = pa.ListArray.from_arrays(offsets, pa.array(place[take], pa.int32()))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1), pa.array(f2), prefix, where, bits], ["doc_id", "n", "f1", "f2", "prefix", "place", "bits"])
 
     return run
 
 
-def _estimates(k: int, percent: int):
-    """mapInArrow function: pairs with both sketches -> pairs whose estimated similarity comes near the threshold."""
+def _bounded(percent: int):
+    """mapInArrow function: pairs with sizes and bitmaps of both sets -> pairs that the bitmaps allow to be similar.
+
+    Bitmaps differ in no more places than the sets in shingles.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             keep = np.zeros(b.num_rows, dtype=bool)
-            lists = [(np.asarray(c.flatten(), dtype=np.int64).view(np.uint64), np.concatenate([[0], np.cumsum(np.diff(np.asarray(c.offsets)))])) for c in (b.column(3), b.column(4))]
-            for i in range(b.num_rows):
-                (x, xb), (y, yb) = lists
-                p, q = x[xb[i] : xb[i + 1]], y[yb[i] : yb[i + 1]]
-                both, count = np.unique(np.concatenate([p, q]), return_counts=True)
-                shared = (count[:k] == 2).sum()
-                keep[i] = shared >= (percent / 100 - SLACK) * min(len(both), k)
-            yield pa.RecordBatch.from_arrays(b.columns[:3], ["a", "b", "wide"]).filter(pa.array(keep))
+            size = np.asarray(b.column(2)) + np.asarray(b.column(3))
+            differ = size - 2 * -(-percent * size // (100 + percent))
+            for i, (x, y) in enumerate(zip(b.column(4), b.column(5), strict=True)):
+                p, q = (np.frombuffer(v.as_buffer(), dtype=np.uint8) for v in (x, y))
+                while len(p) != len(q):
+                    p, q = (p, q) if len(p) > len(q) else (q, p)
+                    p = p[: len(p) // 2] ^ p[len(p) // 2 :]
+                keep[i] = np.bitwise_count(p ^ q).sum() <= differ[i]
+            yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -89,14 +141,14 @@ def _confirm(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for b in sliced(sliced([whole], "ta"), "tb"):
-                (x, xb), (y, yb) = shingle_sets(b.column(3), size), shingle_sets(b.column(4), size)
+                (x, xb), (y, yb) = shingle_sets(b.column(2), size), shingle_sets(b.column(3), size)
                 keep = np.zeros(b.num_rows, dtype=bool)
                 for i in range(b.num_rows):
                     p, q = x[xb[i] : xb[i + 1]], y[yb[i] : yb[i + 1]]
                     if 100 * min(len(p), len(q)) >= percent * max(len(p), len(q)) and len(p):
                         shared = len(np.intersect1d(p, q, assume_unique=True))
                         keep[i] = 100 * shared >= percent * (len(p) + len(q) - shared)
-                yield pa.RecordBatch.from_arrays(b.columns[:3], ["a", "b", "wide"]).filter(pa.array(keep))
+                yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array(keep))
 
     return run
 
@@ -115,7 +167,7 @@ def components(links: DataFrame) -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int = K, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept.
 
     Words are lower-cased (A-Z) and split at whitespace; a text of fewer words than a shingle is one
@@ -125,68 +177,75 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, k: int
     nothing; rows that repeat an id share its links. Other columns are ignored.
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = written(texts.mapInArrow(_sketches(shingle, k), "doc_id bigint, n bigint, f1 bigint, f2 bigint, sketch array<bigint>"), "near-sets")
+    levels = frequencies(texts, shingle)
+    kinds = "doc_id bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>, place array<int>, bits binary"
+    sets = written(texts.mapInArrow(_prefixes(shingle, percent, levels), kinds), "near-sets")
     key = ["n", "f1", "f2"]
-    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first("sketch").alias("sketch"))
-    classes = written(classes, "near-classes")
+    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first(F.struct("prefix", "place", "bits")).alias("s"))
+    classes = written(classes.select(*key, "rep", "s.*"), "near-classes")
 
-    postings = classes.select("rep", "n", F.explode("sketch").alias("v"))
+    postings = classes.select("rep", "n", F.explode(F.arrays_zip("prefix", "place")).alias("p")).select("rep", "n", F.col("p.prefix").alias("v"), F.col("p.place").alias("p"))
     lists = written(postings.groupBy("v").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1"), "near-lists")
     filed = written(postings.join(lists.hint("shuffle_hash"), "v"), "near-postings")
-    # every pair of a short list
-    short = filed.where(F.col("size") <= LIST).groupBy("v").agg(F.collect_list(F.struct("rep", "n")).alias("held"))
-    pairs = short.select(F.explode("held").alias("x"), "held").select("x", F.explode("held").alias("y"))
-    pairs = pairs.where(F.expr(f"x.rep < y.rep AND 100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"))
-    pairs = pairs.select(F.col("x.rep").alias("a"), F.col("y.rep").alias("b"), F.least("x.n", "y.n").alias("n"))
     long = filed.where(F.col("size") > LIST)
-    starred = long.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"), "n")
-    overlaps = pairs.union(starred).groupBy("a", "b").agg(F.count("*").alias("overlap"), F.min("n").alias("n"))
-    # similar sets of many shingles share most of their retained hashes, hence far more than one list
-    first = overlaps.where("overlap > 1 OR n < 16").select("a", "b", F.lit(False).alias("wide"))
+    lengths = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
+    # no more can be shared than what follows the first shared shingle in either set
+    places = f"least(x.n - x.p, y.n - y.p) * {100 + percent} >= {percent} * (x.n + y.n)"
+    pair = [F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b")]
+    member = F.struct("rep", "n", "p")
 
     def confirmed(found: DataFrame, label: str) -> DataFrame:
-        sketch = classes.select(F.col("rep"), "sketch")
-        a, b = (sketch.select(F.col("rep").alias(c), F.col("sketch").alias(f"s{c}")) for c in "ab")
-        near = found.join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "wide", "sa", "sb")
-        near = written(near.mapInArrow(_estimates(k, percent), "a bigint, b bigint, wide boolean"), f"near-{label}-estimated")
+        held = classes.select("rep", "n", "bits")
+        a, b = (held.select(F.col("rep").alias(c), F.col("n").alias(f"n{c}"), F.col("bits").alias(f"s{c}")) for c in "ab")
+        near = found.distinct().join(a.hint("merge"), "a").join(b.hint("merge"), "b").select("a", "b", "na", "nb", "sa", "sb")
+        near = written(near.mapInArrow(_bounded(percent), "a bigint, b bigint"), f"near-{label}-bounded")
         ids = near.select(F.col("a").alias("id")).union(near.select("b")).distinct()
         full = written(texts.join(ids.hint("shuffle_hash"), texts["doc_id"] == ids["id"], "left_semi"), f"near-{label}-texts")
         ta, tb = (full.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
-        laid = near.join(ta.hint("merge"), "a").join(tb.hint("merge"), "b").select("a", "b", "wide", "ta", "tb")
-        return written(laid.mapInArrow(_confirm(shingle, percent), "a bigint, b bigint, wide boolean"), f"near-{label}-links")
+        laid = near.join(ta.hint("merge"), "a").join(tb.hint("merge"), "b").select("a", "b", "ta", "tb")
+        return written(laid.mapInArrow(_confirm(shingle, percent), "a bigint, b bigint"), f"near-{label}-links")
 
-    links = confirmed(first, "first")
-    labels = components(links)
-    turn = 0
-    while not long.isEmpty():
-        turn += 1
-        placed = long.select("v", "rep", "n").join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+    def torn_lists(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Members of the long lists with their component, and the lists with more than one."""
+        placed = long.select("v", "rep", "n", "p").join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         placed = written(placed, "near-placed")
         parts = placed.groupBy("v", "label").agg(F.count("*").alias("c"))
-        torn = parts.groupBy("v").agg(F.sum("c").alias("m"), F.max("c").alias("most"), F.max_by("label", F.struct("c", "label")).alias("major"), F.count("*").alias("parts"))
-        torn = written(torn.where("parts > 1"), "near-torn")
-        similar = f"100 * least(x_n, n) >= {percent} * greatest(x_n, n) AND x_label <> label"
-        pair = [F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")]
-        # few outside the largest component: each of them with every member of the list
-        rest = placed.join(torn.where(f"m - most <= {REST}").hint("shuffle_hash"), "v").where("label <> major")
-        rest = rest.select("v", F.col("rep").alias("x"), F.col("n").alias("x_n"), F.col("label").alias("x_label"))
-        overlap = [F.count("*").alias("overlap"), F.min(F.least("n", "x_n")).alias("n")]
-        apart = placed.join(rest.hint("shuffle_hash"), "v").where(similar).groupBy(*pair).agg(*overlap)
-        apart = apart.where("overlap > 1 OR n < 16").select("a", "b", F.lit(False).alias("wide"))
-        # many: every member with this turn's hub, the same one wherever the same classes meet
-        pick = F.min_by(F.struct("rep", "label", "n"), F.xxhash64("rep", F.lit(turn)))
-        wide = placed.join(torn.where(f"m - most > {REST}").select("v").hint("shuffle_hash"), "v")
-        hubs = wide.groupBy("v").agg(pick.alias("h")).select("v", F.col("h.rep").alias("x"), F.col("h.n").alias("x_n"), F.col("h.label").alias("x_label"))
-        starred = wide.join(hubs.hint("shuffle_hash"), "v").where(similar).groupBy(*pair).agg(*overlap)
-        starred = starred.where("overlap > 1 OR n < 16").select("a", "b", F.lit(True).alias("wide"))
-        more = confirmed(apart.union(starred).groupBy("a", "b").agg(F.max("wide").alias("wide")), f"turn-{turn}")
-        found = more.agg(F.count("*").alias("all"), F.count_if("wide").alias("wide")).first()
-        if found["all"]:
-            links = links.union(more)
-            labels = components(links)
-        if not found["wide"]:
-            break  # the short rest of each list has been compared as a whole, and hubs bring no more
-        long = long.join(torn.where(f"m - most > {REST}").select("v").hint("shuffle_hash"), "v", "left_semi")
+        torn = parts.groupBy("v").agg((F.sum("c") - F.max("c")).alias("apart"), F.max_by("label", F.struct("c", "label")).alias("major"), F.count("*").alias("parts"))
+        return placed, written(torn.where("parts > 1").drop("parts"), "near-torn")
+
+    # every pair of a short list, and a hub with all of a long one
+    short = filed.where(F.col("size") <= LIST).groupBy("v").agg(F.collect_list(member).alias("held"))
+    pairs = short.select(F.explode("held").alias("x"), "held").select("x", F.explode("held").alias("y"))
+    pairs = pairs.where(f"x.rep < y.rep AND {lengths} AND {places}").select(*pair)
+    hubs = long.where("rep = hub").select("v", member.alias("x"))
+    starred = long.where("rep <> hub").select("v", member.alias("y")).join(hubs.hint("shuffle_hash"), "v").where(lengths).select(*pair)
+    links = confirmed(pairs.union(starred), "first")
+    labels = components(links)
+    placed, torn = torn_lists(labels)
+    member = F.struct("rep", "n", "p", "label")
+    for turn in range(1, TURNS + 1):
+        wide = written(placed.join(torn.where(f"apart > {REST}").select("v").hint("shuffle_hash"), "v", "left_semi"), "near-wide")
+        if wide.isEmpty():
+            break
+        # the same hub wherever the same classes meet
+        hubs = wide.groupBy("v").agg(F.min_by(member, F.xxhash64("rep", F.lit(turn))).alias("x"))
+        starred = wide.select("v", member.alias("y")).join(hubs.hint("shuffle_hash"), "v").where(f"{lengths} AND x.label <> y.label").select(*pair)
+        more = confirmed(starred, f"turn-{turn}")
+        if more.isEmpty():
+            break
+        links = links.union(more)
+        labels = components(links)
+        placed, torn = torn_lists(labels)
+    if not torn.isEmpty():
+        # each member outside the largest component with every member of another one; blocks share a list's work
+        blocks = F.ceil(F.col("apart") / REST)
+        some = placed.join(torn.withColumn("blocks", blocks).hint("shuffle_hash"), "v")
+        rest = some.where("label <> major").select("v", F.pmod(F.xxhash64("rep"), "blocks").alias("block"), member.alias("x"))
+        every = some.select("v", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1)).alias("block"), member.alias("y"))
+        apart = every.join(rest.hint("shuffle_hash"), ["v", "block"]).where(f"x.label <> y.label AND {lengths} AND {places}").select(*pair)
+        more = confirmed(apart, "rest")
+        if not more.isEmpty():
+            labels = components(links.union(more))
 
     reached = classes.select(*key, "rep").join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(*key, F.coalesce("label", "rep").alias("component_id"))
     out = sets.select("doc_id", *key).join(written(reached, "near-reached").hint("merge"), key, "left")

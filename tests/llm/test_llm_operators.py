@@ -80,6 +80,21 @@ def test_near_dedup_of_a_large_group(spark):
     assert rows(near_dedup.near_duplicates(table(spark, texts), 2)) == near(texts, 2)
 
 
+@pytest.mark.parametrize("dominant", [0, 200])
+def test_near_dedup_of_texts_of_common_lines(spark, dominant):
+    """All lists are long, and few classes of each are linked; with ``dominant``, one component holds most of many lists."""
+    rng = random.Random(17)
+    lines = [" ".join(f"{a}{line}" for a in "abcde") for line in range(60)]
+    chosen = [rng.sample(lines, 12) for _ in range(500)]
+    chosen += [[*c[:5], f"a{i} b{i} x y z", *c[6:]] for i, c in enumerate(chosen[:120])]
+    for _ in range(dominant):
+        chosen.append([*chosen[0], f"extra {rng.randrange(10**6)}"])
+    texts = {i: "\n".join(c) for i, c in enumerate(chosen)}
+    want = near(texts, 2)
+    assert sum(not kept for _, _, kept in want.values()) >= 40 + dominant
+    assert rows(near_dedup.near_duplicates(table(spark, texts), 2)) == want
+
+
 def test_exact_dedup(spark, texts):
     assert rows(exact_dedup.exact_dedup(table(spark, texts))) == exact(texts)
 
