@@ -1,7 +1,8 @@
 """Benchmark decontamination by spaced-seed hashing, in DataFrame operations only.
 
-A mask of MASKS tells which of SPAN consecutive words a seed hashes; the others may differ. Seeds of
-the benchmark items and of the documents are joined, and around each hit the document's words are laid
+A mask of MASKS tells which of SPAN consecutive words a seed hashes; the others may differ. Whatever
+words are substituted in an aligned window that still counts, some mask hits it. An item under SPAN
+words is one seed of all its words. Seeds of the benchmark items and of the documents are joined, and around each hit the document's words are laid
 beside the item's: the pair counts if enough words of some aligned window agree.
 """
 
@@ -12,8 +13,8 @@ from pyspark.sql import functions as F
 
 from skylattice.llm.common import SPACE_CHARS, written
 
-#: Positions that count, of 11 words; each mask keeps 7, and every pair of masks differs widely.
-MASKS = ("11101001011", "11010110011", "10110011101")
+#: Positions that count, of 11 words; each mask keeps 6. A test enumerates what WINDOW and AGREE accept.
+MASKS = ("11001010011", "11010001101", "00101111100", "11110100010", "00011011110", "00100101111", "00111110001")
 SPAN = 11
 #: A window of so many aligned words (fewer where the item or the document ends), and the part that must agree.
 WINDOW, AGREE = 20, 0.8
@@ -26,12 +27,16 @@ def _words(text: Column) -> Column:
     return F.split(text, "[\\x20\\x09-\\x0D]+")
 
 
-def _seeds(df: DataFrame, *keep: str) -> DataFrame:
+def _seeds(df: DataFrame, masks: tuple[str, ...], *keep: str) -> DataFrame:
     """The rows of ``df`` (with ``words``) for each place and mask: ``place``, ``seed``."""
-    at = df.select(*keep, "words", F.posexplode("words").alias("place", "word")).where(F.col("place") + SPAN <= F.size("words"))
+    least = min(map(len, masks))
+    at = df.select(*keep, "words", F.posexplode("words").alias("place", "word")).where(F.col("place") + least <= F.size("words"))
     word = lambda i: F.col("word") if i == 0 else F.get("words", F.col("place") + i)
-    seeds = [F.xxhash64(F.lit(n), *(word(i) for i, bit in enumerate(mask) if bit == "1")) for n, mask in enumerate(MASKS)]
-    return at.select(*keep, "words", "place", F.explode(F.array(*seeds)).alias("seed"))
+    seeds = []
+    for mask in masks:
+        seed = F.xxhash64(F.lit(int("1" + mask, 2)), *(word(i) for i, bit in enumerate(mask) if bit == "1"))
+        seeds.append(seed if len(mask) == least else F.when(F.col("place") + len(mask) <= F.size("words"), seed))
+    return at.select(*keep, "words", "place", F.explode(F.array(*seeds)).alias("seed")).where("seed IS NOT NULL")
 
 
 def _best_window() -> tuple[Column, Column]:
@@ -48,22 +53,29 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """doc_id, item_id, n_hits, n_agree, n_window: pairs of a document and a benchmark item that it holds.
 
     Words are lower-cased and split at whitespace. A pair is returned once, with its best window. Items
-    and documents under SPAN words, null texts and empty tables give no pairs; items with the same text
+    under SPAN words count where all their words are found in a row; null and blank texts, and longer items in
+    documents under SPAN words, give no pairs; items with the same text
     are each reported; rows that repeat an id are one document. Other columns are ignored.
     """
     doc = docs.select(F.col(id_col).alias("doc_id"), _words(F.col(text_col)).alias("words"))
     item = benchmark.select(F.col(item_col).alias("item_id"), _words(F.col(item_text)).alias("words")).distinct()
-    item_seeds = written(_seeds(item, "item_id").select("seed", "item_id", F.col("place").alias("item_place"), F.size("words").alias("item_size")), "seeds")
+    item = item.where("words[0] <> ''")
+    short = sorted(r["n"] for r in item.select(F.size("words").alias("n")).where(F.col("n") < SPAN).distinct().collect())
+    masks = (*MASKS, *("1" * n for n in short))
+    own = _seeds(item.where(F.size("words") >= SPAN), MASKS, "item_id")
+    for n in short:
+        own = own.union(_seeds(item.where(F.size("words") == n), ("1" * n,), "item_id"))
+    item_seeds = written(own.select("seed", "item_id", F.col("place").alias("item_place"), F.size("words").alias("item_size")), "seeds")
     shift = F.col("place") - F.col("item_place")
     # the part of the document beside the item: from word max(shift, 0) on, so many words as the item has left
     beside = F.slice("words", F.greatest(shift, F.lit(0)) + 1, F.col("item_size") - F.greatest(-shift, F.lit(0)))
     key = ["doc_id", "item_id", "shift"]
     if item_seeds.count() <= broadcast_seeds:
-        hits = _seeds(doc, "doc_id").join(F.broadcast(item_seeds), "seed")
+        hits = _seeds(doc, masks, "doc_id").join(F.broadcast(item_seeds), "seed")
         hits = hits.select("doc_id", "item_id", shift.alias("shift"), beside.alias("a"))
         hits = hits.groupBy(*key).agg(F.count("*").alias("n_hits"), F.first("a").alias("a"))
     else:
-        places = _seeds(doc, "doc_id").select("doc_id", "place", "seed").join(item_seeds.hint("merge"), "seed")
+        places = _seeds(doc, masks, "doc_id").select("doc_id", "place", "seed").join(item_seeds.hint("merge"), "seed")
         hits = places.groupBy("doc_id", "item_id", shift.alias("shift"), "item_size").agg(F.count("*").alias("n_hits"))
         shift = F.col("shift")
         beside = F.slice("words", F.greatest(shift, F.lit(0)) + 1, F.col("item_size") - F.greatest(-shift, F.lit(0)))
@@ -72,8 +84,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     laid = hits.join(item.hint("merge"), "item_id")
     laid = laid.withColumn("b", F.slice("words", F.greatest(-F.col("shift"), F.lit(0)) + 1, F.size("a")))
     flags, best = _best_window()
-    laid = laid.withColumn("flags", flags).withColumn("span", F.least(F.lit(WINDOW), F.size("flags"))).where(F.col("span") >= SPAN)
-    laid = laid.withColumn("n_agree", best).where(F.col("n_agree") >= F.ceil(F.col("span") * AGREE))
+    laid = laid.withColumn("flags", flags).withColumn("span", F.least(F.lit(WINDOW), F.size("flags"))).where(F.col("span") >= F.least(F.lit(SPAN), F.size("words")))
+    need = F.when(F.col("span") < SPAN, F.col("span")).otherwise(F.ceil(F.col("span") * AGREE))
+    laid = laid.withColumn("n_agree", best).where(F.col("n_agree") >= need)
     found = laid.groupBy("doc_id", "item_id").agg(F.sum("n_hits").alias("n_hits"), F.max(F.struct("n_agree", "span")).alias("best"))
     return found.select("doc_id", "item_id", "n_hits", F.col("best.n_agree").alias("n_agree"), F.col("best.span").alias("n_window"))
 

@@ -80,18 +80,20 @@ def test_near_dedup_of_a_large_group(spark):
     assert rows(near_dedup.near_duplicates(table(spark, texts), 2)) == near(texts, 2)
 
 
-@pytest.mark.parametrize("dominant", [0, 200])
-def test_near_dedup_of_texts_of_common_lines(spark, dominant):
-    """All lists are long, and few classes of each are linked; with ``dominant``, one component holds most of many lists."""
+@pytest.mark.parametrize("rare", [False, True])
+def test_near_dedup_of_texts_of_common_lines(spark, rare):
+    """Every shared shingle is in a long list that one component dominates; with ``rare``, a pair shares one more of its own."""
     rng = random.Random(17)
-    lines = [" ".join(f"{a}{line}" for a in "abcde") for line in range(60)]
-    chosen = [rng.sample(lines, 12) for _ in range(500)]
-    chosen += [[*c[:5], f"a{i} b{i} x y z", *c[6:]] for i, c in enumerate(chosen[:120])]
-    for _ in range(dominant):
-        chosen.append([*chosen[0], f"extra {rng.randrange(10**6)}"])
+    lines = [" ".join(["s", *(f"{c}{i}" for c in "abcde"), "s"]) for i in range(30)]
+    chosen = [[*lines, f"q{i} s"] for i in range(200)]
+    for i in range(150):
+        some = rng.sample(lines, 12)
+        chosen.append([*some, f"p{i}"] if rare else some)
+        if i < 60:
+            chosen.append([*chosen[-1][:5], f"s x{i} s", *chosen[-1][6:]])
     texts = {i: "\n".join(c) for i, c in enumerate(chosen)}
     want = near(texts, 2)
-    assert sum(not kept for _, _, kept in want.values()) >= 40 + dominant
+    assert sum(not kept for _, _, kept in want.values()) >= 199 + 60
     assert rows(near_dedup.near_duplicates(table(spark, texts), 2)) == want
 
 
@@ -241,6 +243,31 @@ def test_decontamination(spark):
     assert {2, 3, 4, 6} <= kept and not kept & {0, 1, 7}
 
 
+def test_a_mask_hits_whatever_a_window_accepts():
+    from itertools import combinations
+    from math import ceil
+
+    masks = [sum(1 << i for i, bit in enumerate(mask) if bit == "1") for mask in decontaminate.MASKS]
+    for span in range(decontaminate.SPAN, decontaminate.WINDOW + 1):
+        seeds = [mask << at for mask in masks for at in range(span - decontaminate.SPAN + 1)]
+        for changed in combinations(range(span), span - ceil(span * decontaminate.AGREE)):
+            wrong = sum(1 << i for i in changed)
+            assert any(not seed & wrong for seed in seeds), (span, changed)
+
+
+def test_decontamination_of_short_items(spark):
+    make = lambda n, name: [f"{name}{i}" for i in range(n)]
+    eleven = make(11, "e")
+    changed = [w if i not in (4, 6) else "other" for i, w in enumerate(eleven)]
+    five = make(5, "f")
+    texts = {0: make(30, "x") + changed + make(30, "y"), 1: make(3, "x") + five, 2: [*five[:4], "other"], 3: ["Single"], 4: None, 5: [""], 6: five[1:] + make(9, "x")}
+    docs = table(spark, {i: w and " ".join(w) for i, w in texts.items()})
+    bench = spark.createDataFrame([(1, " ".join(eleven)), (2, " ".join(five)), (3, "single"), (4, None), (5, " ")], "item_id long, text string")
+    for limit in (decontaminate.BROADCAST_SEEDS, 0):
+        got = {(r["doc_id"], r["item_id"], r["n_agree"], r["n_window"]) for r in decontaminate.contaminated(docs, bench, broadcast_seeds=limit).collect()}
+        assert got == {(0, 1, 9, 11), (1, 2, 5, 5), (3, 3, 1, 1)}
+
+
 def test_url_rules(spark):
     urls = ["http://a.b.org/x", "https://ORG/", "http://example.org/es/1", "http://m.example.org/en/1932#t", "http://x.com/fr/1?q", "http://x.com/de/", "http://x.com", "http://notorg/", "http://forg/x", None, "no scheme/org/", "http://adult-x.net/", "http://casino.org/", "a://b://c.org/d", "http://x.org", "http://x.org/ES/"]
     pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
