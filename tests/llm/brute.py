@@ -77,3 +77,34 @@ def exact(texts):
         groups[n].append(i)
     keep = {n: min(g, key=lambda i: (-len(texts[i] or ""), i)) for n, g in groups.items()}
     return {i: (keep[n], len(groups[n]), keep[n] == i, sha(n)) for i, n in norm.items()}
+
+
+def contaminated(texts, items, span=11, window=20, agree=0.8):
+    """(document, item) -> words that agree and length of the best window, over all alignments."""
+    from math import ceil
+
+    import numpy as np
+
+    code = {}
+    coded = lambda t: np.array([code.setdefault(w, len(code)) for w in WORD.findall((t or "").lower())], dtype=int)
+    docs, held = {i: coded(t) for i, t in texts.items()}, {i: coded(t) for i, t in items.items()}
+    out = {}
+    for j, b in held.items():
+        if not len(b):
+            continue
+        for i, a in docs.items():
+            if not np.isin(b, a).any():
+                continue
+            best = (0, 0)
+            for shift in range(1 - len(b), len(a)):
+                x = a[max(shift, 0) : shift + len(b)]
+                flags = (x == b[max(-shift, 0) : max(-shift, 0) + len(x)]).astype(int)
+                n = min(window, len(flags))
+                if n < min(span, len(b)) or flags.sum() < n * agree:
+                    continue
+                most = int(np.convolve(flags, np.ones(n, dtype=int), "valid").max())
+                if most >= (n if n < span else ceil(n * agree)):
+                    best = max(best, (most, n))
+            if best[0]:
+                out[i, j] = best
+    return out

@@ -6,7 +6,7 @@ import zlib
 import numpy as np
 import public_tokenizers
 import pytest
-from brute import exact, near, repeats, shared
+from brute import contaminated, exact, near, repeats, shared
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -147,7 +147,7 @@ def test_bpe_equals_the_library(spark, texts):
         ids = library.encode(text, add_special_tokens=False).ids
         assert ours.encode(text) == ids
         assert ours.decode(ids) == library.decode(ids, skip_special_tokens=False)
-        ours.digest(text)
+        ours.digests([text, ""])
     docs = table(spark, texts)
     back = rows(bpe.bpe_decode(bpe.bpe_encode(docs, VOCABULARY), VOCABULARY))
     assert back == {i: (t or "",) for i, t in texts.items()}
@@ -243,6 +243,23 @@ def test_decontamination(spark):
     assert {2, 3, 4, 6} <= kept and not kept & {0, 1, 7}
 
 
+def test_decontamination_equals_all_alignments(spark):
+    docs, bench = (spark.read.parquet(f"{DATA}/{t}.parquet") for t in ("documents", "benchmark"))
+    rng = random.Random(8)
+    items = {r["item_id"]: r["text"] for r in bench.collect()}
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for i, item in enumerate(items.values()):  # items with substituted words, and parts of items
+        words = (item or "").split()
+        changed = [w if rng.random() > 0.15 else "zzz" for w in words]
+        texts[10_000 + i] = " ".join(["pre", *changed, "post"])
+        texts[20_000 + i] = " ".join(words[len(words) // 3 :])
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    for limit in (decontaminate.BROADCAST_SEEDS, 0):
+        got = {(r["doc_id"], r["item_id"]): (r["n_agree"], r["n_window"]) for r in decontaminate.contaminated(df, bench, broadcast_seeds=limit).collect()}
+        assert got == contaminated(texts, items)
+    assert len(got) > 30
+
+
 def test_a_mask_hits_whatever_a_window_accepts():
     from itertools import combinations
     from math import ceil
