@@ -1,10 +1,11 @@
 """Exact deduplication over an extendible-hash index, in DataFrame operations only.
 
-The hash of a text is its index key. A directory over the top bits of the keys doubles, from one
-bucket, until no bucket holds more than ``capacity`` index rows or ``max_depth`` bits are used, so it
-has 2**max_depth entries at most. The index is a table in the shared folder, dealt to owner tasks by
-ranges of buckets. Texts that meet under one key are chained: their bytes are compared with those of
-the row that stays, and where bytes differ the key's texts are told apart by their bytes.
+The hash of a text is its index key. A directory over the top bits of the keys doubles, from one bucket,
+until no bucket holds more than ``capacity`` index rows; its depth follows the number of rows. The index
+is a table in the shared folder, sorted and dealt out by ranges of buckets. Whoever looks a key up goes
+through the directory: its slot gives the bucket, and owner tasks join the rows of a bucket by key. Texts
+that meet under one key are chained: their bytes are compared with those of the row that stays, and
+where bytes differ the key's texts are told apart by their bytes.
 """
 
 from __future__ import annotations
@@ -15,6 +16,10 @@ from pyspark.sql import functions as F
 from skylattice.llm.common import SPACE_CHARS, written
 
 
+#: A directory has 2**MAX_DEPTH slots at most (for 10**11 keys), and is broadcast up to 2**BROADCAST_DEPTH.
+MAX_DEPTH, BROADCAST_DEPTH = 24, 14
+
+
 def _normal(text_col: str):
     return F.translate(F.coalesce(F.col(text_col), F.lit("")), SPACE_CHARS, "")
 
@@ -34,7 +39,12 @@ def directory(keys: DataFrame, capacity: int, max_depth: int) -> DataFrame:
     return local.select("slot", "local_depth", F.expr(f"shiftleft(shiftright(slot, {max_depth} - local_depth), {max_depth} - local_depth)").alias("bucket"))
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64, capacity: int = 100_000, max_depth: int = 12) -> DataFrame:
+def depth_for(rows: int, capacity: int) -> int:
+    """Bits that a directory needs for so many rows: sixteen times as many slots as full buckets, for uneven keys."""
+    return min(MAX_DEPTH, 4 + max(0, (max(1, rows) - 1) // capacity).bit_length())
+
+
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_bits: int = 64, capacity: int = 100_000, max_depth: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
     Texts are equal when identical without blanks, tabs, line feeds, vertical tabs, form feeds and
@@ -48,32 +58,43 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     entries = written(texts.select("doc_id", "h", F.char_length("text").alias("size"), F.sha2("norm", 256).alias("text_sha256")), "exact-entries")
 
     best = F.max(F.struct(F.col("size"), (-F.col("doc_id")).alias("neg_id"))).alias("best")
-    slots = directory(entries, capacity, max_depth)
-    found = entries.groupBy("h").agg(best, F.count("*").alias("group_size"))
-    bucketed = found.withColumn("slot", F.shiftrightunsigned("h", 64 - max_depth)).join(F.broadcast(slots), "slot")
-    index = written(
-        bucketed.select("bucket", "h", (-F.col("best.neg_id")).alias("keep_id"), "group_size").repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h"),
-        "exact-index",
-    )
-
-    chained = index.where("group_size > 1").select("h", "keep_id")
-    members = written(texts.select("h", "doc_id", F.char_length("text").alias("size"), "norm").join(chained.hint("merge"), "h"), "exact-members")
-    stays = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy("h").agg(F.min("norm").alias("stay_norm"))
-    clashes = written(members.join(stays.hint("merge"), "h").where("norm <> stay_norm").groupBy("h").agg(F.count("*").alias("n")), "exact-clashes")
-
-    plain = index.select("h", "keep_id", "group_size")
+    found = written(entries.groupBy("h").agg(best, F.count("*").alias("group_size")), "exact-keys")
+    depth = max_depth or depth_for(found.count(), capacity)
+    slots = written(directory(found, capacity, depth).select("slot", "bucket"), "exact-directory")
+    held = F.broadcast(slots) if depth <= BROADCAST_DEPTH else slots.hint("merge")
+
+    def located(rows: DataFrame) -> DataFrame:
+        """The rows with the bucket that the directory names for their key."""
+        return rows.withColumn("slot", F.shiftrightunsigned("h", 64 - depth)).join(held, "slot").drop("slot")
+
+    rows = located(found).select("bucket", "h", (-F.col("best.neg_id")).alias("keep_id"), "group_size")
+    index = written(rows.repartitionByRange("bucket", "h").sortWithinPartitions("bucket", "h"), "exact-index")
+    owner = ["bucket", "h"]
+
+    chained = index.where("group_size > 1").select(*owner, "keep_id")
+    members = located(texts.select("h", "doc_id", F.char_length("text").alias("size"), "norm")).join(chained.hint("merge"), owner)
+    members = written(members, "exact-members")
+    stays = members.where(F.col("doc_id").eqNullSafe(F.col("keep_id"))).groupBy(*owner).agg(F.min("norm").alias("stay_norm"))
+    clashes = written(members.join(stays.hint("merge"), owner).where("norm <> stay_norm").groupBy(*owner).agg(F.count("*").alias("n")), "exact-clashes")
+
+    looked = located(entries)
+    plain = index.select(*owner, "keep_id", "group_size")
     if clashes.isEmpty():
-        out = entries.join(plain.hint("merge"), "h")
+        out = looked.join(plain.hint("merge"), owner)
     else:
-        apart = members.join(clashes.select("h").hint("merge"), "h", "left_semi").groupBy("h", "norm").agg(best, F.count("*").alias("group_size"))
-        apart = apart.select("h", F.sha2("norm", 256).alias("text_sha256"), (-F.col("best.neg_id")).alias("keep_id"), "group_size")
-        clear = entries.join(clashes.select("h").hint("merge"), "h", "left_anti").join(plain.hint("merge"), "h")
-        chain = entries.join(apart.hint("merge"), ["h", "text_sha256"])
+        apart = members.join(clashes.select(*owner).hint("merge"), owner, "left_semi").groupBy(*owner, "norm").agg(best, F.count("*").alias("group_size"))
+        apart = apart.select(*owner, F.sha2("norm", 256).alias("text_sha256"), (-F.col("best.neg_id")).alias("keep_id"), "group_size")
+        clear = looked.join(clashes.select(*owner).hint("merge"), owner, "left_anti").join(plain.hint("merge"), owner)
+        chain = looked.join(apart.hint("merge"), [*owner, "text_sha256"])
         out = clear.select("doc_id", "keep_id", "group_size", "text_sha256").unionByName(chain.select("doc_id", "keep_id", "group_size", "text_sha256"))
     return out.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), "text_sha256")
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows that :func:`exact_dedup` drops; all columns as they were."""
+    """``docs`` without the rows that :func:`exact_dedup` drops; all columns as they were.
+
+    Null and empty texts are copies of each other; a row without an id goes only if all rows of its text
+    with the most code points have ids and it is none of them. An empty table stays empty.
+    """
     gone = exact_dedup(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone.hint("merge"), docs[id_col].eqNullSafe(gone["_gone"]), "left_anti")
