@@ -2,7 +2,7 @@
 
 A pre-token's symbols form a doubly linked list. A heap holds the mergeable neighbours by merge rank
 and position; a popped entry whose symbols have changed meanwhile is stale and skipped. Decoding
-concatenates the vocabulary's byte strings.
+concatenates the vocabulary's byte strings of the ids, for all texts of a batch at once.
 """
 
 from __future__ import annotations
@@ -10,9 +10,11 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+from array import array
 from collections.abc import Iterator
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -53,6 +55,9 @@ class Bpe:
         self.cut = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
         self.limit = cache
         self.known = _Known(self)
+        every = range(max(self.bytes_of, default=-1) + 1)
+        self.spelled = _Strings([self.bytes_of.get(i, b"") for i in every])
+        self.numbers = _Strings([b"%d," % i for i in every])
 
     def merge(self, word: bytes) -> list[int]:
         """The ids of one pre-token. A heap entry is merge rank and position of the left symbol in one integer."""
@@ -101,49 +106,68 @@ class Bpe:
     def split(text: str) -> list[str]:
         return (SPLIT if _UNUSUAL.search(text) else _PLAIN_SPLIT).findall(text)
 
-    def encode(self, text: str) -> list[int]:
+    def ids_of(self, text: str) -> bytes:
+        """The ids of a text as 32-bit integers."""
         known = self.known
-        return [int(i) for p in self.pieces(text) for i in known[p].split(",")]
-
-    def decode(self, ids: list[int]) -> str:
-        return b"".join([self.bytes_of[i] for i in ids]).decode("utf-8", errors="replace")
-
-    def digest(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, sha256 of the ids' text, sha256 of the decoded text."""
-        pieces, known = self.pieces(text), self.known
-        ids = ",".join([known[p] for p in pieces])
-        if known.odd:
-            back = b"".join([known.odd.get(p) or p.encode() for p in pieces])
-        else:
-            back = "".join(pieces).encode()
-        back = back.decode("utf-8", errors="replace").encode()
+        out = b"".join([known[p] for p in self.pieces(text)])
         if len(known) > self.limit:
             known.age()
-        return ids.count(",") + 1 if ids else 0, hashlib.sha256(ids.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
+        return out
 
+    def encode(self, text: str) -> list[int]:
+        return np.frombuffer(self.ids_of(text), dtype=np.int32).tolist()
 
-class _Known(dict):
-    """Pre-token -> ids as text, in two generations; each new pre-token is encoded, decoded and compared once.
+    def decode(self, ids: list[int]) -> str:
+        return self.spelled.of(np.asarray(ids, dtype=np.int32))[0].tobytes().decode("utf-8", errors="replace")
+
+    def digests(self, texts: list[str]) -> tuple[np.ndarray, list[str], list[str]]:
+        """For each text: number of ids, sha256 of the ids' text, sha256 of what the ids decode to."""
+        parts = [self.ids_of(t) for t in texts]
+        counts = np.array([len(x) // 4 for x in parts], dtype=np.int64)
+        ids = np.frombuffer(b"".join(parts), dtype=np.int32)
+        bounds = np.concatenate([[0], np.cumsum(counts)])
+        (said, said_at), (back, back_at) = self.numbers.of(ids), self.spelled.of(ids)
+        said_sha, back_sha = [], []
+        for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            said_sha.append(hashlib.sha256(said[said_at[i] : max(said_at[j] - 1, said_at[i])]).hexdigest())  # without the last comma
+            decoded = back[back_at[i] : back_at[j]].tobytes()
+            back_sha.append(hashlib.sha256(decoded.decode("utf-8", errors="replace").encode()).hexdigest())
+        return counts, said_sha, back_sha
+
+
+class _Strings:
+    """The byte string of each id, all in one array, so that the strings of many ids are concatenated at once."""
+
+    def __init__(self, strings: list[bytes]):
+        self.size = np.array([len(s) for s in strings], dtype=np.int64)
+        self.start = np.concatenate([[0], np.cumsum(self.size)[:-1]])
+        self.data = np.frombuffer(b"".join(strings), dtype=np.uint8)
+
+    def of(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The concatenated strings of ``ids``, and where each begins (and the end)."""
+        size = self.size[ids]
+        at = np.concatenate([[0], np.cumsum(size)])
+        where = np.repeat(self.start[ids] - at[:-1], size)
+        where += np.arange(at[-1])
+        return self.data[where], at
 
-    ``odd`` has the decoded bytes of those pre-tokens that don't decode to themselves.
-    """
+
+class _Known(dict):
+    """Pre-token -> ids as 32-bit integers, in two generations, so that each new pre-token is merged once."""
 
     def __init__(self, bpe: Bpe):
         super().__init__()
-        self.bpe, self.old, self.odd = bpe, {}, {}
+        self.bpe, self.old = bpe, {}
 
     def age(self) -> None:
         self.old = dict(self)
         self.clear()
 
-    def __missing__(self, piece: str) -> str:
+    def __missing__(self, piece: str) -> bytes:
         if (got := self.old.get(piece)) is None:
-            bpe, raw = self.bpe, piece.encode()
-            ids = [bpe.special[piece]] if piece in bpe.special else bpe.merge(raw)
-            back = b"".join([bpe.bytes_of[i] for i in ids])
-            if back != raw:
-                self.odd[piece] = back
-            got = ",".join(map(str, ids))
+            bpe = self.bpe
+            ids = [bpe.special[piece]] if piece in bpe.special else bpe.merge(piece.encode())
+            got = array("i", ids).tobytes()
         if len(piece) <= 64:
             self[piece] = got
         return got
@@ -181,10 +205,9 @@ def bpe_digest(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text_co
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = Bpe(vocabulary)
-        for b in sliced(batches):
-            got = [bpe.digest(t or "") for t in b.column(1).to_pylist()]
-            columns = [b.column(0), *(pa.array([g[i] for g in got], kind) for i, kind in enumerate((pa.int64(), pa.string(), pa.string())))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        for b in sliced(batches, limit=1 << 20):
+            counts, ids, back = bpe.digests([t or "" for t in b.column(1).to_pylist()])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(counts), pa.array(ids, pa.string()), pa.array(back, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return _two(docs, id_col, text_col).mapInArrow(run, "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string")
 
