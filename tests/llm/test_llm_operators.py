@@ -171,18 +171,48 @@ def test_pii_base_equals_the_patterns():
         assert pii.base_spans(text) == [(k, m.start(), m.end()) for k, p in patterns.items() for m in re.finditer(p, text) if ok[k](m[0])]
 
 
-def test_pii_adds_spans_and_keeps_base_ones(spark):
-    rng = random.Random(2)
-    phone = lambda plus: f"{plus}1 ({rng.randrange(200, 999)}) 555-{rng.randrange(1000, 9999)}"
-    texts = {i: f"row {i} call {phone('+')} or order {rng.randrange(10**7, 10**8)} of 2024" for i in range(400)}
-    texts[1000], texts[1001], texts[1002] = f"call {phone('')} now", None, "mail a.b@c-d.org, 10.0.0.1"
-    docs = table(spark, texts)
-    got = rows(pii.find_pii(docs))
-    assert got[1002][:4] == (1, 1, 0, 0) and got[1002][5] == "email:5:16,ip:18:26" and got[1001][:4] == (0, 0, 0, 0) and got[1001][5] == ""
-    assert all(got[i][3] == 1 for i in range(400))
-    assert "phone" in got[1000][5] and got[1000][6] == 1
-    clean = rows(pii.redact(docs))
-    assert clean[1002] == ("mail [email], [ip]",) and clean[1001] == (None,)
+@pytest.fixture(scope="module")
+def pii_model(spark):
+    return pii.fit_pii(spark.read.parquet("/root/testdata/sf0.1/documents.parquet"))
+
+
+def test_pii_adds_what_the_base_patterns_miss(spark, pii_model):
+    """Made spans, none of which a base pattern finds, between words of texts that the trees have not seen there."""
+    rng = random.Random(77)
+    words = "the river ran past a quiet mill and nobody in town could say how old it was or who had built it".split()
+    hit, total, false = {k: 0 for k in pii.ADDED}, {k: 0 for k in pii.ADDED}, 0
+    for _ in range(2000):
+        w = rng.choices(words, k=24)
+        at = rng.randrange(4, 20)
+        kind, value = pii.made_span(rng)
+        lead = " ".join(w[:at]) + " "
+        text, other = (lead + v + " " + " ".join(w[at:]) for v in (value, pii.made_other(rng)))
+        base = pii.base_spans(text)
+        if not base:
+            total[kind] += 1
+            hit[kind] += any(k == kind and s < len(lead) + len(value) and len(lead) < e for k, s, e in pii_model.select(text, base))
+        false += bool(pii_model.select(other, pii.base_spans(other)))
+    assert all(hit[k] >= 0.9 * total[k] > 50 for k in pii.ADDED), (hit, total)
+    assert false <= 20
+
+
+def test_pii_adds_spans_and_keeps_base_ones(spark, pii_model):
+    texts = {1: "call (415) 555-2671 now", 2: None, 3: "mail a.b@c-d.org, 10.0.0.1", 4: "", 5: "write to jane (at) example (dot) org soon", 6: 'token = "8f3b1c9d7e2a4b6c8d0e1f2a3b4c5d6e7f809112"', 7: "version 4.0. of 2019-03-04 and 1,234,567 rows", 8: "word " * 20_000 + "+1 (415) 555-2671"}
+    docs = table(spark, texts).union(table(spark, {3: texts[3]})).union(spark.createDataFrame([(None, "ip 10.0.0.1", *[None] * 7)], SCHEMA))
+    got = [tuple(r) for r in pii.find_pii(docs, pii_model).collect()]
+    assert len(got) == 10 and sum(r[0] == 3 for r in got) == 2 and sum(r[0] is None for r in got) == 1
+    by = {r[0]: r[1:] for r in got}
+    assert by[3][:4] == (1, 1, 0, 0) and by[3][5] == "email:5:16,ip:18:26" and by[2][:4] == (0, 0, 0, 0) and by[2][5] == by[4][5] == by[7][5] == ""
+    assert by[None][5] == "ip:3:11" and by[8][5] == "phone:100000:100017"
+    assert by[1][5] == "phone:5:19" and by[1][6] == 1 and by[5][5] == "email:9:36" and by[6][5] == "secret:9:49"
+    clean = rows(pii.redact(docs, pii_model))
+    assert clean[3] == ("mail [email], [ip]",) and clean[2] == (None,) and clean[1] == ("call [phone] now",)
+
+
+def test_pii_fit_does_not_depend_on_the_order_of_rows(spark):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    one, two = (pii.fit_pii(d) for d in (docs.repartition(3), docs.orderBy(F.desc("doc_id"))))
+    assert one.thresholds == two.thresholds and all((a == b).all() for x, y in zip(one.trees.grown, two.trees.grown, strict=True) for a, b in zip(x, y, strict=True))
 
 
 def test_language_on_held_out_documents(spark):
