@@ -1,8 +1,8 @@
 """Language identification: multinomial naive Bayes over hashed character n-grams.
 
 Counts of n-grams by language are summed by Spark over the training rows; the matrix of log
-probabilities (buckets x languages, a size fixed by parameters) is broadcast, and batches of texts
-are scored by gathering its rows for the n-grams that occur.
+probabilities (buckets x languages, a size fixed by parameters) is broadcast. A batch of texts becomes a
+sparse matrix of counts (text, bucket), and its product with the log probabilities is the score.
 """
 
 from __future__ import annotations
@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 
 from skylattice.llm.common import mix, sliced, trained_on
 
-#: The model is fitted on a hash sample of about so many labelled rows (all, if there are fewer).
+#: The model is fitted on a hash sample of about so many labelled rows (all, if there are fewer), of each
+#: language its part of them, so that a rare one keeps all its rows.
 TRAIN_ROWS = 20_000
 BUCKETS = 1 << 16
 ORDERS = (2, 3)
-#: Languages that a model may have at most; the matrix then has BUCKETS x MAX_LANGUAGES floats.
-MAX_LANGUAGES = 200
+#: Languages that a model may have; with more, fitting is refused, since the matrix has BUCKETS floats for each.
+MAX_LANGUAGES = 500
+#: Characters whose n-grams are counted at once, and numbers of the dense product made at once.
+PIECE, CELLS = 1 << 18, 1 << 22
 
 
 def _letters() -> np.ndarray:
@@ -37,24 +40,29 @@ class Grams:
         self.buckets, self.orders, self.letter = buckets, orders, _letters()
 
     def of(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """For each order: buckets of the n-grams of all texts, and where each text's begin (and the end)."""
+        """Piece by piece: the text and the bucket of each n-gram. An n-gram lies in one text, which has a blank at either end."""
         wrapped = [f" {t.lower()} " for t in texts]
         codes = np.frombuffer("".join(wrapped).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        codes = np.where(codes < 0x10000, self.letter[np.minimum(codes, 0xFFFF)], codes)
         ends = np.cumsum([len(w) for w in wrapped])
         for n in self.orders:
-            code = codes[: len(codes) - n + 1].copy()
-            for i in range(1, n):
-                code *= np.uint64(0x1FFFF)
-                code += codes[i : len(codes) - n + 1 + i]
-            code = (mix(code + np.uint64(n)) % np.uint64(self.buckets)).astype(np.int64)
-            starts = np.concatenate([[0], ends[:-1]])
-            # an n-gram belongs to the text in which it starts; those that reach into the next text go
-            reach = np.concatenate([ends[:-1, None] - k for k in range(1, n)], axis=1).ravel() if len(texts) > 1 and n > 1 else np.zeros(0, int)
-            keep = np.ones(len(code), dtype=bool)
-            keep[reach[(reach >= 0) & (reach < len(code))]] = False
-            before = np.concatenate([[0], np.cumsum(keep)])
-            yield code[keep], before[np.minimum(np.append(starts, len(code)), len(code))]
+            for at in range(0, len(codes) - n + 1, PIECE):
+                part = codes[at : at + PIECE + n - 1]
+                part = np.where(part < 0x10000, self.letter[np.minimum(part, 0xFFFF)], part)
+                code = part[: len(part) - n + 1].copy()
+                for i in range(1, n):
+                    code *= np.uint64(0x1FFFF)
+                    code += part[i : len(part) - n + 1 + i]
+                code = (mix(code + np.uint64(n)) % np.uint64(self.buckets)).astype(np.int64)
+                start = at + np.arange(len(code))
+                text = np.searchsorted(ends, start, side="right")
+                inside = start + n <= ends[text]
+                yield text[inside], code[inside]
+
+    def counts(self, texts: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Piece by piece the sparse matrix of counts: text, bucket, number; texts ascend."""
+        for text, code in self.of(texts):
+            both, many = np.unique(text * self.buckets + code, return_counts=True)
+            yield both // self.buckets, both % self.buckets, many
 
 
 @dataclass
@@ -65,25 +73,33 @@ class LanguageModel:
 
     def score(self, grams: Grams, texts: list[str]) -> tuple[list[str], np.ndarray]:
         total = np.tile(self.prior, (len(texts), 1))
-        for code, bounds in grams.of(texts):
-            rows = self.log_prob[code]
-            sums = np.concatenate([np.zeros((1, rows.shape[1])), np.cumsum(rows, axis=0, dtype=np.float64)])
-            total += sums[bounds[1:]] - sums[bounds[:-1]]
+        step = max(1, CELLS // len(self.languages))
+        for text, bucket, many in grams.counts(texts):
+            for at in range(0, len(text), step):
+                rows = self.log_prob[bucket[at : at + step]] * many[at : at + step, None]
+                some, first = np.unique(text[at : at + step], return_index=True)
+                total[some] += np.add.reduceat(rows, first, axis=0)
         best = total.argmax(axis=1)
         spread = np.exp(total - total.max(axis=1, keepdims=True))
         return [self.languages[i] for i in best], (spread.max(axis=1) / spread.sum(axis=1))
 
 
 def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", train_rows: int = TRAIN_ROWS) -> LanguageModel | None:
-    """Learns from rows with text, a language, and an id that :func:`trained_on` admits; None if there are none."""
+    """Learns from rows with text, a language, and an id that :func:`trained_on` admits; None if there are none.
+
+    Rows without an id are never learnt from; rows that repeat an id all are.
+    """
     able = docs.where(trained_on(id_col) & F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     able = able.select(F.xxhash64(F.col(id_col)).alias("at"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    there = able.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(MAX_LANGUAGES).collect()
+    there = able.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES + 1).collect()
     if not there:
         return None
-    languages = sorted(r["lang"] for r in there)
-    share = min(1.0, train_rows / sum(r["n"] for r in there))
-    sample = able.where((F.pmod("at", F.lit(1 << 20)) < round(share * (1 << 20))) & F.col("lang").isin(languages)).select("text", "lang")
+    if len(there) > MAX_LANGUAGES:
+        raise ValueError(f"more than {MAX_LANGUAGES} languages in column {lang_col}")
+    languages = [r["lang"] for r in there]
+    wanted = train_rows / len(languages)
+    share = F.create_map(*(F.lit(x) for r in there for x in (r["lang"], round(min(1.0, wanted / r["n"]) * (1 << 20)))))
+    sample = able.where(F.pmod("at", F.lit(1 << 20)) < share[F.col("lang")]).select("text", "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grams, held = Grams(), {}
@@ -91,7 +107,7 @@ def fit_languages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
             langs = np.array(b.column(1).to_pylist(), dtype=object)
             for lang in set(langs):
                 texts = [t for t, k in zip(b.column(0).to_pylist(), langs, strict=True) if k == lang]
-                for code, _ in grams.of(texts):
+                for _, code in grams.of(texts):
                     held[lang] = held.get(lang, 0) + np.bincount(code, minlength=BUCKETS)
         for lang, n in held.items():
             at = np.flatnonzero(n)
@@ -111,7 +127,8 @@ def identify_language(docs: DataFrame, model: LanguageModel | None = None, id_co
 
     Without a model one is fitted on ``docs``. A text that is null or has no letter is ``und`` with
     score 0, as are all texts if there was nothing to learn from. Equal scores: the language first in
-    the alphabet. Only the text decides; repeated rows each get a row; other columns are ignored.
+    the alphabet. Only the text decides; repeated rows each get a row, and a row without an id is scored
+    too, as not held out; other columns are ignored. An empty table gives an empty result.
     """
     model = model or fit_languages(docs, id_col, text_col)
     shared = docs.sparkSession.sparkContext.broadcast(model)
