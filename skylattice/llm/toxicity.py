@@ -7,8 +7,9 @@ K(w, landmarks) K(landmarks, landmarks)^-1/2, in which a linear machine is train
 sum over landmarks of the kernel, hence over subsequences: the machine is kept as one weight for each
 hashed subsequence, and texts are scored word by word in numpy. A text is as toxic as its worst word.
 
-Labels are on texts, so words are labelled in turns: each toxic text's worst word is a witness, words
-of clean texts are not, and the machine is trained again on the new witnesses.
+Labels are on texts, and some are wrong, so words are labelled in turns: those that are far more frequent in
+toxic texts are witnesses; then, in toxic texts without one, the worst word if the machine so far finds it
+like them; words of clean texts are none. Part of the labelled texts is kept from this for the threshold.
 """
 
 from __future__ import annotations
@@ -25,7 +26,13 @@ from skylattice.llm.common import mix, sliced, trained_on
 
 #: The machine is fitted on a hash sample of about so many labelled texts (all, if there are fewer).
 TRAIN_TEXTS = 4_000
-LANDMARKS, TURNS, DECAY, SPAN, TELLING = 240, 3, 0.7, 5, 0.015
+#: So many characters of a labelled text's distinct words are learnt from at most; with TRAIN_TEXTS this bounds what the driver gets.
+TRAIN_CHARS = 100_000
+LANDMARKS, TURNS, DECAY, SPAN = 240, 3, 0.7, 5
+#: A telling word is in so large a part of the toxic texts at least, and so many times as frequent there as in clean ones.
+TELLING, RATIO = 0.01, 4.0
+#: Decision from which a word is like the telling ones; errors on held-out texts within SLACK of the fewest count as equal.
+ALIKE, SLACK = 0.2, 0.002
 #: The threshold lies at least so far below the decisions for the words that tell most.
 MARGIN = 0.05
 TABLE = 1 << 20
@@ -134,46 +141,85 @@ class ToxicityModel:
 
 
 def fit_on(texts: list[str], toxic: np.ndarray) -> ToxicityModel | None:
-    """The machine for labelled texts; None unless there are both kinds."""
+    """The machine for labelled texts; None unless there are both kinds, and words that tell them apart.
+
+    Every fifth text of a kind is kept from training, and moves the threshold if it asks for another one.
+    """
     if toxic.sum() == 0 or toxic.all():
         return None
+    apart = np.zeros(len(texts), dtype=bool)
+    for kind in (True, False):
+        of = np.flatnonzero(toxic == kind)
+        if len(of) >= 50:
+            apart[of[4::5]] = True
+    model = _machine([t for t, x in zip(texts, apart, strict=True) if not x], toxic[~apart])
+    if model is None or not apart.any():
+        return model
+    top, true = model.decide([t for t, x in zip(texts, apart, strict=True) if x]), toxic[apart]
+    cuts = np.unique(np.concatenate([top, [model.centre]]))
+    cuts = np.unique(np.concatenate([(cuts[1:] + cuts[:-1]) / 2, [model.centre]]))
+    errors = np.array([2.0 * ((top >= c) & ~true).sum() + ((top < c) & true).sum() for c in cuts])
+    good = cuts[errors <= errors.min() + SLACK * len(top)]
+    model.centre = float(good[np.argmin(np.abs(good - model.centre))])  # the one nearest to half way
+    return model
+
+
+def copies(bags: list[np.ndarray], words: list[str]) -> np.ndarray:
+    """A number for each bag of words; copies and near copies of a text share one.
+
+    Texts whose two least hashes of long words agree, under either of two hash functions, are taken as copies.
+    """
+    size = np.array([len(w) for w in words], dtype=int)
+    parent = list(range(len(bags)))
+
+    def root(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = i = parent[parent[i]]
+        return i
+
+    for seed in (1, 2):
+        first: dict[tuple[int, ...], int] = {}
+        hashes = mix(np.arange(len(words), dtype=np.uint64) + np.uint64(seed << 32))
+        for i, bag in enumerate(bags):
+            some = bag[size[bag] >= 7] if (size[bag] >= 7).sum() > 1 else bag
+            key = tuple(np.sort(hashes[some])[:2].tolist())
+            parent[root(i)] = root(first.setdefault(key, i))
+    return np.array([root(i) for i in range(len(bags))], dtype=int)
+
+
+def telling_words(n_toxic: np.ndarray, n_clean: np.ndarray, toxic: int, clean: int) -> np.ndarray:
+    """Which words are so much more frequent in toxic texts than in clean ones that mislabelled texts don't explain it."""
+    least = (n_toxic - 1.5 * np.sqrt(n_toxic)) / toxic
+    most = (n_clean + 1.5 * np.sqrt(n_clean) + 1) / clean
+    return np.flatnonzero((n_toxic >= np.maximum(3, TELLING * toxic)) & (least > RATIO * most))
+
+
+def _machine(texts: list[str], toxic: np.ndarray) -> ToxicityModel | None:
+    """The machine trained on all these texts, its threshold half way between the telling words and the clean ones."""
     held: dict[str, int] = {}
     bags: list[np.ndarray] = []
     for t in texts:
         bags.append(np.array(sorted({held.setdefault(w, len(held)) for w in t.lower().split()}), dtype=int))
     words = list(held)
     n_toxic, n_clean = np.zeros(len(words)), np.zeros(len(words))
-    for bag, y in zip(bags, toxic, strict=True):
-        (n_toxic if y else n_clean)[bag] += 1
+    # however many copies of a text there are, they are one witness of a kind
+    of, texts_of = copies(bags, words), []
+    for kind, count in ((True, n_toxic), (False, n_clean)):
+        mine = np.flatnonzero(toxic == kind)
+        pairs = np.unique(np.concatenate([[of[i] * len(words) + bags[i]] for i in mine if len(bags[i])] or [np.zeros((1, 0), dtype=int)], axis=1)[0])
+        count += np.bincount(pairs % max(1, len(words)), minlength=len(words))
+        texts_of.append(len(np.unique(of[mine])))
+    telling = telling_words(n_toxic, n_clean, *texts_of)
+    if not len(telling):
+        return None
     features = WordFeatures(words)  # one word a text, so words and rows agree
-
-    # first witnesses: words whose subsequences are far more frequent in toxic texts than in clean ones
-    seen = [np.zeros(TABLE, dtype=np.float32) for _ in range(2)]
-    for slot, _, b in features.slots():
-        if b == 2:  # unbroken subsequences
-            for count, weight in zip(seen, (n_toxic, n_clean), strict=True):
-                for i, (s, e) in enumerate(zip(features.start, features.end, strict=True)):
-                    count[slot[s : max(e - b, s)]] += min(weight[i], 50)
-            odds = np.log((seen[0] + 0.2) / toxic.sum()) - np.log((seen[1] + 0.2) / (~toxic).sum())
-            run = np.concatenate([[0.0], np.cumsum(odds[slot])])
-            value = features.within(run, b) / np.maximum(features.end - features.start - b, 1)
-    value = value + 0.5 * np.log1p(n_toxic) - 3.0 * (n_clean > 0)
-
     rng = np.random.default_rng(5)
-    clean = np.flatnonzero(n_clean > 0)
+    clean = np.setdiff1d(np.flatnonzero(n_clean > 0), telling)
     clean = clean[np.argsort(mix(clean.astype(np.uint64) + np.uint64(99)))]
-    # words of many toxic texts and no clean one are witnesses at any rate
-    telling = np.flatnonzero((n_clean == 0) & (n_toxic >= max(3, TELLING * toxic.sum())))
-    model, bar = None, 0.0
-    for _ in range(TURNS):
-        witness = np.array([bag[np.argmax(value[bag])] for bag, y in zip(bags, toxic, strict=True) if y and len(bag)], dtype=int)
-        positive = np.union1d(witness[value[witness] > bar], telling)
-        positive = positive[n_clean[positive] == 0]
-        if len(positive) == 0:
-            break
-        # negatives: clean words at random, and those that look worst so far
-        worst = clean[np.argsort(-value[clean], kind="stable")[:600]]
-        negative = np.unique(np.concatenate([clean[:1200], worst]))
+    common = clean[np.argsort(-n_clean[clean], kind="stable")[:600]]
+    positive, worst = telling, clean[:0]
+    for turn in range(TURNS):
+        negative = np.unique(np.concatenate([clean[:1200], common, worst]))
         both = np.concatenate([positive, negative])
         rows = WordFeatures([words[i] for i in both]).rows()
         y = np.where(np.arange(len(both)) < len(positive), 1.0, -1.0)
@@ -188,19 +234,17 @@ def fit_on(texts: list[str], toxic: np.ndarray) -> ToxicityModel | None:
         w, bias = train_svm(dense @ land.T @ root, y)
         weights = np.zeros(TABLE, dtype=np.float32)
         weights[columns] = (root @ w) @ land
-        model = ToxicityModel(weights, bias, 4.0, 0.0)
-        value, bar = features.sums(weights) + bias, -0.5
-    if model is None:
-        return None
-    # calibration: the threshold that tells the labelled texts apart best, nearer to the toxic ones
-    top = np.array([value[b].max() if len(b) else -2.0 for b in bags])
-    cuts = np.unique(np.concatenate([top, [0.0]]))
-    cuts = (cuts[1:] + cuts[:-1]) / 2 if len(cuts) > 1 else cuts
-    errors = np.array([2.0 * ((top >= c) & ~toxic).sum() + ((top < c) & toxic).sum() for c in cuts])
-    good = cuts[errors == errors.min()]
-    least = value[telling].min() - MARGIN if len(telling) else 0.9
-    model.centre = float(np.clip((good.min() + good.max()) / 2, -0.9, max(least, -0.9)))
-    return model
+        value = features.sums(weights) + bias
+        # witnesses: where a toxic text has no telling word, its worst one, if it is much like one and in no clean text
+        telltale = set(telling.tolist())
+        others = [bag[np.argmax(value[bag])] for bag, y in zip(bags, toxic, strict=True) if y and len(bag) and telltale.isdisjoint(bag.tolist())]
+        others = np.array([i for i in others if value[i] > ALIKE and n_clean[i] == 0], dtype=int)
+        positive = np.union1d(telling, others)
+        # negatives: the clean words that look worst so far; those that look like telling ones may be mislabelled, and count by their number
+        looks = clean[np.argsort(-value[clean], kind="stable")[:2000]]
+        worst = looks[(value[looks] < ALIKE) | (n_clean[looks] > 3 * n_toxic[looks] + 1)][:600]
+    low, high = float(np.quantile(value[clean], 0.999)), float(np.quantile(value[telling], 0.05))
+    return ToxicityModel(weights, bias, 4.0, float(np.clip((low + high) / 2, -0.5, high - MARGIN)))
 
 
 def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_texts: int = TRAIN_TEXTS) -> ToxicityModel | None:
@@ -210,8 +254,8 @@ def fit_toxicity(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", tex
     known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < round(share * (1 << 20)))
     texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).where(trained_on("doc_id") & F.col("text").isNotNull())
     texts = texts.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20)) < round(share * (1 << 20)))
-    # of a very long text the distinct words are all that counts
-    sample = texts.join(known.hint("shuffle_hash"), "doc_id").select("doc_id", "toxic", F.array_join(F.array_distinct(F.split(F.lower("text"), r"\s+")), " ").alias("words"))
+    # of a very long text the distinct words are all that counts, up to TRAIN_CHARS of them; scoring reads whole texts
+    sample = texts.join(known.hint("shuffle_hash"), "doc_id").select("doc_id", "toxic", F.substring(F.array_join(F.array_distinct(F.split(F.lower("text"), r"\s+")), " "), 1, TRAIN_CHARS).alias("words"))
     rows = sample.toPandas().sort_values(["doc_id", "words"], kind="stable")
     return fit_on(rows["words"].tolist(), rows["toxic"].to_numpy(int) == 1) if len(rows) else None
 
@@ -220,7 +264,8 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     A null or empty text scores as one without words; without a model every score is 0. Only the text
-    decides; repeated rows each get a row; other columns are ignored.
+    decides; repeated rows each get a row, and a row without an id is scored too, as not held out; other
+    columns are ignored. An empty table gives an empty result.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -235,7 +280,11 @@ def score_toxicity(docs: DataFrame, model: ToxicityModel | None, id_col: str = "
 
 
 def drop_toxic(docs: DataFrame, model: ToxicityModel | None, text_col: str = "text") -> DataFrame:
-    """``docs`` without the rows whose text scores THRESHOLD or more; all columns as they were."""
+    """``docs`` without the rows whose text scores THRESHOLD or more; all columns as they were.
+
+    Each row is judged by its own text: rows that repeat an id, or have none, go or stay by themselves,
+    and null and empty texts stay. An empty table stays empty.
+    """
     shared, schema = docs.sparkSession.sparkContext.broadcast(model), docs.schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

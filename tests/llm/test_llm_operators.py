@@ -226,9 +226,35 @@ def test_language_on_held_out_documents(spark):
 
 def test_language_ngrams_stay_in_their_text():
     grams = language_id.Grams()
-    alone = [sorted(code[b[0] : b[1]].tolist()) for code, b in grams.of(["abc"])]
-    together = [sorted(code[b[1] : b[2]].tolist()) for code, b in grams.of(["xyz", "abc", ""])]
-    assert alone == together
+    alone = [sorted(code.tolist()) for _, code in grams.of(["abc"])]
+    together = [sorted(code[text == 1].tolist()) for text, code in grams.of(["xyz", "abc", ""])]
+    assert alone == together and [len(x) for x in alone] == [4, 3]
+
+
+def test_language_pieces_make_no_difference(spark, monkeypatch):
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    model, texts = language_id.fit_languages(docs), [r[0] or "" for r in docs.select("text").limit(40).collect()]
+    whole = model.score(language_id.Grams(), texts)
+    monkeypatch.setattr(language_id, "PIECE", 37)
+    monkeypatch.setattr(language_id, "CELLS", 50)
+    cut = model.score(language_id.Grams(), texts)
+    assert whole[0] == cut[0] and np.allclose(whole[1], cut[1], atol=1e-3)
+    by_hand = np.tile(model.prior, (len(texts), 1))
+    for i, t in enumerate(texts):
+        for _, code in language_id.Grams().of([t]):
+            by_hand[i] += model.log_prob[code].sum(axis=0)
+    assert [model.languages[i] for i in by_hand.argmax(axis=1)] == whole[0]
+
+
+def test_a_rare_language_is_learnt_and_too_many_are_refused(spark, monkeypatch):
+    rows_ = [(i, f"the house of stone and the river {i}", "en") for i in range(3000)] + [(5000 + i, "zwolf boxkampfer jagen viktor quer", "de") for i in range(12)]
+    docs = spark.createDataFrame([*rows_, (None, "zwolf jagen quer", "de"), (7, None, "en"), (8, "x", None)], "doc_id long, text string, lang string")
+    model = language_id.fit_languages(docs, train_rows=200)
+    got = {r["doc_id"]: r for r in language_id.identify_language(docs, model).collect()}
+    assert got[5003]["lang_pred"] == "de" and got[5]["lang_pred"] == "en" and got[None]["lang_pred"] == "de" and not got[None]["held_out"] and got[7]["lang_pred"] == "und"
+    monkeypatch.setattr(language_id, "MAX_LANGUAGES", 1)
+    with pytest.raises(ValueError):
+        language_id.fit_languages(docs)
 
 
 def test_toxicity_on_held_out_documents(spark):
