@@ -1,11 +1,13 @@
-"""Near-duplicate detection by a prefix filter, exact but for the 64-bit hashes of shingles.
+"""Near-duplicate detection by bottom-k sketches long enough to lose no pair, exact but for 64-bit hashes.
 
-Texts with one and the same set of shingles form a class and need no comparison. All shingles have one
-order, rare ones first: by their count in a hashed table of fixed size, then by hash. Two sets of
-similarity 0.8 share one of the first n - ceil(0.8 n) + 1 shingles of each (its prefix), whatever the
-order, so pairs that share none in the inverted lists of the prefixes need no comparison. Lengths, the places of the shared shingle
-and bitmaps of the sets give further bounds, which drop no similar pair; the full sets confirm the
-others, and the links are followed to connected components.
+Texts with one and the same set of shingles form a class and need no comparison. One hash function names
+the shingles, and all sets are sorted in one order: rare shingles first (by their count in a hashed table
+of fixed size), then by hash. A set's sketch is its first k = n - ceil(0.8 n) + 1 shingles in this order:
+two sets of similarity 0.8 share one of these, whatever the order, so pairs that meet in no inverted list
+of the retained values need no comparison. With a k of fixed size some pairs at the threshold share
+nothing, and an estimate from the union of two sketches drops some of the others. So bounds that drop no
+similar pair stand in its place: lengths, the places of the shared shingle in both sketches, and bitmaps
+of the sets. The full sets confirm what is left, and the links are followed to connected components.
 
 In a list of up to LIST classes every pair is generated. In a longer one the pairs with a hub come first,
 in turns, since they join most of a large group; then all pairs of the list whose classes are
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import Words, mix, sliced, window_hashes, written
+from skylattice.llm.common import Words, discard, mix, sliced, window_hashes, written
 
 LIST, REST = 16, 64
 #: So many turns of hubs at most, before the rest of each long list is compared as a whole.
@@ -103,12 +105,13 @@ def _prefixes(size: int, percent: int, levels: np.ndarray):
             level = levels[(hashes >> np.uint64(64 - BITS)).astype(np.int64)]
             order = np.argsort(row << 8 | level, kind="stable")  # hashes ascend in each row
             place = np.arange(len(row)) - bounds[row]
-            # what is single in its place of the table is in no other set
-            take = (place < (n - (percent * n + 99) // 100 + 1)[row]) & (level[order] > 8)
+            # what is single in its place of the table is in no other set; such shingles come first
+            single = level[order] <= 8
+            take = (place < (n - (percent * n + 99) // 100 + 1)[row]) & ~single
             offsets = pa.array(np.concatenate([[0], np.cumsum(np.bincount(row[take], minlength=len(n)))]), pa.int32())
             prefix = pa.ListArray.from_arrays(offsets, pa.array(hashes[order][take].view(np.int64)))
-            where = pa.ListArray.from_arrays(offsets, pa.array(place[take], pa.int32()))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1), pa.array(f2), prefix, where, bits], ["doc_id", "n", "f1", "f2", "prefix", "place", "bits"])
+            skipped = np.bincount(row[single], minlength=len(n)).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(f1), pa.array(f2), prefix, pa.array(skipped), bits], ["doc_id", "n", "f1", "f2", "prefix", "skipped", "bits"])
 
     return run
 
@@ -156,14 +159,17 @@ def _confirm(size: int, percent: int):
 def components(links: DataFrame) -> DataFrame:
     """node, label: the least node of each connected component of links (a, b), for nodes with links."""
     edges = written(links.select("a", "b").union(links.select("b", "a")).distinct().toDF("node", "other"), "edges")
-    labels = written(edges.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label")), "labels")
+    labels = written(edges.groupBy("node").agg(F.least(F.min("other"), F.first("node")).alias("label"), F.first("node").alias("old")), "labels")
     while True:
-        near = edges.join(labels.withColumnRenamed("node", "other").hint("merge"), "other").groupBy("node").agg(F.min("label").alias("near"))
-        step = labels.join(near.hint("merge"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
-        new = written(step.join(jump.hint("merge"), "label", "left").select("node", "old", F.least("label", F.coalesce("beyond", "label")).alias("label")), "labels")
-        labels = new.select("node", "label")
+        now = labels.select("node", "label")
+        near = edges.join(now.withColumnRenamed("node", "other").hint("merge"), "other").groupBy("node").agg(F.min("label").alias("near"))
+        step = now.join(near.hint("merge"), "node").select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
+        jump = now.select(F.col("node").alias("label"), F.col("label").alias("beyond"))
+        new = written(step.join(jump.hint("merge"), "label", "left").select("node", F.least("label", F.coalesce("beyond", "label")).alias("label"), "old"), "labels")
+        discard(labels)
+        labels = new
         if new.where("old <> label").isEmpty():
+            discard(edges)
             return labels
 
 
@@ -178,15 +184,19 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     levels = frequencies(texts, shingle)
-    kinds = "doc_id bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>, place array<int>, bits binary"
+    kinds = "doc_id bigint, n bigint, f1 bigint, f2 bigint, prefix array<bigint>, skipped int, bits binary"
     sets = written(texts.mapInArrow(_prefixes(shingle, percent, levels), kinds), "near-sets")
     key = ["n", "f1", "f2"]
-    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first(F.struct("prefix", "place", "bits")).alias("s"))
-    classes = written(classes.select(*key, "rep", "s.*"), "near-classes")
+    whole = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy(*key).agg(F.min("doc_id").alias("rep"), F.first(F.struct("prefix", "skipped", "bits")).alias("s"))
+    whole = written(whole.select(*key, "rep", "s.*"), "near-whole")
+    members = written(sets.select("doc_id", *key), "near-members")
+    discard(sets)
 
-    postings = classes.select("rep", "n", F.explode(F.arrays_zip("prefix", "place")).alias("p")).select("rep", "n", F.col("p.prefix").alias("v"), F.col("p.place").alias("p"))
+    postings = whole.select("rep", "n", "skipped", F.posexplode("prefix").alias("at", "v")).select("rep", "n", "v", (F.col("skipped") + F.col("at")).alias("p"))
     lists = written(postings.groupBy("v").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1"), "near-lists")
     filed = written(postings.join(lists.hint("shuffle_hash"), "v"), "near-postings")
+    classes = written(whole.select(*key, "rep", "bits"), "near-classes")
+    discard(lists, whole)
     long = filed.where(F.col("size") > LIST)
     lengths = f"100 * least(x.n, y.n) >= {percent} * greatest(x.n, y.n)"
     # no more can be shared than what follows the first shared shingle in either set
@@ -203,11 +213,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         full = written(texts.join(ids.hint("shuffle_hash"), texts["doc_id"] == ids["id"], "left_semi"), f"near-{label}-texts")
         ta, tb = (full.select(F.col("doc_id").alias(c), F.col("text").alias(f"t{c}")) for c in "ab")
         laid = near.join(ta.hint("merge"), "a").join(tb.hint("merge"), "b").select("a", "b", "ta", "tb")
-        return written(laid.mapInArrow(_confirm(shingle, percent), "a bigint, b bigint"), f"near-{label}-links")
+        links = written(laid.mapInArrow(_confirm(shingle, percent), "a bigint, b bigint"), f"near-{label}-links")
+        discard(near, full)
+        return links
 
     def torn_lists(labels: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Members of the long lists with their component, and the lists with more than one."""
-        placed = long.select("v", "rep", "n", "p").join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
+        named = labels.select(F.col("node").alias("rep"), "label")
+        placed = long.select("v", "rep", "n", "p").join(named.hint("merge"), "rep", "left").withColumn("label", F.coalesce("label", "rep"))
         placed = written(placed, "near-placed")
         parts = placed.groupBy("v", "label").agg(F.count("*").alias("c"))
         torn = parts.groupBy("v").agg((F.sum("c") - F.max("c")).alias("apart"), F.max_by("label", F.struct("c", "label")).alias("major"), F.count("*").alias("parts"))
@@ -231,11 +244,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         hubs = wide.groupBy("v").agg(F.min_by(member, F.xxhash64("rep", F.lit(turn))).alias("x"))
         starred = wide.select("v", member.alias("y")).join(hubs.hint("shuffle_hash"), "v").where(f"{lengths} AND x.label <> y.label").select(*pair)
         more = confirmed(starred, f"turn-{turn}")
+        discard(wide)
         if more.isEmpty():
             break
         links = links.union(more)
+        discard(labels, placed, torn)
         labels = components(links)
         placed, torn = torn_lists(labels)
+    discard(filed)
     if not torn.isEmpty():
         # each member outside the largest component with every member of another one; blocks share a list's work
         blocks = F.ceil(F.col("apart") / REST)
@@ -245,10 +261,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
         apart = every.join(rest.hint("shuffle_hash"), ["v", "block"]).where(f"x.label <> y.label AND {lengths} AND {places}").select(*pair)
         more = confirmed(apart, "rest")
         if not more.isEmpty():
+            discard(labels)
             labels = components(links.union(more))
+    discard(placed, torn)
 
-    reached = classes.select(*key, "rep").join(labels.withColumnRenamed("node", "rep").hint("merge"), "rep", "left").select(*key, F.coalesce("label", "rep").alias("component_id"))
-    out = sets.select("doc_id", *key).join(written(reached, "near-reached").hint("merge"), key, "left")
+    reached = classes.select(*key, "rep").join(labels.select(F.col("node").alias("rep"), "label").hint("merge"), "rep", "left").select(*key, F.coalesce("label", "rep").alias("component_id"))
+    out = members.join(written(reached, "near-reached").hint("merge"), key, "left")
     alone = F.col("doc_id").isNull() | (F.col("n") == 0)
     component = F.when(alone, F.col("doc_id")).otherwise(F.col("component_id"))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), component.eqNullSafe(F.col("doc_id")).alias("kept"))
