@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -10,15 +10,32 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: The grid has this many rows and, around the earth, columns; every user falls into one of its cells.
+ROWS, RING = 15, 100
+
+
 def obs_grid(spark: SparkSession, sf_dir: str, hours: int = 24) -> DataFrame:
     """Cells (iy, ix) with latitude and longitude, epochs (seconds) of ``hours``, mean value v and number of readings n."""
     day = F.unix_date(F.to_date("ts")).cast("bigint")
     epoch = day * 86400 + F.expr(f"hour(ts) div {hours}") * (hours * 3600)
-    cells = table(spark, sf_dir, "events").select((F.col("user_id") % 15).cast("int").alias("iy"), F.expr("user_id div 15").cast("int").alias("ix"), day.alias("day"), epoch.alias("epoch"), "value")
+    cells = table(spark, sf_dir, "events").select(cell_row().alias("iy"), cell_column().alias("ix"), day.alias("day"), epoch.alias("epoch"), "value")
     grouped = cells.groupBy("day", "epoch", "iy", "ix").agg(F.avg("value").alias("v"), F.count("*").alias("n"))
     return grouped.select("day", "epoch", "iy", "ix", (F.col("iy") * 2.5 - 17.5).alias("lat"), F.round(F.col("ix") * 3.6 - 180, 10).alias("lon"), "v", "n")
 
 
+def cell_row() -> Column:
+    return (F.col("user_id") % ROWS).cast("int")
+
+
+def cell_column() -> Column:
+    return F.expr(f"user_id div {ROWS} % {RING}").cast("int")
+
+
+def axes() -> tuple[list[float], list[float]]:
+    """Latitudes and longitudes of the grid."""
+    return [i * 2.5 - 17.5 for i in range(ROWS)], [round(i * 3.6 - 180, 10) for i in range(RING)]
+
+
 def obs_rev(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Revisions of a reading for each series (user) and day: priority from the event type, ingestion time, id."""
     kinds = F.array(*[F.lit(k) for k in EVENT_TYPES])
@@ -40,8 +57,8 @@ EVENT_TYPES = ("error", "view", "click", "signup", "purchase")
 def obs_sql(hours: int = 24) -> str:
     day = "CAST(datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT)"
     return f"""obs AS (
-  SELECT {day} AS day, {day} * 86400 + (hour(ts) // {hours}) * {hours * 3600} AS epoch, CAST(user_id % 15 AS INT) AS iy, CAST(user_id // 15 AS INT) AS ix,
-         CAST((user_id % 15) * 2.5 - 17.5 AS DOUBLE) AS lat, CAST(round((user_id // 15) * 3.6 - 180, 10) AS DOUBLE) AS lon, avg(value) AS v, count(*) AS n
+  SELECT {day} AS day, {day} * 86400 + (hour(ts) // {hours}) * {hours * 3600} AS epoch, CAST(user_id % 15 AS INT) AS iy, CAST(user_id // 15 % {RING} AS INT) AS ix,
+         CAST((user_id % 15) * 2.5 - 17.5 AS DOUBLE) AS lat, CAST(round((user_id // 15 % {RING}) * 3.6 - 180, 10) AS DOUBLE) AS lon, avg(value) AS v, count(*) AS n
   FROM events GROUP BY ALL)"""
 
 

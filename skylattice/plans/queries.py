@@ -124,6 +124,11 @@ def f11_relative_anomaly(spark, sf_dir):
     return b.obs_grid(spark, sf_dir).select("day", "iy", "ix", r(encode.relative_anomaly(F.col("v") - 50, F.col("lat") * 4, 15), "relative"))
 
 
+def _share_of(rows: DataFrame, number: str, part: int, of: int) -> int:
+    """A snapshot bound that follows the table: ``part`` / ``of`` of its largest number."""
+    return (rows.agg(F.max(number)).first()[0] or 0) * part // of
+
+
 # --- revisions ---------------------------------------------------------------------------------
 
 _ORDER = "ORDER BY revision_priority DESC, ingested_at DESC, artifact_id DESC"
@@ -141,10 +146,10 @@ def r2_as_of_revision(spark, sf_dir):
     return revisions.as_of(b.obs_rev(spark, sf_dir), ["series", "day"], instant, ["ingested_at"]).select("series", "day", "artifact_id", r("value"))
 
 
-@query(f"WITH {b.REV_SQL} SELECT series, max(artifact_id) AS artifact_id, {rs('arg_max(value, artifact_id)', 'value')} FROM rev WHERE artifact_id <= 8000 GROUP BY series")
+@query(f"WITH {b.REV_SQL} SELECT series, max(artifact_id) AS artifact_id, {rs('arg_max(value, artifact_id)', 'value')} FROM rev WHERE artifact_id <= (SELECT max(artifact_id) * 4 // 5 FROM rev) GROUP BY series")
 def r3_latest_publication(spark, sf_dir):
     rows = b.obs_rev(spark, sf_dir).select("series", "artifact_id", "value")
-    return revisions.latest_publication(rows, ["series"], "artifact_id", 8000).select("series", "artifact_id", r("value"))
+    return revisions.latest_publication(rows, ["series"], "artifact_id", _share_of(rows, "artifact_id", 4, 5)).select("series", "artifact_id", r("value"))
 
 
 @query(f"""WITH {b.REV_SQL} SELECT day, artifact_id FROM rev a WHERE NOT EXISTS (
@@ -182,11 +187,12 @@ def r8_best_by_checksum(spark, sf_dir):
     return revisions.best_revision(rows, ["checksum"]).select("checksum", "artifact_id")
 
 
-@query("""SELECT a.event_id FROM events a WHERE a.event_id > 5000 AND EXISTS (
-SELECT 1 FROM events c WHERE c.event_id <= 5000 AND c.user_id = a.user_id AND c.event_type = a.event_type AND CAST(c.ts AS DATE) = CAST(a.ts AS DATE))""")
+@query("""SELECT a.event_id FROM events a WHERE a.event_id > (SELECT max(event_id) // 2 FROM events) AND EXISTS (
+SELECT 1 FROM events c WHERE c.event_id <= (SELECT max(event_id) // 2 FROM events) AND c.user_id = a.user_id AND c.event_type = a.event_type AND CAST(c.ts AS DATE) = CAST(a.ts AS DATE))""")
 def r9_equivalent_lookup(spark, sf_dir):
     e = b.table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", F.to_date("ts").alias("day"))
-    return e.where("event_id > 5000").join(e.where("event_id <= 5000").select("user_id", "event_type", "day").distinct(), ["user_id", "event_type", "day"], "left_semi").select("event_id")
+    known = F.col("event_id") <= _share_of(e, "event_id", 1, 2)
+    return e.where(~known).join(e.where(known).select("user_id", "event_type", "day").distinct(), ["user_id", "event_type", "day"], "left_semi").select("event_id")
 
 
 # --- aggregations ------------------------------------------------------------------------------
@@ -204,10 +210,10 @@ def a1_regional_readout(spark, sf_dir):
     return out.select("day", r("mean_v"), r("median_v"), "cell_count", r("coverage"), F.array_join("flags", ",").alias("flags"), "reject_reason")
 
 
-@query(f"""WITH {b.obs_sql(2)}, e AS (SELECT day, epoch, count(*) AS cells, avg(v) AS m FROM obs WHERE iy BETWEEN 2 AND 12 GROUP BY ALL)
+@query(f"""WITH {b.obs_sql(2)}, e AS (SELECT day, epoch, count(*) AS cells, avg(v) AS m FROM obs GROUP BY ALL)
 SELECT day, count(*) AS readouts, min(cells) AS least_cells, {rs('avg(m)', 'mean_v')}, CASE WHEN min(cells) < 10 THEN 'incomplete_epoch' WHEN count(*) < 6 THEN 'too_few_readouts' END AS reject_reason FROM e GROUP BY day""")
 def a2_two_hour_readout(spark, sf_dir):
-    epochs = b.obs_grid(spark, sf_dir, 2).where("iy BETWEEN 2 AND 12").groupBy("day", "epoch").agg(F.count("*").alias("cells"), F.avg("v").alias("m"))
+    epochs = b.obs_grid(spark, sf_dir, 2).groupBy("day", "epoch").agg(F.count("*").alias("cells"), F.avg("v").alias("m"))
     reason = F.when(F.min("cells") < 10, "incomplete_epoch").when(F.count("*") < 6, "too_few_readouts")
     return epochs.groupBy("day").agg(F.count("*").alias("readouts"), F.min("cells").alias("least_cells"), r(F.avg("m"), "mean_v"), reason.alias("reject_reason"))
 
@@ -282,15 +288,15 @@ def a12_outcome_counts(spark, sf_dir):
     return b.obs_grid(spark, sf_dir).groupBy("day").agg(F.count("*").alias("cells"), F.count_if(F.col("n") >= 3).alias("scored"), F.count_if(F.col("n") == 1).alias("insufficient"), (F.count_if(F.col("n") >= 2) >= 0.5 * F.count("*")).alias("available"))
 
 
-@query(f"WITH {OBS} SELECT day, iy, {rs('degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon)))))', 'lon')} FROM obs WHERE ix > 0 GROUP BY day, iy")
+@query(f"WITH {OBS} SELECT day, iy, {rs('degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon)))))', 'lon')} FROM obs GROUP BY day, iy")
 def a13_circular_mean(spark, sf_dir):
-    return b.obs_grid(spark, sf_dir).where("ix > 0").groupBy("day", "iy").agg(r(geo.circular_mean_longitude(F.col("lon")), "lon"))
+    return b.obs_grid(spark, sf_dir).groupBy("day", "iy").agg(r(geo.circular_mean_longitude(F.col("lon")), "lon"))
 
 
-@query(f"""WITH {OBS}, p AS (SELECT DISTINCT day, lon FROM obs WHERE iy = 3), g AS (SELECT *, coalesce(lead(lon) OVER (PARTITION BY day ORDER BY lon), min(lon) OVER (PARTITION BY day) + 360) AS nx FROM p)
-SELECT day, {rs('arg_max(CASE WHEN nx >= 180 THEN nx - 360 ELSE nx END, (nx - lon, lon))', 'west')}, {rs('arg_max(lon, (nx - lon, lon))', 'east')}, {rs('360 - max(nx - lon)', 'width')} FROM g GROUP BY day""")
+@query(f"""WITH {OBS}, p AS (SELECT DISTINCT day, iy, lon FROM obs), g AS (SELECT *, coalesce(lead(lon) OVER (PARTITION BY day, iy ORDER BY lon), min(lon) OVER (PARTITION BY day, iy) + 360) AS nx FROM p)
+SELECT day, iy, {rs('arg_max(CASE WHEN nx >= 180 THEN nx - 360 ELSE nx END, (nx - lon, lon))', 'west')}, {rs('arg_max(lon, (nx - lon, lon))', 'east')}, {rs('360 - max(nx - lon)', 'width')} FROM g GROUP BY day, iy""")
 def a14_shortest_arc(spark, sf_dir):
-    return agg.shortest_arc(b.obs_grid(spark, sf_dir).where("iy = 3"), ["day"], "lon").select("day", r("west"), r("east"), r("width"))
+    return agg.shortest_arc(b.obs_grid(spark, sf_dir), ["day", "iy"], "lon").select("day", "iy", r("west"), r("east"), r("width"))
 
 
 @query(f"""WITH {OBS}, c AS (SELECT day, iy, ix FROM obs WHERE v > 60), s AS (
@@ -397,12 +403,15 @@ def j4_same_time_prior_days(spark, sf_dir):
     return out.select("iy", "ix", "epoch", F.col("n_prior").cast("bigint").alias("n_prior"), r(joins.array_median("prior"), "baseline"))
 
 
+TARGET_LATS, TARGET_LONS = grid.target_axis(-15.0, 15.0, 4.0), grid.target_axis(-178.0, 176.0, 5.0)
+
+
 def _corners(spark):
-    lats, lons = [i * 2.5 - 17.5 for i in range(15)], [round(i * 3.6 - 180, 10) for i in range(10)]
-    return grid.corner_table(spark, lats, lons, 2.5, 3.6, grid.target_axis(-15.0, 15.0, 4.0), grid.target_axis(-178.0, -152.0, 5.0))
+    return grid.corner_table(spark, *b.axes(), 2.5, 3.6, TARGET_LATS, TARGET_LONS)
 
 
-_TARGETS = """tl(ty, y) AS (SELECT * FROM (VALUES (0,-15.0),(1,-11.0),(2,-7.0),(3,-3.0),(4,1.0),(5,5.0),(6,9.0),(7,13.0),(8,15.0))), tn(tx, x) AS (VALUES (0,-178.0),(1,-173.0),(2,-168.0),(3,-163.0),(4,-158.0),(5,-153.0),(6,-152.0)),
+_listed = lambda values: ", ".join(map(str, enumerate(values)))
+_TARGETS = f"""tl(ty, y) AS (SELECT * FROM (VALUES {_listed(TARGET_LATS)})), tn(tx, x) AS (VALUES {_listed(TARGET_LONS)}),
 ya AS (SELECT ty, CAST(y AS DOUBLE) AS y, (CAST(y AS DOUBLE) + 17.5) / 2.5 AS a FROM tl), xa AS (SELECT tx, CAST(x AS DOUBLE) AS x, (CAST(x AS DOUBLE) + 180) / 3.6 AS a FROM tn),
 yc AS (SELECT ty, y, CAST(floor(a + 1e-9) AS INT) AS iy, CASE WHEN abs(a - floor(a + 1e-9)) < 1e-9 THEN 1.0 ELSE 1 - (a - floor(a + 1e-9)) END AS w, a FROM ya UNION ALL SELECT ty, y, CAST(floor(a + 1e-9) AS INT) + 1, a - floor(a + 1e-9), a FROM ya WHERE abs(a - floor(a + 1e-9)) >= 1e-9),
 xc AS (SELECT tx, x, CAST(floor(a + 1e-9) AS INT) AS ix, CASE WHEN abs(a - floor(a + 1e-9)) < 1e-9 THEN 1.0 ELSE 1 - (a - floor(a + 1e-9)) END AS w FROM xa UNION ALL SELECT tx, x, CAST(floor(a + 1e-9) AS INT) + 1, a - floor(a + 1e-9) FROM xa WHERE abs(a - floor(a + 1e-9)) >= 1e-9),
@@ -444,10 +453,10 @@ def j8_changed_days(spark, sf_dir):
     return joins.changed_and_next(obs.select("day").distinct(), obs.where("v > 280").select("day"), "day")
 
 
-@query(f"""WITH {OBS}, n AS (SELECT o.day, o.iy, o.ix, avg(p.v) AS m, count(p.v) AS k FROM obs o LEFT JOIN obs p ON p.day = o.day AND ((p.iy = o.iy AND (p.ix = (o.ix + 1) % 10 OR p.ix = (o.ix + 9) % 10)) OR (p.ix = o.ix AND abs(p.iy - o.iy) = 1)) GROUP BY ALL)
+@query(f"""WITH {OBS}, n AS (SELECT o.day, o.iy, o.ix, avg(p.v) AS m, count(p.v) AS k FROM obs o LEFT JOIN obs p ON p.day = o.day AND ((p.iy = o.iy AND (p.ix = (o.ix + 1) % {b.RING} OR p.ix = (o.ix + {b.RING - 1}) % {b.RING})) OR (p.ix = o.ix AND abs(p.iy - o.iy) = 1)) GROUP BY ALL)
 SELECT day, iy, ix, {rs('m', 'neighbour_mean')}, k AS neighbours FROM n""")
 def j9_neighbour_join(spark, sf_dir):
-    out = joins.neighbour_join(b.obs_grid(spark, sf_dir).where("ix < 10"), ["day"], "iy", "ix", "v", 10)
+    out = joins.neighbour_join(b.obs_grid(spark, sf_dir), ["day"], "iy", "ix", "v", b.RING)
     return out.select("day", "iy", "ix", r("neighbour_mean"), "neighbours")
 
 
@@ -561,10 +570,9 @@ def w12_longest_run(spark, sf_dir):
     return timeseries.longest_run(b.obs_grid(spark, sf_dir).withColumn("ok", F.col("n") >= 2), ["iy", "ix"], "day", "ok", 1)
 
 
-@query(f"WITH {OBS} SELECT day, CAST(iy // 2 AS INT) AS by, CAST(ix // 2 AS INT) AS bx, {rs('avg(v)', 'v')} FROM obs WHERE (day - {DAY0}) % 2 = 0 GROUP BY ALL HAVING count(v) = 4")
+@query(f"WITH {OBS} SELECT day, CAST(iy // 2 AS INT) AS by, CAST(ix // 2 AS INT) AS bx, {rs('avg(v)', 'v')} FROM obs GROUP BY ALL HAVING count(v) = 4")
 def w13_block_mean(spark, sf_dir):
-    obs = b.obs_grid(spark, sf_dir).where((F.col("day") - DAY0) % 2 == 0)
-    return timeseries.block_mean(obs, ["day"], "iy", "ix", "v", 2).select("day", "by", "bx", r("v"))
+    return timeseries.block_mean(b.obs_grid(spark, sf_dir), ["day"], "iy", "ix", "v", 2).select("day", "by", "bx", r("v"))
 
 
 @query(f"""WITH {OBS}, k AS (SELECT day, iy, ix, row_number() OVER (PARTITION BY day ORDER BY iy, ix) - 1 AS i, count(*) OVER (PARTITION BY day) AS m FROM obs), s AS (SELECT *, (i + 3) % m AS j FROM k)
@@ -615,10 +623,10 @@ def k6_argmax_label(spark, sf_dir):
     return counts.select("user_id", label.alias("label"), r(margin, "margin"))
 
 
-@query(f"WITH {OBS} SELECT iy, ix, max(day) AS day, {rs('arg_max(v, day)', 'v')}, count(*) AS versions FROM obs WHERE day < {DAY0 + 6} GROUP BY iy, ix")
+@query(f"WITH {OBS} SELECT iy, ix, max(day) AS day, {rs('arg_max(v, day)', 'v')}, count(*) AS versions FROM obs GROUP BY iy, ix")
 def k7_merge_series(spark, sf_dir):
-    obs = b.obs_grid(spark, sf_dir).withColumn("source", (F.col("day") - DAY0).cast("string"))
-    parts = [obs.where(F.col("day") == DAY0 + i) for i in range(6)]
+    obs = b.obs_grid(spark, sf_dir).withColumn("source", F.pmod("day", F.lit(6)).cast("string"))
+    parts = [obs.where(F.col("source") == str(i)) for i in range(6)]
     whole, _ = topk.merge_series(parts, "source", ["lat"], ["iy", "ix"])
     return whole.groupBy("iy", "ix").agg(F.max("day").alias("day"), r(F.max_by("v", "day"), "v"), F.count("*").alias("versions"))
 
@@ -633,38 +641,35 @@ def g1_regional_table(spark, sf_dir):
     return out.select("day", "ty", "tx", r("v"), "corners", "reject_reason")
 
 
-@query(f"""WITH {OBS}, a AS (SELECT DISTINCT day, lat FROM obs WHERE ix = 2), s AS (SELECT day, lat, round(lead(lat) OVER (PARTITION BY day ORDER BY lat) - lat, 9) AS gap FROM a), t AS (SELECT *, min(gap) OVER (PARTITION BY day) AS step FROM s)
-SELECT day, {rs('min(step)', 'step')}, {rs('min(lat)', 'first')}, {rs('max(lat)', 'last')}, count(*) AS size, CASE WHEN count(*) < 2 THEN 'ambiguous' WHEN count(*) FILTER (gap > step + 1e-9) = 0 THEN 'regular' WHEN count(*) FILTER (gap > step + 1e-9) = 1 THEN 'cut' ELSE 'ambiguous' END AS status FROM t GROUP BY day""")
+@query(f"""WITH {OBS}, a AS (SELECT DISTINCT day, ix, lat FROM obs), s AS (SELECT day, ix, lat, round(lead(lat) OVER (PARTITION BY day, ix ORDER BY lat) - lat, 9) AS gap FROM a), t AS (SELECT *, min(gap) OVER (PARTITION BY day, ix) AS step FROM s)
+SELECT day, ix, {rs('min(step)', 'step')}, {rs('min(lat)', 'first')}, {rs('max(lat)', 'last')}, count(*) AS size, CASE WHEN count(*) < 2 THEN 'ambiguous' WHEN count(*) FILTER (gap > step + 1e-9) = 0 THEN 'regular' WHEN count(*) FILTER (gap > step + 1e-9) = 1 THEN 'cut' ELSE 'ambiguous' END AS status FROM t GROUP BY day, ix""")
 def g2_axis_inference(spark, sf_dir):
-    out = grid.axis(b.obs_grid(spark, sf_dir).where("ix = 2"), ["day"], "lat")
-    return out.select("day", r("step"), r("first"), r("last"), "size", "status")
+    out = grid.axis(b.obs_grid(spark, sf_dir), ["day", "ix"], "lat")
+    return out.select("day", "ix", r("step"), r("first"), r("last"), "size", "status")
 
 
-@query(f"""WITH {OBS}, d AS (SELECT DISTINCT day FROM obs), c AS (SELECT CAST(y AS INT) AS iy, CAST(x AS INT) AS ix FROM range(15) a(y), range(10) e(x)),
-k AS (SELECT CAST(datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS day, CAST(user_id % 15 AS INT) AS iy, CAST(user_id // 15 AS INT) AS ix, CAST(bit_or(CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 4 WHEN 'signup' THEN 8 ELSE 16 END) AS BIGINT) AS mask FROM events GROUP BY ALL)
+@query(f"""WITH {OBS}, d AS (SELECT DISTINCT day FROM obs), c AS (SELECT CAST(y AS INT) AS iy, CAST(x AS INT) AS ix FROM range({b.ROWS}) a(y), range({b.RING}) e(x)),
+k AS (SELECT CAST(datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS day, CAST(user_id % 15 AS INT) AS iy, CAST(user_id // 15 % {b.RING} AS INT) AS ix, CAST(bit_or(CASE event_type WHEN 'click' THEN 1 WHEN 'error' THEN 2 WHEN 'purchase' THEN 4 WHEN 'signup' THEN 8 ELSE 16 END) AS BIGINT) AS mask FROM events GROUP BY ALL)
 SELECT d.day, c.iy, c.ix, {rs('v', 'v')}, v IS NOT NULL AS valid, coalesce(mask, 0) AS mask FROM d, c LEFT JOIN obs ON obs.day = d.day AND obs.iy = c.iy AND obs.ix = c.ix LEFT JOIN k ON k.day = d.day AND k.iy = c.iy AND k.ix = c.ix""")
 def g3_densify(spark, sf_dir):
     obs = b.obs_grid(spark, sf_dir)
-    lats, lons = [i * 2.5 - 17.5 for i in range(15)], [round(i * 3.6 - 180, 10) for i in range(10)]
-    full = grid.densify(obs, obs.select("day").distinct(), lats, lons, "v")
-    e = b.table(spark, sf_dir, "events").select(F.unix_date(F.to_date("ts")).cast("bigint").alias("day"), (F.col("user_id") % 15).cast("int").alias("iy"), F.expr("cast(user_id div 15 as int)").alias("ix"), "event_type")
+    full = grid.densify(obs, obs.select("day").distinct(), *b.axes(), "v")
+    e = b.table(spark, sf_dir, "events").select(F.unix_date(F.to_date("ts")).cast("bigint").alias("day"), b.cell_row().alias("iy"), b.cell_column().alias("ix"), "event_type")
     masks = e.groupBy("day", "iy", "ix").agg(encode.flag_mask(F.collect_set("event_type"), list(b.EVENT_TYPES)).alias("mask"))
     return full.join(masks, ["day", "iy", "ix"], "left").select("day", "iy", "ix", r("v"), "valid", F.coalesce("mask", F.lit(0).cast("bigint")).alias("mask"))
 
 
-@query(f"""WITH {OBS}, o AS (SELECT * FROM obs WHERE day < {DAY0 + 5} AND ix < 10), off AS (SELECT CAST(a AS INT) AS dy, CAST(e AS INT) AS dx, (1 - abs(a) / 3.0::DOUBLE) * (1 - abs(e) / 4.0::DOUBLE) AS w FROM range(-2, 3) x(a), range(-3, 4) y(e)),
-t AS (SELECT day, iy * 3 + dy AS ty, (ix * 4 + dx + 40) % 40 AS tx, sum(w * v) AS v, sum(w) AS w, CAST(bit_or(n) AS BIGINT) AS mask FROM o, off GROUP BY ALL)
+@query(f"""WITH {OBS}, off AS (SELECT CAST(a AS INT) AS dy, CAST(e AS INT) AS dx, (1 - abs(a) / 3.0::DOUBLE) * (1 - abs(e) / 4.0::DOUBLE) AS w FROM range(-2, 3) x(a), range(-3, 4) y(e)),
+t AS (SELECT day, iy * 3 + dy AS ty, (ix * 4 + dx + {4 * b.RING}) % {4 * b.RING} AS tx, sum(w * v) AS v, sum(w) AS w, CAST(bit_or(n) AS BIGINT) AS mask FROM obs, off GROUP BY ALL)
 SELECT day, ty, tx, {rs('v', 'v', 9)}, mask FROM t WHERE w > 1 - 1e-9 AND ty BETWEEN 0 AND 42""")
 def g4_working_grid(spark, sf_dir):
-    obs = b.obs_grid(spark, sf_dir).where((F.col("day") < DAY0 + 5) & (F.col("ix") < 10))
-    return grid.refine(obs, ["day"], "v", "n", 15, 10, 3, 4).select("day", "ty", "tx", r("v", digits=9), F.col("n").alias("mask"))
+    return grid.refine(b.obs_grid(spark, sf_dir), ["day"], "v", "n", b.ROWS, b.RING, 3, 4).select("day", "ty", "tx", r("v", digits=9), F.col("n").alias("mask"))
 
 
 @query(f"WITH {OBS} SELECT lat, lon, {rs('v', 'v')} FROM obs WHERE day = {DAY0 + 9} AND v IS NOT NULL")
 def g5_epoch_rows(spark, sf_dir):
     obs = b.obs_grid(spark, sf_dir).where(F.col("day") == DAY0 + 9)
-    lats, lons = [i * 2.5 - 17.5 for i in range(15)], [round(i * 3.6 - 180, 10) for i in range(100)]
-    return grid.densify(obs, obs.select("day").distinct(), lats, lons, "v").where("valid").select("lat", "lon", r("v"))
+    return grid.densify(obs, obs.select("day").distinct(), *b.axes(), "v").where("valid").select("lat", "lon", r("v"))
 
 
 @query()
@@ -676,12 +681,12 @@ def g6_metric_regrid(spark, sf_dir):
 _KERNEL = ", ".join(f"({k}, {w!r})" for k, w in grid.kernel(1.0))
 
 
-@query(f"""WITH {OBS}, o AS (SELECT day, iy, ix, v FROM obs WHERE ix < 10), k(k, w) AS (SELECT k, CAST(w AS DOUBLE) FROM (VALUES {_KERNEL}) t(k, w)),
+@query(f"""WITH {OBS}, o AS (SELECT day, iy, ix, v FROM obs), k(k, w) AS (SELECT k, CAST(w AS DOUBLE) FROM (VALUES {_KERNEL}) t(k, w)),
 s AS (SELECT day, iy + a.k AS iy, ix + e.k AS ix, sum(a.w * e.w * v) AS s, sum(a.w * e.w) AS m FROM o, k a, k e GROUP BY ALL),
-dy AS (SELECT CAST(y AS INT) AS iy, sum(w) AS d FROM range(15) r(y), k WHERE y - k BETWEEN 0 AND 14 GROUP BY y), dx AS (SELECT CAST(x AS INT) AS ix, sum(w) AS d FROM range(10) r(x), k WHERE x - k BETWEEN 0 AND 9 GROUP BY x)
+dy AS (SELECT CAST(y AS INT) AS iy, sum(w) AS d FROM range(15) r(y), k WHERE y - k BETWEEN 0 AND 14 GROUP BY y), dx AS (SELECT CAST(x AS INT) AS ix, sum(w) AS d FROM range({b.RING}) r(x), k WHERE x - k BETWEEN 0 AND {b.RING - 1} GROUP BY x)
 SELECT day, iy, ix, round(CASE WHEN m / (dy.d * dx.d) >= 0.8 THEN s / m END, 6) + CAST(0 AS DOUBLE) AS v_smooth FROM o JOIN s USING (day, iy, ix) JOIN dy USING (iy) JOIN dx USING (ix)""")
 def g7_masked_smoothing(spark, sf_dir):
-    out = grid.smooth(b.obs_grid(spark, sf_dir).where("ix < 10"), ["day"], ["v"], 1.0, 15, 10)
+    out = grid.smooth(b.obs_grid(spark, sf_dir), ["day"], ["v"], 1.0, b.ROWS, b.RING)
     return out.select("day", "iy", "ix", r("v_smooth"))
 
 
@@ -698,8 +703,8 @@ def g8_spatial_derivatives(spark, sf_dir):
 
 @query()
 def g9_structure_tensor(spark, sf_dir):
-    d = grid.spatial_derivatives(b.obs_grid(spark, sf_dir).where("ix < 10"), ["day"], "v", 3.0, 2.0)
-    return grid.structure_tensor(d, ["day"], 1.0, 15, 10).select("day", "iy", "ix", r("major"), r("minor"), r("coherence"), r("orientation"))
+    d = grid.spatial_derivatives(b.obs_grid(spark, sf_dir), ["day"], "v", 3.0, 2.0)
+    return grid.structure_tensor(d, ["day"], 1.0, b.ROWS, b.RING).select("day", "iy", "ix", r("major"), r("minor"), r("coherence"), r("orientation"))
 
 
 _BLOBS = f"""{OBS}, c AS (SELECT day, iy, ix, iy * 100000 + ix AS id FROM obs WHERE v > 60),
@@ -759,15 +764,15 @@ def g13_focus_region(spark, sf_dir):
 
 
 def _pairs(spark, sf_dir) -> DataFrame:
-    return motion.frame_pairs(b.obs_grid(spark, sf_dir).where("ix < 10").select("day", "iy", "ix", "v"), [], "day", "v", 1.0)
+    return motion.frame_pairs(b.obs_grid(spark, sf_dir).select("day", "iy", "ix", "v"), [], "day", "v", 1.0)
 
 
 @query()
 def g14_feature_flow(spark, sf_dir):
-    return motion.feature_flow(_pairs(spark, sf_dir), ["day"], 3.0, 2.0, 1.5, 15, 10).select("day", "iy", "ix", r("u"), r("v"), r("confidence"), "accepted")
+    return motion.feature_flow(_pairs(spark, sf_dir), ["day"], 3.0, 2.0, 1.5, b.ROWS, b.RING).select("day", "iy", "ix", r("u"), r("v"), r("confidence"), "accepted")
 
 
-@query(f"""WITH {OBS}, p AS (SELECT day, v AS c, lag(v) OVER w AS p, day - lag(day) OVER w AS dt FROM obs WHERE ix < 10 WINDOW w AS (PARTITION BY iy, ix ORDER BY day)), q AS (SELECT * FROM p WHERE dt <= 1.5)
+@query(f"""WITH {OBS}, p AS (SELECT day, v AS c, lag(v) OVER w AS p, day - lag(day) OVER w AS dt FROM obs WINDOW w AS (PARTITION BY iy, ix ORDER BY day)), q AS (SELECT * FROM p WHERE dt <= 1.5)
 SELECT day, {rs('covar_pop(p, c) / var_pop(p)', 'gain')}, {rs('corr(p, c)', 'correlation')}, {rs('greatest(0.0, 1 - (var_pop(c) - covar_pop(p, c) ** 2 / var_pop(p)) / var_pop(c - p))', 'ambiguity')}, count(*) AS cells FROM q GROUP BY day""")
 def g15_growth_ambiguity(spark, sf_dir):
     return motion.growth_ambiguity(_pairs(spark, sf_dir), ["day"]).select("day", r("gain"), r("correlation"), r("ambiguity"), "cells")
@@ -775,7 +780,7 @@ def g15_growth_ambiguity(spark, sf_dir):
 
 @query()
 def g16_flow_kinematics(spark, sf_dir):
-    flow = motion.feature_flow(_pairs(spark, sf_dir), ["day"], 3.0, 2.0, 1.5, 15, 10)
+    flow = motion.feature_flow(_pairs(spark, sf_dir), ["day"], 3.0, 2.0, 1.5, b.ROWS, b.RING)
     k = motion.flow_kinematics(flow.select("day", "iy", "ix", "u", "v"), ["day"], 3.0, 2.0)
     g = grid.spatial_derivatives(_pairs(spark, sf_dir), ["day"], "current", 3.0, 2.0).withColumn("rate", (F.col("current") - F.col("previous")) / F.col("dt"))
     joined = k.join(g.select("day", "iy", "ix", "rate", "d_dx", "d_dy"), ["day", "iy", "ix"]).join(flow.select("day", "iy", "ix", "accepted"), ["day", "iy", "ix"])
@@ -828,7 +833,7 @@ def g19_epoch_series(spark, sf_dir):
 def g20_field_pipeline(spark, sf_dir):
     from skylattice.plans.fields import analyse
 
-    return analyse(b.obs_grid(spark, sf_dir).where("ix < 10"), 15, 10).select("day", r("anomaly"), r("gradient"), r("coherence"), r("flow"), r("temporal"), "label", r("margin"))
+    return analyse(b.obs_grid(spark, sf_dir), b.ROWS, b.RING).select("day", r("anomaly"), r("gradient"), r("coherence"), r("flow"), r("temporal"), "label", r("margin"))
 
 
 # --- forecast lifecycle ------------------------------------------------------------------------
@@ -922,10 +927,10 @@ def l7_decision_search(spark, sf_dir):
     return out.select("series", _valid_day(), "assessment")
 
 
-@query(f"WITH {b.REV_SQL} SELECT series, CAST(datediff('day', DATE '1970-01-01', day) AS BIGINT) AS day, max(artifact_id) AS artifact_id, {rs('arg_max(value, artifact_id)', 'value')}, max(artifact_id) > 4000 AS fresh FROM rev WHERE artifact_id <= 9000 GROUP BY series, day")
+@query(f"WITH {b.REV_SQL} SELECT series, CAST(datediff('day', DATE '1970-01-01', day) AS BIGINT) AS day, max(artifact_id) AS artifact_id, {rs('arg_max(value, artifact_id)', 'value')}, max(artifact_id) > (SELECT max(artifact_id) * 2 // 5 FROM rev) AS fresh FROM rev WHERE artifact_id <= (SELECT max(artifact_id) * 9 // 10 FROM rev) GROUP BY series, day")
 def l8_incremental_scan(spark, sf_dir):
     rows = b.obs_rev(spark, sf_dir).select("series", F.unix_date("day").cast("bigint").alias("day"), "artifact_id", "value")
-    return lifecycle.incremental_scan(rows, ["series"], "day", "artifact_id", 4000, 9000).select("series", "day", "artifact_id", r("value"), "fresh")
+    return lifecycle.incremental_scan(rows, ["series"], "day", "artifact_id", _share_of(rows, "artifact_id", 2, 5), _share_of(rows, "artifact_id", 9, 10)).select("series", "day", "artifact_id", r("value"), "fresh")
 
 
 @query(f"""WITH {OBS}, l AS (SELECT *, lag(v) OVER (PARTITION BY iy, ix ORDER BY day) AS p FROM obs), x AS (SELECT day, iy, ix, v - p AS res FROM l WHERE p IS NOT NULL), c AS (SELECT *, median(res) OVER (PARTITION BY iy, ix) AS c FROM x),
@@ -1003,25 +1008,24 @@ def _folder(spark, name: str) -> str:
 
 
 def _map_archive(spark, sf_dir) -> str:
-    """The observations as daily map files (10 columns, 15 rows), written by Spark to a new folder."""
+    """The observations as daily map files, written by Spark to a new folder."""
     from skylattice.sources.mapfiles import map_file_texts
 
-    obs = b.obs_grid(spark, sf_dir, 6).where("ix < 10")
-    lats, lons = [i * 2.5 - 17.5 for i in range(15)], [round(i * 3.6 - 180, 10) for i in range(10)]
+    obs, (lats, lons) = b.obs_grid(spark, sf_dir, 6), b.axes()
     full = grid.densify(obs, obs.select("epoch").distinct(), lats, lons, "v").join(obs.select("epoch", "iy", "ix", "n"), ["epoch", "iy", "ix"], "left")
     path = _folder(spark, "maps")
     map_file_texts(full, "epoch", "v", "n", lats, lons).repartition("product_date").write.partitionBy("product_date").text(path)
     return path
 
 
-@query(f"WITH {OBS6} SELECT epoch, lat, lon, CAST(floor(v * 10 + 0.5) / 10 AS DOUBLE) AS vtec FROM obs WHERE ix < 10")
+@query(f"WITH {OBS6} SELECT epoch, lat, lon, CAST(floor(v * 10 + 0.5) / 10 AS DOUBLE) AS vtec FROM obs")
 def s1_map_file_load(spark, sf_dir):
     from skylattice.sources.mapfiles import load_map_files
 
     return load_map_files(spark, _map_archive(spark, sf_dir))[0].select("epoch", "lat", "lon", "vtec")
 
 
-@query(f"WITH {OBS6} SELECT epoch, lat, lon, CAST(n AS DOUBLE) AS rms FROM obs WHERE ix < 10")
+@query(f"WITH {OBS6} SELECT epoch, lat, lon, CAST(n AS DOUBLE) AS rms FROM obs")
 def s2_rms_map_join(spark, sf_dir):
     from skylattice.sources.mapfiles import load_map_files
 
@@ -1029,17 +1033,18 @@ def s2_rms_map_join(spark, sf_dir):
 
 
 @query("""WITH e AS (SELECT event_id, user_id, CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS k, CAST(ts AS DATE) AS day FROM events)
-SELECT a.event_id FROM e a WHERE a.event_id > 5000 AND NOT EXISTS (SELECT 1 FROM e c WHERE c.event_id <= 5000 AND c.user_id = a.user_id AND c.k IS NOT DISTINCT FROM a.k AND c.day = a.day)""")
+SELECT a.event_id FROM e a WHERE a.event_id > (SELECT max(event_id) // 2 FROM events) AND NOT EXISTS (SELECT 1 FROM e c WHERE c.event_id <= (SELECT max(event_id) // 2 FROM events) AND c.user_id = a.user_id AND c.k IS NOT DISTINCT FROM a.k AND c.day = a.day)""")
 def s3_idempotent_ingest(spark, sf_dir):
     e = b.table(spark, sf_dir, "events").select("event_id", "user_id", F.when(F.col("event_type") != "error", F.col("event_type")).alias("k"), F.to_date("ts").alias("day"))
-    return revisions.unseen(e.where("event_id > 5000"), e.where("event_id <= 5000"), ["user_id", "k", "day"]).select("event_id")
+    known = F.col("event_id") <= _share_of(e, "event_id", 1, 2)
+    return revisions.unseen(e.where(~known), e.where(known), ["user_id", "k", "day"]).select("event_id")
 
 
-@query("SELECT CASE WHEN o_orderkey > 5000 THEN 'insert' WHEN o_orderkey % 7 = 0 THEN 'conflict' ELSE 'same' END AS outcome, count(*) AS n FROM orders WHERE o_orderkey > 4000 GROUP BY 1")
+@query("SELECT CASE WHEN o_orderkey > (SELECT max(o_orderkey) * 3 // 4 FROM orders) THEN 'insert' WHEN o_orderkey % 7 = 0 THEN 'conflict' ELSE 'same' END AS outcome, count(*) AS n FROM orders GROUP BY 1")
 def s4_immutable_insert(spark, sf_dir):
     o = b.table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus")
-    new = o.where("o_orderkey > 4000").withColumn("o_totalprice", F.when((F.col("o_orderkey") % 7 == 0), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
-    return revisions.split_inserts(new, o.where("o_orderkey <= 5000"), ["o_orderkey"], ["o_totalprice", "o_orderstatus"]).groupBy("outcome").agg(F.count("*").alias("n"))
+    new = o.withColumn("o_totalprice", F.when((F.col("o_orderkey") % 7 == 0), F.col("o_totalprice") + 1).otherwise(F.col("o_totalprice")))
+    return revisions.split_inserts(new, o.where(F.col("o_orderkey") <= _share_of(o, "o_orderkey", 3, 4)), ["o_orderkey"], ["o_totalprice", "o_orderstatus"]).groupBy("outcome").agg(F.count("*").alias("n"))
 
 
 @query(f"""WITH {b.REV_SQL} SELECT series, day, artifact_id FROM rev WHERE day BETWEEN DATE '2024-01-08' AND DATE '2024-01-18' AND ingested_at <= TIMESTAMP '2024-01-16 12:00:00' AND (series % 15) * 2.5 - 17.5 BETWEEN -10 AND 10
@@ -1061,15 +1066,12 @@ def s6_overlap_read(spark, sf_dir):
     return read_overlapping(rows, manifest, "series", F.lit("2024-01-20").cast("date"), F.lit("2024-01-22").cast("date")).groupBy("series").agg(F.count("*").alias("n"))
 
 
-_KP = "SELECT user_id, CAST(ts AS DATE) AS day, count(*) AS c, min(event_id) AS id FROM events WHERE event_type = 'error' GROUP BY ALL"
-
-
-@query(f"WITH k AS ({_KP}), g AS (SELECT day, count(*) AS k0 FROM k WHERE c > 9 OR c < 0 GROUP BY day), t AS (SELECT user_id % 8 AS source, day, count(DISTINCT c) AS n FROM k GROUP BY ALL) SELECT k.user_id % 8 AS source, CAST(datediff('day', DATE '1970-01-01', k.day) AS BIGINT) AS day, CAST(max(c) AS DOUBLE) AS kp FROM k WHERE user_id < 16 AND user_id >= 8 GROUP BY ALL HAVING count(*) > 0")
+@query("""SELECT user_id AS source, CAST(datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS day, CAST(count(*) AS DOUBLE) AS kp FROM events WHERE event_type = 'error' GROUP BY ALL HAVING count(*) <= 9""")
 def s7_context_series(spark, sf_dir):
     from skylattice.sources.tables import context_series
 
-    e = b.table(spark, sf_dir, "events").where("event_type = 'error' AND user_id >= 8 AND user_id < 16")
-    days = e.groupBy((F.col("user_id") % 8).alias("source"), F.to_date("ts").alias("day")).agg(F.count("*").cast("double").alias("Kp"))
+    e = b.table(spark, sf_dir, "events").where("event_type = 'error'")
+    days = e.groupBy(F.col("user_id").alias("source"), F.to_date("ts").alias("day")).agg(F.count("*").cast("double").alias("Kp"))
     tag = F.concat(F.col("day").cast("string"), F.lit("T00:00:00"))
     objects = days.where("source % 2 = 0").groupBy("source").agg(F.to_json(F.collect_list(F.struct(tag.alias("time_tag"), "Kp"))).alias("text"))
     header = F.array(F.lit("time_tag"), F.lit("Kp"))
@@ -1105,11 +1107,11 @@ def s10_csv_export(spark, sf_dir):
     return spark.read.csv(path, header=True, schema="day bigint, cells bigint, mean_v double").select("day", "cells", r("mean_v"))
 
 
-@query(f"""WITH {OBS}, l AS (SELECT day, count(DISTINCT lat) AS n_lats, count(DISTINCT lon) AS n_lons, count(*) AS present FROM obs WHERE ix < 10 GROUP BY day) SELECT day, n_lats, n_lons, n_lats * n_lons - present AS nulls FROM l""")
+@query(f"""WITH {OBS}, l AS (SELECT day, count(DISTINCT lat) AS n_lats, count(DISTINCT lon) AS n_lons, count(*) AS present FROM obs GROUP BY day) SELECT day, n_lats, n_lons, n_lats * n_lons - present AS nulls FROM l""")
 def s11_map_payload(spark, sf_dir):
     from skylattice.sources.tables import map_payload
 
-    out = map_payload(b.obs_grid(spark, sf_dir).where("ix < 10"), ["day"], "v")
+    out = map_payload(b.obs_grid(spark, sf_dir), ["day"], "v")
     nulls = F.aggregate(F.flatten("values"), F.lit(0), lambda s, x: s + F.when(x.isNull(), 1).otherwise(0))
     return out.select("day", F.size("lats").cast("bigint").alias("n_lats"), F.size("lons").cast("bigint").alias("n_lons"), nulls.cast("bigint").alias("nulls"))
 
