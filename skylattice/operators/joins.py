@@ -30,9 +30,9 @@ def overlap_join(left: DataFrame, right: DataFrame, start: str, end: str, at: st
     bucket = lambda c: F.floor(c / width)
     wide = left.withColumn("_bucket", F.explode(F.sequence(bucket(F.col(start)) - 1, bucket(F.col(end)))))
     held = right.select(F.col(at).alias("_at"), F.col(value).alias("_value"), bucket(F.col(at)).alias("_bucket"))
-    hits = wide.join(held, "_bucket").where((F.col("_at") <= F.col(end)) & (F.col("_at") + width > F.col(start))).select(key, "_at", "_value").distinct()
+    hits = wide.join(held.hint("shuffle_hash"), "_bucket").where((F.col("_at") <= F.col(end)) & (F.col("_at") + width > F.col(start))).select(key, "_at", "_value").distinct()
     found = hits.groupBy(key).agg(F.max("_value").alias("max_value"), F.count("*").alias("n_matches"))
-    return left.join(found, key, "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0))).withColumn("status", F.when(F.col("n_matches") > 0, "available").otherwise("unavailable"))
+    return left.join(found.hint("merge"), key, "left").withColumn("n_matches", F.coalesce("n_matches", F.lit(0))).withColumn("status", F.when(F.col("n_matches") > 0, "available").otherwise("unavailable"))
 
 
 def same_time_history(df: DataFrame, cell: list[str], day: str, time_of_day: str, value: str, days: int = 7) -> DataFrame:
@@ -60,14 +60,14 @@ def neighbour_join(df: DataFrame, keys: list[str], iy: str, ix: str, value: str,
     """Mean of the four neighbours and their number, by an equi-join on shifted places."""
     asked = neighbours(df.select(*keys, iy, ix), keys, iy, ix, ring)
     held = df.select(*keys, F.col(iy).alias("ny"), F.col(ix).alias("nx"), F.col(value).alias("_v"))
-    around = asked.join(held, [*keys, "ny", "nx"]).groupBy(*keys, iy, ix).agg(F.avg("_v").alias("neighbour_mean"), F.count("_v").alias("neighbours"))
-    return df.join(around, [*keys, iy, ix], "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0)))
+    around = asked.join(held.hint("merge"), [*keys, "ny", "nx"]).groupBy(*keys, iy, ix).agg(F.avg("_v").alias("neighbour_mean"), F.count("_v").alias("neighbours"))
+    return df.join(around.hint("merge"), [*keys, iy, ix], "left").withColumn("neighbours", F.coalesce("neighbours", F.lit(0)))
 
 
 def changed_and_next(days: DataFrame, changed: DataFrame, day: str) -> DataFrame:
     """Days to score again: changed ones and the day after each."""
     again = changed.select(F.explode(F.array(F.col(day), F.col(day) + 1)).alias(day)).distinct()
-    return days.join(again, day, "left_semi")
+    return days.join(again.hint("merge"), day, "left_semi")
 
 
 def violations(df: DataFrame, key: str, rules: dict) -> DataFrame:

@@ -20,7 +20,7 @@ def regular_slots(df: DataFrame, keys: list[str], at: str, step: int, values: li
     span = df.groupBy(*keys).agg(F.min(at).alias("_a"), F.max(at).alias("_b"))
     spine = span.select(*keys, F.explode(F.sequence("_a", "_b", F.lit(step))).alias(at))
     w = Window.partitionBy(*keys).orderBy(at).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    joined = spine.join(df.select(*keys, at, *values, coverage), [*keys, at], "left")
+    joined = spine.join(df.select(*keys, at, *values, coverage).hint("merge"), [*keys, at], "left")
     missing = F.col(coverage).isNull()
     return joined.select(*keys, at, *[F.last(v, ignorenulls=True).over(w).alias(v) for v in values], F.when(missing, F.lit(filler)).otherwise(F.col(coverage)).alias(coverage), missing.alias("carried"))
 
@@ -29,7 +29,7 @@ def fill_axis(df: DataFrame, keys: list[str], at: str, value: str, step: int, li
     """Values on a regular axis: exact ones untouched; between two within ``limit`` linear, or, if causal, the last one held."""
     span = df.groupBy(*keys).agg(F.min(at).alias("_a"), F.max(at).alias("_b"))
     spine = span.select(*keys, F.explode(F.sequence("_a", "_b", F.lit(step))).alias(at))
-    joined = spine.join(df.select(*keys, at, value), [*keys, at], "left")
+    joined = spine.join(df.select(*keys, at, value).hint("merge"), [*keys, at], "left")
     w = Window.partitionBy(*keys).orderBy(at)
     pair = F.when(F.col(value).isNotNull(), F.struct(F.col(at).alias("t"), F.col(value).alias("v")))
     joined = joined.withColumn("_p", F.last(pair, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0)))
@@ -110,9 +110,13 @@ def lag_in_island(df: DataFrame, keys: list[str], at: str, value: str, step: flo
 
 
 def chronological_split(days: DataFrame, day: str, names=("train", "validation", "calibration", "test"), cuts=(0.7, 0.8, 0.9)) -> DataFrame:
-    """Days by position into consecutive parts. The table of days is small: one row a day."""
-    w = Window.orderBy(day)
-    placed = days.withColumn("_i", F.row_number().over(w) - 1).withColumn("_n", F.count("*").over(Window.partitionBy()))
+    """Days by position into consecutive parts; positions come from counts of months, so no task has all days."""
+    month = F.trunc(day, "month")
+    months = days.groupBy(month.alias("_m")).agg(F.count("*").alias("_k"))
+    later = months.select(F.col("_m").alias("_o"), F.col("_k").alias("_c"))
+    before = months.join(F.broadcast(later), F.col("_o") < F.col("_m"), "left").groupBy("_m").agg(F.coalesce(F.sum("_c"), F.lit(0)).alias("_before"))  # a row a month
+    placed = days.withColumn("_m", month).join(F.broadcast(before), "_m").join(F.broadcast(months.agg(F.sum("_k").alias("_n"))))
+    placed = placed.withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy("_m").orderBy(day)) - 1).drop("_m", "_before")
     part = F.lit(names[-1])
     for name, cut in reversed(list(zip(names, cuts, strict=False))):
         part = F.when(F.col("_i") < F.floor(F.col("_n") * cut), name).otherwise(part)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.operators.joins import neighbours
@@ -47,10 +47,10 @@ def graph_components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     both = stored(edges.select("a", "b").union(edges.select("b", "a")).distinct().toDF("node", "other"), "graph-edges")
     labels = stored(nodes.select("node", F.col("node").alias("label")).distinct(), "graph-labels")
     while True:
-        near = both.join(labels.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.min("label").alias("_near"))
-        step = labels.join(near, "node", "left").select("node", F.col("label").alias("_old"), F.least("label", F.coalesce("_near", "label")).alias("_mid"))
+        near = both.join(labels.withColumnRenamed("node", "other").hint("merge"), "other").groupBy("node").agg(F.min("label").alias("_near"))
+        step = labels.join(near.hint("merge"), "node", "left").select("node", F.col("label").alias("_old"), F.least("label", F.coalesce("_near", "label")).alias("_mid"))
         jump = labels.select(F.col("node").alias("_mid"), F.col("label").alias("_far"))
-        new = stored(step.join(jump, "_mid").select("node", "_old", F.least("_mid", "_far").alias("label")), "graph-labels")
+        new = stored(step.join(jump.hint("merge"), "_mid").select("node", "_old", F.least("_mid", "_far").alias("label")), "graph-labels")
         labels = new.select("node", "label")
         if new.where("_old <> label").isEmpty():
             return labels
@@ -62,35 +62,33 @@ def link_tracks(cells: DataFrame, epoch: str, polarity: str, cadence: float, rin
     are one track if one of them, grown by a cell, touches the other; merges are transitive, in any order.
     """
     named = cells.withColumn("node", F.concat_ws(":", F.col(epoch).cast("string"), F.col(polarity).cast("string"), F.col("blob").cast("string")))
+    # the epoch before lies within 1.5 cadences: looked for in buckets of that width, not in one window over all epochs
+    width = 1.5 * cadence
     epochs = cells.select(epoch).distinct()
-    before = epochs.withColumn("_before", F.lag(epoch).over(Window.orderBy(epoch))).where(F.col(epoch) - F.col("_before") <= 1.5 * cadence)
-    grown = neighbours(named.join(before, epoch), [epoch, polarity], "iy", "ix", ring, itself=True).select("_before", polarity, "ny", "nx", F.col("node").alias("b"))
+    earlier = epochs.select(F.col(epoch).alias("_before"), F.explode(F.array(F.floor(F.col(epoch) / width), F.floor(F.col(epoch) / width) + 1)).alias("_b"))
+    near = epochs.withColumn("_b", F.floor(F.col(epoch) / width)).join(earlier.hint("merge"), "_b").where((F.col("_before") < F.col(epoch)) & (F.col(epoch) - F.col("_before") <= width))
+    before = near.groupBy(epoch).agg(F.max("_before").alias("_before"))
+    grown = neighbours(named.join(before.hint("merge"), epoch), [epoch, polarity], "iy", "ix", ring, itself=True).select("_before", polarity, "ny", "nx", F.col("node").alias("b"))
     earlier = named.select(F.col(epoch).alias("_before"), polarity, F.col("iy").alias("ny"), F.col("ix").alias("nx"), F.col("node").alias("a"))
-    edges = earlier.join(grown, ["_before", polarity, "ny", "nx"]).select("a", "b").distinct()
+    edges = earlier.join(grown.hint("merge"), ["_before", polarity, "ny", "nx"]).select("a", "b").distinct()
     labels = graph_components(edges, named.select("node"))
-    return named.join(labels.withColumnRenamed("label", "track"), "node").drop("node")
+    return named.join(labels.withColumnRenamed("label", "track").hint("merge"), "node").drop("node")
 
 
-def suppress_overlaps(footprints: DataFrame, scan: str, rank: str, cells: str, most: int = 3, share: float = 0.25, head: int = 50) -> DataFrame:
+def suppress_overlaps(footprints: DataFrame, scan: str, rank: str, cells: str, most: int = 3, share: float = 0.25) -> DataFrame:
     """The ``most`` best candidates of each scan whose footprints share at most ``share`` of the smaller with a better one.
 
-    Only the ``head`` best of a scan are looked at, so that each group is bounded.
+    As many turns: each takes the best candidate left of every scan, by an aggregate, and drops those that
+    overlap it, so all candidates are looked at and no scan is gathered in a task. Ranks differ within a scan.
     """
-    import pandas as pd
-
-    ranked = footprints.withColumn("_rank", F.row_number().over(Window.partitionBy(scan).orderBy(rank))).where(F.col("_rank") <= head)
-
-    def pick(frame: pd.DataFrame) -> pd.DataFrame:
-        kept: list[tuple[int, set]] = []
-        for i, row in frame.sort_values("_rank").iterrows():
-            mine = set(row[cells])
-            if all(len(mine & other) <= share * min(len(mine), len(other)) for _, other in kept):
-                kept.append((i, mine))
-            if len(kept) == most:
-                break
-        return frame.loc[[i for i, _ in kept]]
-
-    return ranked.groupBy(scan).applyInPandas(pick, ranked.schema).drop("_rank")
+    left, kept = footprints, None
+    for turn in range(most):
+        best = stored(left.groupBy(scan).agg(F.min_by(F.struct(*left.columns), rank).alias("_b")).select("_b.*"), f"best-{turn}")
+        kept = best if kept is None else kept.unionByName(best)
+        taken = best.select(scan, F.col(cells).alias("_cells"), F.col(rank).alias("_rank"))
+        shared = F.size(F.array_intersect(cells, "_cells"))
+        left = left.join(taken.hint("merge"), scan).where((shared <= share * F.least(F.size(cells), F.size("_cells"))) & (F.col(rank) > F.col("_rank"))).drop("_cells", "_rank")
+    return kept
 
 
 def focus_region(frame: DataFrame, keys: list[str], value: str, scale: float, ring: int | None = None) -> DataFrame:
@@ -102,9 +100,9 @@ def focus_region(frame: DataFrame, keys: list[str], value: str, scale: float, ri
     peak = frame.groupBy(*keys).agg(F.max(size).alias("_peak"))
     strong = frame.join(peak, keys).where(size >= F.greatest(F.lit(scale), 0.25 * F.col("_peak")))
     blobs = frame_components(strong, keys, ring)
-    strength = blobs.join(frame.select(*keys, "iy", "ix", size.alias("_s")), [*keys, "iy", "ix"]).groupBy(*keys, "blob").agg(F.sum("_s").alias("_sum"))
+    strength = blobs.join(frame.select(*keys, "iy", "ix", size.alias("_s")).hint("merge"), [*keys, "iy", "ix"]).groupBy(*keys, "blob").agg(F.sum("_s").alias("_sum"))
     best = strength.groupBy(*keys).agg(F.max_by("blob", F.struct("_sum", -F.col("blob"))).alias("blob"))
-    grown = neighbours(blobs.join(best, [*keys, "blob"], "left_semi"), keys, "iy", "ix", ring, itself=True).select(*keys, F.col("ny").alias("iy"), F.col("nx").alias("ix"), F.lit(True).alias("_in")).distinct()
+    grown = neighbours(blobs.join(best.hint("merge"), [*keys, "blob"], "left_semi"), keys, "iy", "ix", ring, itself=True).select(*keys, F.col("ny").alias("iy"), F.col("nx").alias("ix"), F.lit(True).alias("_in")).distinct()
     some = best.select(*keys, F.lit(True).alias("_any"))
-    marked = frame.join(grown, [*keys, "iy", "ix"], "left").join(some, keys, "left")
+    marked = frame.join(grown.hint("merge"), [*keys, "iy", "ix"], "left").join(some.hint("merge"), keys, "left")
     return marked.withColumn("focus", F.col("_in").isNotNull() | F.col("_any").isNull()).drop("_in", "_any")

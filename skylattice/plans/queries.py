@@ -690,18 +690,28 @@ def g7_masked_smoothing(spark, sf_dir):
     return out.select("day", "iy", "ix", r("v_smooth"))
 
 
-@query(f"""WITH {OBS}, n AS (SELECT o.day, o.iy, o.ix, o.v, e.v AS e, w.v AS w, n.v AS n, s.v AS s, max(o.ix) OVER (PARTITION BY o.day, o.iy) AS xm, min(o.ix) OVER (PARTITION BY o.day, o.iy) AS x0, max(o.iy) OVER (PARTITION BY o.day) AS ym, min(o.iy) OVER (PARTITION BY o.day) AS y0,
+_SLOPES = """n AS (SELECT o.day, o.iy, o.ix, o.v, e.v AS e, w.v AS w, n.v AS n, s.v AS s, max(o.ix) OVER (PARTITION BY o.day, o.iy) AS xm, min(o.ix) OVER (PARTITION BY o.day, o.iy) AS x0, max(o.iy) OVER (PARTITION BY o.day) AS ym, min(o.iy) OVER (PARTITION BY o.day) AS y0,
   max(o.ix) OVER (PARTITION BY o.day) AS gx1, min(o.ix) OVER (PARTITION BY o.day) AS gx0 FROM obs o
   LEFT JOIN obs e ON e.day = o.day AND e.iy = o.iy AND e.ix = o.ix + 1 LEFT JOIN obs w ON w.day = o.day AND w.iy = o.iy AND w.ix = o.ix - 1
   LEFT JOIN obs n ON n.day = o.day AND n.ix = o.ix AND n.iy = o.iy + 1 LEFT JOIN obs s ON s.day = o.day AND s.ix = o.ix AND s.iy = o.iy - 1),
-d AS (SELECT *, CASE WHEN ix = gx0 THEN (e - v) / 2 WHEN ix = gx1 THEN (v - w) / 2 ELSE (e - w) / 4 END AS dx, CASE WHEN iy = y0 THEN (n - v) / 3 WHEN iy = ym THEN (v - s) / 3 ELSE (n - s) / 6 END AS dy, (e - 2 * v + w) / 4 + (n - 2 * v + s) / 9 AS lap FROM n)
+d AS (SELECT *, CASE WHEN ix = gx0 THEN (e - v) / 2 WHEN ix = gx1 THEN (v - w) / 2 ELSE (e - w) / 4 END AS dx, CASE WHEN iy = y0 THEN (n - v) / 3 WHEN iy = ym THEN (v - s) / 3 ELSE (n - s) / 6 END AS dy, (e - 2 * v + w) / 4 + (n - 2 * v + s) / 9 AS lap FROM n)"""
+
+
+@query(f"""WITH {OBS}, {_SLOPES}
 SELECT day, iy, ix, {rs('dx', 'd_dx')}, {rs('dy', 'd_dy')}, {rs('sqrt(dx * dx + dy * dy)', 'grad_mag')}, {rs('lap', 'laplacian')} FROM d""")
 def g8_spatial_derivatives(spark, sf_dir):
     out = grid.spatial_derivatives(b.obs_grid(spark, sf_dir), ["day"], "v", 3.0, 2.0)
     return out.select("day", "iy", "ix", r("d_dx"), r("d_dy"), r("grad_mag"), r("laplacian"))
 
 
-@query()
+@query(f"""WITH {OBS}, {_SLOPES}, p AS (SELECT day, iy, ix, dx * dx AS xx, dy * dy AS yy, dx * dy AS xy FROM d), k(k, w) AS (SELECT k, CAST(w AS DOUBLE) FROM (VALUES {_KERNEL}) t(k, w)),
+s AS (SELECT day, iy + a.k AS iy, ix + e.k AS ix, sum(a.w * e.w * coalesce(xx, 0)) AS xx, sum(a.w * e.w * coalesce(yy, 0)) AS yy, sum(a.w * e.w * coalesce(xy, 0)) AS xy,
+  sum(a.w * e.w * (xx IS NOT NULL)::INT) AS mxx, sum(a.w * e.w * (yy IS NOT NULL)::INT) AS myy, sum(a.w * e.w * (xy IS NOT NULL)::INT) AS mxy FROM p, k a, k e GROUP BY ALL),
+ey AS (SELECT CAST(y AS INT) AS iy, sum(w) AS n FROM range({b.ROWS}) r(y), k WHERE y - k BETWEEN 0 AND {b.ROWS - 1} GROUP BY y), ex AS (SELECT CAST(x AS INT) AS ix, sum(w) AS n FROM range({b.RING}) r(x), k WHERE x - k BETWEEN 0 AND {b.RING - 1} GROUP BY x),
+t AS (SELECT day, iy, ix, CASE WHEN p.xx IS NOT NULL AND mxx / (ey.n * ex.n) >= 0.8 THEN s.xx / mxx END AS xx, CASE WHEN p.yy IS NOT NULL AND myy / (ey.n * ex.n) >= 0.8 THEN s.yy / myy END AS yy, CASE WHEN p.xy IS NOT NULL AND mxy / (ey.n * ex.n) >= 0.8 THEN s.xy / mxy END AS xy
+  FROM p JOIN s USING (day, iy, ix) JOIN ey USING (iy) JOIN ex USING (ix)),
+h AS (SELECT *, (xx + yy) / 2 AS mid, sqrt(((xx - yy) / 2) ** 2 + xy * xy) AS half, 0.5 * atan2(2 * xy, xx - yy) AS o FROM t)
+SELECT day, iy, ix, {rs('mid + half', 'major')}, {rs('CASE WHEN mid IS NOT NULL THEN greatest(mid - half, 0.0) ELSE 0.0 END', 'minor')}, {rs('CASE WHEN mid > 1e-20 THEN half / mid END', 'coherence')}, {rs('CASE WHEN o < 0 THEN o + pi() ELSE o END', 'orientation')} FROM h""")
 def g9_structure_tensor(spark, sf_dir):
     d = grid.spatial_derivatives(b.obs_grid(spark, sf_dir), ["day"], "v", 3.0, 2.0)
     return grid.structure_tensor(d, ["day"], 1.0, b.ROWS, b.RING).select("day", "iy", "ix", r("major"), r("minor"), r("coherence"), r("orientation"))
@@ -745,7 +755,10 @@ def g12_deviation_map(spark, sf_dir):
     return dev.select("day", "iy", "ix", F.col("n_prior").cast("bigint").alias("n_prior"), r("deviation", digits=9), r("scale", digits=9))
 
 
-@query()
+@query(f"""WITH {OBS}, d AS (SELECT o.day, o.epoch, o.iy, o.ix, any_value(o.v) AS v, count(p.v) AS k FROM obs o LEFT JOIN obs p ON p.iy = o.iy AND p.ix = o.ix AND p.day BETWEEN o.day - 7 AND o.day - 1 GROUP BY ALL),
+f AS (SELECT epoch, count(v) AS seen, count(*) FILTER (k >= 3) AS ok FROM d WHERE epoch > {(DAY0 + 7) * 86400} GROUP BY epoch)
+SELECT CAST(coalesce(sum(seen), 0) AS BIGINT) AS scanned, CAST(coalesce(sum(ok), 0) AS BIGINT) AS supported, count(*) FILTER (ok >= 2) AS supported_epochs,
+       CASE WHEN coalesce(sum(seen), 0) = 0 THEN 'no_usable_data' WHEN count(*) FILTER (ok >= 2) < 2 THEN 'insufficient_baseline' ELSE 'complete' END AS status FROM f""")
 def g12_survey_status(spark, sf_dir):
     return survey.survey_status(survey.deviations(_survey_obs(spark, sf_dir)), (DAY0 + 7) * 86400.0)
 
@@ -757,7 +770,11 @@ def k4_ranked_suppression(spark, sf_dir):
     return tracks.suppress_overlaps(found.withColumn("_order", F.struct("rank", "start", "peak_lat", "peak_lon")), "scan", "_order", "footprint").select("polarity", "start", "end", "cells", "epochs", r("rank"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {OBS}, f AS (SELECT day, iy, ix, abs(v - 50) AS s, max(abs(v - 50)) OVER (PARTITION BY day) AS peak FROM obs), c AS (SELECT day, iy, ix, s, iy * 100000 + ix AS id FROM f WHERE s >= greatest(60.0, 0.25 * peak)),
+reach AS (SELECT day, id, id AS seed, iy, ix FROM c UNION SELECT c.day, c.id, reach.seed, c.iy, c.ix FROM reach JOIN c ON c.day = reach.day AND abs(c.iy - reach.iy) + abs(c.ix - reach.ix) = 1),
+bl AS (SELECT day, iy, ix, min(seed) AS blob FROM reach GROUP BY ALL), st AS (SELECT day, blob, sum(s) AS t FROM bl JOIN c USING (day, iy, ix) GROUP BY ALL), be AS (SELECT day, arg_max(blob, (t, -blob)) AS blob FROM st GROUP BY day),
+gr AS (SELECT DISTINCT bl.day, iy + a AS iy, ix + e AS ix FROM bl JOIN be USING (day, blob), (VALUES (0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)) o(a, e))
+SELECT obs.day, count(*) FILTER (gr.iy IS NOT NULL OR be.blob IS NULL) AS focus_cells, count(*) AS cells FROM obs LEFT JOIN gr ON gr.day = obs.day AND gr.iy = obs.iy AND gr.ix = obs.ix LEFT JOIN be ON be.day = obs.day GROUP BY obs.day""")
 def g13_focus_region(spark, sf_dir):
     frame = b.obs_grid(spark, sf_dir).withColumn("a", F.col("v") - 50)
     return tracks.focus_region(frame, ["day"], "a", 60.0).groupBy("day").agg(F.count_if(F.col("focus")).alias("focus_cells"), F.count("*").alias("cells"))
@@ -1128,14 +1145,21 @@ def s12_missing_days(spark, sf_dir):
 # --- streaming ---------------------------------------------------------------------------------
 
 
+#: Batches in which the events come as a stream.
+FEEDS = 4
+
+
 def _events_stream(spark, sf_dir) -> DataFrame:
-    """The events in eight files by day, as a stream; in one batch, since files that Spark writes have no order in time."""
+    """The events as a stream of FEEDS batches in order of time, each of two files that are written after those before."""
     from skylattice.streaming.streams import read_stream
 
     e = b.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    path = _folder(spark, "stream-in")
-    e.repartitionByRange(8, "ts").sortWithinPartitions("ts").write.parquet(path)
-    return read_stream(spark, path, e.schema, files=8)
+    path, second = _folder(spark, "stream-in"), F.unix_seconds("ts")
+    first, last = e.agg(F.min(second), F.max(second)).first()
+    share = F.least(F.lit(FEEDS - 1), F.floor((second - first) * FEEDS / max(1, last - first)))
+    for feed in range(FEEDS):
+        e.where(share == feed).repartition(2).write.mode("append").parquet(path)
+    return read_stream(spark, path, e.schema, files=2)
 
 
 def _stream_out(spark) -> tuple[str, str]:
@@ -1159,12 +1183,12 @@ def t2_duplicate_deliveries(spark, sf_dir):
 
 
 @query("""WITH w AS (SELECT epoch(time_bucket(INTERVAL 2 HOURS, ts)) AS start, count(*) AS n, avg(value) AS m, median(value) AS d FROM events GROUP BY 1)
-SELECT CAST(start AS BIGINT) AS start, n, round(m, 6) + CAST(0 AS DOUBLE) AS mean_v, round(d, 6) + CAST(0 AS DOUBLE) AS median_v FROM w WHERE start < epoch(TIMESTAMP '2024-01-28 00:00:00')""")
+SELECT CAST(start AS BIGINT) AS start, n, round(m, 6) + CAST(0 AS DOUBLE) AS mean_v, round(d, 6) + CAST(0 AS DOUBLE) AS median_v FROM w WHERE start + 7200 <= (SELECT epoch(max(ts)) - 86400 FROM events)""")
 def t3_tumbling_readout(spark, sf_dir):
     from skylattice.streaming.streams import run_to_table, tumbling_readout
 
     out = run_to_table(tumbling_readout(_events_stream(spark, sf_dir), "ts", "value", "2 hours", "1 day"), *_stream_out(spark))
-    return out.where("start < TIMESTAMP '2024-01-28 00:00:00'").select(F.unix_seconds("start").alias("start"), "n", r("mean_v"), r("median_v"))
+    return out.select(F.unix_seconds("start").alias("start"), "n", r("mean_v"), r("median_v"))
 
 
 @query(f"WITH {OBS}, c AS (SELECT DISTINCT day FROM obs WHERE v > 280) SELECT day, count(*) AS cells, {rs('avg(v)', 'mean_v')} FROM obs WHERE day IN (SELECT day FROM c) OR day - 1 IN (SELECT day FROM c) GROUP BY day")
@@ -1176,14 +1200,18 @@ def t4_late_revisions(spark, sf_dir):
     return rescore_late(obs.where("v > 280").select("day"), score, obs.select("day").distinct(), "day")
 
 
-@query()
+@query("""WITH f AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'purchase'), a AS (SELECT user_id, ts, value FROM events WHERE event_type = 'view')
+SELECT event_id, round(f.value, 6) + CAST(0 AS DOUBLE) AS predicted, round(a.value, 6) + CAST(0 AS DOUBLE) AS actual FROM f LEFT JOIN a ON a.user_id = f.user_id AND a.ts BETWEEN f.ts AND f.ts + INTERVAL 6 HOURS
+WHERE f.ts < (SELECT max(ts) - INTERVAL 2 DAYS FROM events)""")
 def t5_grace_join(spark, sf_dir):
     from skylattice.streaming.streams import forecasts_with_grace, run_to_table
 
     forecasts = _events_stream(spark, sf_dir).where("event_type = 'purchase'").select("event_id", "user_id", F.col("ts").alias("valid_at"), F.col("value").alias("predicted"))
     actuals = _events_stream(spark, sf_dir).where("event_type = 'view'").select("user_id", F.col("ts").alias("observed_at"), F.col("value").alias("actual"))
     out = run_to_table(forecasts_with_grace(forecasts, actuals, ["user_id"], "6 hours"), *_stream_out(spark))
-    return out.select("event_id", r("predicted"), r("actual"))
+    # the last ones still wait for their grace to pass
+    closed = b.table(spark, sf_dir, "events").agg((F.max("ts").cast("timestamp") - F.expr("INTERVAL 2 DAYS")).alias("until"))
+    return out.join(F.broadcast(closed), F.col("valid_at") < F.col("until")).select("event_id", r("predicted"), r("actual"))
 
 
 @query()
@@ -1195,20 +1223,24 @@ def t6_ordered_state(spark, sf_dir):
 
 
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS i FROM g),
-k AS (SELECT user_id, min(ts) AS a, max(ts) AS e, count(*) AS n FROM s GROUP BY user_id, i) SELECT user_id, epoch_us(a) AS start, n FROM k WHERE e < TIMESTAMP '2024-01-27 00:00:00'""")
+k AS (SELECT user_id, min(ts) AS a, max(ts) AS e, count(*) AS n FROM s GROUP BY user_id, i) SELECT user_id, epoch_us(a) AS start, n FROM k WHERE e + INTERVAL 12 HOURS <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
 def t7_sessions(spark, sf_dir):
     from skylattice.streaming.streams import run_to_table, sessions
 
     out = run_to_table(sessions(_events_stream(spark, sf_dir), ["user_id"], "ts", "12 hours", "1 day"), *_stream_out(spark))
-    return out.where("end < TIMESTAMP '2024-01-27 12:00:00'").select("user_id", F.unix_micros("start").alias("start"), "n")
+    return out.select("user_id", F.unix_micros("start").alias("start"), "n")
 
 
-@query("WITH m AS (SELECT user_id, median(value) AS m FROM events GROUP BY user_id) SELECT event_id, round(value - m, 6) + CAST(0 AS DOUBLE) AS deviation FROM events JOIN m USING (user_id)")
+@query("""WITH d AS (SELECT user_id, CAST(ts AS DATE) AS day, avg(value) AS v FROM events GROUP BY ALL), m AS (SELECT d.user_id, d.day, median(p.v) AS m FROM d LEFT JOIN d p ON p.user_id = d.user_id AND p.day BETWEEN d.day - 7 AND d.day - 1 GROUP BY ALL)
+SELECT event_id, round(value - m, 6) + CAST(0 AS DOUBLE) AS deviation FROM events e LEFT JOIN m ON m.user_id = e.user_id AND m.day = CAST(e.ts AS DATE)""")
 def t8_sliding_baseline(spark, sf_dir):
     from skylattice.streaming.streams import against_baseline, run_to_table
 
-    baseline = b.table(spark, sf_dir, "events").groupBy("user_id").agg(F.median("value").alias("baseline"))
-    return run_to_table(against_baseline(_events_stream(spark, sf_dir), baseline, ["user_id"], "value"), *_stream_out(spark)).select("event_id", r("deviation"))
+    days = b.table(spark, sf_dir, "events").groupBy("user_id", F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
+    days = joins.same_time_history(days.withColumn("n", F.unix_date("day")).withColumn("slot", F.lit(0)), ["user_id"], "n", "slot", "v", 7)
+    baseline = days.select("user_id", "day", joins.array_median("prior").alias("baseline"))
+    stream = _events_stream(spark, sf_dir).withColumn("day", F.to_date("ts"))
+    return run_to_table(against_baseline(stream, baseline, ["user_id", "day"], "value"), *_stream_out(spark)).select("event_id", r("deviation"))
 
 
 @query("SELECT coalesce(CASE WHEN value > 200 THEN 'value_too_large' WHEN event_type = 'error' THEN 'error_event' END, 'kept') AS outcome, count(*) AS n FROM events GROUP BY 1")

@@ -17,8 +17,9 @@ def deviations(obs: DataFrame, days: int = 7, least_days: int = 3, least_scale:
     baseline = median of the prior days (null under ``least_days``), scale = the largest of 1.4826 MAD,
     the reading's own rms, the median rms of the prior days, and ``least_scale``.
     """
-    df = same_time_history(obs, ["iy", "ix"], "day", "slot", "v", days).withColumnRenamed("prior", "_v")
-    df = same_time_history(df.drop("n_prior"), ["iy", "ix"], "day", "slot", "rms", days).withColumnRenamed("prior", "_r").drop("n_prior")
+    both = obs.withColumn("_both", F.when(F.col("v").isNotNull() | F.col("rms").isNotNull(), F.struct("v", "rms")))
+    df = same_time_history(both, ["iy", "ix"], "day", "slot", "_both", days).drop("n_prior", "_both")
+    df = df.withColumn("_v", F.expr("filter(prior.v, x -> x IS NOT NULL)")).withColumn("_r", F.expr("filter(prior.rms, x -> x IS NOT NULL)")).drop("prior")
     df = df.withColumn("n_prior", F.size("_v")).withColumn("_centre", array_median("_v"))
     df = df.withColumn("_dev", F.expr("transform(_v, x -> abs(x - _centre))"))
     scale = F.greatest(1.4826 * array_median("_dev"), F.col("rms"), array_median("_r"), F.lit(least_scale))
@@ -43,8 +44,8 @@ def candidates(cells: DataFrame, cadence: float, least_cells: int = 2, least_epo
     cells = stored(cells.select("epoch", "iy", "ix", "lat", "lon", "polarity", "deviation", "score"), "survey-cells")
     blobs = frame_components(cells, ["epoch", "polarity"], ring)
     sized = blobs.groupBy("epoch", "polarity", "blob").agg(F.count("*").alias("_n")).where(F.col("_n") >= least_cells).drop("_n")
-    tracked = link_tracks(blobs.join(sized, ["epoch", "polarity", "blob"]), "epoch", "polarity", cadence, ring)
-    full = tracked.join(cells, ["epoch", "polarity", "iy", "ix"])
+    tracked = link_tracks(blobs.join(sized.hint("merge"), ["epoch", "polarity", "blob"]), "epoch", "polarity", cadence, ring)
+    full = tracked.join(cells.hint("merge"), ["epoch", "polarity", "iy", "ix"])
     peak = F.max_by(F.struct("epoch", "lat", "lon", "deviation", "score"), F.struct(F.abs("score"), -F.col("epoch"), -F.col("lat"), -F.col("lon")))
     weight = F.abs("deviation")
     grouped = full.groupBy("track", "polarity").agg(

@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skylattice.plans.store import stored
+
 #: Fixed value of the format: a missing cell.
 MISSING = 9999
 #: Files over this size are refused.
@@ -34,7 +36,9 @@ def _axis(body: str, line: int) -> list[float]:
 def parse_map_file(content: bytes) -> list[tuple]:
     """(kind, map number, epoch, lat, lon, value) of every present cell of the TEC and RMS maps of one file.
 
-    Maps must be in time order, rows must keep to the header's grid, values are scaled by the exponent
+    The header's version, type, dimension, single height and number of maps must hold, auxiliary blocks must
+    be closed, and a map must have every latitude row of the grid in its order. Maps must be in time order,
+    rows must keep to the header's grid, values are scaled by the exponent
     and rounded to its digits, longitudes are wrapped; a repeated wrap column must agree with its twin.
     """
     if content[:2] == b"\x1f\x8b":
@@ -46,16 +50,42 @@ def parse_map_file(content: bytes) -> list[tuple]:
     seen: dict[float, float | None] = {}
     row: tuple[float, list[float]] | None = None
     values: list[int] = []
+    header: dict[str, str] = {}
+    counted: dict[str, int] = {"tec": 0, "rms": 0}
+    found_lats: list[float] = []
+    auxiliary: str | None = None
     for n, raw in enumerate(content.decode("ascii", "replace").splitlines(), 1):
         body, label = raw[:60], raw[60:].strip()
-        if row is None and label == "EXPONENT":
+        if n == 1 and label == "IONEX VERSION / TYPE":
+            if not 1.0 <= float(body[:20] or 0) < 2.0 or body[20:21] not in ("I", " ", ""):
+                raise MapFileError(n, "unknown_version_or_type")
+        elif label == "START OF AUX DATA" or auxiliary is not None:
+            # station biases and the like: skipped as one block, which must end under its own name
+            if label == "START OF AUX DATA":
+                if auxiliary is not None:
+                    raise MapFileError(n, "auxiliary_blocks_nested")
+                auxiliary = body.strip()
+            elif label == "END OF AUX DATA":
+                if body.strip() != auxiliary:
+                    raise MapFileError(n, "auxiliary_block_ends_otherwise")
+                auxiliary = None
+            elif label == "END OF HEADER":
+                raise MapFileError(n, "auxiliary_block_open")
+        elif row is None and label in ("MAP DIMENSION", "# OF MAPS IN FILE", "HGT1 / HGT2 / DHGT"):
+            header[label] = body
+            if label == "MAP DIMENSION" and int(body) != 2:
+                raise MapFileError(n, "not_two_dimensional")
+            if label == "HGT1 / HGT2 / DHGT" and body[2:8] != body[8:14]:
+                raise MapFileError(n, "more_than_one_height")
+        elif row is None and label == "EXPONENT":
             exponent = int(body)
         elif row is None and label == "LAT1 / LAT2 / DLAT":
             lats = _axis(body, n)
         elif row is None and label == "LON1 / LON2 / DLON":
             lons = _axis(body, n)
         elif label in ("START OF TEC MAP", "START OF RMS MAP"):
-            kind, number, epoch = ("tec" if "TEC" in label else "rms"), int(body), None
+            kind, number, epoch, found_lats = ("tec" if "TEC" in label else "rms"), int(body), None, []
+            counted[kind] += 1
         elif label == "EPOCH OF CURRENT MAP":
             epoch = int(datetime(*[int(p) for p in body.split()[:6]], tzinfo=UTC).timestamp())
             if kind == "tec":
@@ -69,9 +99,12 @@ def parse_map_file(content: bytes) -> list[tuple]:
             if lats is None or lons is None or lat not in lats or mine != lons:
                 raise MapFileError(n, "row_off_grid")
             row, values, seen = (lat, mine), [], {}
+            found_lats.append(lat)
         elif label.startswith("END OF"):
             if row is not None:
                 raise MapFileError(n, "row_incomplete")
+            if "MAP" in label and found_lats != lats:
+                raise MapFileError(n, "latitude_rows_missing")
             kind = None if "MAP" in label else kind
         elif row is not None:
             try:
@@ -99,6 +132,10 @@ def parse_map_file(content: bytes) -> list[tuple]:
         raise MapFileError(0, "no_grid_in_header")
     if row is not None:
         raise MapFileError(0, "file_ends_in_a_row")
+    if auxiliary is not None:
+        raise MapFileError(0, "auxiliary_block_open")
+    if (said := header.get("# OF MAPS IN FILE")) and int(said) != counted["tec"]:
+        raise MapFileError(0, "other_number_of_maps")
     return out
 
 
@@ -122,13 +159,12 @@ def load_map_files(spark, path: str) -> tuple[DataFrame, DataFrame]:
                 yield pd.DataFrame(rows, columns=columns).astype({"map": "Int32", "epoch": "Int64", "line": "Int32"})
 
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path).select("path", "content")
-    rows = files.mapInPandas(parse, _ROWS)
+    rows = stored(files.mapInPandas(parse, _ROWS), "map-rows")  # each file is parsed once for cells and rejects
     artifacts = F.concat(F.lit("artifact-"), F.substring(F.sha2("path", 256), 1, 24))
     cells = rows.where("kind <> 'reject'").withColumn("artifact_id", artifacts)
-    key = ["artifact_id", "map", "epoch", "lat", "lon"]
-    tec = cells.where("kind = 'tec'").select(*key, F.col("value").alias("vtec"))
-    rms = cells.where("kind = 'rms'").select(*key, F.col("value").alias("rms"))
-    return tec.join(rms, key, "left").drop("map"), rows.where("kind = 'reject'").select("path", "line", "reason")
+    of = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("value")))
+    both = cells.groupBy("artifact_id", "map", "epoch", "lat", "lon").agg(of("tec").alias("vtec"), of("rms").alias("rms"))
+    return both.where("vtec IS NOT NULL").drop("map"), rows.where("kind = 'reject'").select("path", "line", "reason")
 
 
 def map_file_texts(grid: DataFrame, epoch: str, value: str, rms: str, lats: list[float], lons: list[float]) -> DataFrame:
@@ -147,7 +183,10 @@ def map_file_texts(grid: DataFrame, epoch: str, value: str, rms: str, lats: list
 
     day = F.to_date(F.timestamp_seconds(epoch))
     maps = maps.withColumn("product_date", day).withColumn("_map", F.row_number().over(Window.partitionBy("product_date").orderBy(epoch)))
-    joined = maps.groupBy("product_date").agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_map").alias("m"), block(k, c).alias("t")))), lambda x: x["t"]), "\n").alias(c) for k, c in (("TEC", value), ("RMS", rms))])
+    joined = maps.groupBy("product_date").agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_map").alias("m"), block(k, c).alias("t")))), lambda x: x["t"]), "\n").alias(c) for k, c in (("TEC", value), ("RMS", rms))], F.max("_map").alias("_maps"))
     axis = lambda v: F.format_string("  %6.1f%6.1f%6.1f", F.lit(v[0]), F.lit(v[-1]), F.lit(round(v[1] - v[0], 10)))
-    header = F.concat_ws("\n", label(F.lit("     1.0"), "IONEX VERSION / TYPE"), label(axis(lats), "LAT1 / LAT2 / DLAT"), label(axis(lons), "LON1 / LON2 / DLON"), label(F.lit("    -1"), "EXPONENT"), label(F.lit(""), "END OF HEADER"))
+    count = label(F.format_string("%6d", F.col("_maps")), "# OF MAPS IN FILE")
+    height = label(F.format_string("  %6.1f%6.1f%6.1f", F.lit(450.0), F.lit(450.0), F.lit(0.0)), "HGT1 / HGT2 / DHGT")
+    kind = label(F.rpad(F.lit("     1.0"), 20, " "), "IONEX VERSION / TYPE")
+    header = F.concat_ws("\n", kind, count, label(F.lit("     2"), "MAP DIMENSION"), height, label(axis(lats), "LAT1 / LAT2 / DLAT"), label(axis(lons), "LON1 / LON2 / DLON"), label(F.lit("    -1"), "EXPONENT"), label(F.lit(""), "END OF HEADER"))
     return joined.select("product_date", F.concat_ws("\n", header, F.col(value), F.col(rms), label(F.lit(""), "END OF FILE")).alias("content"))

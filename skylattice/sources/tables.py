@@ -41,7 +41,7 @@ def context_series(texts: DataFrame, now: Column | None = None) -> tuple[DataFra
         reason = reason.when(F.col("time") > now, "in_the_future")
     judged = rows.withColumn("reason", reason)
     torn = judged.where("reason IS NULL").groupBy("source", "time").agg(F.count_distinct("kp").alias("_n")).where("_n > 1").select("source").distinct().withColumn("_torn", F.lit(True))
-    judged = judged.join(torn, "source", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("_torn"), "conflicting_values"))).drop("_torn")
+    judged = judged.join(torn.hint("merge"), "source", "left").withColumn("reason", F.coalesce("reason", F.when(F.col("_torn"), "conflicting_values"))).drop("_torn")
     return judged.where("reason IS NULL").select("source", "time", "kp").distinct(), judged.where("reason IS NOT NULL").select("source", "time", "kp", "reason")
 
 
@@ -90,6 +90,6 @@ def product_calendar(spark: SparkSession, first: str, last: str) -> DataFrame:
 def missing_days(calendar: DataFrame, ledger: DataFrame, recheck: int = 2) -> DataFrame:
     """Days to fetch: those without a usable product, and the last ``recheck`` days at any rate."""
     last = calendar.agg(F.max("day").alias("_last"))
-    gone = calendar.join(ledger.select("day").distinct(), "day", "left_anti").withColumn("why", F.lit("missing"))
-    recent = calendar.join(F.broadcast(last)).where(F.date_diff("_last", "day") < recheck).drop("_last").join(gone.select("day"), "day", "left_anti").withColumn("why", F.lit("recheck"))
+    gone = calendar.join(ledger.select("day").distinct().hint("merge"), "day", "left_anti").withColumn("why", F.lit("missing"))
+    recent = calendar.join(F.broadcast(last)).where(F.date_diff("_last", "day") < recheck).drop("_last").join(gone.select("day").hint("merge"), "day", "left_anti").withColumn("why", F.lit("recheck"))
     return gone.unionByName(recent)
