@@ -192,9 +192,11 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
     members = written(sets.select("doc_id", *key), "near-members")
     discard(sets)
 
-    postings = whole.select("rep", "n", "skipped", F.posexplode("prefix").alias("at", "v")).select("rep", "n", "v", (F.col("skipped") + F.col("at")).alias("p"))
+    # size and place in one number: a posting is shuffled once for each shingle of a sketch
+    postings = whole.select("rep", "n", "skipped", F.posexplode("prefix").alias("at", "v")).select("rep", "v", F.expr("shiftleft(n, 32) + skipped + at").alias("np"))
     lists = written(postings.groupBy("v").agg(F.count("*").alias("size"), F.min("rep").alias("hub")).where("size > 1"), "near-lists")
-    filed = written(postings.join(lists.hint("shuffle_hash"), "v"), "near-postings")
+    shared = postings.join(lists.hint("shuffle_hash"), "v").select("v", "rep", F.shiftright("np", 32).alias("n"), F.expr("cast(np & 4294967295 as int)").alias("p"), "size", "hub")
+    filed = written(shared, "near-postings")
     classes = written(whole.select(*key, "rep", "bits"), "near-classes")
     discard(lists, whole)
     long = filed.where(F.col("size") > LIST)
