@@ -326,3 +326,64 @@ def test_rank_correlation_with_ties(spark):
     ordered = spark.range(1000).select(F.col("id").cast("double").alias("k"), F.lit(2).alias("n"))
     got = aggregates.running_total(ordered, "k", "n", "before", ranges=8).where("before <> 2 * k").count()
     assert got == 0
+
+
+def _map_text(version="     1.0", kind="I", count="     1", dimension="     2", heights=("450.0", "450.0"), rows=(10.0, 0.0), aux=()):
+    label = lambda body, name: f"{body:<60}{name}"
+    head = [label(f"{version:<20}{kind}", "IONEX VERSION / TYPE"), label(count, "# OF MAPS IN FILE"), label(dimension, "MAP DIMENSION"), label(f"  {heights[0]:>6}{heights[1]:>6}   0.0", "HGT1 / HGT2 / DHGT")]
+    head += [label("    10.0   0.0 -10.0", "LAT1 / LAT2 / DLAT"), label("     0.0  10.0  10.0", "LON1 / LON2 / DLON"), *aux, label("", "END OF HEADER")]
+    body = [label("     1", "START OF TEC MAP"), label("  2024     1     1     0     0     0", "EPOCH OF CURRENT MAP")]
+    for lat in rows:
+        body += [label(f"  {lat:6.1f}   0.0  10.0  10.0 450.0", "LAT/LON1/LON2/DLON/H"), "   10   20"]
+    return "\n".join([*head, *body, label("     1", "END OF TEC MAP"), label("", "END OF FILE")]).encode()
+
+
+@pytest.mark.parametrize(
+    "change,reason",
+    [
+        ({"version": "     3.0"}, "unknown_version_or_type"), ({"kind": "X"}, "unknown_version_or_type"), ({"count": "     2"}, "other_number_of_maps"), ({"dimension": "     3"}, "not_two_dimensional"), ({"heights": ("350.0", "450.0")}, "more_than_one_height"),
+        ({"rows": (10.0,)}, "latitude_rows_missing"), ({"rows": (0.0, 10.0)}, "latitude_rows_missing"), ({"aux": (f"{'BIASES':<60}START OF AUX DATA",)}, "auxiliary_block_open"), ({"aux": (f"{'BIASES':<60}START OF AUX DATA", f"{'OTHERS':<60}END OF AUX DATA")}, "auxiliary_block_ends_otherwise"),
+    ],
+)
+def test_map_file_headers(change, reason):
+    from skylattice.sources.mapfiles import MapFileError, parse_map_file
+
+    assert len(parse_map_file(_map_text())) == 4
+    assert len(parse_map_file(_map_text(aux=(f"{'BIASES':<60}START OF AUX DATA", "   G01  -1.5", f"{'BIASES':<60}END OF AUX DATA")))) == 4
+    with pytest.raises(MapFileError) as e:
+        parse_map_file(_map_text(**change))
+    assert e.value.reason == reason
+
+
+def test_streams_over_several_batches_and_a_restart(spark, tmp_path):
+    """Late, repeated and revised rows in later batches; the second run goes on from the checkpoint of the first."""
+    import datetime as dt
+
+    import pandas as pd
+
+    from skylattice.operators.timeseries import fold_series
+    from skylattice.streaming import streams
+
+    at = lambda h: dt.datetime(2024, 1, 1) + dt.timedelta(hours=h)
+    feeds = [[(1, at(0), 1.0), (1, at(1), 2.0), (2, at(1), 5.0)], [(1, at(1), 2.0), (1, at(30), 4.0), (2, at(30), 6.0)], [(1, at(29), 9.0), (1, at(31), 3.0), (2, at(2), 7.0), (2, at(80), 8.0)]]
+    schema, source = "k long, ts timestamp, v double", str(tmp_path / "in")
+    runs = {
+        "all": lambda s, out, mark: streams.append_once(s, out, mark), "unique": lambda s, out, mark: streams.run_to_table(streams.deduplicate(s, "ts", ["k", "ts"], "10 hours"), out, mark),
+        "windows": lambda s, out, mark: streams.run_to_table(streams.tumbling_readout(s, "ts", "v", "2 hours", "10 hours"), out, mark), "folded": lambda s, out, mark: streams.run_to_table(streams.recurrence_stream(s, "k", "ts", "v", "10 hours"), out, mark),
+    }
+    got = {}
+    for n, feed in enumerate(feeds):
+        spark.createDataFrame(feed, schema).coalesce(1).write.mode("append").parquet(source)
+        if n:  # the first run has two files, a batch each; the second goes on with the third
+            for name, run in runs.items():
+                stream = streams.read_stream(spark, source, spark.createDataFrame([], schema).schema, files=1)
+                got[name] = [tuple(r) for r in run(stream, str(tmp_path / name), str(tmp_path / f"{name}-mark")).collect()]
+    assert sorted(got["all"]) == sorted(r for f in feeds for r in f)
+    assert sorted(got["unique"]) == sorted({r for f in feeds for r in f} - {(2, at(2), 7.0)})  # too late to be told apart
+    windows = {r[0]: r[2:] for r in got["windows"]}
+    assert windows[at(0)] == (4, 2.5, 2.0) and windows[at(30)] == (3, pytest.approx(13 / 3), 4.0) and windows[at(28)] == (1, 9.0, 9.0)
+    assert at(2) not in windows and at(80) not in windows
+    folded = pd.DataFrame(got["folded"], columns=["k", "ts", "v", "forecast", "score", "late"])
+    assert sorted(folded[folded.late]["v"]) == [7.0, 9.0] or sorted(folded[folded.late]["v"]) == [9.0]
+    mine = folded[(folded.k == 1) & ~folded.late].sort_values("ts", kind="stable")
+    assert mine["forecast"].tolist() == pytest.approx(fold_series(mine["v"].to_numpy(), 0.9, 0.5)[0])
