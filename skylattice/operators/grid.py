@@ -92,10 +92,13 @@ def local_metres(lat: Column, lon: Column, lat0: float, lon0: float, radius: flo
     return k * F.cos(p) * F.sin(d), k * (math.cos(p0) * F.sin(p) - math.sin(p0) * F.cos(p) * F.cos(d))
 
 
-def metric_targets(lat0: float, lon0: float, half_width: float, spacing: float, radius: float = 6371008.8) -> list[tuple[int, int, float, float, float, float]]:
+def metric_targets(lat0: float, lon0: float, half_width: float, spacing: float, radius: float = 6371008.8, scale_error: float = 0.08) -> list[tuple[int, int, float, float, float, float]]:
     """Regular metric grid around a centre: (ty, tx, y, x, latitude, longitude), by the inverse projection."""
     if half_width > 2_500_000:
         raise ValueError("a local grid reaches 2,500 km at most")
+    c = math.hypot(half_width, half_width) / radius  # the projection stretches most at the corners, across the line to the centre
+    if c / math.sin(c) - 1 > scale_error:
+        raise ValueError("the projection stretches the grid's corners too much")
     n, out, p0 = int(half_width // spacing), [], math.radians(lat0)
     for ty in range(2 * n + 1):
         for tx in range(2 * n + 1):

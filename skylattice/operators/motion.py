@@ -19,7 +19,8 @@ def feature_flow(pairs: DataFrame, keys: list[str], dy: float, dx: float, sigma:
     """Velocity by windowed least squares: Gaussian sums of gradient products, a 2 x 2 solve for each cell.
 
     ``confidence`` = smaller over larger eigenvalue of the normal matrix, times the share of the change
-    that the motion explains; flows under ``least`` are not accepted.
+    that the motion explains; flows under ``least`` are not accepted. Where the gradients all point one
+    way, the matrix is singular but for rounding, and there is no flow.
     """
     mean = pairs.withColumn("mid", (F.col("previous") + F.col("current")) / 2).withColumn("gt", (F.col("current") - F.col("previous")) / F.col("dt"))
     g = spatial_derivatives(mean, keys, "mid", dy, dx).withColumnRenamed("d_dx", "gx").withColumnRenamed("d_dy", "gy")
@@ -31,7 +32,7 @@ def feature_flow(pairs: DataFrame, keys: list[str], dy: float, dx: float, sigma:
     half = F.sqrt(((xx - yy) / 2) ** 2 + xy * xy)
     corner = ((xx + yy) / 2 - half) / F.greatest((xx + yy) / 2 + half, F.lit(1e-30))
     explained = F.greatest(F.lit(0.0), 1 - (tt + u * xt + v * yt) / F.greatest(tt, F.lit(1e-30)))
-    out = sums.where(det > 1e-30).select(*keys, "iy", "ix", u.alias("u"), v.alias("v"), (F.sqrt(F.greatest(corner, F.lit(0.0))) * F.least(explained, F.lit(1.0))).alias("confidence"))
+    out = sums.where(det > 1e-9 * (xx + yy) * (xx + yy)).select(*keys, "iy", "ix", u.alias("u"), v.alias("v"), (F.sqrt(F.greatest(corner, F.lit(0.0))) * F.least(explained, F.lit(1.0))).alias("confidence"))
     return out.withColumn("accepted", F.col("confidence") >= least)
 
 

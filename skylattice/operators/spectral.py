@@ -26,22 +26,49 @@ def detrended(df: DataFrame, keys: list[str], at: str, value: str) -> DataFrame:
     return df.join(fit, cell).withColumn("residual", F.col(value) - F.col("_m") - F.coalesce("_b", F.lit(0.0)) * (F.col(at) - F.col("_t"))).drop("_b", "_m", "_t")
 
 
-def wave_power(df: DataFrame, keys: list[str], at: str, residual: str, periods: list[float], waves: list[tuple[float, float]], dy: float, dx: float) -> DataFrame:
+def hann(df: DataFrame, keys: list[str], at: str) -> DataFrame:
+    """Adds ``hann``: the weight of each instant in a raised-cosine window over its region's record (1 in a record of one instant)."""
+    span = df.groupBy(*keys).agg(F.min(at).alias("_a"), F.max(at).alias("_z"))
+    place = (F.col(at) - F.col("_a")) / (F.col("_z") - F.col("_a"))
+    return df.join(span, keys).withColumn("hann", F.when(F.col("_z") > F.col("_a"), 0.5 * (1 - F.cos(2 * math.pi * place))).otherwise(1.0)).drop("_a", "_z")
+
+
+def wave_power(df: DataFrame, keys: list[str], at: str, residual: str, periods: list[float], waves: list[tuple[float, float]], dy: float, dx: float, weight: str | None = None) -> DataFrame:
     """Power of each (frequency, kx, ky) bin per region: one pass over the cells, sums added up before the shuffle.
 
-    The bins are a broadcast table of fixed size; no cube is ever on one node.
+    Amplitude and phase are those of the least-squares fit of a cos + b sin in the bin, null where the
+    readings can't tell the two apart. The bins are a broadcast table of fixed size; no cube is ever on one node.
     """
     rows = [(1.0 / p, kx, ky) for p in periods for kx, ky in waves]
     bins = df.sparkSession.createDataFrame(rows, "f double, kx double, ky double")
     phase = 2 * math.pi * (F.col("f") * F.col(at) - F.col("kx") * F.col("ix") * dx - F.col("ky") * F.col("iy") * dy)
-    spread = df.where(F.col(residual).isNotNull()).crossJoin(F.broadcast(bins))
-    sums = spread.groupBy(*keys, "f", "kx", "ky").agg(F.sum(F.col(residual) * F.cos(phase)).alias("_c"), F.sum(F.col(residual) * F.sin(phase)).alias("_s"), F.count("*").alias("n"))
-    return sums.select(*keys, "f", "kx", "ky", ((F.col("_c") ** 2 + F.col("_s") ** 2) / F.col("n") ** 2).alias("power"), (2 * F.hypot("_c", "_s") / F.col("n")).alias("amplitude"), F.atan2("_s", "_c").alias("phase"), "n")
+    spread = df.where(F.col(residual).isNotNull()).withColumn("_w", F.col(weight) if weight else F.lit(1.0)).crossJoin(F.broadcast(bins))
+    spread = spread.withColumn("_cos", F.cos(phase)).withColumn("_sin", F.sin(phase))
+    total = lambda e, name: F.sum(F.expr(f"_w * {e}")).alias(name)
+    sums = spread.groupBy(*keys, "f", "kx", "ky").agg(
+        total(f"`{residual}` * _cos", "_c"), total(f"`{residual}` * _sin", "_s"), total("_cos * _cos", "_cc"), total("_sin * _sin", "_ss"), total("_sin * _cos", "_cs"), F.sum("_w").alias("_n"), F.count("*").alias("n")
+    )
+    det = F.expr("_cc * _ss - _cs * _cs")
+    fit = lambda e: F.when(det > 1e-9 * F.expr("_n * _n"), F.expr(e) / det)
+    sums = sums.withColumn("_a", fit("_ss * _c - _cs * _s")).withColumn("_b", fit("_cc * _s - _cs * _c"))
+    return sums.select(*keys, "f", "kx", "ky", F.expr("(_c * _c + _s * _s) / (_n * _n)").alias("power"), F.hypot("_a", "_b").alias("amplitude"), F.atan2("_b", "_a").alias("phase"), "n")
 
 
 def wave_peak(power: DataFrame, keys: list[str]) -> DataFrame:
-    """Strongest bin of each region: period, wavelength, phase speed, bearing of propagation, and concentration."""
-    best = power.groupBy(*keys).agg(F.max_by(F.struct("f", "kx", "ky", "power", "amplitude", "phase"), F.struct("power", "f", "kx", "ky")).alias("p"), F.sum("power").alias("_all"))
+    """Strongest bin of each region: period, wavelength, phase speed, bearing of propagation, fit and clarity.
+
+    ``concentration`` is the peak's share of all power; ``uniqueness`` is 1 - power of the strongest bin
+    that is no neighbour of the peak (a step in frequency and each wave number) over the peak's.
+    """
+    places = [F.dense_rank().over(Window.partitionBy(*keys).orderBy(c)).alias(f"_{c}") for c in ("f", "kx", "ky")]  # a table of bins a region
+    placed = power.select(*power.columns, *places)
+    best = placed.groupBy(*keys).agg(F.max_by(F.struct("f", "kx", "ky", "power", "amplitude", "phase", "_f", "_kx", "_ky"), F.struct("power", "f", "kx", "ky")).alias("p"), F.sum("power").alias("_all"))
+    far = F.greatest(*[F.abs(F.col(f"_{c}") - F.col(f"p._{c}")) for c in ("f", "kx", "ky")]) > 1
+    other = placed.join(best.select(*keys, "p"), keys).where(far).groupBy(*keys).agg(F.max("power").alias("_other"))
+    best = best.join(other, keys, "left")
     k = F.hypot("p.kx", "p.ky")
     bearing = F.pmod(F.degrees(F.atan2(F.col("p.kx"), F.col("p.ky"))), F.lit(360.0))
-    return best.select(*keys, (1 / F.col("p.f")).alias("period"), F.when(k > 0, 1 / k).alias("wavelength"), F.when(k > 0, F.col("p.f") / k).alias("phase_speed"), F.when(k > 0, bearing).alias("bearing"), F.col("p.amplitude").alias("amplitude"), (F.col("p.power") / F.col("_all")).alias("concentration"))
+    return best.select(
+        *keys, (1 / F.col("p.f")).alias("period"), F.when(k > 0, 1 / k).alias("wavelength"), F.when(k > 0, F.col("p.f") / k).alias("phase_speed"), F.when(k > 0, bearing).alias("bearing"), F.col("p.amplitude").alias("amplitude"), F.col("p.phase").alias("phase"),
+        (F.col("p.power") / F.col("_all")).alias("concentration"), F.when(F.col("p.power") > 0, 1 - F.coalesce("_other", F.lit(0.0)) / F.col("p.power")).alias("uniqueness"),
+    )

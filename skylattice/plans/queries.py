@@ -581,7 +581,16 @@ def w14_even_sample(spark, sf_dir):
     return timeseries.even_sample(b.obs_grid(spark, sf_dir), ["day"], ["iy", "ix"], 20, 3).select("day", "iy", "ix")
 
 
-@query()
+def _fold_sql(key: str, at: str) -> str:
+    """The recurrence over rows s(key, at, x, i) as a recursion: score from the state before a row, then the new state."""
+    return f"""fold AS (SELECT {key}, {at}, i, x AS forecast, CAST(0 AS DOUBLE) AS score, 1 AS n, x AS mean, CAST(0 AS DOUBLE) AS m2, CAST(0 AS DOUBLE) AS h FROM s WHERE i = 1
+UNION ALL SELECT {key}, {at}, i, mean + scale * h, CASE WHEN n > 1 THEN abs(x - mean - scale * h) / scale ELSE 0.0 END, n + 1, mean + (x - mean) / (n + 1), m2 + (x - mean) * (x - (mean + (x - mean) / (n + 1))), a * h + (1 - a) * tanh(z)
+FROM (SELECT *, 0.9 ** (1 + 0.5 * least(abs(z), 10.0)) AS a FROM (SELECT *, (x - mean) / scale AS z FROM (SELECT {', '.join(f's.{c.strip()}' for c in f'{key}, {at}'.split(','))}, s.i, s.x, n, mean, m2, h, CASE WHEN n > 1 THEN greatest(sqrt(m2 / (n - 1)), 1e-6) ELSE 1.0 END AS scale
+  FROM fold JOIN s ON s.i = fold.i + 1 AND {' AND '.join(f's.{c.strip()} = fold.{c.strip()}' for c in key.split(','))}))))"""
+
+
+@query(f"""WITH RECURSIVE {OBS}, s AS (SELECT iy, ix, day, v AS x, row_number() OVER (PARTITION BY iy, ix ORDER BY day) AS i FROM obs), {_fold_sql('iy, ix', 'day')}
+SELECT iy, ix, day, {rs('forecast', 'forecast')}, {rs('score', 'score')}, score >= 4.5 AS candidate FROM fold""")
 def w15_recurrence(spark, sf_dir):
     out = timeseries.recurrence(b.obs_grid(spark, sf_dir), ["iy", "ix"], "day", "v")
     return out.select("iy", "ix", "day", r("forecast"), r("score"), "candidate")
@@ -672,7 +681,13 @@ def g5_epoch_rows(spark, sf_dir):
     return grid.densify(obs, obs.select("day").distinct(), *b.axes(), "v").where("valid").select("lat", "lon", r("v"))
 
 
-@query()
+@query(f"""WITH {OBS}, t AS (SELECT CAST(a AS INT) AS ty, CAST(e AS INT) AS tx, CAST((a - 8) * 125000 AS DOUBLE) AS y, CAST((e - 8) * 125000 AS DOUBLE) AS x FROM range(17) p(a), range(17) q(e)),
+c AS (SELECT *, sqrt(x * x + y * y) AS r, sqrt(x * x + y * y) / 6371008.8 AS c FROM t),
+l AS (SELECT ty, tx, y, x, CASE WHEN r = 0 THEN 0.0 ELSE degrees(asin(y * sin(c) / r)) END AS lat, CASE WHEN r = 0 THEN -165.0 ELSE degrees(radians(-165.0) + atan2(x * sin(c), r * cos(c))) END AS lon FROM c),
+a AS (SELECT *, (lat + 17.5) / 2.5 AS ay, (lon + 180) / 3.6 AS ax FROM l),
+w AS (SELECT ty, tx, y, x, CAST(floor(ay) AS INT) + dy AS iy, CAST(floor(ax) AS INT) + dx AS ix, (CASE WHEN dy = 1 THEN ay - floor(ay) ELSE 1 - ay + floor(ay) END) * (CASE WHEN dx = 1 THEN ax - floor(ax) ELSE 1 - ax + floor(ax) END) AS w FROM a, (VALUES (0), (1)) d(dy), (VALUES (0), (1)) e(dx)),
+k AS (SELECT *, count(*) OVER (PARTITION BY ty, tx) AS needed FROM w WHERE w > 1e-12)
+SELECT day, ty, tx, y AS y_m, x AS x_m, {rs('sum(w * v)', 'v')}, true AS spatially_interpolated FROM k JOIN obs USING (iy, ix) GROUP BY day, ty, tx, y, x, needed HAVING count(*) = needed""")
 def g6_metric_regrid(spark, sf_dir):
     out = grid.regrid_metric(b.obs_grid(spark, sf_dir), ["day"], "v", 0.0, -165.0, 2.5, 3.6, -17.5, -180.0, 1_000_000, 125_000)
     return out.select("day", "ty", "tx", "y_m", "x_m", r("v"), "spatially_interpolated")
@@ -741,11 +756,26 @@ def _survey_obs(spark, sf_dir) -> DataFrame:
     return b.obs_grid(spark, sf_dir).withColumn("slot", F.col("epoch") % 86400).withColumn("rms", F.lit(1.0))
 
 
-@query()
+_CANDIDATES = f"""{OBS}, d AS (SELECT o.day, o.epoch, o.iy, o.ix, o.lat, o.lon, any_value(o.v) AS v, median(p.v) AS c, list(p.v) AS l, count(p.v) AS k FROM obs o LEFT JOIN obs p ON p.iy = o.iy AND p.ix = o.ix AND p.day BETWEEN o.day - 7 AND o.day - 1 GROUP BY ALL),
+z AS (SELECT *, v - c AS deviation, (v - c) / greatest(2.0, 1.4826 * list_median(list_transform(l, lambda x: abs(x - c)))) AS score FROM d WHERE k >= 3 AND epoch > {(DAY0 + 7) * 86400}),
+c AS (SELECT *, CAST(sign(deviation) AS INT) AS polarity, iy * 100000 + ix AS id FROM z WHERE abs(deviation) >= 5 AND abs(score) >= 3),
+reach AS (SELECT day, polarity, id, id AS seed, iy, ix FROM c UNION SELECT c.day, c.polarity, c.id, reach.seed, c.iy, c.ix FROM reach JOIN c ON c.day = reach.day AND c.polarity = reach.polarity AND abs(c.iy - reach.iy) + abs(c.ix - reach.ix) = 1),
+b0 AS (SELECT day, polarity, iy, ix, min(seed) AS blob FROM reach GROUP BY ALL), bl AS (SELECT * FROM b0 QUALIFY count(*) OVER (PARTITION BY day, polarity, blob) >= 2), nd AS (SELECT DISTINCT day, polarity, blob, (day * 10000000 + blob) * polarity AS node FROM bl),
+ed AS (SELECT DISTINCT (p.day * 10000000 + p.blob) * p.polarity AS a, (q.day * 10000000 + q.blob) * q.polarity AS e FROM bl p JOIN bl q ON q.day = p.day + 1 AND q.polarity = p.polarity AND abs(p.iy - q.iy) + abs(p.ix - q.ix) <= 1),
+bo AS (SELECT a, e FROM ed UNION SELECT e, a FROM ed), tr AS (SELECT node, node AS seed FROM nd UNION SELECT bo.e, tr.seed FROM tr JOIN bo ON bo.a = tr.node), lb AS (SELECT node, min(seed) AS track FROM tr GROUP BY node),
+fu AS (SELECT track, c.* FROM lb JOIN nd USING (node) JOIN bl USING (day, polarity, blob) JOIN c USING (day, polarity, iy, ix)),
+pk AS (SELECT track, epoch AS peak_epoch, lat AS peak_lat, lon AS peak_lon, deviation AS peak_deviation, score AS peak_score FROM fu QUALIFY row_number() OVER (PARTITION BY track ORDER BY abs(score) DESC, epoch, lat, lon) = 1),
+gr AS (SELECT track, polarity, min(epoch) AS start_, max(epoch) AS end_, count(DISTINCT epoch) AS epochs, count(DISTINCT id) AS cells, min(lat) AS south, max(lat) AS north, sum(abs(deviation) * lat) / sum(abs(deviation)) AS centre_lat, degrees(atan2(sum(sin(radians(lon))), sum(cos(radians(lon))))) AS centre_lon, list(DISTINCT id) AS footprint FROM fu GROUP BY track, polarity),
+ca AS (SELECT *, -(abs(peak_score) * sqrt(least(cells, 25)) * sqrt(epochs)) AS rank_ FROM gr JOIN pk USING (track) WHERE epochs >= 2)"""
+
+
+@query(f"""WITH RECURSIVE {_CANDIDATES} SELECT polarity, start_ AS "start", end_ AS "end", end_ - start_ AS duration, epochs, cells, peak_epoch, peak_lat, peak_lon, {rs('peak_deviation', 'peak_deviation')}, {rs('peak_score', 'peak_score')}, south, north, {rs('centre_lat', 'centre_lat')}, {rs('centre_lon', 'centre_lon')},
+  CASE WHEN epochs >= 3 AND cells >= 3 THEN 'moderate' ELSE 'limited' END AS strength, {rs('rank_', 'rank')} FROM ca""")
 def g12_anomaly_survey(spark, sf_dir):
     dev = survey.deviations(_survey_obs(spark, sf_dir))
     found = survey.candidates(survey.flagged(dev, (DAY0 + 7) * 86400.0), 86400.0)
-    return found.select(*[c for c in found.columns if c not in ("track", "footprint")])
+    rounded = ("peak_deviation", "peak_score", "centre_lat", "centre_lon", "rank")
+    return found.select(*[r(c) if c in rounded else c for c in found.columns if c not in ("track", "footprint")])
 
 
 @query(f"""WITH {OBS}, d AS (SELECT o.day, o.iy, o.ix, any_value(o.v) AS v, median(p.v) AS c, list(p.v) AS l, count(p.v) AS k FROM obs o LEFT JOIN obs p ON p.iy = o.iy AND p.ix = o.ix AND p.day BETWEEN o.day - 7 AND o.day - 1 GROUP BY ALL)
@@ -763,7 +793,11 @@ def g12_survey_status(spark, sf_dir):
     return survey.survey_status(survey.deviations(_survey_obs(spark, sf_dir)), (DAY0 + 7) * 86400.0)
 
 
-@query()
+_NEXT = "SELECT x.* FROM {0} x, {1} y WHERE x.i > y.i AND len(list_intersect(x.footprint, y.footprint)) <= 0.25 * least(len(x.footprint), len(y.footprint))"
+
+
+@query(f"""WITH RECURSIVE {_CANDIDATES}, l1 AS (SELECT *, row_number() OVER (ORDER BY rank_, start_, peak_lat, peak_lon) AS i FROM ca), t1 AS (SELECT * FROM l1 ORDER BY i LIMIT 1), l2 AS ({_NEXT.format('l1', 't1')}), t2 AS (SELECT * FROM l2 ORDER BY i LIMIT 1), l3 AS ({_NEXT.format('l2', 't2')}), t3 AS (SELECT * FROM l3 ORDER BY i LIMIT 1)
+SELECT polarity, start_ AS "start", end_ AS "end", cells, epochs, {rs('rank_', 'rank')} FROM (FROM t1 UNION ALL FROM t2 UNION ALL FROM t3)""")
 def k4_ranked_suppression(spark, sf_dir):
     dev = survey.deviations(_survey_obs(spark, sf_dir))
     found = survey.candidates(survey.flagged(dev, (DAY0 + 7) * 86400.0), 86400.0).withColumn("scan", F.lit("scan"))
@@ -784,7 +818,34 @@ def _pairs(spark, sf_dir) -> DataFrame:
     return motion.frame_pairs(b.obs_grid(spark, sf_dir).select("day", "iy", "ix", "v"), [], "day", "v", 1.0)
 
 
-@query()
+def _kernel_sql(tag: str, sigma: float) -> str:
+    rows = ", ".join(f"({k}, {w!r})" for k, w in grid.kernel(sigma))
+    inside = lambda name, size: f"SELECT CAST(y AS INT) AS {name}, sum(w) AS n FROM range({size}) r(y), k{tag} WHERE y - k BETWEEN 0 AND {size - 1} GROUP BY y"
+    return f"k{tag}(k, w) AS (SELECT k, CAST(w AS DOUBLE) FROM (VALUES {rows}) t(k, w)), ey{tag} AS ({inside('iy', b.ROWS)}), ex{tag} AS ({inside('ix', b.RING)})"
+
+
+def _smooth_sql(source: str, values: list[str], out: str, tag: str, support: float) -> str:
+    sums = ", ".join(f"sum(a.w * e.w * coalesce({v}, 0)) AS s_{v}, sum(a.w * e.w * ({v} IS NOT NULL)::INT) AS m_{v}" for v in values)
+    got = ", ".join(f"CASE WHEN p.{v} IS NOT NULL AND m_{v} / (y.n * x.n) >= {support} THEN s_{v} / m_{v} END AS {v}" for v in values)
+    return f"""{out} AS (SELECT p.day, p.iy, p.ix, {got} FROM {source} p JOIN (SELECT day, iy + a.k AS iy, ix + e.k AS ix, {sums} FROM {source}, k{tag} a, k{tag} e GROUP BY ALL) s ON s.day = p.day AND s.iy = p.iy AND s.ix = p.ix
+  JOIN ey{tag} y ON y.iy = p.iy JOIN ex{tag} x ON x.ix = p.ix)"""
+
+
+def _slopes_sql(source: str, value: str, out: str, dx: str, dy: str) -> str:
+    near = lambda t, y, x: f"LEFT JOIN {source} {t} ON {t}.day = o.day AND {t}.iy = o.iy + {y} AND {t}.ix = o.ix + {x}"
+    return f"""{out} AS (SELECT o.*, CASE WHEN o.ix = g.x0 THEN (e.{value} - o.{value}) / 2 WHEN o.ix = g.x1 THEN (o.{value} - w.{value}) / 2 ELSE (e.{value} - w.{value}) / 4 END AS {dx},
+  CASE WHEN o.iy = g.y0 THEN (n.{value} - o.{value}) / 3 WHEN o.iy = g.y1 THEN (o.{value} - s.{value}) / 3 ELSE (n.{value} - s.{value}) / 6 END AS {dy}
+  FROM {source} o JOIN (SELECT day, min(ix) AS x0, max(ix) AS x1, min(iy) AS y0, max(iy) AS y1 FROM {source} GROUP BY day) g ON g.day = o.day {near('e', 0, 1)} {near('w', 0, -1)} {near('n', 1, 0)} {near('s', -1, 0)})"""
+
+
+_PAIRS = """pa AS (SELECT day, iy, ix, v AS c, lag(v) OVER w AS p, day - lag(day) OVER w AS dt FROM obs WINDOW w AS (PARTITION BY iy, ix ORDER BY day)), pr AS (SELECT *, (p + c) / 2 AS mid, (c - p) / dt AS gt FROM pa WHERE dt <= 1.5)"""
+_FLOW = f"""{_PAIRS}, {_kernel_sql('f', 1.5)}, {_slopes_sql('pr', 'mid', 'fg', 'gx', 'gy')}, fp AS (SELECT day, iy, ix, gx * gx AS xx, gx * gy AS xy, gy * gy AS yy, gx * gt AS xt, gy * gt AS yt, gt * gt AS tt FROM fg),
+{_smooth_sql('fp', ['xx', 'xy', 'yy', 'xt', 'yt', 'tt'], 'fs', 'f', 0.5)},
+fd AS (SELECT *, -(yy * xt - xy * yt) / (xx * yy - xy * xy) AS u, -(xx * yt - xy * xt) / (xx * yy - xy * xy) AS v, sqrt(((xx - yy) / 2) ** 2 + xy * xy) AS half FROM fs WHERE xx * yy - xy * xy > 1e-9 * (xx + yy) * (xx + yy)),
+fl AS (SELECT day, iy, ix, u, v, sqrt(greatest(((xx + yy) / 2 - half) / greatest((xx + yy) / 2 + half, 1e-30), 0.0)) * least(greatest(0.0, 1 - (tt + u * xt + v * yt) / greatest(tt, 1e-30)), 1.0) AS confidence FROM fd)"""
+
+
+@query(f"WITH {OBS}, {_FLOW} SELECT day, iy, ix, {rs('u', 'u')}, {rs('v', 'v')}, {rs('confidence', 'confidence')}, confidence >= 0.4 AS accepted FROM fl")
 def g14_feature_flow(spark, sf_dir):
     return motion.feature_flow(_pairs(spark, sf_dir), ["day"], 3.0, 2.0, 1.5, b.ROWS, b.RING).select("day", "iy", "ix", r("u"), r("v"), r("confidence"), "accepted")
 
@@ -795,7 +856,9 @@ def g15_growth_ambiguity(spark, sf_dir):
     return motion.growth_ambiguity(_pairs(spark, sf_dir), ["day"]).select("day", r("gain"), r("correlation"), r("ambiguity"), "cells")
 
 
-@query()
+@query(f"""WITH {OBS}, {_FLOW}, {_slopes_sql('fl', 'u', 'fu', 'ux', 'uy')}, {_slopes_sql('fu', 'v', 'fv', 'vx', 'vy')}, {_slopes_sql('pr', 'c', 'pg', 'dx', 'dy')},
+j AS (SELECT fv.day, fv.iy, fv.ix, ux + vy AS divergence, vx - uy AS vorticity, sqrt((ux - vy) ** 2 + (vx + uy) ** 2) AS strain, gt + u * dx + v * dy AS raw, confidence >= 0.4 AS accepted FROM fv JOIN pg ON pg.day = fv.day AND pg.iy = fv.iy AND pg.ix = fv.ix)
+SELECT day, iy, ix, {rs('divergence', 'divergence')}, {rs('vorticity', 'vorticity')}, {rs('strain', 'strain')}, {rs('raw', 'residual_raw')}, {rs('CASE WHEN accepted THEN raw END', 'residual')} FROM j""")
 def g16_flow_kinematics(spark, sf_dir):
     flow = motion.feature_flow(_pairs(spark, sf_dir), ["day"], 3.0, 2.0, 1.5, b.ROWS, b.RING)
     k = motion.flow_kinematics(flow.select("day", "iy", "ix", "u", "v"), ["day"], 3.0, 2.0)
@@ -827,11 +890,19 @@ def g18_wave_power(spark, sf_dir):
     return power.select(r(1 / F.col("f"), "period"), r("kx"), r("ky"), r("power"))
 
 
-@query()
+@query(f"""WITH {OBS}, t AS (SELECT iy, ix, regr_slope(v, day) AS s, avg(v) AS m, avg(day) AS d FROM obs GROUP BY iy, ix), o AS (SELECT iy % 3 AS region, day, iy, ix, v - m - coalesce(s, 0) * (day - d) AS x FROM obs JOIN t USING (iy, ix)),
+h AS (SELECT *, min(day) OVER w AS d0, max(day) OVER w AS d1 FROM o WINDOW w AS (PARTITION BY region)), bi AS (SELECT 1.0 / p AS f, CAST(kx AS DOUBLE) AS kx, CAST(ky AS DOUBLE) AS ky FROM (VALUES (4.0::DOUBLE), (6.0), (8.0), (12.0)) a(p), (VALUES {_WAVE_ROWS}) e(kx, ky)),
+w AS (SELECT region, f, kx, ky, x, CASE WHEN d1 > d0 THEN 0.5 * (1 - cos(2 * pi() * (day - d0) / (d1 - d0))) ELSE 1.0 END AS g, 2 * pi() * (f * day - kx * ix * 3 - ky * iy * 2) AS ph FROM h, bi),
+s AS (SELECT region, f, kx, ky, sum(g * x * cos(ph)) AS c, sum(g * x * sin(ph)) AS s, sum(g * cos(ph) ** 2) AS cc, sum(g * sin(ph) ** 2) AS ss, sum(g * sin(ph) * cos(ph)) AS cs, sum(g) AS n FROM w GROUP BY ALL),
+q AS (SELECT *, (c * c + s * s) / (n * n) AS power, dense_rank() OVER (PARTITION BY region ORDER BY f) AS rf, dense_rank() OVER (PARTITION BY region ORDER BY kx) AS rx, dense_rank() OVER (PARTITION BY region ORDER BY ky) AS ry FROM s),
+pk AS (SELECT *, sum(power) OVER (PARTITION BY region) AS total FROM q QUALIFY row_number() OVER (PARTITION BY region ORDER BY power DESC, f DESC, kx DESC, ky DESC) = 1),
+co AS (SELECT q.region, max(q.power) AS other FROM q JOIN pk ON pk.region = q.region WHERE greatest(abs(q.rf - pk.rf), abs(q.rx - pk.rx), abs(q.ry - pk.ry)) > 1 GROUP BY q.region),
+z AS (SELECT pk.*, other, sqrt(kx * kx + ky * ky) AS k, (ss * c - cs * s) / (cc * ss - cs * cs) AS fa, (cc * s - cs * c) / (cc * ss - cs * cs) AS fb FROM pk LEFT JOIN co USING (region))
+SELECT region, {rs('1 / f', 'period')}, {rs('1 / k', 'wavelength')}, {rs('f / k', 'phase_speed')}, {rs('degrees(atan2(kx, ky)) + CASE WHEN atan2(kx, ky) < 0 THEN 360 ELSE 0 END', 'bearing')}, {rs('sqrt(fa * fa + fb * fb)', 'amplitude')}, {rs('atan2(fb, fa)', 'phase')}, {rs('power / total', 'concentration')}, {rs('1 - coalesce(other, 0) / power', 'uniqueness')} FROM z""")
 def g18_wave_peak(spark, sf_dir):
-    residual = spectral.detrended(b.obs_grid(spark, sf_dir).withColumn("region", F.col("iy") % 3), ["region"], "day", "v")
-    peak = spectral.wave_peak(spectral.wave_power(residual, ["region"], "day", "residual", [4.0, 6.0, 8.0, 12.0], _WAVES, 2.0, 3.0), ["region"])
-    return peak.select("region", *[r(c) for c in ("period", "wavelength", "phase_speed", "bearing", "amplitude", "concentration")])
+    residual = spectral.hann(spectral.detrended(b.obs_grid(spark, sf_dir).withColumn("region", F.col("iy") % 3), ["region"], "day", "v"), ["region"], "day")
+    peak = spectral.wave_peak(spectral.wave_power(residual, ["region"], "day", "residual", [4.0, 6.0, 8.0, 12.0], _WAVES, 2.0, 3.0, "hann"), ["region"])
+    return peak.select("region", *[r(c) for c in ("period", "wavelength", "phase_speed", "bearing", "amplitude", "phase", "concentration", "uniqueness")])
 
 
 @query(f"""WITH {OBS}, t AS (SELECT unnest([{DAY0 + 10}, {DAY0 + 15}, {DAY0 + 20}, {DAY0 + 29}]) AS target), e AS (SELECT target, iy, ix, day, v FROM obs, t WHERE day <= target), m AS (SELECT *, median(v) OVER (PARTITION BY target, iy, ix) AS c FROM e),
@@ -846,7 +917,17 @@ def g19_epoch_series(spark, sf_dir):
     return scale.join(now, ["target", "iy", "ix"]).select("target", "iy", "ix", r((F.col("v") - F.col("centre")) / F.col("scale"), "z"))
 
 
-@query()
+@query(f"""WITH {OBS}, b0 AS (SELECT *, CASE WHEN count(v) OVER w = 5 THEN quantile_cont(v, 0.5) OVER w END AS base FROM obs WINDOW w AS (PARTITION BY iy, ix ORDER BY day ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)),
+b1 AS (SELECT *, v - base AS a, lag(v) OVER w AS v0, lag(day) OVER w AS t0, lead(v) OVER w AS v1, lead(day) OVER w AS t1 FROM b0 WHERE base IS NOT NULL WINDOW w AS (PARTITION BY iy, ix ORDER BY day)),
+f AS (SELECT day, iy, ix, a, CASE WHEN t0 IS NULL THEN (v1 - v) / (t1 - day) WHEN t1 IS NULL THEN (v - v0) / (day - t0) ELSE ((v - v0) / (day - t0) * (t1 - day) + (v1 - v) / (t1 - day) * (day - t0)) / (t1 - t0) END AS rate FROM b1),
+{_kernel_sql('b', 1.0)}, {_smooth_sql('f', ['a'], 'sm', 'b', 0.8)}, sn AS (SELECT * FROM sm WHERE a IS NOT NULL), {_slopes_sql('sn', 'a', 'sl', 'dx', 'dy')}, sp AS (SELECT day, iy, ix, dx * dx AS xx, dy * dy AS yy, dx * dy AS xy FROM sl), {_smooth_sql('sp', ['xx', 'yy', 'xy'], 'st', 'b', 0.8)},
+{_FLOW}, m AS (SELECT day, tanh(avg(abs(a)) / 40) AS anomaly, tanh(avg(abs(rate)) / 40) AS temporal FROM f GROUP BY day), mg AS (SELECT day, tanh(avg(sqrt(dx * dx + dy * dy)) / 10) AS gradient FROM sl GROUP BY day),
+mc AS (SELECT day, avg(CASE WHEN (xx + yy) / 2 > 1e-20 THEN sqrt(((xx - yy) / 2) ** 2 + xy * xy) / ((xx + yy) / 2) END) AS coherence FROM st GROUP BY day), mf AS (SELECT day, avg(confidence) AS flow FROM fl GROUP BY day),
+e AS (SELECT day, anomaly, temporal, coalesce(gradient, 0) AS gradient, coalesce(coherence, 0) AS coherence, coalesce(flow, 0) AS flow FROM m LEFT JOIN mg USING (day) LEFT JOIN mc USING (day) LEFT JOIN mf USING (day)),
+q AS (SELECT day, unnest([{{'score': (1 - anomaly) * (1 - temporal) * (1 - gradient), 'name': 'quiet'}}, {{'score': gradient * coherence, 'name': 'front'}}, {{'score': flow, 'name': 'flow'}}, {{'score': temporal * (1 - coherence), 'name': 'disturbed'}}]) AS x FROM e),
+o AS (SELECT day, x.name AS name, x.score AS score, row_number() OVER (PARTITION BY day ORDER BY x.score DESC, x.name DESC) AS i FROM q),
+w AS (SELECT day, max(CASE WHEN i = 1 THEN name END) AS label, max(CASE WHEN i = 1 THEN score END) AS s1, max(CASE WHEN i = 2 THEN score END) AS s2 FROM o GROUP BY day)
+SELECT day, {rs('anomaly', 'anomaly')}, {rs('gradient', 'gradient')}, {rs('coherence', 'coherence')}, {rs('flow', 'flow')}, {rs('temporal', 'temporal')}, label, {rs('(s1 - s2) / greatest(s1, 1e-12)', 'margin')} FROM e JOIN w USING (day)""")
 def g20_field_pipeline(spark, sf_dir):
     from skylattice.plans.fields import analyse
 
@@ -1214,7 +1295,8 @@ def t5_grace_join(spark, sf_dir):
     return out.join(F.broadcast(closed), F.col("valid_at") < F.col("until")).select("event_id", r("predicted"), r("actual"))
 
 
-@query()
+@query(f"""WITH RECURSIVE s AS (SELECT user_id, ts, value AS x, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events), {_fold_sql('user_id', 'ts')}
+SELECT user_id, epoch_us(ts) AS t, {rs('forecast', 'forecast')}, {rs('score', 'score')}, false AS late FROM fold""")
 def t6_ordered_state(spark, sf_dir):
     from skylattice.streaming.streams import recurrence_stream, run_to_table
 
