@@ -48,6 +48,23 @@ def growth_ambiguity(pairs: DataFrame, keys: list[str]) -> DataFrame:
     return sums.select(*keys, gain.alias("gain"), "correlation", F.when(gain > 0, F.log(gain)).alias("log_gain"), explained.alias("ambiguity"), "cells")
 
 
+def local_ambiguity(pairs: DataFrame, keys: list[str], sigma: float, rows: int, columns: int, support: float, threshold: float) -> DataFrame:
+    """The same model fitted around each cell, from Gaussian-weighted moments of previous, current and their products.
+
+    ``explained`` is the share of the change that gain and offset explain (0 where the window has too
+    little support or no contrast), ``ambiguity`` what of it lies over ``threshold``, from 0 to 1.
+    """
+    names = {"p": "previous", "c": "current", "pp": "previous * previous", "cc": "current * current", "pc": "previous * current", "dd": "(current - previous) * (current - previous)"}
+    m = smooth(pairs.select(*keys, "iy", "ix", *[F.expr(e).alias(n) for n, e in names.items()]), keys, list(names), sigma, rows, columns, support)
+    p, c, pp, cc, pc, dd = (F.col(f"{n}_smooth") for n in names)
+    vp, vc, both = pp - p * p, F.greatest(cc - c * c, F.lit(0.0)), pc - p * c
+    contrast = vp > 1e-9 * pp
+    left = F.greatest(vc - both * both / vp, F.lit(0.0))
+    explained = F.when(contrast & (dd > 1e-9 * pp), F.least(F.lit(1.0), F.greatest(F.lit(0.0), 1 - left / dd))).otherwise(0.0)
+    out = m.select(*keys, "iy", "ix", F.when(contrast, both / vp).alias("gain"), explained.alias("explained"))
+    return out.withColumn("ambiguity", F.greatest(F.lit(0.0), (F.col("explained") - threshold) / (1 - threshold)))
+
+
 def flow_kinematics(flow: DataFrame, keys: list[str], dy: float, dx: float) -> DataFrame:
     """Divergence, vorticity and strain of (u, v)."""
     du = spatial_derivatives(flow, keys, "u", dy, dx).select(*keys, "iy", "ix", "u", "v", F.col("d_dx").alias("ux"), F.col("d_dy").alias("uy"))

@@ -82,6 +82,25 @@ def search(decisions: DataFrame, start: Column, end: Column, anomaly: bool | Non
     return out if assessment is None else out.where(F.col("assessment") == assessment)
 
 
+def vertical_slice(obs: DataFrame, region: str, now: Column, cutoff: Column, start: Column, end: Column, sd: float, threshold: float = 3.0, minimum: float = 0.5) -> DataFrame:
+    """Load, regional readout, forecast, reconcile and search in one plan, for cells (region, day, v) of daily maps.
+
+    A region's readout is the mean of its cells; its coverage is their number over the most on a day. Each
+    readout forecasts the next day's, which is known a day after its own. Rows are the decisions valid in
+    [start, end), with their status at ``now``.
+    """
+    readout = obs.groupBy(region, "day").agg(F.avg("v").alias("value"), F.count("v").alias("_cells"))
+    most = readout.groupBy(region).agg(F.max("_cells").alias("_most"))
+    at, a_day = F.timestamp_seconds(F.col("day") * 86400), F.expr("INTERVAL 1 DAY")
+    readout = readout.join(most, region).select(region, "value", (F.col("_cells") / F.col("_most")).alias("coverage"), at.alias("observed_at"))
+    requests = readout.select(region, F.col("observed_at").alias("origin_at"), (F.col("observed_at") + a_day).alias("issued_at"), (F.col("observed_at") + a_day).alias("valid_at"), F.lit(False).alias("live"))
+    issued = issue_forecasts(requests, readout.withColumn("produced_at", F.col("observed_at")), [region], minimum).where("reject_reason IS NULL")
+    known = readout.withColumn("ingested_at", F.col("observed_at") + a_day).withColumn("revision_priority", F.lit(1)).withColumn("artifact_id", F.unix_seconds("observed_at"))
+    made = reconcile(decide(match_actuals(issued, known, [region], now), F.lit(0.0), F.lit(sd), threshold, minimum), now, cutoff)
+    made = made.withColumn("decision_id", F.col("forecast_id")).withColumn("supersedes_decision_id", F.lit(None).cast("string"))
+    return search(made, start, end)
+
+
 def outcome_counts(df: DataFrame) -> DataFrame:
     """Forecasts considered, scored, short of data, and still to be retried."""
     count = lambda s: F.count_if(F.col("status") == s)

@@ -856,6 +856,13 @@ def g15_growth_ambiguity(spark, sf_dir):
     return motion.growth_ambiguity(_pairs(spark, sf_dir), ["day"]).select("day", r("gain"), r("correlation"), r("ambiguity"), "cells")
 
 
+@query(f"""WITH {OBS}, {_PAIRS}, {_kernel_sql('g', 2.0)}, mo AS (SELECT day, iy, ix, p, c, p * p AS pp, c * c AS cc, p * c AS pc, (c - p) ** 2 AS dd FROM pr), {_smooth_sql('mo', ['p', 'c', 'pp', 'cc', 'pc', 'dd'], 'ms', 'g', 0.5)},
+e AS (SELECT *, pp - p * p AS vp, greatest(cc - c * c, 0.0) AS vc, pc - p * c AS cv FROM ms), x AS (SELECT *, CASE WHEN vp > 1e-9 * pp AND dd > 1e-9 * pp THEN least(1.0, greatest(0.0, 1 - greatest(vc - cv * cv / vp, 0.0) / dd)) ELSE 0.0 END AS explained FROM e)
+SELECT day, iy, ix, {rs('CASE WHEN vp > 1e-9 * pp THEN cv / vp END', 'gain')}, {rs('explained', 'explained')}, {rs('greatest(0.0, (explained - 0.5) / 0.5)', 'ambiguity')} FROM x""")
+def g15_local_ambiguity(spark, sf_dir):
+    return motion.local_ambiguity(_pairs(spark, sf_dir), ["day"], 2.0, b.ROWS, b.RING, 0.5, 0.5).select("day", "iy", "ix", r("gain"), r("explained"), r("ambiguity"))
+
+
 @query(f"""WITH {OBS}, {_FLOW}, {_slopes_sql('fl', 'u', 'fu', 'ux', 'uy')}, {_slopes_sql('fu', 'v', 'fv', 'vx', 'vy')}, {_slopes_sql('pr', 'c', 'pg', 'dx', 'dy')},
 j AS (SELECT fv.day, fv.iy, fv.ix, ux + vy AS divergence, vx - uy AS vorticity, sqrt((ux - vy) ** 2 + (vx + uy) ** 2) AS strain, gt + u * dx + v * dy AS raw, confidence >= 0.4 AS accepted FROM fv JOIN pg ON pg.day = fv.day AND pg.iy = fv.iy AND pg.ix = fv.ix)
 SELECT day, iy, ix, {rs('divergence', 'divergence')}, {rs('vorticity', 'vorticity')}, {rs('strain', 'strain')}, {rs('raw', 'residual_raw')}, {rs('CASE WHEN accepted THEN raw END', 'residual')} FROM j""")
@@ -1048,6 +1055,17 @@ def l10_vertical_slice(spark, sf_dir):
     return lifecycle.outcome_counts(_reconciled(spark, sf_dir))
 
 
+@query(f"""WITH {OBS}, g AS (SELECT iy % 3 AS region, day, avg(v) AS value, count(v) AS cells FROM obs GROUP BY ALL), h AS (SELECT *, cells / CAST(max(cells) OVER (PARTITION BY region) AS DOUBLE) >= 0.5 AS good FROM g),
+d AS (SELECT f.region, f.day + 1 AS valid_day, f.value AS predicted, coalesce(a.good, false) AS usable, CASE WHEN a.good THEN a.value - f.value END AS residual FROM h f LEFT JOIN h a ON a.region = f.region AND a.day = f.day + 1 AND a.day < {DAY0 + 25} WHERE f.good)
+SELECT region, valid_day, {rs('predicted', 'predicted')}, {rs('residual', 'residual')}, {rs('abs(residual / 6.0)', 'anomaly_score')}, CASE WHEN usable THEN CASE WHEN abs(residual / 6.0) >= 1.5 THEN 'candidate' ELSE 'normal' END END AS assessment,
+  CASE WHEN valid_day > {DAY0 + 26} THEN 'NOT_DUE' WHEN usable THEN 'SCORED' WHEN valid_day >= {DAY0 + 25} THEN 'PENDING' ELSE 'INSUFFICIENT_DATA' END AS status FROM d WHERE valid_day >= {DAY0 + 5} AND valid_day < {DAY0 + 29}""")
+def l10_slice_run(spark, sf_dir):
+    at = lambda day: F.timestamp_seconds(F.lit(day * 86400))
+    cells = b.obs_grid(spark, sf_dir).withColumn("region", F.col("iy") % 3)
+    out = lifecycle.vertical_slice(cells, "region", at(DAY0 + 25), at(DAY0 + 26), at(DAY0 + 5), at(DAY0 + 29), 6.0, 1.5)
+    return out.select("region", _valid_day(), r("predicted"), r("residual"), r("anomaly_score"), "assessment", "status")
+
+
 # --- data quality and provenance ---------------------------------------------------------------
 
 
@@ -1230,14 +1248,19 @@ def s12_missing_days(spark, sf_dir):
 FEEDS = 4
 
 
-def _events_stream(spark, sf_dir) -> DataFrame:
-    """The events as a stream of FEEDS batches in order of time, each of two files that are written after those before."""
+def _events_stream(spark, sf_dir, late: Column | None = None) -> DataFrame:
+    """The events as a stream of FEEDS batches in order of time, each of two files that are written after those before.
+
+    The rows that ``late`` names come with the last batch.
+    """
     from skylattice.streaming.streams import read_stream
 
     e = b.table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     path, second = _folder(spark, "stream-in"), F.unix_seconds("ts")
     first, last = e.agg(F.min(second), F.max(second)).first()
     share = F.least(F.lit(FEEDS - 1), F.floor((second - first) * FEEDS / max(1, last - first)))
+    if late is not None:
+        share = F.when(late, FEEDS - 1).otherwise(share)
     for feed in range(FEEDS):
         e.where(share == feed).repartition(2).write.mode("append").parquet(path)
     return read_stream(spark, path, e.schema, files=2)
@@ -1281,6 +1304,16 @@ def t4_late_revisions(spark, sf_dir):
     return rescore_late(obs.where("v > 280").select("day"), score, obs.select("day").distinct(), "day")
 
 
+@query(f"""WITH u AS (SELECT CAST(datediff('day', DATE '1970-01-01', CAST(ts AS DATE)) AS BIGINT) AS day, user_id, avg(value) AS v FROM events GROUP BY ALL) SELECT day, count(*) AS cells, {rs('avg(v)', 'mean_v')} FROM u GROUP BY day""")
+def t4_late_stream(spark, sf_dir):
+    from skylattice.streaming.streams import rescore_stream
+
+    out, mark = _stream_out(spark)
+    score = lambda rows: rows.groupBy("day", "user_id").agg(F.avg("value").alias("v")).groupBy("day").agg(F.count("*").alias("cells"), F.avg("v").alias("mean_v"))
+    scores, _ = rescore_stream(_events_stream(spark, sf_dir, F.col("event_type") == "error"), out, mark, "ts", score)
+    return scores.select("day", "cells", r("mean_v"))
+
+
 @query("""WITH f AS (SELECT event_id, user_id, ts, value FROM events WHERE event_type = 'purchase'), a AS (SELECT user_id, ts, value FROM events WHERE event_type = 'view')
 SELECT event_id, round(f.value, 6) + CAST(0 AS DOUBLE) AS predicted, round(a.value, 6) + CAST(0 AS DOUBLE) AS actual FROM f LEFT JOIN a ON a.user_id = f.user_id AND a.ts BETWEEN f.ts AND f.ts + INTERVAL 6 HOURS
 WHERE f.ts < (SELECT max(ts) - INTERVAL 2 DAYS FROM events)""")
@@ -1325,6 +1358,15 @@ def t8_sliding_baseline(spark, sf_dir):
     return run_to_table(against_baseline(stream, baseline, ["user_id", "day"], "value"), *_stream_out(spark)).select("event_id", r("deviation"))
 
 
+@query("""WITH e AS (SELECT event_id, user_id % 15 AS iy, CAST(ts AS DATE) AS day, hour(ts) AS h, value FROM events), d AS (SELECT iy, day, h, avg(value) AS v FROM e GROUP BY ALL),
+m AS (SELECT d.iy, d.day, d.h, median(p.v) AS m FROM d LEFT JOIN d p ON p.iy = d.iy AND p.h = d.h AND p.day BETWEEN d.day - 7 AND d.day - 1 GROUP BY ALL) SELECT event_id, round(value - m, 6) + CAST(0 AS DOUBLE) AS deviation FROM e JOIN m USING (iy, day, h)""")
+def t8_same_hour_stream(spark, sf_dir):
+    from skylattice.streaming.streams import against_same_hour
+
+    stream = _events_stream(spark, sf_dir).withColumn("iy", b.cell_row())
+    return against_same_hour(stream, *_stream_out(spark), ["iy"], "ts", "value").select("event_id", r("deviation"))
+
+
 @query("SELECT coalesce(CASE WHEN value > 200 THEN 'value_too_large' WHEN event_type = 'error' THEN 'error_event' END, 'kept') AS outcome, count(*) AS n FROM events GROUP BY 1")
 def t9_rejects(spark, sf_dir):
     from skylattice.streaming.streams import split_rejects

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from skylattice.operators.joins import array_median, changed_and_next, same_time_history
 from skylattice.operators.timeseries import fold_step
 
 
@@ -91,6 +92,60 @@ def against_baseline(stream: DataFrame, baseline: DataFrame, keys: list[str], va
     return stream.join(baseline, keys, "left").withColumn("deviation", F.col(value) - F.col("baseline"))
 
 
+def _arrived(batch: DataFrame, number: int, path: str) -> DataFrame:
+    """All rows that have come by now: the batch goes beside those before it, into a folder that a retry overwrites."""
+    batch.write.mode("overwrite").parquet(f"{path}/arrived/batch={number}")
+    return batch.sparkSession.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(f"{path}/arrived")
+
+
+def _run(stream: DataFrame, save: Callable[[DataFrame, int], None], checkpoint: str) -> SparkSession:
+    stream.writeStream.foreachBatch(save).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return stream.sparkSession
+
+
+def against_same_hour(stream: DataFrame, path: str, checkpoint: str, keys: list[str], at: str, value: str, days: int = 7) -> DataFrame:
+    """Each batch's rows beside a sliding baseline, made anew for the batch from what has arrived by then.
+
+    The baseline is the median, over the ``days`` days before, of a key's daily means at the same hour; null
+    where there is none. Only the days that a batch looks back to are read.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        day, hour = F.unix_date(F.to_date(at)), F.hour(at)
+        first = batch.agg(F.min(day)).first()[0]
+        recent = _arrived(batch, number, path).where(day >= F.lit(first) - days)
+        means = recent.groupBy(*keys, day.alias("_day"), hour.alias("_hour")).agg(F.avg(value).alias("_v"))
+        base = same_time_history(means, keys, "_day", "_hour", "_v", days).select(*keys, "_day", "_hour", array_median("prior").alias("baseline"))
+        out = batch.withColumn("_day", day).withColumn("_hour", hour).join(base.hint("merge"), [*keys, "_day", "_hour"], "left").drop("_day", "_hour")
+        out.withColumn("deviation", F.col(value) - F.col("baseline")).write.mode("overwrite").parquet(f"{path}/judged/batch={number}")
+
+    return _run(stream, save, checkpoint).read.option("recursiveFileLookup", "true").parquet(f"{path}/judged")
+
+
+def rescore_stream(stream: DataFrame, path: str, checkpoint: str, at: str, score: Callable[[DataFrame], DataFrame], overlap: int = 30) -> tuple[DataFrame, DataFrame]:
+    """Late and revised rows in a stream: the days of each batch, and the day after each, are scored again.
+
+    ``score`` takes rows with ``day`` (days since 1970) and gives one row a day; it gets all rows of these
+    days that have arrived. The last score of a day counts. Days more than ``overlap`` before the latest one
+    are not scored again; they come back in a second table, for :func:`rescore_late`.
+    """
+
+    def save(batch: DataFrame, number: int) -> None:
+        day = F.unix_date(F.to_date(at)).cast("bigint")
+        rows = _arrived(batch, number, path).withColumn("day", day)
+        latest = rows.agg(F.max("day").alias("_latest"))
+        changed = batch.select(day.alias("day")).distinct().join(F.broadcast(latest)).withColumn("beyond", F.col("day") < F.col("_latest") - overlap).drop("_latest")
+        changed.where("beyond").select("day").write.mode("overwrite").parquet(f"{path}/beyond/batch={number}")
+        again = changed_and_next(rows, changed.where("NOT beyond"), "day")
+        score(again).withColumn("run", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{path}/scores/batch={number}")
+
+    spark = _run(stream, save, checkpoint)
+    read = lambda name: spark.read.option("recursiveFileLookup", "true").parquet(f"{path}/{name}")
+    scores = read("scores")
+    last = scores.groupBy("day").agg(F.max_by(F.struct(*[c for c in scores.columns if c not in ("day", "run")]), "run").alias("_s")).select("day", "_s.*")
+    return last, read("beyond").distinct()
+
+
 def split_rejects(stream: DataFrame, rules: dict, path: str, checkpoint: str) -> tuple[DataFrame, DataFrame]:
     """Good rows and rejects (with the first rule that failed) in two tables; nothing is dropped silently."""
     reason = F.lit(None).cast("string")
@@ -102,6 +157,4 @@ def split_rejects(stream: DataFrame, rules: dict, path: str, checkpoint: str) ->
 
 def rescore_late(changed_days: DataFrame, score: Callable[[DataFrame], DataFrame], days: DataFrame, day: str) -> DataFrame:
     """Revisions beyond the watermark: changed days and the day after each are scored again in batch."""
-    from skylattice.operators.joins import changed_and_next
-
     return score(changed_and_next(days, changed_days, day))
