@@ -131,6 +131,20 @@ def next_step_pairs(df: DataFrame, keys: list[str], at: str, value: str, coverag
     return df.withColumn("part", F.when(F.col("_i") > F.col("_n") - F.floor(F.col("_n") * calibration), "calibration").otherwise("fit")).drop("_i", "_n")
 
 
+def next_map_residuals(df: DataFrame, keys: list[str], at: str, value: str, until: int, ridge: float) -> DataFrame:
+    """What is left of each row's step from the row before, after the part of the step before it that a ridge fit carries over.
+
+    The gain of a key is fitted on its rows up to ``until``; ``err`` = step - gain * step before. Another
+    predictor takes this one's place by giving ``err`` for the same rows.
+    """
+    w = Window.partitionBy(*keys).orderBy(at)
+    steps = df.withColumn("res", F.col(value) - F.lag(value).over(w)).withColumn("prev", F.lag("res").over(w)).where("prev IS NOT NULL")
+    fit = F.col(at) <= until
+    total = lambda c: F.coalesce(F.sum(F.when(fit, c)), F.lit(0.0))
+    gains = steps.groupBy(*keys).agg((total(F.col("res") * F.col("prev")) / (total(F.col("prev") * F.col("prev")) + ridge)).alias("gain"))
+    return steps.join(gains, keys).withColumn("err", F.col("res") - F.col("gain") * F.col("prev"))
+
+
 def longest_run(df: DataFrame, keys: list[str], at: str, ok: str, step: float) -> DataFrame:
     """Length of the longest run of successive rows with ``ok``, steps at most ``step`` apart."""
     runs = islands(df.where(F.col(ok)), keys, at, step)

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.operators import grid, motion, timeseries, topk
+from skylattice.operators import aggregates, grid, motion, timeseries, topk
 
 
 def analyse(obs: DataFrame, rows: int, columns: int, dy: float = 3.0, dx: float = 2.0, sigma: float = 1.0, scale: float = 40.0) -> DataFrame:
@@ -25,3 +25,82 @@ def analyse(obs: DataFrame, rows: int, columns: int, dy: float = 3.0, dx: float
     scores = {"quiet": quiet, "front": F.col("gradient") * F.col("coherence"), "flow": F.col("flow"), "disturbed": F.col("temporal") * (1 - F.col("coherence"))}
     label, margin = topk.best_label(scores)
     return means.withColumn("label", label).withColumn("margin", margin)
+
+
+def _shape(rows: int, columns: int) -> tuple[Column, Column, Column]:
+    """Aggregates of an object's cells: elongation from their second moments, share of the bounding box, contact with the grid's border."""
+    own = 1 / 12  # a cell has an extent itself
+    vy, vx = F.var_pop("iy") + own, F.var_pop("ix") + own
+    half = F.sqrt(((vy - vx) / 2) ** 2 + F.covar_pop("iy", "ix") ** 2)
+    box = (F.max("iy") - F.min("iy") + 1) * (F.max("ix") - F.min("ix") + 1)
+    border = (F.min("iy") == 0) | (F.min("ix") == 0) | (F.max("iy") == rows - 1) | (F.max("ix") == columns - 1)
+    return F.sqrt(((vy + vx) / 2 + half) / ((vy + vx) / 2 - half)), F.count("*") / box, border
+
+
+def event_means(frames: DataFrame, wave: DataFrame, rows: int, columns: int, dy: float, dx: float, scale: float, strong: float) -> DataFrame:
+    """What the seven scores are made of, one row a day, for frames (day, iy, ix, a, n) and one wave score for all.
+
+    Objects are the cells with |a| of at least ``strong`` and a quarter of the day's largest, fronts those with
+    a quarter of its steepest gradient. Days without a day before have no motion.
+    """
+    day = ["day"]
+    base = frames.groupBy("day").agg(F.avg(F.when(F.col("n") >= 2, 1.0).otherwise(0.0)).alias("support"), F.tanh(F.avg(F.abs("a")) / scale).alias("anomaly"), F.count("*").alias("_cells"), F.max(F.abs("a")).alias("_peak"))
+    pairs = motion.frame_pairs(frames.select("day", "iy", "ix", "a"), [], "day", "a", 1.0)
+    temporal = pairs.groupBy("day").agg(F.tanh(F.avg(F.abs((F.col("current") - F.col("previous")) / F.col("dt"))) / scale).alias("temporal"))
+    slopes = grid.spatial_derivatives(frames.select("day", "iy", "ix", "a"), day, "a", dy, dx)
+    tensor = grid.structure_tensor(slopes, day, 1.0, rows, columns).select("day", "iy", "ix", "coherence")
+    steepest = slopes.groupBy("day").agg(F.max("grad_mag").alias("_peak"))
+    steep = slopes.join(steepest, day).where(F.col("grad_mag") >= F.greatest(0.25 * F.col("_peak"), F.lit(1e-12))).join(tensor, ["day", "iy", "ix"])
+    front = steep.groupBy("day").agg(F.tanh(F.avg("grad_mag") / 10).alias("gradient"), F.avg("coherence").alias("coherence"), _shape(rows, columns)[0].alias("front_elongation"))
+    elongation, compactness, border = _shape(rows, columns)
+    things = frames.join(base.select("day", "_peak"), day).where(F.abs("a") >= F.greatest(F.lit(strong), 0.25 * F.col("_peak")))
+    objects = things.groupBy("day").agg(elongation.alias("elongation"), compactness.alias("compactness"), border.alias("border"), F.count("*").alias("_object"))
+    flow = motion.feature_flow(pairs, day, dy, dx, 1.5, rows, columns)
+    rate = grid.spatial_derivatives(pairs, day, "current", dy, dx).withColumn("rate", (F.col("current") - F.col("previous")) / F.col("dt")).select("day", "iy", "ix", "rate", "d_dx", "d_dy")
+    moved = motion.advection_residual(flow.join(rate, ["day", "iy", "ix"]), "rate", "d_dx", "d_dy", accepted="accepted")
+    motions = moved.groupBy("day").agg(F.tanh(F.avg(F.hypot("u", "v")) / 5).alias("speed"), F.avg("confidence").alias("flow_confidence"), F.tanh(F.avg(F.abs("residual")) / scale).alias("residual"))
+    growth = motion.local_ambiguity(pairs, day, 2.0, rows, columns, 0.5, 0.95).groupBy("day").agg(F.avg("ambiguity").alias("growth"))
+    out = base
+    for part in (temporal, front, objects, motions, growth):
+        out = out.join(part, day, "left")
+    out = out.withColumn("share", F.coalesce("_object", F.lit(0)) / F.col("_cells")).crossJoin(F.broadcast(wave)).drop("_object", "_cells", "_peak")
+    return out.fillna(0.0, ["temporal", "gradient", "coherence", "speed", "flow_confidence", "growth", "compactness"]).fillna(1.0, ["elongation", "front_elongation"]).fillna(False, ["border"])
+
+
+def wave_score(peaks: DataFrame) -> DataFrame:
+    """One row: how clearly the regions' peaks stand out, as the mean of concentration times uniqueness."""
+    return peaks.agg(F.coalesce(F.avg(F.col("concentration") * F.col("uniqueness")), F.lit(0.0)).alias("wave"))
+
+
+def event_scores(means: DataFrame) -> DataFrame:
+    """Seven scores from 0 to 1, the label with the largest one, and the lead among all but "uncertain"."""
+    c = F.col
+    clip = lambda x: F.least(F.lit(1.0), F.greatest(F.lit(0.0), x))
+    still, left = 1 - c("anomaly"), F.coalesce("residual", F.lit(0.0))
+    compact = F.sqrt(c("compactness") / F.greatest("elongation", F.lit(1.0))) * F.sqrt(1 - c("share")) * F.when(c("border"), 0.5).otherwise(1.0)
+    scores = {
+        "quiet": c("support") * still * (1 - c("temporal")) * (1 - c("gradient")) * (1 - c("wave")),
+        "flow": F.when(c("residual").isNotNull(), c("flow_confidence") * c("speed") * (1 - c("residual")) * (1 - 0.5 * c("wave"))).otherwise(0.0),
+        "wave": c("wave"),
+        "front": c("support") * c("gradient") * c("coherence") * clip((c("front_elongation") - 1) / 3) * (1 - 0.7 * c("wave")),
+        "localized": c("support") * c("anomaly") * compact * (1 - c("wave")),
+        "disturbed": c("support") * clip((c("temporal") + c("gradient") * (1 - c("coherence")) + left + c("temporal") * c("growth")) / 3),
+    }
+    scored = means.select("day", c("support"), c("anomaly"), *[clip(x).alias(n) for n, x in scores.items()])
+    scored = scored.withColumn("uncertain", clip(F.greatest(1 - c("support"), c("anomaly") * (1 - F.greatest(*scores)))))
+    _, margin = topk.best_label({n: c(n) for n in scores})
+    label, _ = topk.best_label({n: c(n) for n in [*scores, "uncertain"]})
+    return scored.select("day", *scores, "uncertain", label.alias("label"), margin.alias("margin"))
+
+
+def prefix_chain(obs: DataFrame, targets: DataFrame, rows: int, columns: int, dy: float, dx: float, floor: float = 1.0) -> DataFrame:
+    """The chain of baseline, anomaly, smoothing, gradient at exact target days, each from the days up to it alone.
+
+    ``target`` is a key of every step, so all targets run in one job. A target without readings has no row.
+    """
+    prefix = obs.join(F.broadcast(targets), F.col("day") <= F.col("target"))
+    scale = aggregates.robust_scale(prefix, ["target", "iy", "ix"], "v", floor)
+    now = prefix.where("day = target").select("target", "iy", "ix", "v").join(scale, ["target", "iy", "ix"])
+    field = now.select("target", "iy", "ix", ((F.col("v") - F.col("centre")) / F.col("scale")).alias("z"))
+    smooth = grid.smooth(field, ["target"], ["z"], 1.0, rows, columns).where("z_smooth IS NOT NULL")
+    return grid.spatial_derivatives(smooth, ["target"], "z_smooth", dy, dx)

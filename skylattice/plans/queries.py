@@ -856,11 +856,13 @@ def g15_growth_ambiguity(spark, sf_dir):
     return motion.growth_ambiguity(_pairs(spark, sf_dir), ["day"]).select("day", r("gain"), r("correlation"), r("ambiguity"), "cells")
 
 
-@query(f"""WITH {OBS}, {_PAIRS}, {_kernel_sql('g', 2.0)}, mo AS (SELECT day, iy, ix, p, c, p * p AS pp, c * c AS cc, p * c AS pc, (c - p) ** 2 AS dd FROM pr), {_smooth_sql('mo', ['p', 'c', 'pp', 'cc', 'pc', 'dd'], 'ms', 'g', 0.5)},
-e AS (SELECT *, pp - p * p AS vp, greatest(cc - c * c, 0.0) AS vc, pc - p * c AS cv FROM ms), x AS (SELECT *, CASE WHEN vp > 1e-9 * pp AND dd > 1e-9 * pp THEN least(1.0, greatest(0.0, 1 - greatest(vc - cv * cv / vp, 0.0) / dd)) ELSE 0.0 END AS explained FROM e)
-SELECT day, iy, ix, {rs('CASE WHEN vp > 1e-9 * pp THEN cv / vp END', 'gain')}, {rs('explained', 'explained')}, {rs('greatest(0.0, (explained - 0.5) / 0.5)', 'ambiguity')} FROM x""")
+_GROWTH = f"""{_kernel_sql('g', 2.0)}, mo AS (SELECT day, iy, ix, p, c, p * p AS pp, c * c AS cc, p * c AS pc, (c - p) ** 2 AS dd FROM pr), {_smooth_sql('mo', ['p', 'c', 'pp', 'cc', 'pc', 'dd'], 'ms', 'g', 0.5)},
+mv AS (SELECT *, pp - p * p AS vp, greatest(cc - c * c, 0.0) AS vc, pc - p * c AS cv FROM ms), ml AS (SELECT *, CASE WHEN vp > 1e-9 * pp AND dd > 1e-9 * pp THEN least(1.0, greatest(0.0, 1 - greatest(vc - cv * cv / vp, 0.0) / dd)) ELSE 0.0 END AS explained FROM mv)"""
+
+
+@query(f"""WITH {OBS}, {_PAIRS}, {_GROWTH} SELECT day, iy, ix, {rs('CASE WHEN vp > 1e-9 * pp THEN cv / vp END', 'gain')}, {rs('explained', 'explained')}, {rs('greatest(0.0, (explained - 0.95) / (1 - 0.95))', 'ambiguity')} FROM ml""")
 def g15_local_ambiguity(spark, sf_dir):
-    return motion.local_ambiguity(_pairs(spark, sf_dir), ["day"], 2.0, b.ROWS, b.RING, 0.5, 0.5).select("day", "iy", "ix", r("gain"), r("explained"), r("ambiguity"))
+    return motion.local_ambiguity(_pairs(spark, sf_dir), ["day"], 2.0, b.ROWS, b.RING, 0.5, 0.95).select("day", "iy", "ix", r("gain"), r("explained"), r("ambiguity"))
 
 
 @query(f"""WITH {OBS}, {_FLOW}, {_slopes_sql('fl', 'u', 'fu', 'ux', 'uy')}, {_slopes_sql('fu', 'v', 'fv', 'vx', 'vy')}, {_slopes_sql('pr', 'c', 'pg', 'dx', 'dy')},
@@ -897,15 +899,17 @@ def g18_wave_power(spark, sf_dir):
     return power.select(r(1 / F.col("f"), "period"), r("kx"), r("ky"), r("power"))
 
 
-@query(f"""WITH {OBS}, t AS (SELECT iy, ix, regr_slope(v, day) AS s, avg(v) AS m, avg(day) AS d FROM obs GROUP BY iy, ix), o AS (SELECT iy % 3 AS region, day, iy, ix, v - m - coalesce(s, 0) * (day - d) AS x FROM obs JOIN t USING (iy, ix)),
+_PEAK = f"""t AS (SELECT iy, ix, regr_slope(v, day) AS s, avg(v) AS m, avg(day) AS d FROM obs GROUP BY iy, ix), o AS (SELECT iy % 3 AS region, day, iy, ix, v - m - coalesce(s, 0) * (day - d) AS x FROM obs JOIN t USING (iy, ix)),
 h AS (SELECT *, min(day) OVER w AS d0, max(day) OVER w AS d1 FROM o WINDOW w AS (PARTITION BY region)), bi AS (SELECT 1.0 / p AS f, CAST(kx AS DOUBLE) AS kx, CAST(ky AS DOUBLE) AS ky FROM (VALUES (4.0::DOUBLE), (6.0), (8.0), (12.0)) a(p), (VALUES {_WAVE_ROWS}) e(kx, ky)),
 w AS (SELECT region, f, kx, ky, x, CASE WHEN d1 > d0 THEN 0.5 * (1 - cos(2 * pi() * (day - d0) / (d1 - d0))) ELSE 1.0 END AS g, 2 * pi() * (f * day - kx * ix * 3 - ky * iy * 2) AS ph FROM h, bi),
 s AS (SELECT region, f, kx, ky, sum(g * x * cos(ph)) AS c, sum(g * x * sin(ph)) AS s, sum(g * cos(ph) ** 2) AS cc, sum(g * sin(ph) ** 2) AS ss, sum(g * sin(ph) * cos(ph)) AS cs, sum(g) AS n FROM w GROUP BY ALL),
 q AS (SELECT *, (c * c + s * s) / (n * n) AS power, dense_rank() OVER (PARTITION BY region ORDER BY f) AS rf, dense_rank() OVER (PARTITION BY region ORDER BY kx) AS rx, dense_rank() OVER (PARTITION BY region ORDER BY ky) AS ry FROM s),
 pk AS (SELECT *, sum(power) OVER (PARTITION BY region) AS total FROM q QUALIFY row_number() OVER (PARTITION BY region ORDER BY power DESC, f DESC, kx DESC, ky DESC) = 1),
 co AS (SELECT q.region, max(q.power) AS other FROM q JOIN pk ON pk.region = q.region WHERE greatest(abs(q.rf - pk.rf), abs(q.rx - pk.rx), abs(q.ry - pk.ry)) > 1 GROUP BY q.region),
-z AS (SELECT pk.*, other, sqrt(kx * kx + ky * ky) AS k, (ss * c - cs * s) / (cc * ss - cs * cs) AS fa, (cc * s - cs * c) / (cc * ss - cs * cs) AS fb FROM pk LEFT JOIN co USING (region))
-SELECT region, {rs('1 / f', 'period')}, {rs('1 / k', 'wavelength')}, {rs('f / k', 'phase_speed')}, {rs('degrees(atan2(kx, ky)) + CASE WHEN atan2(kx, ky) < 0 THEN 360 ELSE 0 END', 'bearing')}, {rs('sqrt(fa * fa + fb * fb)', 'amplitude')}, {rs('atan2(fb, fa)', 'phase')}, {rs('power / total', 'concentration')}, {rs('1 - coalesce(other, 0) / power', 'uniqueness')} FROM z""")
+z AS (SELECT pk.*, other, sqrt(kx * kx + ky * ky) AS k, (ss * c - cs * s) / (cc * ss - cs * cs) AS fa, (cc * s - cs * c) / (cc * ss - cs * cs) AS fb FROM pk LEFT JOIN co USING (region))"""
+
+
+@query(f"""WITH {OBS}, {_PEAK} SELECT region, {rs('1 / f', 'period')}, {rs('1 / k', 'wavelength')}, {rs('f / k', 'phase_speed')}, {rs('degrees(atan2(kx, ky)) + CASE WHEN atan2(kx, ky) < 0 THEN 360 ELSE 0 END', 'bearing')}, {rs('sqrt(fa * fa + fb * fb)', 'amplitude')}, {rs('atan2(fb, fa)', 'phase')}, {rs('power / total', 'concentration')}, {rs('1 - coalesce(other, 0) / power', 'uniqueness')} FROM z""")
 def g18_wave_peak(spark, sf_dir):
     residual = spectral.hann(spectral.detrended(b.obs_grid(spark, sf_dir).withColumn("region", F.col("iy") % 3), ["region"], "day", "v"), ["region"], "day")
     peak = spectral.wave_peak(spectral.wave_power(residual, ["region"], "day", "residual", [4.0, 6.0, 8.0, 12.0], _WAVES, 2.0, 3.0, "hann"), ["region"])
@@ -941,6 +945,48 @@ def g20_field_pipeline(spark, sf_dir):
     return analyse(b.obs_grid(spark, sf_dir), b.ROWS, b.RING).select("day", r("anomaly"), r("gradient"), r("coherence"), r("flow"), r("temporal"), "label", r("margin"))
 
 
+_ELONGATION = "sqrt(((var_pop(iy) + var_pop(ix) + 1 / 6.0::DOUBLE) / 2 + sqrt(((var_pop(iy) - var_pop(ix)) / 2) ** 2 + covar_pop(iy, ix) ** 2)) / ((var_pop(iy) + var_pop(ix) + 1 / 6.0::DOUBLE) / 2 - sqrt(((var_pop(iy) - var_pop(ix)) / 2) ** 2 + covar_pop(iy, ix) ** 2)))"
+_SCORES = ("quiet", "flow", "wave", "front", "localized", "disturbed")
+
+
+@query(f"""WITH {OBS}, {_FLOW}, {_GROWTH}, wv AS (WITH {_PEAK} SELECT coalesce(avg(power / total * (1 - coalesce(other, 0) / power)), 0) AS wave FROM z), {_slopes_sql('pr', 'c', 'pg', 'dx', 'dy')},
+an AS (SELECT day, iy, ix, v - 50 AS a, n FROM obs), {_slopes_sql('an', 'a', 'ag', 'dx', 'dy')}, gm AS (SELECT day, iy, ix, sqrt(dx * dx + dy * dy) AS g, dx * dx AS xx, dy * dy AS yy, dx * dy AS xy FROM ag), {_kernel_sql('b', 1.0)}, {_smooth_sql('gm', ['xx', 'yy', 'xy'], 'st', 'b', 0.8)},
+mk AS (SELECT q.day, q.iy, q.ix, g, CASE WHEN (t.xx + t.yy) / 2 > 1e-20 THEN sqrt(((t.xx - t.yy) / 2) ** 2 + t.xy * t.xy) / ((t.xx + t.yy) / 2) END AS co FROM (SELECT *, max(g) OVER (PARTITION BY day) AS pk FROM gm) q JOIN st t ON t.day = q.day AND t.iy = q.iy AND t.ix = q.ix WHERE g >= greatest(pk * 0.25, 1e-12)),
+ob AS (SELECT day, iy, ix FROM (SELECT *, max(abs(a)) OVER (PARTITION BY day) AS pk FROM an) WHERE abs(a) >= greatest(60.0, 0.25 * pk)),
+m1 AS (SELECT day, avg(CASE WHEN n >= 2 THEN 1.0 ELSE 0.0 END) AS support, tanh(avg(abs(a)) / 40) AS anomaly, count(*) AS cells FROM an GROUP BY day), m2 AS (SELECT day, tanh(avg(abs(gt)) / 40) AS temporal FROM pr GROUP BY day),
+m3 AS (SELECT day, tanh(avg(g) / 10) AS gradient, avg(co) AS coherence, {_ELONGATION} AS felong FROM mk GROUP BY day),
+m4 AS (SELECT day, {_ELONGATION} AS elong, count(*) / CAST((max(iy) - min(iy) + 1) * (max(ix) - min(ix) + 1) AS DOUBLE) AS compact, min(iy) = 0 OR min(ix) = 0 OR max(iy) = {b.ROWS - 1} OR max(ix) = {b.RING - 1} AS border, count(*) AS osize FROM ob GROUP BY day),
+m5 AS (SELECT fl.day, tanh(avg(sqrt(u * u + v * v)) / 5) AS speed, avg(confidence) AS conf, tanh(avg(CASE WHEN confidence >= 0.4 THEN abs(gt + u * dx + v * dy) END) / 40) AS residual FROM fl JOIN pg ON pg.day = fl.day AND pg.iy = fl.iy AND pg.ix = fl.ix GROUP BY fl.day),
+m6 AS (SELECT day, avg(greatest(0.0, (explained - 0.95) / (1 - 0.95))) AS growth FROM ml GROUP BY day),
+al AS (SELECT m1.day, support, anomaly, coalesce(temporal, 0) AS temporal, coalesce(gradient, 0) AS gradient, coalesce(coherence, 0) AS coherence, coalesce(felong, 1) AS felong, coalesce(elong, 1) AS elong, coalesce(compact, 0) AS compact, coalesce(border, false) AS border, coalesce(osize, 0) / cells::DOUBLE AS share, coalesce(speed, 0) AS speed, coalesce(conf, 0) AS conf, residual, coalesce(growth, 0) AS growth, wave
+  FROM m1 LEFT JOIN m2 USING (day) LEFT JOIN m3 USING (day) LEFT JOIN m4 USING (day) LEFT JOIN m5 USING (day) LEFT JOIN m6 USING (day), wv),
+sc AS (SELECT day, support, anomaly, support * (1 - anomaly) * (1 - temporal) * (1 - gradient) * (1 - wave) AS quiet, CASE WHEN residual IS NOT NULL THEN conf * speed * (1 - residual) * (1 - 0.5 * wave) ELSE 0 END AS flow, least(1.0, greatest(0.0, wave)) AS wave, support * gradient * coherence * least(1.0, greatest(0.0, (felong - 1) / 3)) * (1 - 0.7 * wave) AS front,
+  support * anomaly * sqrt(compact / greatest(elong, 1.0)) * sqrt(1 - share) * (CASE WHEN border THEN 0.5 ELSE 1.0 END) * (1 - wave) AS localized, support * least(1.0, greatest(0.0, (temporal + gradient * (1 - coherence) + coalesce(residual, 0) + temporal * growth) / 3)) AS disturbed FROM al),
+un AS (SELECT *, greatest(1 - support, anomaly * (1 - greatest({', '.join(_SCORES)}))) AS uncertain FROM sc),
+lo AS (SELECT day, unnest([{', '.join(f"{{'name': '{n}', 'score': {n}}}" for n in (*_SCORES, 'uncertain'))}]) AS x FROM un),
+ra AS (SELECT day, arg_max(x.name, (x.score, x.name)) AS label, max(x.score) FILTER (x.name <> 'uncertain') AS s1, list_reverse_sort(list(x.score) FILTER (x.name <> 'uncertain'))[2] AS s2 FROM lo GROUP BY day)
+SELECT day, {', '.join(rs(n, n) for n in (*_SCORES, 'uncertain'))}, label, {rs('(s1 - s2) / greatest(s1, 1e-12)', 'margin')} FROM un JOIN ra USING (day)""")
+def a16_seven_scores(spark, sf_dir):
+    from skylattice.plans.fields import event_means, event_scores, wave_score
+
+    obs = b.obs_grid(spark, sf_dir)
+    residual = spectral.hann(spectral.detrended(obs.withColumn("region", F.col("iy") % 3), ["region"], "day", "v"), ["region"], "day")
+    wave = wave_score(spectral.wave_peak(spectral.wave_power(residual, ["region"], "day", "residual", [4.0, 6.0, 8.0, 12.0], _WAVES, 2.0, 3.0, "hann"), ["region"]))
+    out = event_scores(event_means(obs.withColumn("a", F.col("v") - 50), wave, b.ROWS, b.RING, 3.0, 2.0, 40.0, 60.0))
+    return out.select("day", *[r(n) for n in (*_SCORES, "uncertain")], "label", r("margin"))
+
+
+@query(f"""WITH {OBS}, t AS (SELECT unnest([{DAY0 + 10}, {DAY0 + 15}, {DAY0 + 20}, {DAY0 + 29}]) AS target), e AS (SELECT target, iy, ix, day, v FROM obs, t WHERE day <= target), m AS (SELECT *, median(v) OVER (PARTITION BY target, iy, ix) AS c FROM e),
+k AS (SELECT target, iy, ix, any_value(c) AS c, greatest(1.0, 1.4826 * median(abs(v - c))) AS s FROM m GROUP BY ALL), f AS (SELECT CAST(k.target AS BIGINT) AS day, k.iy, k.ix, (v - c) / s AS z FROM k JOIN obs ON obs.day = k.target AND obs.iy = k.iy AND obs.ix = k.ix),
+{_kernel_sql('b', 1.0)}, {_smooth_sql('f', ['z'], 'sm', 'b', 0.8)}, sn AS (SELECT * FROM sm WHERE z IS NOT NULL), {_slopes_sql('sn', 'z', 'sl', 'dx', 'dy')}
+SELECT day AS target, iy, ix, {rs('z', 'z')}, {rs('sqrt(dx * dx + dy * dy)', 'grad_mag')} FROM sl""")
+def g19_prefix_chain(spark, sf_dir):
+    from skylattice.plans.fields import prefix_chain
+
+    targets = spark.createDataFrame([(DAY0 + d,) for d in (10, 15, 20, 29)], "target bigint")
+    return prefix_chain(b.obs_grid(spark, sf_dir), targets, b.ROWS, b.RING, 3.0, 2.0).select("target", "iy", "ix", r("z_smooth", "z"), r("grad_mag"))
+
+
 # --- forecast lifecycle ------------------------------------------------------------------------
 
 
@@ -1049,6 +1095,17 @@ def l9_residual_scan(spark, sf_dir):
     return maps.join(F.broadcast(agg.calibrated_threshold(maps, "score"))).select("day", r("score"), "cells", (F.col("score") >= F.col("threshold")).alias("candidate"))
 
 
+@query(f"""WITH {OBS}, l AS (SELECT iy, ix, day, v - lag(v) OVER w AS res FROM obs WINDOW w AS (PARTITION BY iy, ix ORDER BY day)), x AS (SELECT *, lag(res) OVER (PARTITION BY iy, ix ORDER BY day) AS prev FROM l), k AS (SELECT * FROM x WHERE prev IS NOT NULL),
+g AS (SELECT iy, ix, coalesce(sum(res * prev) FILTER (day <= {DAY0 + 20}), 0) / (coalesce(sum(prev * prev) FILTER (day <= {DAY0 + 20}), 0) + 10.0) AS gain FROM k GROUP BY iy, ix), e AS (SELECT day, iy, ix, res - gain * prev AS err FROM k JOIN g USING (iy, ix)), c AS (SELECT *, median(err) OVER (PARTITION BY iy, ix) AS c FROM e),
+s AS (SELECT iy, ix, any_value(c) AS c, greatest(1.0, 1.4826 * median(abs(err - c))) AS s FROM c GROUP BY iy, ix), z AS (SELECT day, greatest(0.0, (abs(err - s.c) - 1.0) / s.s) AS z FROM e JOIN s USING (iy, ix)), m AS (SELECT day, quantile_cont(z, 0.95) AS score, count(*) AS cells FROM z GROUP BY day)
+SELECT day, {rs('score', 'score')}, cells, score >= (SELECT greatest(3.0, quantile_cont(score, 0.995)) FROM m) AS candidate FROM m""")
+def l9_ridge_scan(spark, sf_dir):
+    pairs = timeseries.next_map_residuals(b.obs_grid(spark, sf_dir), ["iy", "ix"], "day", "v", DAY0 + 20, 10.0).withColumn("one", F.lit(1.0))
+    scaled = pairs.join(agg.robust_scale(pairs, ["iy", "ix"], "err", 1.0), ["iy", "ix"]).withColumn("residual", F.col("err") - F.col("centre"))
+    maps = agg.map_scores(scaled, ["day"], "residual", "one", "scale", ["iy", "ix"])
+    return maps.join(F.broadcast(agg.calibrated_threshold(maps, "score"))).select("day", r("score"), "cells", (F.col("score") >= F.col("threshold")).alias("candidate"))
+
+
 @query(f"""WITH {_decided_sql('2024-01-20 05:00:00')}, s AS (SELECT {_STATUS} AS status FROM z)
 SELECT count(*) AS considered, count(*) FILTER (status = 'SCORED') AS scored, count(*) FILTER (status = 'INSUFFICIENT_DATA') AS insufficient, count(*) FILTER (status = 'PENDING') AS retryable FROM s WHERE status <> 'NOT_DUE'""")
 def l10_vertical_slice(spark, sf_dir):

@@ -387,3 +387,76 @@ def test_streams_over_several_batches_and_a_restart(spark, tmp_path):
     assert sorted(folded[folded.late]["v"]) == [7.0, 9.0] or sorted(folded[folded.late]["v"]) == [9.0]
     mine = folded[(folded.k == 1) & ~folded.late].sort_values("ts", kind="stable")
     assert mine["forecast"].tolist() == pytest.approx(fold_series(mine["v"].to_numpy(), 0.9, 0.5)[0])
+
+
+def test_late_rows_score_their_days_again(spark, tmp_path):
+    import datetime as dt
+
+    from skylattice.streaming import streams
+
+    at = lambda d: dt.datetime(2024, 1, 1) + dt.timedelta(days=d)
+    feeds = [[(1, at(0), 1.0), (2, at(1), 2.0)], [(3, at(12), 4.0), (4, at(13), 6.0)], [(5, at(12), 8.0), (6, at(0), 100.0)]]
+    source, schema = str(tmp_path / "in"), "k long, ts timestamp, v double"
+    score = lambda rows: rows.groupBy("day").agg(F.count("*").alias("n"), F.sum("v").alias("total"))
+    for feed in feeds:
+        spark.createDataFrame(feed, schema).coalesce(1).write.mode("append").parquet(source)
+        stream = streams.read_stream(spark, source, spark.createDataFrame([], schema).schema)
+        scores, beyond = streams.rescore_stream(stream, str(tmp_path / "out"), str(tmp_path / "mark"), "ts", score, overlap=10)
+    assert {r["day"] - 19723: (r["n"], r["total"]) for r in scores.collect()} == {0: (1, 1.0), 1: (1, 2.0), 12: (2, 12.0), 13: (1, 6.0)}
+    assert [r["day"] - 19723 for r in beyond.collect()] == [0]
+
+
+def test_same_hour_baseline_slides(spark, tmp_path):
+    import datetime as dt
+
+    from skylattice.streaming import streams
+
+    rows = [(1, dt.datetime(2024, 1, d, 5), float(d)) for d in range(1, 12)] + [(1, dt.datetime(2024, 1, 11, 6), 50.0), (None, dt.datetime(2024, 1, 11, 5), 3.0)]
+    source, schema = str(tmp_path / "in"), "k long, ts timestamp, v double"
+    for part in (rows[:6], rows[6:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = streams.read_stream(spark, source, spark.createDataFrame([], schema).schema)
+    out = streams.against_same_hour(stream, str(tmp_path / "out"), str(tmp_path / "mark"), ["k"], "ts", "v").collect()
+    got = {(r["k"], r["ts"].day, r["ts"].hour): r["deviation"] for r in out}
+    assert len(out) == len(rows) and got[1, 1, 5] is None and got[1, 11, 6] is None and got[None, 11, 5] is None
+    assert got[1, 3, 5] == 1.5 and got[1, 11, 5] == 4.0 and got[1, 8, 5] == 4.0
+
+
+def test_growth_is_ambiguous_around_each_cell(spark):
+    rows = [(t, y, x, (1 + 0.3 * t) * (x * x + 2.0 * y) + t) for t in (0, 1) for y in range(8) for x in range(8)]
+    pairs = motion.frame_pairs(spark.createDataFrame(rows, "t int, iy int, ix int, v double"), [], "t", "v", 1.0)
+    got = motion.local_ambiguity(pairs, ["t"], 1.0, 8, 8, 0.5, 0.95).collect()
+    assert len(got) == 64 and all(r["gain"] == pytest.approx(1.3) and r["ambiguity"] == pytest.approx(1.0, abs=1e-6) for r in got)
+    still = motion.local_ambiguity(pairs.withColumn("current", F.col("previous")), ["t"], 1.0, 8, 8, 0.5, 0.95)
+    assert {r["explained"] for r in still.collect()} == {0.0}
+
+
+def test_windowed_wave_keeps_amplitude_and_phase(spark):
+    rows = [(t, y, x, 3 * math.cos(2 * math.pi * (t / 8 - x / 10) - 0.7)) for t in range(33) for y in range(5) for x in range(10)]
+    df = spark.createDataFrame(rows, "t int, iy int, ix int, v double").withColumn("region", F.lit("a"))
+    waves = [(kx / 10, ky / 10) for kx in (-2, -1, 1, 2) for ky in (-1, 0, 1)]
+    peak = spectral.wave_peak(spectral.wave_power(spectral.hann(df, ["region"], "t"), ["region"], "t", "v", [4.0, 8.0, 16.0], waves, 1.0, 1.0, "hann"), ["region"]).first()
+    assert peak["amplitude"] == pytest.approx(3.0) and peak["phase"] == pytest.approx(0.7) and peak["uniqueness"] > 0.99
+
+
+def test_metric_grid_stays_near_its_centre():
+    assert len(grid.metric_targets(0.0, 0.0, 1_000_000, 500_000)) == 25
+    with pytest.raises(ValueError):
+        grid.metric_targets(0.0, 0.0, 2_600_000, 500_000)
+    with pytest.raises(ValueError):
+        grid.metric_targets(0.0, 0.0, 2_000_000, 500_000, scale_error=0.02)
+
+
+def test_event_scores(spark):
+    from skylattice.plans.fields import event_scores
+
+    names = "support anomaly temporal gradient coherence front_elongation elongation compactness share speed flow_confidence residual growth wave".split()
+    rows = [
+        (1, 1.0, 0.0, 0.0, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0, None, 0.0, 0.0, False), (2, 1.0, 0.9, 0.0, 0.0, 0.0, 1.0, 1.0, 1.0, 0.0, 0.0, 0.0, None, 0.0, 0.0, False),
+        (3, 1.0, 0.9, 0.1, 0.9, 0.9, 5.0, 1.0, 0.1, 0.5, 0.1, 0.1, None, 0.0, 0.0, True), (4, 0.2, 0.1, 0.0, 0.0, 0.0, 1.0, 1.0, 0.0, 0.0, 0.0, 0.0, None, 0.0, 0.0, False),
+        (5, 1.0, 0.5, 0.5, 0.1, 0.5, 1.0, 1.0, 0.1, 0.5, 0.9, 0.9, 0.0, 0.0, 0.0, True),
+    ]
+    df = spark.createDataFrame(rows, "day int, " + ", ".join(f"{n} double" for n in names) + ", border boolean")
+    got = {r["day"]: r for r in event_scores(df).collect()}
+    assert [got[d]["label"] for d in range(1, 6)] == ["quiet", "localized", "front", "uncertain", "flow"]
+    assert got[1]["quiet"] == got[1]["margin"] == 1.0 and got[2]["localized"] == pytest.approx(0.9) and got[4]["uncertain"] == pytest.approx(0.8) and got[5]["flow"] == pytest.approx(0.81)

@@ -51,3 +51,24 @@ def test_runs_without_sql(spark, name):
 
 def test_entry(spark):
     assert entry.entry(spark).columns
+
+
+def test_snapshot_manifest_against_a_plain_version(spark):
+    """Each row's fields chained through a 64-bit hash, the hashes of a day added up, and their sum hashed."""
+    import hashlib
+    import struct
+
+    import xxhash
+
+    from skylattice.plans import bindings
+
+    wide, narrow = (lambda v, h: xxhash.xxh64_intdigest(struct.pack("<q", v), h)), (lambda v, h: xxhash.xxh64_intdigest(struct.pack("<i", v), h))
+    days = {}
+    for row in bindings.obs_grid(spark, DATA).collect():
+        h = wide(row["day"], 42)
+        h = narrow(row["iy"], narrow(row["ix"], h))
+        h = xxhash.xxh64_intdigest(struct.pack("<d", row["v"]), wide(row["n"], h))
+        count, total = days.get(row["day"], (0, 0))
+        days[row["day"]] = (count + 1, total + (h - (1 << 64) if h >> 63 else h))
+    plain_version = {d: (n, hashlib.sha256(f"day,ix,iy,n,v:{n}:{t}".encode()).hexdigest()) for d, (n, t) in days.items()}
+    assert {r["day"]: (r["rows"], r["content"]) for r in entry.queries()["q3_snapshot_manifest"](spark, DATA).collect()} == plain_version
