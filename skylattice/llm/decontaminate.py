@@ -99,6 +99,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item; all columns as they were."""
+    """``docs`` without the documents that hold a benchmark item; all columns as they were.
+
+    Rows with null or blank texts, and rows without an id, all stay; rows that repeat an id stay or go
+    together. An empty table stays empty, and an empty benchmark drops nothing.
+    """
     gone = contaminated(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone.hint("merge"), docs[id_col] == gone["_gone"], "left_anti")

@@ -275,6 +275,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col
 
 
 def drop_near_copies(docs: DataFrame, shingle: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each group of near-duplicates; all columns as they were."""
+    """``docs`` with one document of each group of near-duplicates, that with the least id; all columns as they were.
+
+    Rows with null, empty or blank texts, and rows without an id, all stay; rows that repeat an id stay
+    or go together. An empty table stays empty.
+    """
     gone = near_duplicates(docs, shingle, percent, id_col=id_col, text_col=text_col).where("not kept").select(F.col("doc_id").alias("_gone")).distinct()
     return docs.join(gone.hint("merge"), docs[id_col] == gone["_gone"], "left_anti")
