@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.common import _SALT, Powers, mix, sliced, text_bytes, written
+from skylattice.llm.common import _SALT, Powers, discard, mix, sliced, text_bytes, written
 
 LENGTH, SPAN, CUT = 400, 256, 16
 _ONE, _TWO = Powers(0x9E3779B97F4A7C15), Powers(0xC2B2AE3D27D4EB4F)
@@ -126,42 +126,58 @@ def _blocks(length: int, cut: int):
 
 
 def _resolve(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
-    """Repeated starts (doc_id, lo, hi), and the runs to cut further: those that share a core with other covers."""
+    """Runs that share their core with another run (doc_id, lo, hi, n: runs of this very cover), and those to cut further.
+
+    ``rows`` is a table of :func:`written`; it goes once its last reader has stored its result.
+    """
     key = ["core", "c1", "c2"]
     first = [F.first(c).alias(c) for c in ("doc_id", "q", "lo", "hi")]  # of one and the same row
     groups = written(rows.groupBy(*key).agg(F.count("*").alias("n"), *first), f"{label}-groups")
-    repeated = written(rows.join(groups.where("n > 1").select(*key).hint("shuffle_hash"), key, "left_semi").select("doc_id", "lo", "hi"), f"{label}-repeated")
-    mixed = groups.groupBy("core").agg(F.count("*").alias("covers")).where("covers > 1").select("core")
-    left = groups.join(mixed.hint("merge"), "core", "left_semi").select("doc_id", "q", "lo", "hi")
-    return repeated, left
+    mixed = groups.groupBy("core").agg(F.count("*").alias("covers")).where("covers > 1")
+    known = written(groups.join(mixed.hint("merge"), "core", "left").where("n > 1 OR covers > 1"), f"{label}-shared")
+    shared = written(rows.join(known.select(*key, "n").hint("shuffle_hash"), key).select("doc_id", "lo", "hi", "n"), f"{label}-found")
+    discard(rows, groups)
+    return shared, known.where("covers > 1").select("doc_id", "q", "lo", "hi")
 
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH, span: int = SPAN, cut: int = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, lo, hi: ranges of start bytes (both ends included) whose ``length`` bytes also start elsewhere."""
+def _found(docs: DataFrame, length: int, span: int, cut: int, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, lo, hi, seed: repeated ranges of start bytes, and with seed = 1 the runs whose anchor's seed is repeated.
+
+    ``lo`` and ``hi`` are null for a run that is not repeated as a whole.
+    """
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     rows = written(texts.mapInArrow(_runs(length, span), _SCHEMA), "suffix-runs")
-    found, left = _resolve(rows, "suffix-runs")
+    shared, left = _resolve(rows, "suffix-runs")
+    whole = F.col("n") > 1
+    found = shared.select("doc_id", F.when(whole, F.col("lo")).alias("lo"), F.when(whole, F.col("hi")).alias("hi"), F.lit(1).alias("seed"))
     for size in (cut, 1):
         lists = left.groupBy("doc_id").agg(F.collect_list(F.struct("q", "lo", "hi")).alias("runs"))
-        again = _with_texts(texts, lists, "runs", "inner").mapInArrow(_blocks(length, size), _SCHEMA)
+        again = _with_texts(texts, lists, "inner", "runs").mapInArrow(_blocks(length, size), _SCHEMA)
         rows = written(again, f"suffix-blocks-{size}")
-        more, left = _resolve(rows, f"suffix-blocks-{size}")
-        found = found.unionByName(more)
+        shared, left = _resolve(rows, f"suffix-blocks-{size}")
+        found = found.unionByName(shared.where(whole).select("doc_id", "lo", "hi", F.lit(0).alias("seed")))
     return found
 
 
-def _with_texts(texts: DataFrame, lists: DataFrame, column: str, how: str) -> DataFrame:
+def repeated_starts(docs: DataFrame, length: int = LENGTH, span: int = SPAN, cut: int = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, lo, hi: ranges of start bytes (both ends included) whose ``length`` bytes also start elsewhere."""
+    return _found(docs, length, span, cut, id_col, text_col).where("lo IS NOT NULL").drop("seed")
+
+
+def _with_texts(texts: DataFrame, lists: DataFrame, how: str, *columns: str) -> DataFrame:
     lists = lists.withColumnRenamed("doc_id", "_id").hint("merge")
-    return texts.join(lists, texts["doc_id"].eqNullSafe(lists["_id"]), how).select("doc_id", "text", column)
+    return texts.join(lists, texts["doc_id"].eqNullSafe(lists["_id"]), how).select("doc_id", "text", *columns)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, span: int = SPAN, cut: int = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256.
+    """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_seeds.
 
     Removes every byte covered by a string of ``length`` bytes that also starts anywhere else, in the
     same text included; strings are judged on the input. A null text counts as empty; shorter texts
     lose nothing. Rows that repeat an id share their spans, clipped to their text; other columns are
     ignored. ``span`` is the number of grams from which an anchor is chosen, under ``length``.
+    n_seeds tells of shorter repeats, which stay: the number of anchors whose length - span + 1 bytes
+    also stand at an anchor elsewhere (0 for texts under ``length`` bytes; rows that repeat an id share it).
     """
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,10 +197,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, span: int = SPAN, cut:
             starts[inner] = gone[inner]
             count = lambda flags: np.diff(np.concatenate([[0], np.cumsum(flags)])[offsets])
             shas = [hashlib.sha256(raw[s:e][~gone[s:e]].tobytes()).hexdigest() for s, e in zip(offsets[:-1], offsets[1:], strict=True)]
-            columns = [b.column(0), pa.array(sizes, pa.int64()), pa.array(count(gone), pa.int64()), pa.array(count(starts), pa.int64()), pa.array(shas, pa.string())]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+            numbers = [pa.array(x, pa.int64()) for x in (sizes, count(gone), count(starts))]
+            columns = [b.column(0), *numbers, pa.array(shas, pa.string()), pa.compute.fill_null(b.column(3), 0)]
+            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_seeds"])
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    spans = repeated_starts(docs, length, span, cut, id_col, text_col).groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    span_lists = F.collect_list(F.when(F.col("lo").isNotNull(), F.struct("lo", "hi")))  # nulls are left out
+    spans = _found(docs, length, span, cut, id_col, text_col).groupBy("doc_id").agg(span_lists.alias("spans"), F.sum("seed").alias("n_seeds"))
     spans = written(spans, "suffix-spans")
-    return _with_texts(texts, spans, "spans", "left").mapInArrow(cut_out, "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string")
+    schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_seeds bigint"
+    return _with_texts(texts, spans, "left", "spans", "n_seeds").mapInArrow(cut_out, schema)

@@ -100,5 +100,5 @@ def test_registered_queries_on_a_whole_table(spark, name):
         return len(ids), sha(",".join(map(str, ids))), sha(library.decode(ids, skip_special_tokens=False))
 
     plain = {"op1_suffix_dedup": lambda: repeats(texts, 400), "op2_near_dedup": lambda: near(texts, 2), "op4_bpe": lambda: {i: encoded(t) for i, t in texts.items()}, "op7_substring_dedup": lambda: shared(texts, 13)}[name]()
-    got = {r[0]: tuple(r)[1:] for r in queries.queries()[name](spark, DATA).collect()}
+    got = {r[0]: tuple(r)[1:] for r in queries.queries()[name](spark, DATA).drop("n_seeds").collect()}
     assert got == plain
