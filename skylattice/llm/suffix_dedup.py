@@ -1,17 +1,17 @@
 """Removal of long repeated byte strings: sparse distributed prefix doubling.
 
 Start positions that share a prefix are told apart by names of growing length, in rounds, until a
-name is unique or the threshold is past. The first round names positions by the ``SEED`` bytes at an
-anchor: of the ``SPAN`` grams that lie wholly in a string of LENGTH = SPAN + SEED - 1 bytes, the
-anchor is the one with the least hash, the leftmost of these. It depends on the string alone, so equal
+name is unique or the threshold is past. The first round names positions by the ``seed`` bytes at an
+anchor: of the first ``span`` grams of so many bytes in a string of ``length`` bytes, in which they lie
+wholly, the anchor is the one with the least hash, the leftmost of these. It depends on the string alone, so equal
 strings have equal anchors at equal offsets, and consecutive starts with one anchor form a run. A run
 is a row with the pair (name of the bytes that all its strings share, name of all bytes that any of
 them covers):
 
 * the second name occurs twice: every start of the run is repeated;
 * the first name occurs once: none is;
-* else the run is cut into aligned blocks of ``CUT`` starts and, at last, into single starts, whose
-  strings share more bytes (SEED, then LENGTH - CUT + 1, then LENGTH): the next, longer name.
+* else the run is cut into aligned blocks of ``cut`` starts and, at last, into single starts, whose
+  strings share more bytes (seed, then length - cut + 1, then length): the next, longer name.
 
 Spark groups and counts the pairs; texts are read again only for the runs that are left. Names are
 128-bit hashes of the bytes rather than positions in a sorted order, since only equality matters.
@@ -64,9 +64,8 @@ def _ids(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(column.fill_null(0), dtype=np.int64), np.asarray(column.is_null())
 
 
-def _runs(length: int, span: int):
+def _runs(length: int, span: int, seed: int):
     """mapInArrow function: documents -> first-round rows."""
-    seed = length - span + 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in sliced(batches, limit=1 << 20):
@@ -140,13 +139,16 @@ def _resolve(rows: DataFrame, label: str) -> tuple[DataFrame, DataFrame]:
     return shared, known.where("covers > 1").select("doc_id", "q", "lo", "hi")
 
 
-def _found(docs: DataFrame, length: int, span: int, cut: int, id_col: str, text_col: str) -> DataFrame:
+def _found(docs: DataFrame, length: int, span: int, cut: int, id_col: str, text_col: str, seed: int | None) -> DataFrame:
     """doc_id, lo, hi, seed: repeated ranges of start bytes, and with seed = 1 the runs whose anchor's seed is repeated.
 
     ``lo`` and ``hi`` are null for a run that is not repeated as a whole.
     """
+    seed = length - span + 1 if seed is None else seed
+    if span + seed - 1 > length:
+        raise ValueError("an anchor and its seed must lie within the string: span + seed - 1 <= length")
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
-    rows = written(texts.mapInArrow(_runs(length, span), _SCHEMA), "suffix-runs")
+    rows = written(texts.mapInArrow(_runs(length, span, seed), _SCHEMA), "suffix-runs")
     shared, left = _resolve(rows, "suffix-runs")
     whole = F.col("n") > 1
     found = shared.select("doc_id", F.when(whole, F.col("lo")).alias("lo"), F.when(whole, F.col("hi")).alias("hi"), F.lit(1).alias("seed"))
@@ -159,9 +161,9 @@ def _found(docs: DataFrame, length: int, span: int, cut: int, id_col: str, text_
     return found
 
 
-def repeated_starts(docs: DataFrame, length: int = LENGTH, span: int = SPAN, cut: int = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def repeated_starts(docs: DataFrame, length: int = LENGTH, span: int = SPAN, cut: int = CUT, id_col: str = "doc_id", text_col: str = "text", seed: int | None = None) -> DataFrame:
     """doc_id, lo, hi: ranges of start bytes (both ends included) whose ``length`` bytes also start elsewhere."""
-    return _found(docs, length, span, cut, id_col, text_col).where("lo IS NOT NULL").drop("seed")
+    return _found(docs, length, span, cut, id_col, text_col, seed).where("lo IS NOT NULL").drop("seed")
 
 
 def _with_texts(texts: DataFrame, lists: DataFrame, how: str, *columns: str) -> DataFrame:
@@ -169,15 +171,17 @@ def _with_texts(texts: DataFrame, lists: DataFrame, how: str, *columns: str) ->
     return texts.join(lists, texts["doc_id"].eqNullSafe(lists["_id"]), how).select("doc_id", "text", *columns)
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, span: int = SPAN, cut: int = CUT, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, span: int = SPAN, cut: int = CUT, id_col: str = "doc_id", text_col: str = "text", seed: int | None = None) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_seeds.
 
     Removes every byte covered by a string of ``length`` bytes that also starts anywhere else, in the
     same text included; strings are judged on the input. A null text counts as empty; shorter texts
     lose nothing. Rows that repeat an id share their spans, clipped to their text; other columns are
-    ignored. ``span`` is the number of grams from which an anchor is chosen, under ``length``.
-    n_seeds tells of shorter repeats, which stay: the number of anchors whose length - span + 1 bytes
-    also stand at an anchor elsewhere (0 for texts under ``length`` bytes; rows that repeat an id share it).
+    ignored. ``span`` is the number of grams from which an anchor is chosen, ``seed`` their bytes (by
+    default, and at most, length - span + 1). n_seeds tells of shorter repeats, which stay: the number of
+    anchors whose seed also stands at an anchor elsewhere, over 0 for every repeat of span + seed - 1
+    bytes that both texts follow up to ``length`` bytes (0 for texts under ``length`` bytes; rows that
+    repeat an id share it).
     """
 
     def cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -203,7 +207,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, span: int = SPAN, cut:
 
     texts = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
     span_lists = F.collect_list(F.when(F.col("lo").isNotNull(), F.struct("lo", "hi")))  # nulls are left out
-    spans = _found(docs, length, span, cut, id_col, text_col).groupBy("doc_id").agg(span_lists.alias("spans"), F.sum("seed").alias("n_seeds"))
+    spans = _found(docs, length, span, cut, id_col, text_col, seed).groupBy("doc_id").agg(span_lists.alias("spans"), F.sum("seed").alias("n_seeds"))
     spans = written(spans, "suffix-spans")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string, n_seeds bigint"
     return _with_texts(texts, spans, "left", "spans", "n_seeds").mapInArrow(cut_out, schema)

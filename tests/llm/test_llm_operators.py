@@ -48,12 +48,12 @@ def texts():
     return hard_texts()
 
 
-@pytest.mark.parametrize("length,span,cut", [(400, 256, 16), (40, 24, 4), (40, 32, 16)])
-def test_suffix_dedup(spark, texts, length, span, cut):
-    out = suffix_dedup.remove_repeats(table(spark, texts), length, span, cut)
+@pytest.mark.parametrize("length,span,cut,seed", [(400, 256, 16, None), (40, 24, 4, None), (40, 32, 16, None), (400, 160, 16, 97)])
+def test_suffix_dedup(spark, texts, length, span, cut, seed):
+    out = suffix_dedup.remove_repeats(table(spark, texts), length, span, cut, seed=seed)
     assert rows(out.drop("n_seeds")) == repeats(texts, length)
     seeds, removed = ({r["doc_id"]: r[c] for r in out.collect()} for c in ("n_seeds", "n_removed"))
-    shorter = repeats(texts, length - span + 1)
+    shorter = repeats(texts, seed or length - span + 1)
     assert all(seeds[i] > 0 for i in texts if removed[i])  # a repeated string takes its anchor along
     assert all(shorter[i][1] > 0 for i in texts if seeds[i])  # a seed is a repeated string of its own length
 
