@@ -11,8 +11,10 @@ from skylattice.llm.bpe import bpe_digest
 from skylattice.llm.decontaminate import contaminated
 from skylattice.llm.exact_dedup import exact_dedup
 from skylattice.llm.language_id import identify_language
+from skylattice.llm.merkle_manifest import merkle_manifest
 from skylattice.llm.near_dedup import near_duplicates
 from skylattice.llm.pii import find_pii
+from skylattice.llm.secret_scan import find_secrets
 from skylattice.llm.substring_dedup import remove_shared
 from skylattice.llm.suffix_dedup import remove_repeats
 from skylattice.llm.toxicity import fit_toxicity, score_toxicity
@@ -68,8 +70,17 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return score_toxicity(docs, fit_toxicity(docs, table(spark, sf_dir, "labels")))
 
 
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return find_secrets(table(spark, sf_dir, "documents"))
+
+
 _QUERIES = (
     op1_suffix_dedup, op2_near_dedup, op3_pii, op4_bpe, op5_url_filter, op6_exact_dedup, op7_substring_dedup, op8_decontaminate, op9_language_id, op10_toxicity,
+    op11_merkle_manifest, op13_secret_scan,
 )
 
 
