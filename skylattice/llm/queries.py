@@ -8,6 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from skylattice.llm.bpe import bpe_digest
+from skylattice.llm.conversation_repair import repair_conversations
 from skylattice.llm.decontaminate import contaminated
 from skylattice.llm.exact_dedup import exact_dedup
 from skylattice.llm.language_id import identify_language
@@ -74,13 +75,17 @@ def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle_manifest(table(spark, sf_dir, "documents"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op13_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return find_secrets(table(spark, sf_dir, "documents"))
 
 
 _QUERIES = (
     op1_suffix_dedup, op2_near_dedup, op3_pii, op4_bpe, op5_url_filter, op6_exact_dedup, op7_substring_dedup, op8_decontaminate, op9_language_id, op10_toxicity,
-    op11_merkle_manifest, op13_secret_scan,
+    op11_merkle_manifest, op12_conversation_repair, op13_secret_scan,
 )
 
 
