@@ -1394,6 +1394,22 @@ def t6_ordered_state(spark, sf_dir):
     return out.select("user_id", F.unix_micros("ts").alias("t"), r("forecast"), r("score"), "late")
 
 
+@query(f"""WITH RECURSIVE e AS (SELECT user_id, CAST(floor(epoch(ts) / 86400) AS BIGINT) AS slot, avg(value) AS x, count(*) AS c FROM events GROUP BY ALL), closed AS (SELECT CAST(floor((epoch(max(ts)) - 86400) / 86400) AS BIGINT) AS slot FROM events),
+p AS (SELECT user_id, unnest(range(min(e.slot), any_value(closed.slot))) AS slot FROM e, closed GROUP BY user_id), s AS (SELECT p.user_id, p.slot, x, coalesce(c, 0) AS c, row_number() OVER (PARTITION BY p.user_id ORDER BY p.slot) AS i FROM p LEFT JOIN e ON e.user_id = p.user_id AND e.slot = p.slot),
+fold AS (SELECT user_id, slot, i, x, c, x AS forecast, CAST(0 AS DOUBLE) AS score, 1 AS n, x AS mean, CAST(0 AS DOUBLE) AS m2, CAST(0 AS DOUBLE) AS h FROM s WHERE i = 1
+UNION ALL SELECT user_id, slot, i, x, c, mean + scale * h, CASE WHEN x IS NULL THEN NULL WHEN n > 1 THEN abs(x - mean - scale * h) / scale ELSE 0.0 END, CASE WHEN x IS NULL THEN n ELSE n + 1 END, CASE WHEN x IS NULL THEN mean ELSE mean + (x - mean) / (n + 1) END,
+  CASE WHEN x IS NULL THEN m2 ELSE m2 + (x - mean) * (x - (mean + (x - mean) / (n + 1))) END, CASE WHEN x IS NULL THEN 0.9 * h ELSE a * h + (1 - a) * tanh(z) END
+FROM (SELECT *, 0.9 ** (1 + 0.5 * least(abs(z), 10.0)) AS a FROM (SELECT *, (x - mean) / scale AS z FROM (SELECT s.user_id, s.slot, s.i, s.x, s.c, n, mean, m2, h, CASE WHEN n > 1 THEN greatest(sqrt(m2 / (n - 1)), 1e-6) ELSE 1.0 END AS scale FROM fold JOIN s ON s.i = fold.i + 1 AND s.user_id = fold.user_id))))
+SELECT user_id, slot, {rs('x', 'value')}, c AS n, {rs('forecast', 'forecast')}, {rs('score', 'score')}, x IS NULL AS gap, false AS late FROM fold""")
+def t6_slot_state(spark, sf_dir):
+    from skylattice.streaming.stateful import rocksdb, slot_scores
+    from skylattice.streaming.streams import run_to_table
+
+    with rocksdb(spark):
+        out = run_to_table(slot_scores(_events_stream(spark, sf_dir), "user_id", "ts", "value", 86400, "1 day"), *_stream_out(spark))
+    return out.select("user_id", "slot", r("value"), "n", r("forecast"), r("score"), "gap", "late")
+
+
 @query("""WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 12 HOURS THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts) AS i FROM g),
 k AS (SELECT user_id, min(ts) AS a, max(ts) AS e, count(*) AS n FROM s GROUP BY user_id, i) SELECT user_id, epoch_us(a) AS start, n FROM k WHERE e + INTERVAL 12 HOURS <= (SELECT max(ts) - INTERVAL 1 DAY FROM events)""")
 def t7_sessions(spark, sf_dir):
