@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions import encode, geo
 from skylattice.operators import aggregates as agg
-from skylattice.operators import grid, joins, motion, revisions, spectral, timeseries, topk, tracks
+from skylattice.operators import grid, joins, motion, pooled, revisions, spectral, timeseries, topk, tracks
 from skylattice.plans import bindings as b
 from skylattice.plans import lifecycle, survey
 
@@ -527,6 +527,14 @@ def w6_expanding_score(spark, sf_dir):
     return timeseries.expanding_score(b.obs_grid(spark, sf_dir), ["iy", "ix"], "day", "v", 1.0).select("iy", "ix", "day", r("z"))
 
 
+@query(f"""WITH {OBS}, o AS (SELECT *, iy % 3 AS region FROM obs), d AS (SELECT DISTINCT region, day FROM o), p AS (SELECT d.region, d.day, list(o.v) AS l FROM d JOIN o ON o.region = d.region AND o.day <= d.day GROUP BY ALL), m AS (SELECT *, list_median(l) AS centre FROM p),
+s AS (SELECT region, day, centre, greatest(1.0, 1.4826 * list_median(list_transform(l, lambda x: abs(x - centre)))) AS scale FROM m)
+SELECT iy, ix, day, {rs('centre', 'centre')}, {rs('scale', 'scale')}, {rs('(v - centre) / scale', 'z')} FROM o JOIN s USING (region, day)""")
+def w6_pooled_score(spark, sf_dir):
+    obs = b.obs_grid(spark, sf_dir).withColumn("region", F.col("iy") % 3)
+    return pooled.pooled_score(obs, ["region"], "day", "v", 1.0).select("iy", "ix", "day", r("centre"), r("scale"), r("z"))
+
+
 @query(f"""WITH {OBS}, n AS (SELECT *, lag(v) OVER w AS v0, lag(day) OVER w AS t0, lead(v) OVER w AS v1, lead(day) OVER w AS t1 FROM obs WINDOW w AS (PARTITION BY iy, ix ORDER BY day))
 SELECT iy, ix, day, round(CASE WHEN t0 IS NULL THEN (v1 - v) / (t1 - day) WHEN t1 IS NULL THEN (v - v0) / (day - t0)
   ELSE ((v - v0) / (day - t0) * (t1 - day) + (v1 - v) / (t1 - day) * (day - t0)) / (t1 - t0) END, 6) + CAST(0 AS DOUBLE) AS rate FROM n""")
