@@ -16,6 +16,7 @@ from skylattice.operators import aggregates as agg
 from skylattice.operators import grid, joins, motion, pooled, revisions, spectral, timeseries, topk, tracks
 from skylattice.plans import bindings as b
 from skylattice.plans import lifecycle, survey
+from skylattice.plans.store import stored
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -924,6 +925,55 @@ def g18_wave_peak(spark, sf_dir):
     return peak.select("region", *[r(c) for c in ("period", "wavelength", "phase_speed", "bearing", "amplitude", "phase", "concentration", "uniqueness")])
 
 
+def _axis_sql(c: str) -> str:
+    """The peak's place on an axis, moved to the top of a parabola through the logarithms of three powers."""
+    low, high, at = f"ln(l{c}.power)", f"ln(h{c}.power)", f"(h{c}.{c} - l{c}.{c}) / 2"
+    bend = f"({low} - 2 * ln(pk.power) + {high})"
+    return f"pk.{c} + coalesce(CASE WHEN {bend} < 0 THEN 0.5 * ({low} - {high}) / {bend} END * {at}, 0) AS {c}"
+
+
+def _beside_sql(c: str, name: str, step: int) -> str:
+    same = " AND ".join(f"{name}{c}.r{o[-1]} = pk.r{o[-1]}" + (f" + ({step})" if o == c else "") for o in ("f", "kx", "ky"))
+    return f"LEFT JOIN q {name}{c} ON {name}{c}.region = pk.region AND {same} AND {name}{c}.power > 0"
+
+
+#: Bins from the band of :func:`spectral.capabilities`, the refined peak, and the carrier's complex amplitude a day.
+_CARRIER = f"""fr AS (SELECT iy % 3 AS region, day, count(v) AS valid FROM obs GROUP BY ALL), st AS (SELECT *, day - lag(day) OVER (PARTITION BY region ORDER BY day) AS step FROM fr),
+ca AS (SELECT region, count(*) AS epochs, median(step) AS cadence, max(step) AS gap, max(day) - min(day) AS span, sum(valid) / (count(*) * max(valid)) AS share FROM st GROUP BY region),
+ok AS (SELECT region, epochs * cadence AS len, unnest(range(CAST(ceil(epochs * cadence / (span / 2)) AS BIGINT), CAST(floor(epochs * cadence / (2 * cadence)) AS BIGINT) + 1)) AS j FROM ca WHERE epochs >= 8 AND share >= 0.5 AND gap <= 1.5 * cadence),
+bi AS (SELECT region, j / len AS f, CAST(kx AS DOUBLE) AS kx, CAST(ky AS DOUBLE) AS ky FROM ok, (VALUES {_WAVE_ROWS}) e(kx, ky)),
+t AS (SELECT iy, ix, regr_slope(v, day) AS s, avg(v) AS m, avg(day) AS d FROM obs GROUP BY iy, ix), o AS (SELECT iy % 3 AS region, day, iy, ix, v - m - coalesce(s, 0) * (day - d) AS x FROM obs JOIN t USING (iy, ix)),
+h AS (SELECT *, min(day) OVER w AS d0, max(day) OVER w AS d1 FROM o WINDOW w AS (PARTITION BY region)),
+w AS (SELECT h.region, f, kx, ky, x, CASE WHEN d1 > d0 THEN 0.5 * (1 - cos(2 * pi() * (day - d0) / (d1 - d0))) ELSE 1.0 END AS g, 2 * pi() * (f * day - kx * ix * 3 - ky * iy * 2) AS ph FROM h JOIN bi ON bi.region = h.region),
+s AS (SELECT region, f, kx, ky, (sum(g * x * cos(ph)) ** 2 + sum(g * x * sin(ph)) ** 2) / (sum(g) * sum(g)) AS power FROM w GROUP BY ALL),
+q AS (SELECT *, dense_rank() OVER (PARTITION BY region ORDER BY f) AS rf, dense_rank() OVER (PARTITION BY region ORDER BY kx) AS rx, dense_rank() OVER (PARTITION BY region ORDER BY ky) AS ry FROM s),
+pk AS (SELECT *, sum(power) OVER (PARTITION BY region) AS total FROM q QUALIFY row_number() OVER (PARTITION BY region ORDER BY power DESC, f DESC, kx DESC, ky DESC) = 1),
+co AS (SELECT q.region, max(q.power) AS other FROM q JOIN pk ON pk.region = q.region WHERE greatest(abs(q.rf - pk.rf), abs(q.rx - pk.rx), abs(q.ry - pk.ry)) > 1 GROUP BY q.region),
+re AS (SELECT pk.region, {', '.join(_axis_sql(c) for c in ('f', 'kx', 'ky'))}, pk.power / pk.total AS concentration, 1 - coalesce(co.other, 0) / pk.power AS uniqueness FROM pk LEFT JOIN co ON co.region = pk.region
+  {' '.join(_beside_sql(c, n, k) for c in ('f', 'kx', 'ky') for n, k in (('l', -1), ('h', 1)))}),
+ex AS (SELECT region, min(iy) AS y0, max(iy) AS y1, min(ix) AS x0, max(ix) AS x1 FROM o GROUP BY region),
+dm AS (SELECT o.region, o.day, re.f, o.x, CASE WHEN y1 > y0 THEN 0.5 * (1 - cos(2 * pi() * (iy - y0) / (y1 - y0))) ELSE 1.0 END * CASE WHEN x1 > x0 THEN 0.5 * (1 - cos(2 * pi() * (ix - x0) / (x1 - x0))) ELSE 1.0 END AS g, 2 * pi() * (re.f * o.day - re.kx * ix * 3 - re.ky * iy * 2) AS ph FROM o JOIN ex ON ex.region = o.region JOIN re ON re.region = o.region),
+tr AS (SELECT *, sqrt(re_ * re_ + im_ * im_) AS a FROM (SELECT region, day, f, 2 * sum(g * x * cos(ph)) / sum(g) AS re_, -2 * sum(g * x * sin(ph)) / sum(g) AS im_ FROM dm GROUP BY region, day, f HAVING sum(g) > 0)),
+lv AS (SELECT region, greatest(quantile_cont(a, 0.95) * 0.25, 1e-12) AS level FROM tr GROUP BY region),
+ac AS (SELECT *, lead(day) OVER w - day AS nx, lead(act) OVER w AS th FROM (SELECT tr.*, CASE WHEN a >= level THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS act FROM tr JOIN lv ON lv.region = tr.region) WINDOW w AS (PARTITION BY region ORDER BY day)),
+ev AS (SELECT region, f, CAST(sum(act) AS BIGINT) AS active, sum(nx * (act + th) / 2) AS tm, max(day) - min(day) AS span, sqrt(sum(re_) FILTER (act > 0) ** 2 + sum(im_) FILTER (act > 0) ** 2) / sum(a) FILTER (act > 0) AS coherence FROM ac GROUP BY region, f),
+z AS (SELECT re.*, active, tm / span AS occupancy, tm * abs(ev.f) AS cycles, coherence FROM re JOIN ev ON ev.region = re.region)"""
+
+
+@query(f"""WITH {OBS}, {_CARRIER} SELECT region, {rs('1 / f', 'period')}, {rs('kx', 'kx')}, {rs('ky', 'ky')}, active, {rs('occupancy', 'occupancy')}, {rs('cycles', 'cycles')}, {rs('coherence', 'coherence')}, {rs('concentration * occupancy * coherence * uniqueness', 'confidence')},
+CASE WHEN occupancy < 0.65 OR cycles < 3 THEN 'insufficient_persistence' WHEN coherence < 0.5 THEN 'no_carrier' WHEN concentration < 0.2 THEN 'low_confidence' ELSE 'estimated' END AS status FROM z""")
+def g18_carrier(spark, sf_dir):
+    region = ["region"]
+    obs = b.obs_grid(spark, sf_dir).withColumn("region", F.col("iy") % 3)
+    bins = spectral.admissible_bins(spectral.capabilities(obs, region, "day", "v"), region, _WAVES)
+    residual = spectral.hann(spectral.detrended(obs, region, "day", "v"), region, "day")
+    power = stored(spectral.wave_power(residual, region, "day", "residual", [], [], 2.0, 3.0, "hann", bins), "wave-power")
+    carrier = spectral.refined_peak(power, region)
+    evidence = spectral.carrier_evidence(residual, region, "day", "residual", carrier, 2.0, 3.0)
+    judged = spectral.judged_waves(spectral.wave_peak(power, region).drop("period").join(carrier, region), evidence, region)
+    return judged.select("region", r(1 / F.col("f"), "period"), r("kx"), r("ky"), "active", *[r(c) for c in ("occupancy", "cycles", "coherence", "confidence")], "status")
+
+
 @query(f"""WITH {OBS}, t AS (SELECT unnest([{DAY0 + 10}, {DAY0 + 15}, {DAY0 + 20}, {DAY0 + 29}]) AS target), e AS (SELECT target, iy, ix, day, v FROM obs, t WHERE day <= target), m AS (SELECT *, median(v) OVER (PARTITION BY target, iy, ix) AS c FROM e),
 k AS (SELECT target, iy, ix, any_value(c) AS c, greatest(1.0, 1.4826 * median(abs(v - c))) AS s FROM m GROUP BY ALL)
 SELECT CAST(k.target AS BIGINT) AS target, k.iy, k.ix, {rs('(v - c) / s', 'z')} FROM k JOIN obs ON obs.day = k.target AND obs.iy = k.iy AND obs.ix = k.ix""")
