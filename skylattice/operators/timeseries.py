@@ -180,23 +180,13 @@ def recurrence(df: DataFrame, keys: list[str], at: str, value: str, decay: float
     """Scores each row before it is seen: an ordered fold over a key's series with an input-dependent gate.
 
     state <- a state + (1 - a) tanh(x / scale), a = decay ** (1 + gain |x| / scale); the forecast is
-    scale * state plus the running mean; the score is |residual| over the running deviation. One
-    bounded series for each key in memory, keys in parallel.
+    scale * state plus the running mean; the score is |residual| over the running deviation. Series are
+    folded in slices (:mod:`skylattice.operators.recurrences`), so none has to fit into a task.
     """
-    import pandas as pd
+    from skylattice.operators.recurrences import recurrence_scan
 
-    kinds = {f.name: f.dataType.simpleString() for f in df.schema}
-    schema = ", ".join([*(f"{c} {kinds[c]}" for c in [*keys, at, value]), "forecast double", "score double", "candidate boolean"])
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(at, kind="stable")
-        forecasts, scores = fold_series(frame[value].to_numpy(float), decay, gain)
-        out = frame[[*keys, at, value]].copy()
-        out["forecast"], out["score"] = forecasts, scores
-        out["candidate"] = out["score"] >= threshold
-        return out
-
-    return df.select(*keys, at, value).groupBy(*keys).applyInPandas(fold, schema)
+    scores, _ = recurrence_scan(df.select(*keys, at, value), keys, at, value, None, decay, gain)
+    return scores.withColumn("candidate", F.col("score") >= threshold)
 
 
 def fold_step(state: dict, x: float, decay: float, gain: float) -> tuple[float, float]:

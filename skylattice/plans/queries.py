@@ -1142,6 +1142,26 @@ def l8_incremental_scan(spark, sf_dir):
     return lifecycle.incremental_scan(rows, ["series"], "day", "artifact_id", _share_of(rows, "artifact_id", 2, 5), _share_of(rows, "artifact_id", 9, 10)).select("series", "day", "artifact_id", r("value"), "fresh")
 
 
+def _scanned_sql(name: str, share: str) -> str:
+    """Rows and scores of a scan over the latest publications up to a share of the numbers."""
+    rows = f"SELECT series, CAST(datediff('day', DATE '1970-01-01', day) AS BIGINT) AS day, max(artifact_id) AS artifact_id, arg_max(value, artifact_id) AS x FROM rev WHERE artifact_id <= (SELECT max(artifact_id) * {share} FROM rev) GROUP BY ALL"
+    fold = _fold_sql("series", "day").replace("fold", f"fold{name}").replace(" s ", f" s{name} ").replace("s.", f"s{name}.")
+    return f"r{name} AS ({rows}), s{name} AS (SELECT *, row_number() OVER (PARTITION BY series ORDER BY day) AS i FROM r{name}), {fold}"
+
+
+@query(f"""WITH RECURSIVE {b.REV_SQL}, {_scanned_sql('a', '2 // 5')}, {_scanned_sql('b', '9 // 10')},
+al AS (SELECT 0 AS run, r.series, r.day, r.artifact_id, forecast, score FROM ra r JOIN folda f ON f.series = r.series AND f.day = r.day UNION ALL SELECT 1, r.series, r.day, r.artifact_id, forecast, score FROM rb r JOIN foldb f ON f.series = r.series AND f.day = r.day WHERE r.artifact_id > (SELECT max(artifact_id) * 2 // 5 FROM rev))
+SELECT CAST(run AS BIGINT) AS run, series, day, artifact_id, {rs('forecast', 'forecast')}, {rs('score', 'score')}, score >= 4.5 AS candidate FROM al""")
+def l8_resumed_scan(spark, sf_dir):
+    from skylattice.plans.scans import committed_scores, scan_run
+
+    rows = b.obs_rev(spark, sf_dir).select("series", F.unix_date("day").cast("bigint").alias("day"), "artifact_id", "value")
+    path = _folder(spark, "scans")
+    for share in ((2, 5), (9, 10)):
+        scan_run(rows, ["series"], "day", "artifact_id", "value", path, _share_of(rows, "artifact_id", *share))
+    return committed_scores(spark, path).select("run", "series", "day", "artifact_id", r("forecast"), r("score"), "candidate")
+
+
 @query(f"""WITH {OBS}, l AS (SELECT *, lag(v) OVER (PARTITION BY iy, ix ORDER BY day) AS p FROM obs), x AS (SELECT day, iy, ix, v - p AS res FROM l WHERE p IS NOT NULL), c AS (SELECT *, median(res) OVER (PARTITION BY iy, ix) AS c FROM x),
 s AS (SELECT iy, ix, any_value(c) AS c, greatest(1.0, 1.4826 * median(abs(res - c))) AS s FROM c GROUP BY iy, ix), z AS (SELECT day, greatest(0.0, (abs(res - s.c) - 1.0) / s.s) AS z FROM x JOIN s USING (iy, ix)), m AS (SELECT day, quantile_cont(z, 0.95) AS score, count(*) AS cells FROM z GROUP BY day)
 SELECT day, {rs('score', 'score')}, cells, score >= (SELECT greatest(3.0, quantile_cont(score, 0.995)) FROM m) AS candidate FROM m""")
