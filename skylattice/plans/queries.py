@@ -1518,6 +1518,18 @@ def t8_same_hour_stream(spark, sf_dir):
     return against_same_hour(stream, *_stream_out(spark), ["iy"], "ts", "value").select("event_id", r("deviation"))
 
 
+@query("""WITH b AS (SELECT epoch(min(ts)) AS a, epoch(max(ts)) AS z FROM events), e AS (SELECT *, epoch(ts) AS t, CASE WHEN event_type = 'signup' THEN 3 ELSE least(3, CAST(floor((floor(epoch(ts)) - floor(a)) * 4 / greatest(1, floor(z) - floor(a))) AS INT)) END AS feed FROM events, b),
+m AS (SELECT feed, count(*) AS read, floor(max(t)) AS latest FROM e GROUP BY feed), p AS (SELECT feed, read, CAST(max(latest) OVER (ORDER BY feed) AS BIGINT) AS latest, max(latest) OVER (ORDER BY feed ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reached FROM m),
+r AS (SELECT e.feed, coalesce(floor(t) < reached - 86400, false) AS late, coalesce(value > 200 OR event_type = 'error', false) AS bad FROM e JOIN p ON p.feed = e.feed)
+SELECT CAST(r.feed AS BIGINT) AS batch, count(*) AS read, count(*) FILTER (NOT late AND NOT bad) AS kept, count(*) FILTER (late) AS late, count(*) FILTER (bad AND NOT late) AS refused, any_value(p.latest) AS latest FROM r JOIN p ON p.feed = r.feed GROUP BY r.feed""")
+def t9_intake_counts(spark, sf_dir):
+    from skylattice.streaming.streams import counted_intake
+
+    rules = {"value_too_large": F.col("value") <= 200, "error_event": F.col("event_type") != "error"}
+    _, _, counts = counted_intake(_events_stream(spark, sf_dir, F.col("event_type") == "signup"), rules, *_stream_out(spark), "ts", 86400)
+    return counts
+
+
 @query("SELECT coalesce(CASE WHEN value > 200 THEN 'value_too_large' WHEN event_type = 'error' THEN 'error_event' END, 'kept') AS outcome, count(*) AS n FROM events GROUP BY 1")
 def t9_rejects(spark, sf_dir):
     from skylattice.streaming.streams import split_rejects

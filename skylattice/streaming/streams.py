@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from skylattice.operators.joins import array_median, changed_and_next, same_time_history
 from skylattice.operators.timeseries import fold_step
@@ -92,10 +93,52 @@ def against_baseline(stream: DataFrame, baseline: DataFrame, keys: list[str], va
     return stream.join(baseline, keys, "left").withColumn("deviation", F.col(value) - F.col("baseline"))
 
 
-def _arrived(batch: DataFrame, number: int, path: str) -> DataFrame:
-    """All rows that have come by now: the batch goes beside those before it, into a folder that a retry overwrites."""
-    batch.write.mode("overwrite").parquet(f"{path}/arrived/batch={number}")
-    return batch.sparkSession.read.schema(batch.schema).option("recursiveFileLookup", "true").parquet(f"{path}/arrived")
+_DAY, _BATCH = "_day", "_batch"
+
+
+def _day_of(at: str):
+    return F.unix_date(F.to_date(at)).cast("bigint")
+
+
+class Arrivals:
+    """What has arrived, kept by day and batch: a batch writes and reads the folders of the days that it touches alone.
+
+    A batch that is retried overwrites its own folders. Rows without an instant stand under no day and are
+    kept apart, in :attr:`undated`.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, schema, at: str):
+        self.spark, self.path, self.schema, self.at = spark, f"{path}/arrived", schema, at
+        self.undated = f"{path}/undated"
+
+    def add(self, batch: DataFrame, number: int) -> list[int]:
+        """Keeps a batch; returns the days that it touches, a short list whatever its rows."""
+        batch.where(F.col(self.at).isNull()).write.mode("overwrite").parquet(f"{self.undated}/batch={number}")
+        rows = batch.where(F.col(self.at).isNotNull()).withColumn(_DAY, _day_of(self.at)).withColumn(_BATCH, F.lit(number))
+        rows.repartition(_DAY, F.pmod(F.xxhash64(*batch.columns), F.lit(4))).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(_DAY, _BATCH).parquet(self.path)
+        return sorted(r[0] for r in rows.select(_DAY).distinct().collect())
+
+    def of(self, days) -> DataFrame:
+        """All rows of some days that have arrived by now; no other day's folder is listed or read."""
+        jvm = self.spark._jvm
+        root = jvm.org.apache.hadoop.fs.Path(self.path)
+        files = root.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        paths = [p for d in sorted(set(days)) if files.exists(jvm.org.apache.hadoop.fs.Path(p := f"{self.path}/{_DAY}={d}"))]
+        if not paths:
+            return self.spark.createDataFrame([], self.schema)
+        kinds = StructType([*self.schema.fields, StructField(_DAY, LongType()), StructField(_BATCH, LongType())])
+        rows = self.spark.read.schema(kinds).option("basePath", self.path).parquet(*paths)
+        return rows.drop(_DAY, _BATCH)
+
+
+def _latest_day(spark: SparkSession, path: str, number: int, days: list[int]) -> int | None:
+    """The latest day up to this batch, handed on from batch to batch in one row each."""
+    known = list(days)
+    if number > 0:
+        known += [r[0] for r in spark.read.schema("day bigint").parquet(f"{path}/latest/batch={number - 1}").collect() if r[0] is not None]
+    latest = max(known, default=None)
+    spark.createDataFrame([(latest,)], "day bigint").coalesce(1).write.mode("overwrite").parquet(f"{path}/latest/batch={number}")
+    return latest
 
 
 def _run(stream: DataFrame, save: Callable[[DataFrame, int], None], checkpoint: str) -> SparkSession:
@@ -107,17 +150,20 @@ def against_same_hour(stream: DataFrame, path: str, checkpoint: str, keys: list[
     """Each batch's rows beside a sliding baseline, made anew for the batch from what has arrived by then.
 
     The baseline is the median, over the ``days`` days before, of a key's daily means at the same hour; null
-    where there is none. Only the days that a batch looks back to are read.
+    where there is none. Only the folders of the days that a batch looks back to are read.
     """
+    arrivals = Arrivals(stream.sparkSession, path, stream.schema, at)
 
     def save(batch: DataFrame, number: int) -> None:
+        batch.persist()
+        touched = arrivals.add(batch, number)
+        recent = arrivals.of(d - back for d in touched for back in range(days + 1))
         day, hour = F.unix_date(F.to_date(at)), F.hour(at)
-        first = batch.agg(F.min(day)).first()[0]
-        recent = _arrived(batch, number, path).where(day >= F.lit(first) - days)
-        means = recent.groupBy(*keys, day.alias("_day"), hour.alias("_hour")).agg(F.avg(value).alias("_v"))
-        base = same_time_history(means, keys, "_day", "_hour", "_v", days).select(*keys, "_day", "_hour", array_median("prior").alias("baseline"))
-        out = batch.withColumn("_day", day).withColumn("_hour", hour).join(base.hint("merge"), [*keys, "_day", "_hour"], "left").drop("_day", "_hour")
+        means = recent.groupBy(*keys, day.alias("_d"), hour.alias("_hour")).agg(F.avg(value).alias("_v"))
+        base = same_time_history(means, keys, "_d", "_hour", "_v", days).select(*keys, "_d", "_hour", array_median("prior").alias("baseline"))
+        out = batch.withColumn("_d", day).withColumn("_hour", hour).join(base.hint("merge"), [*keys, "_d", "_hour"], "left").drop("_d", "_hour")
         out.withColumn("deviation", F.col(value) - F.col("baseline")).write.mode("overwrite").parquet(f"{path}/judged/batch={number}")
+        batch.unpersist()
 
     return _run(stream, save, checkpoint).read.option("recursiveFileLookup", "true").parquet(f"{path}/judged")
 
@@ -126,17 +172,19 @@ def rescore_stream(stream: DataFrame, path: str, checkpoint: str, at: str, score
     """Late and revised rows in a stream: the days of each batch, and the day after each, are scored again.
 
     ``score`` takes rows with ``day`` (days since 1970) and gives one row a day; it gets all rows of these
-    days that have arrived. The last score of a day counts. Days more than ``overlap`` before the latest one
-    are not scored again; they come back in a second table, for :func:`rescore_late`.
+    days that have arrived, from the folders of these days alone. The last score of a day counts. Days more than
+    ``overlap`` before the latest one are not scored again; they come back in a second table, for :func:`rescore_late`.
     """
+    arrivals = Arrivals(stream.sparkSession, path, stream.schema, at)
 
     def save(batch: DataFrame, number: int) -> None:
-        day = F.unix_date(F.to_date(at)).cast("bigint")
-        rows = _arrived(batch, number, path).withColumn("day", day)
-        latest = rows.agg(F.max("day").alias("_latest"))
-        changed = batch.select(day.alias("day")).distinct().join(F.broadcast(latest)).withColumn("beyond", F.col("day") < F.col("_latest") - overlap).drop("_latest")
-        changed.where("beyond").select("day").write.mode("overwrite").parquet(f"{path}/beyond/batch={number}")
-        again = changed_and_next(rows, changed.where("NOT beyond"), "day")
+        spark = batch.sparkSession
+        touched = arrivals.add(batch, number)
+        latest = _latest_day(spark, path, number, touched)
+        beyond = [d for d in touched if d < latest - overlap]
+        spark.createDataFrame([(d,) for d in beyond], "day bigint").write.mode("overwrite").parquet(f"{path}/beyond/batch={number}")
+        changed = {d + k for d in touched if d >= latest - overlap for k in (0, 1)}
+        again = arrivals.of(changed).withColumn("day", _day_of(at))
         score(again).withColumn("run", F.lit(number).cast("bigint")).write.mode("overwrite").parquet(f"{path}/scores/batch={number}")
 
     spark = _run(stream, save, checkpoint)
@@ -146,6 +194,44 @@ def rescore_stream(stream: DataFrame, path: str, checkpoint: str, at: str, score
     return last, read("beyond").distinct()
 
 
+def counted_intake(stream: DataFrame, rules: dict, path: str, checkpoint: str, at: str, delay_seconds: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Kept rows, refused or late rows with their reason, and what became of each batch's rows.
+
+    A row is late if it lies more than ``delay_seconds`` before the latest instant of the batches before
+    its own; else the first rule that fails is its reason. Counts are observed while the batch is written, not
+    counted anew, and stand beside it: batch, read, kept, late, refused, and the latest instant so far. A batch that is
+    retried overwrites its rows and counts, so each row counts once.
+    """
+    second = F.unix_seconds(at)
+
+    def before(spark: SparkSession, number: int) -> int | None:
+        return spark.read.schema(_COUNTS).parquet(f"{path}/counts/batch={number - 1}").first()["latest"] if number else None
+
+    def save(batch: DataFrame, number: int) -> None:
+        spark = batch.sparkSession
+        reached = before(spark, number)
+        reason = F.lit(None).cast("string")
+        for name, ok in reversed(rules.items()):
+            reason = F.when(~F.coalesce(ok, F.lit(False)), name).otherwise(reason)
+        late = second < F.lit(None if reached is None else reached - delay_seconds).cast("bigint")
+        judged = batch.withColumn("reason", F.when(F.coalesce(late, F.lit(False)), "late").otherwise(reason))
+        seen = Observation(f"intake-{number}")
+        is_late = F.coalesce(F.col("reason") == "late", F.lit(False))
+        counts = [F.count(F.lit(1)).alias("read"), F.count_if(F.col("reason").isNull()).alias("kept"), F.count_if(is_late).alias("late"), F.count_if(F.col("reason").isNotNull() & ~is_late).alias("refused"), F.max(second).alias("latest")]
+        judged.observe(seen, *counts).write.mode("overwrite").parquet(f"{path}/rows/batch={number}")
+        got = seen.get
+        latest = max((x for x in (reached, got["latest"]) if x is not None), default=None)
+        spark.createDataFrame([(number, got["read"], got["kept"], got["late"], got["refused"], latest)], _COUNTS).coalesce(1).write.mode("overwrite").parquet(f"{path}/counts/batch={number}")
+
+    spark = _run(stream, save, checkpoint)
+    look = lambda name, schema: spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(f"{path}/{name}")
+    rows = look("rows", StructType([*stream.schema.fields, StructField("reason", StringType())]))
+    return rows.where("reason IS NULL").drop("reason"), rows.where("reason IS NOT NULL"), look("counts", _COUNTS)
+
+
+_COUNTS = "batch bigint, read bigint, kept bigint, late bigint, refused bigint, latest bigint"
+
+
 def split_rejects(stream: DataFrame, rules: dict, path: str, checkpoint: str) -> tuple[DataFrame, DataFrame]:
     """Good rows and rejects (with the first rule that failed) in two tables; nothing is dropped silently."""
     reason = F.lit(None).cast("string")
