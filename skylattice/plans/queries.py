@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from skylattice.functions import encode, geo
 from skylattice.operators import aggregates as agg
-from skylattice.operators import grid, joins, motion, pooled, revisions, spectral, timeseries, topk, tracks
+from skylattice.operators import grid, joins, models, motion, pooled, revisions, spectral, timeseries, topk, tracks
 from skylattice.plans import bindings as b
 from skylattice.plans import lifecycle, survey
 from skylattice.plans.store import stored
@@ -1184,6 +1184,35 @@ def l9_ridge_scan(spark, sf_dir):
     return maps.join(F.broadcast(agg.calibrated_threshold(maps, "score"))).select("day", r("score"), "cells", (F.col("score") >= F.col("threshold")).alias("candidate"))
 
 
+class WindowMean:
+    """A user's model: the mean of the window."""
+
+    version = "window-mean-1"
+
+    def predict(self, windows):
+        return windows.mean(axis=1)
+
+
+def _model_scan_sql(name: str, predicted: str) -> str:
+    return f"""e{name} AS (SELECT day, iy, ix, v - ({predicted}) AS err FROM k, w), c{name} AS (SELECT *, median(err) OVER (PARTITION BY iy, ix) AS c FROM e{name}), s{name} AS (SELECT iy, ix, any_value(c) AS c, greatest(1.0, 1.4826 * median(abs(err - c))) AS s FROM c{name} GROUP BY iy, ix),
+z{name} AS (SELECT day, greatest(0.0, (abs(err - s.c) - 1.0) / s.s) AS z FROM e{name} e JOIN s{name} s ON s.iy = e.iy AND s.ix = e.ix), m{name} AS (SELECT day, quantile_cont(z, 0.95) AS score, count(*) AS cells FROM z{name} GROUP BY day)"""
+
+
+_MODEL_ROWS = lambda name, label: f"SELECT '{label}' AS model, day, {rs('score', 'score')}, cells, score >= (SELECT greatest(3.0, quantile_cont(score, 0.995)) FROM m{name}) AS candidate FROM m{name}"
+
+
+@query(f"""WITH {_ISLANDS}, k AS (SELECT iy, ix, day, v, lag(v, 2) OVER p AS x0, lag(v) OVER p AS x1 FROM i WINDOW p AS (PARTITION BY iy, ix, island ORDER BY day) QUALIFY row_number() OVER p > 2),
+g AS (SELECT count(*) AS n, avg(x0) AS m0, avg(x1) AS m1, avg(v) AS my, sum(x0 * x0) - count(*) * avg(x0) ** 2 + 10.0 AS s00, sum(x1 * x1) - count(*) * avg(x1) ** 2 + 10.0 AS s11, sum(x0 * x1) - count(*) * avg(x0) * avg(x1) AS s01, sum(x0 * v) - count(*) * avg(x0) * avg(v) AS s0y, sum(x1 * v) - count(*) * avg(x1) * avg(v) AS s1y FROM k WHERE day <= {DAY0 + 20}),
+h AS (SELECT *, (s0y * s11 - s1y * s01) / (s00 * s11 - s01 * s01) AS w0, (s1y * s00 - s0y * s01) / (s00 * s11 - s01 * s01) AS w1 FROM g), w AS (SELECT w0, w1, my - w0 * m0 - w1 * m1 AS w2 FROM h),
+{_model_scan_sql('a', 'w2 + w0 * x0 + w1 * x1')}, {_model_scan_sql('b', '(x0 + x1) / 2')} {_MODEL_ROWS('a', 'ridge')} UNION ALL {_MODEL_ROWS('b', 'window-mean-1')}""")
+def l9_model_scan(spark, sf_dir):
+    cell, obs = ["iy", "ix"], b.obs_grid(spark, sf_dir)
+    ridge = models.fit_linear(timeseries.causal_windows(obs, cell, "day", "v", 1, 2), "v", 2, 10.0, F.col("day") <= DAY0 + 20)
+    scans = [models.model_scan(obs, cell, "day", "v", 1, 2, version, load) for version, load in ((ridge.version, lambda: ridge), (WindowMean.version, WindowMean))]
+    named = F.when(F.col("model_version").startswith("ridge-"), "ridge").otherwise(F.col("model_version"))
+    return scans[0].unionByName(scans[1]).select(named.alias("model"), "day", r("score"), "cells", "candidate")
+
+
 @query(f"""WITH {_decided_sql('2024-01-20 05:00:00')}, s AS (SELECT {_STATUS} AS status FROM z)
 SELECT count(*) AS considered, count(*) FILTER (status = 'SCORED') AS scored, count(*) FILTER (status = 'INSUFFICIENT_DATA') AS insufficient, count(*) FILTER (status = 'PENDING') AS retryable FROM s WHERE status <> 'NOT_DUE'""")
 def l10_vertical_slice(spark, sf_dir):
