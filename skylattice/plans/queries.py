@@ -750,6 +750,12 @@ def g10_frame_components(spark, sf_dir):
     return tracks.frame_components(b.obs_grid(spark, sf_dir).where("v > 60").select("day", "iy", "ix"), ["day"])
 
 
+@query(f"""WITH RECURSIVE {_BLOBS.replace('v > 60', 'abs(v) >= 60')}, bl AS (SELECT day, iy, ix, min(seed) AS blob FROM reach GROUP BY day, iy, ix), sz AS (SELECT day, blob, count(*) AS cluster FROM bl GROUP BY ALL), pk AS (SELECT day, iy, ix, v FROM obs QUALIFY row_number() OVER (PARTITION BY day ORDER BY abs(v) DESC, iy, ix) = 1)
+SELECT pk.day, pk.iy, pk.ix, {rs('pk.v', 'v')}, coalesce(sz.cluster, 0) AS cluster FROM pk LEFT JOIN bl ON bl.day = pk.day AND bl.iy = pk.iy AND bl.ix = pk.ix LEFT JOIN sz ON sz.day = bl.day AND sz.blob = bl.blob""")
+def g10_peak_clusters(spark, sf_dir):
+    return tracks.peak_clusters(b.obs_grid(spark, sf_dir), ["day"], "v", 60.0, tile=8).select("day", "iy", "ix", r("v"), "cluster")
+
+
 @query(f"""WITH RECURSIVE {_BLOBS}, bl AS (SELECT day, iy, ix, min(seed) AS blob FROM reach GROUP BY day, iy, ix), nd AS (SELECT DISTINCT day, blob, day * 10000000 + blob AS node FROM bl),
 ed AS (SELECT DISTINCT p.day * 10000000 + p.blob AS a, q.day * 10000000 + q.blob AS e FROM bl p JOIN bl q ON q.day = p.day + 1 AND abs(p.iy - q.iy) + abs(p.ix - q.ix) <= 1),
 bo AS (SELECT a, e FROM ed UNION SELECT e, a FROM ed), tr AS (SELECT node, node AS seed FROM nd UNION SELECT bo.e, tr.seed FROM tr JOIN bo ON bo.a = tr.node),
