@@ -33,116 +33,200 @@ def _axis(body: str, line: int) -> list[float]:
     return [round(first + i * step, 10) for i in range(int(round((last - first) / step)) + 1)]
 
 
+#: Header records that a file must have, by what they set.
+_REQUIRED = {"# OF MAPS IN FILE": "maps", "MAP DIMENSION": "dimension", "HGT1 / HGT2 / DHGT": "height", "LAT1 / LAT2 / DLAT": "lats", "LON1 / LON2 / DLON": "lons"}
+_KINDS = {"TEC": "tec", "RMS": "rms", "HGT": "height"}
+#: What a file that ends in a state lacks.
+_UNFINISHED = {"version": "empty_file", "header": "no_end_of_header", "auxiliary": "auxiliary_block_open", "maps": "no_end_of_file", "map": "file_ends_in_a_map", "row": "file_ends_in_a_row"}
+
+
+class _Reader:
+    """One file, line by line. ``state`` names the method that takes the next line; only ``finished`` may be the last."""
+
+    def __init__(self) -> None:
+        self.state, self.line, self.cells = "version", 0, []
+        self.header: dict = {}
+        self.exponent = -1
+        self.epochs: dict[str, dict[int, int]] = {k: {} for k in _KINDS.values()}
+        self.auxiliary = ""
+
+    def refuse(self, reason: str):
+        raise MapFileError(self.line, reason)
+
+    def take(self, raw: str) -> None:
+        self.line += 1
+        label = raw[60:].strip()
+        if self.state != "row" and (label == "COMMENT" or not raw.strip()) and self.line > 1:
+            return
+        getattr(self, f"_in_{self.state}")(raw, raw[:60], label)
+
+    def close(self) -> list[tuple]:
+        if self.state != "finished":
+            self.refuse(_UNFINISHED[self.state])
+        return self.cells
+
+    def _number(self, text: str, kind=int):
+        try:
+            return kind(text)
+        except ValueError:
+            self.refuse("bad_number")
+
+    def _in_version(self, raw: str, body: str, label: str) -> None:
+        if label != "IONEX VERSION / TYPE":
+            self.refuse("no_version_record")
+        if not 1.0 <= self._number(body[:20], float) < 2.0 or body[20:21] != "I":
+            self.refuse("unknown_version_or_type")
+        self.state = "header"
+
+    def _in_header(self, raw: str, body: str, label: str) -> None:
+        if label in _REQUIRED:
+            if _REQUIRED[label] in self.header:
+                self.refuse("header_record_twice")
+            self.header[_REQUIRED[label]] = getattr(self, f"_{_REQUIRED[label]}")(body)
+        elif label == "EXPONENT":
+            self.exponent = self._number(body)
+        elif label == "START OF AUX DATA":
+            self.auxiliary, self.state = body.strip(), "auxiliary"
+        elif label == "END OF AUX DATA":
+            self.refuse("auxiliary_block_ends_otherwise")
+        elif label == "END OF HEADER":
+            if len(self.header) < len(_REQUIRED):
+                self.refuse("header_record_missing")
+            self.state = "maps"
+        elif label.startswith("START OF ") or label in ("EPOCH OF CURRENT MAP", "LAT/LON1/LON2/DLON/H", "END OF FILE"):
+            self.refuse("no_end_of_header")
+
+    def _maps(self, body: str) -> int:
+        count = self._number(body)
+        return count if count > 0 else self.refuse("no_maps")
+
+    def _dimension(self, body: str) -> int:
+        return 2 if self._number(body) == 2 else self.refuse("not_two_dimensional")
+
+    def _height(self, body: str) -> float:
+        first, last, step = (self._number(body[2 + 6 * i : 8 + 6 * i], float) for i in range(3))
+        return first if first == last and step == 0 else self.refuse("more_than_one_height")
+
+    def _lats(self, body: str) -> list[float]:
+        axis = _axis(body, self.line)
+        return axis if all(-90 <= v <= 90 for v in axis) else self.refuse("bad_axis")
+
+    def _lons(self, body: str) -> list[float]:
+        return _axis(body, self.line)
+
+    def _in_auxiliary(self, raw: str, body: str, label: str) -> None:
+        """Station biases and the like: skipped as one block, which must end under its own name."""
+        if label == "START OF AUX DATA":
+            self.refuse("auxiliary_blocks_nested")
+        elif label == "END OF AUX DATA":
+            if body.strip() != self.auxiliary:
+                self.refuse("auxiliary_block_ends_otherwise")
+            self.state = "header"
+        elif label == "END OF HEADER":
+            self.refuse("auxiliary_block_open")
+
+    def _in_maps(self, raw: str, body: str, label: str) -> None:
+        if label == "END OF FILE":
+            if len(self.epochs["tec"]) != self.header["maps"]:
+                self.refuse("other_number_of_maps")
+            self.state = "finished"
+            return
+        start, _, kind = label.removesuffix(" MAP").rpartition(" ")
+        if start != "START OF" or kind not in _KINDS or not label.endswith(" MAP"):
+            self.refuse("record_outside_a_map")
+        self.kind, self.number = _KINDS[kind], self._number(body)
+        if self.number in self.epochs[self.kind]:
+            self.refuse("map_number_twice")
+        self.epoch, self.scale, self.found, self.state = None, self.exponent, [], "map"
+
+    def _in_map(self, raw: str, body: str, label: str) -> None:
+        if label == "EPOCH OF CURRENT MAP":
+            self._set_epoch(body)
+        elif label == "EXPONENT":
+            self.scale = self._number(body)  # of this map alone
+        elif label == "LAT/LON1/LON2/DLON/H":
+            if self.epoch is None:
+                self.refuse("map_without_epoch")
+            lat, mine = self._number(body[2:8], float), _axis("  " + body[8:26], self.line)
+            if lat not in self.header["lats"] or mine != self.header["lons"]:
+                self.refuse("row_off_grid")
+            self.found.append(lat)
+            self.values, self.state = [], "row"
+        elif label.startswith("END OF "):
+            if label != f"END OF {next(k for k, v in _KINDS.items() if v == self.kind)} MAP" or self._number(body) != self.number:
+                self.refuse("map_ends_otherwise")
+            if self.found != self.header["lats"]:
+                self.refuse("latitude_rows_missing")
+            self.epochs[self.kind][self.number] = self.epoch
+            self.state = "maps"
+        else:
+            self.refuse("record_not_of_a_map")
+
+    def _set_epoch(self, body: str) -> None:
+        if self.epoch is not None:
+            self.refuse("map_with_two_epochs")
+        try:
+            self.epoch = int(datetime(*[int(p) for p in body.split()[:6]], tzinfo=UTC).timestamp())
+        except (TypeError, ValueError):
+            self.refuse("bad_epoch")
+        before = self.epochs["tec"]
+        if self.kind == "tec" and before and self.epoch <= max(before.values()):
+            self.refuse("maps_not_in_time_order")
+        if self.kind != "tec" and before.get(self.number) != self.epoch:
+            self.refuse("rms_epoch_differs")
+
+    def _in_row(self, raw: str, body: str, label: str) -> None:
+        if label.startswith(("END OF", "START OF", "LAT/LON1", "EPOCH OF")):
+            self.refuse("row_incomplete")
+        self.values += [self._number(raw[i : i + 5]) for i in range(0, len(raw.rstrip()), 5)]
+        lons = self.header["lons"]
+        if len(self.values) > len(lons):
+            self.refuse("too_many_values")
+        if len(self.values) == len(lons):
+            self._keep(lons)
+            self.state = "map"
+
+    def _keep(self, lons: list[float]) -> None:
+        seen: dict[float, float | None] = {}
+        for lon, v in zip(lons, self.values, strict=True):
+            value = None if v == MISSING else round(v * 10.0**self.scale, max(0, -self.scale))
+            if self.kind == "rms" and value is not None and value < 0:
+                self.refuse("negative_rms")
+            lon = round((lon + 180) % 360 - 180, 10) + 0.0
+            if lon in seen:
+                if seen[lon] != value:
+                    self.refuse("wrap_columns_differ")
+                continue
+            seen[lon] = value
+            if value is not None and self.kind != "height":
+                self.cells.append((self.kind, self.number, self.epoch, self.found[-1], lon, value))
+
+    def _in_finished(self, raw: str, body: str, label: str) -> None:
+        self.refuse("records_after_the_end")
+
+
 def parse_map_file(content: bytes) -> list[tuple]:
     """(kind, map number, epoch, lat, lon, value) of every present cell of the TEC and RMS maps of one file.
 
-    The header's version, type, dimension, single height and number of maps must hold, auxiliary blocks must
-    be closed, and a map must have every latitude row of the grid in its order. Maps must be in time order,
-    rows must keep to the header's grid, values are scaled by the exponent
-    and rounded to its digits, longitudes are wrapped; a repeated wrap column must agree with its twin.
+    Nothing of a file counts unless all of it is there: the version record first, every header record once, each map
+    with its epoch, all latitude rows of the grid in order, and its end under its own number, as many TEC maps as
+    the header says, each number once, and the end of the file. Maps must be in time order, values are scaled by the
+    exponent (of the map, else of the header) and rounded to its digits, longitudes are wrapped; a repeated wrap
+    column must agree with its twin. Height maps are checked and left out.
     """
     if content[:2] == b"\x1f\x8b":
         content = gzip.decompress(content)
-    exponent, lats, lons, out = -1, None, None, []
-    kind = number = epoch = None
-    last: dict[str, int] = {}
-    epochs: dict[int, int] = {}
-    seen: dict[float, float | None] = {}
-    row: tuple[float, list[float]] | None = None
-    values: list[int] = []
-    header: dict[str, str] = {}
-    counted: dict[str, int] = {"tec": 0, "rms": 0}
-    found_lats: list[float] = []
-    auxiliary: str | None = None
-    for n, raw in enumerate(content.decode("ascii", "replace").splitlines(), 1):
-        body, label = raw[:60], raw[60:].strip()
-        if n == 1 and label == "IONEX VERSION / TYPE":
-            if not 1.0 <= float(body[:20] or 0) < 2.0 or body[20:21] not in ("I", " ", ""):
-                raise MapFileError(n, "unknown_version_or_type")
-        elif label == "START OF AUX DATA" or auxiliary is not None:
-            # station biases and the like: skipped as one block, which must end under its own name
-            if label == "START OF AUX DATA":
-                if auxiliary is not None:
-                    raise MapFileError(n, "auxiliary_blocks_nested")
-                auxiliary = body.strip()
-            elif label == "END OF AUX DATA":
-                if body.strip() != auxiliary:
-                    raise MapFileError(n, "auxiliary_block_ends_otherwise")
-                auxiliary = None
-            elif label == "END OF HEADER":
-                raise MapFileError(n, "auxiliary_block_open")
-        elif row is None and label in ("MAP DIMENSION", "# OF MAPS IN FILE", "HGT1 / HGT2 / DHGT"):
-            header[label] = body
-            if label == "MAP DIMENSION" and int(body) != 2:
-                raise MapFileError(n, "not_two_dimensional")
-            if label == "HGT1 / HGT2 / DHGT" and body[2:8] != body[8:14]:
-                raise MapFileError(n, "more_than_one_height")
-        elif row is None and label == "EXPONENT":
-            exponent = int(body)
-        elif row is None and label == "LAT1 / LAT2 / DLAT":
-            lats = _axis(body, n)
-        elif row is None and label == "LON1 / LON2 / DLON":
-            lons = _axis(body, n)
-        elif label in ("START OF TEC MAP", "START OF RMS MAP"):
-            kind, number, epoch, found_lats = ("tec" if "TEC" in label else "rms"), int(body), None, []
-            counted[kind] += 1
-        elif label == "EPOCH OF CURRENT MAP":
-            epoch = int(datetime(*[int(p) for p in body.split()[:6]], tzinfo=UTC).timestamp())
-            if kind == "tec":
-                if "tec" in last and epoch <= last["tec"]:
-                    raise MapFileError(n, "maps_not_in_time_order")
-                last["tec"], epochs[number] = epoch, epoch
-            elif epochs.get(number) != epoch:
-                raise MapFileError(n, "rms_epoch_differs")
-        elif label == "LAT/LON1/LON2/DLON/H":
-            lat, mine = float(body[2:8]), _axis("  " + body[8:26], n)
-            if lats is None or lons is None or lat not in lats or mine != lons:
-                raise MapFileError(n, "row_off_grid")
-            row, values, seen = (lat, mine), [], {}
-            found_lats.append(lat)
-        elif label.startswith("END OF"):
-            if row is not None:
-                raise MapFileError(n, "row_incomplete")
-            if "MAP" in label and found_lats != lats:
-                raise MapFileError(n, "latitude_rows_missing")
-            kind = None if "MAP" in label else kind
-        elif row is not None:
-            try:
-                values += [int(raw[i : i + 5]) for i in range(0, len(raw.rstrip()), 5)]
-            except ValueError:
-                raise MapFileError(n, "bad_number") from None
-            if len(values) < len(row[1]):
-                continue
-            if len(values) > len(row[1]) or epoch is None or kind is None:
-                raise MapFileError(n, "too_many_values" if epoch is not None else "map_without_epoch")
-            for lon, v in zip(row[1], values, strict=True):
-                value = None if v == MISSING else round(v * 10.0**exponent, max(0, -exponent))
-                if kind == "rms" and value is not None and value < 0:
-                    raise MapFileError(n, "negative_rms")
-                lon = round((lon + 180) % 360 - 180, 10) + 0.0
-                if lon in seen:
-                    if seen[lon] != value:
-                        raise MapFileError(n, "wrap_columns_differ")
-                    continue
-                seen[lon] = value
-                if value is not None:
-                    out.append((kind, number, epoch, row[0], lon, value))
-            row = None
-    if lats is None or lons is None:
-        raise MapFileError(0, "no_grid_in_header")
-    if row is not None:
-        raise MapFileError(0, "file_ends_in_a_row")
-    if auxiliary is not None:
-        raise MapFileError(0, "auxiliary_block_open")
-    if (said := header.get("# OF MAPS IN FILE")) and int(said) != counted["tec"]:
-        raise MapFileError(0, "other_number_of_maps")
-    return out
+    reader = _Reader()
+    for raw in content.decode("ascii", "replace").splitlines():
+        reader.take(raw)
+    return reader.close()
 
 
 def load_map_files(spark, path: str) -> tuple[DataFrame, DataFrame]:
     """Cells (artifact_id, epoch, lat, lon, vtec, rms) of all files below ``path``, and rejects (path, line, reason).
 
-    One file is one task row; a broken file is a reject, not a failed job. RMS maps are joined to the
+    One file is one task row; a broken file is a reject, not a failed job (a file of no bytes at all is not
+    seen: the reader skips it). RMS maps are joined to the
     TEC maps of the same number; a missing RMS stays null.
     """
 
@@ -187,6 +271,6 @@ def map_file_texts(grid: DataFrame, epoch: str, value: str, rms: str, lats: list
     axis = lambda v: F.format_string("  %6.1f%6.1f%6.1f", F.lit(v[0]), F.lit(v[-1]), F.lit(round(v[1] - v[0], 10)))
     count = label(F.format_string("%6d", F.col("_maps")), "# OF MAPS IN FILE")
     height = label(F.format_string("  %6.1f%6.1f%6.1f", F.lit(450.0), F.lit(450.0), F.lit(0.0)), "HGT1 / HGT2 / DHGT")
-    kind = label(F.rpad(F.lit("     1.0"), 20, " "), "IONEX VERSION / TYPE")
+    kind = label(F.concat(F.rpad(F.lit("     1.0"), 20, " "), F.lit("I")), "IONEX VERSION / TYPE")
     header = F.concat_ws("\n", kind, count, label(F.lit("     2"), "MAP DIMENSION"), height, label(axis(lats), "LAT1 / LAT2 / DLAT"), label(axis(lons), "LON1 / LON2 / DLON"), label(F.lit("    -1"), "EXPONENT"), label(F.lit(""), "END OF HEADER"))
     return joined.select("product_date", F.concat_ws("\n", header, F.col(value), F.col(rms), label(F.lit(""), "END OF FILE")).alias("content"))

@@ -273,7 +273,8 @@ def _line(body, label):
 
 
 def _map_file(values, epochs=("  2024     1     1     0     0     0",)):
-    lines = [_line("     1.0", "IONEX VERSION / TYPE"), _line("    32.5  31.5  -1.0", "LAT1 / LAT2 / DLAT"), _line("  -100.0 -98.0   1.0", "LON1 / LON2 / DLON"), _line("    -1", "EXPONENT"), _line("", "END OF HEADER")]
+    head = [_line(f"{'     1.0':<20}I", "IONEX VERSION / TYPE"), _line(f"{len(epochs):6d}", "# OF MAPS IN FILE"), _line("     2", "MAP DIMENSION"), _line("   450.0 450.0   0.0", "HGT1 / HGT2 / DHGT")]
+    lines = [*head, _line("    32.5  31.5  -1.0", "LAT1 / LAT2 / DLAT"), _line("  -100.0 -98.0   1.0", "LON1 / LON2 / DLON"), _line("    -1", "EXPONENT"), _line("", "END OF HEADER")]
     for n, epoch in enumerate(epochs, 1):
         lines += [_line(f"{n:6d}", "START OF TEC MAP"), _line(epoch, "EPOCH OF CURRENT MAP")]
         for lat, row in zip((32.5, 31.5), values, strict=True):
