@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.operators import aggregates, grid, motion, timeseries, topk
+from skylattice.operators import aggregates, grid, motion, revisions, spectral, timeseries, topk
+from skylattice.plans.store import stored
 
 
 def analyse(obs: DataFrame, rows: int, columns: int, dy: float = 3.0, dx: float = 2.0, sigma: float = 1.0, scale: float = 40.0) -> DataFrame:
@@ -40,6 +41,8 @@ def _shape(rows: int, columns: int) -> tuple[Column, Column, Column]:
 def event_means(frames: DataFrame, wave: DataFrame, rows: int, columns: int, dy: float, dx: float, scale: float, strong: float) -> DataFrame:
     """What the seven scores are made of, one row a day, for frames (day, iy, ix, a, n) and one wave score for all.
 
+    If ``wave`` has a row a region instead, days are those of :func:`keyed_pipeline`, which tell their region.
+
     Objects are the cells with |a| of at least ``strong`` and a quarter of the day's largest, fronts those with
     a quarter of its steepest gradient. Days without a day before have no motion.
     """
@@ -63,7 +66,12 @@ def event_means(frames: DataFrame, wave: DataFrame, rows: int, columns: int, dy:
     out = base
     for part in (temporal, front, objects, motions, growth):
         out = out.join(part, day, "left")
-    out = out.withColumn("share", F.coalesce("_object", F.lit(0)) / F.col("_cells")).crossJoin(F.broadcast(wave)).drop("_object", "_cells", "_peak")
+    out = out.withColumn("share", F.coalesce("_object", F.lit(0)) / F.col("_cells"))
+    if "region" in wave.columns:
+        out = out.withColumn("region", F.expr(f"day div {FRAMES}")).join(wave.hint("merge"), "region", "left").drop("region").fillna(0.0, ["wave"])
+    else:
+        out = out.crossJoin(F.broadcast(wave))  # one row
+    out = out.drop("_object", "_cells", "_peak")
     return out.fillna(0.0, ["temporal", "gradient", "coherence", "speed", "flow_confidence", "growth", "compactness"]).fillna(1.0, ["elongation", "front_elongation"]).fillna(False, ["border"])
 
 
@@ -93,6 +101,51 @@ def event_scores(means: DataFrame) -> DataFrame:
     return scored.select("day", *scores, "uncertain", label.alias("label"), margin.alias("margin"))
 
 
+#: A frame of the keyed pipeline is region * FRAMES + its place on the region's axis.
+FRAMES = 1_000_000
+
+
+def keyed_pipeline(frames: DataFrame, rows: int, columns: int, dy: float, dx: float, scale: float, strong: float, periods: list[float], waves: list[tuple[float, float]], limit: int = 2) -> tuple[DataFrame, DataFrame]:
+    """From the frames of many regions to seven scores an epoch, each region on its own cadence, in one plan.
+
+    ``frames`` has region (a whole number from 0), epoch (seconds), frame, iy, ix, v; regions share no cells. Steps,
+    all keyed by region: epochs whose frames contradict each other are refused; cadence and support decide what a
+    region can show; its axis is filled between readings up to ``limit`` cadences apart; cells are taken
+    against their own medians; motion, growth, fronts and objects follow, and waves where the region's status
+    is "supported" (``periods`` in cadences). A step that is switched off for a region leaves 0 and the status.
+
+    Returns region, epoch, status, the scores, label and margin; and the refused epochs with their reason.
+    """
+    key, cell = ["region"], ["region", "iy", "ix"]
+    named = frames.withColumn("_key", F.concat_ws(":", "region", "epoch"))
+    judged = revisions.frame_conflicts(named, "_key", "frame", ["iy", "ix"], "v").select("_key", F.col("frame").alias("_kept"), "conflict")
+    judged = stored(named.join(judged.hint("merge"), "_key"), "field-frames")
+    refused = judged.where("conflict").select(*key, "epoch").distinct().withColumn("reason", F.lit("frames_contradict"))
+    good = judged.where("NOT conflict AND frame = _kept").select(*cell, "epoch", "v")
+
+    capable = stored(spectral.capabilities(good, key, "epoch", "v"), "field-capable")
+    first = good.groupBy(*key).agg(F.min("epoch").alias("_first"))
+    axis = capable.select(*key, "cadence", "status").join(first.hint("merge"), key)
+    placed = good.join(axis.hint("merge"), key).withColumn("_place", (F.col("epoch") - F.col("_first")) / F.col("cadence"))
+    off = F.col("_place") != F.round("_place")
+    refused = refused.unionByName(placed.where(off).select(*key, "epoch").distinct().withColumn("reason", F.lit("off_the_axis")))
+    placed = stored(placed.where(~off).select(*cell, F.round("_place").cast("bigint").alias("slot"), "v"), "field-placed")
+    filled = timeseries.fill_axis(placed, cell, "slot", "v", 1, limit).where("v IS NOT NULL")
+    filled = stored(filled.withColumn("n", F.when(F.col("interpolated"), 1).otherwise(2)), "field-filled")
+    centre = filled.groupBy(*cell).agg(F.median("v").alias("_centre"))
+    field = filled.join(centre.hint("merge"), cell).select(*cell, "slot", (F.col("v") - F.col("_centre")).alias("a"), "n")
+    field = stored(field.withColumn("day", F.col("region") * F.lit(FRAMES).cast("bigint") + F.col("slot")), "field-anomalies")
+
+    able = field.join(capable.where("status = 'supported'").select(*key).hint("merge"), key, "left_semi")
+    residual = spectral.hann(spectral.detrended(able, key, "slot", "a"), key, "slot")
+    peaks = spectral.wave_peak(spectral.wave_power(residual, key, "slot", "residual", periods, waves, dy, dx, "hann"), key)
+    wave = peaks.select(*key, (F.col("concentration") * F.coalesce("uniqueness", F.lit(0.0))).alias("wave"))
+    scores = event_scores(event_means(field.select("day", "iy", "ix", "a", "n"), stored(wave, "field-waves"), rows, columns, dy, dx, scale, strong))
+    scores = scores.withColumn("region", F.expr(f"day div {FRAMES}")).join(axis.hint("merge"), key)
+    epoch = F.col("_first") + F.col("day") % FRAMES * F.col("cadence")
+    return scores.select(*key, epoch.cast("bigint").alias("epoch"), "status", *[c for c in scores.columns if c not in ("region", "day", "cadence", "status", "_first")]), refused
+
+
 def prefix_chain(obs: DataFrame, targets: DataFrame, rows: int, columns: int, dy: float, dx: float, floor: float = 1.0) -> DataFrame:
     """The chain of baseline, anomaly, smoothing, gradient at exact target days, each from the days up to it alone.
 

@@ -1013,7 +1013,8 @@ _ELONGATION = "sqrt(((var_pop(iy) + var_pop(ix) + 1 / 6.0::DOUBLE) / 2 + sqrt(((
 _SCORES = ("quiet", "flow", "wave", "front", "localized", "disturbed")
 
 
-@query(f"""WITH {OBS}, {_FLOW}, {_GROWTH}, wv AS (WITH {_PEAK} SELECT coalesce(avg(power / total * (1 - coalesce(other, 0) / power)), 0) AS wave FROM z), {_slopes_sql('pr', 'c', 'pg', 'dx', 'dy')},
+#: From the frames ``obs`` (day, iy, ix, v, n), their motion and growth, and ``wv``, to scores (un) and their ranking (ra).
+_EVENTS = f"""{_slopes_sql('pr', 'c', 'pg', 'dx', 'dy')},
 an AS (SELECT day, iy, ix, v - 50 AS a, n FROM obs), {_slopes_sql('an', 'a', 'ag', 'dx', 'dy')}, gm AS (SELECT day, iy, ix, sqrt(dx * dx + dy * dy) AS g, dx * dx AS xx, dy * dy AS yy, dx * dy AS xy FROM ag), {_kernel_sql('b', 1.0)}, {_smooth_sql('gm', ['xx', 'yy', 'xy'], 'st', 'b', 0.8)},
 mk AS (SELECT q.day, q.iy, q.ix, g, CASE WHEN (t.xx + t.yy) / 2 > 1e-20 THEN sqrt(((t.xx - t.yy) / 2) ** 2 + t.xy * t.xy) / ((t.xx + t.yy) / 2) END AS co FROM (SELECT *, max(g) OVER (PARTITION BY day) AS pk FROM gm) q JOIN st t ON t.day = q.day AND t.iy = q.iy AND t.ix = q.ix WHERE g >= greatest(pk * 0.25, 1e-12)),
 ob AS (SELECT day, iy, ix FROM (SELECT *, max(abs(a)) OVER (PARTITION BY day) AS pk FROM an) WHERE abs(a) >= greatest(60.0, 0.25 * pk)),
@@ -1028,7 +1029,10 @@ sc AS (SELECT day, support, anomaly, support * (1 - anomaly) * (1 - temporal) *
   support * anomaly * sqrt(compact / greatest(elong, 1.0)) * sqrt(1 - share) * (CASE WHEN border THEN 0.5 ELSE 1.0 END) * (1 - wave) AS localized, support * least(1.0, greatest(0.0, (temporal + gradient * (1 - coherence) + coalesce(residual, 0) + temporal * growth) / 3)) AS disturbed FROM al),
 un AS (SELECT *, greatest(1 - support, anomaly * (1 - greatest({', '.join(_SCORES)}))) AS uncertain FROM sc),
 lo AS (SELECT day, unnest([{', '.join(f"{{'name': '{n}', 'score': {n}}}" for n in (*_SCORES, 'uncertain'))}]) AS x FROM un),
-ra AS (SELECT day, arg_max(x.name, (x.score, x.name)) AS label, max(x.score) FILTER (x.name <> 'uncertain') AS s1, list_reverse_sort(list(x.score) FILTER (x.name <> 'uncertain'))[2] AS s2 FROM lo GROUP BY day)
+ra AS (SELECT day, arg_max(x.name, (x.score, x.name)) AS label, max(x.score) FILTER (x.name <> 'uncertain') AS s1, list_reverse_sort(list(x.score) FILTER (x.name <> 'uncertain'))[2] AS s2 FROM lo GROUP BY day)"""
+
+
+@query(f"""WITH {OBS}, {_FLOW}, {_GROWTH}, wv AS (WITH {_PEAK} SELECT coalesce(avg(power / total * (1 - coalesce(other, 0) / power)), 0) AS wave FROM z), {_EVENTS}
 SELECT day, {', '.join(rs(n, n) for n in (*_SCORES, 'uncertain'))}, label, {rs('(s1 - s2) / greatest(s1, 1e-12)', 'margin')} FROM un JOIN ra USING (day)""")
 def a16_seven_scores(spark, sf_dir):
     from skylattice.plans.fields import event_means, event_scores, wave_score
@@ -1040,6 +1044,37 @@ def a16_seven_scores(spark, sf_dir):
     return out.select("day", *[r(n) for n in (*_SCORES, "uncertain")], "label", r("margin"))
 
 
+def _keyed_sql() -> str:
+    """Two regions, daily and twice a day, prepared as frames ``obs`` named region * 1000000 + place, with a wave a region."""
+    half = b.obs_sql(12).replace("obs AS (", "ob12 AS (", 1)
+    day = OBS.replace("obs AS (", "ob24 AS (", 1)
+    prepared = f"""{day}, {half}, al2 AS (SELECT 0 AS region, epoch, iy, ix, v FROM ob24 WHERE iy < 8 UNION ALL SELECT 1, epoch, iy, ix, v FROM ob12 WHERE iy >= 8 AND day % 7 <> 3),
+fr2 AS (SELECT DISTINCT region, epoch FROM al2), st2 AS (SELECT *, epoch - lag(epoch) OVER (PARTITION BY region ORDER BY epoch) AS step FROM fr2), ca2 AS (SELECT region, median(step) AS cadence, min(epoch) AS e0, max(step) <= 1.5 * median(step) AS whole FROM st2 GROUP BY region),
+pl AS (SELECT al2.region, iy, ix, CAST((epoch - e0) / cadence AS BIGINT) AS slot, v FROM al2 JOIN ca2 ON ca2.region = al2.region), sp AS (SELECT region, iy, ix, unnest(r) AS slot FROM (SELECT region, iy, ix, range(min(slot), max(slot) + 1) AS r FROM pl GROUP BY region, iy, ix)),
+jo AS (SELECT sp.*, pl.v, max(CASE WHEN pl.v IS NOT NULL THEN sp.slot END) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS p, min(CASE WHEN pl.v IS NOT NULL THEN sp.slot END) OVER (w ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS q
+  FROM sp LEFT JOIN pl ON pl.region = sp.region AND pl.iy = sp.iy AND pl.ix = sp.ix AND pl.slot = sp.slot WINDOW w AS (PARTITION BY sp.region, sp.iy, sp.ix ORDER BY sp.slot)),
+fi AS (SELECT jo.region, jo.iy, jo.ix, jo.slot, CASE WHEN jo.v IS NOT NULL THEN 2 ELSE 1 END AS n, coalesce(jo.v, CASE WHEN q - p <= 2 THEN a.v + (jo.slot - p) / CAST(q - p AS DOUBLE) * (z.v - a.v) END) AS v FROM jo LEFT JOIN pl a ON a.region = jo.region AND a.iy = jo.iy AND a.ix = jo.ix AND a.slot = p LEFT JOIN pl z ON z.region = jo.region AND z.iy = jo.iy AND z.ix = jo.ix AND z.slot = q),
+ce AS (SELECT region, iy, ix, median(v) AS c FROM fi WHERE v IS NOT NULL GROUP BY ALL), obs AS (SELECT CAST(fi.region * 1000000 + fi.slot AS BIGINT) AS day, fi.iy, fi.ix, v - c + 50 AS v, n FROM fi JOIN ce ON ce.region = fi.region AND ce.iy = fi.iy AND ce.ix = fi.ix WHERE v IS NOT NULL)"""
+    peak = _PEAK.replace("iy % 3 AS region", "day // 1000000 AS region").replace("kx * ix * 3 - ky * iy * 2", "kx * ix * 2 - ky * iy * 3")
+    wave = f"wv AS (WITH {peak} SELECT z.region, power / total * (1 - coalesce(other, 0) / power) AS wave FROM z JOIN ca2 ON ca2.region = z.region AND ca2.whole)"
+    events = _EVENTS.replace("LEFT JOIN m6 USING (day), wv),", "LEFT JOIN m6 USING (day) LEFT JOIN wv ON wv.region = m1.day // 1000000),").replace("coalesce(growth, 0) AS growth, wave\n", "coalesce(growth, 0) AS growth, coalesce(wave, 0) AS wave\n")
+    return f"{prepared}, {_FLOW}, {_GROWTH}, {wave}, {events}"
+
+
+@query(f"""WITH {_keyed_sql()}
+SELECT CAST(ca2.region AS BIGINT) AS region, CAST(e0 + day % 1000000 * cadence AS BIGINT) AS epoch, CASE WHEN whole THEN 'supported' ELSE 'unsupported_resolution' END AS status, {', '.join(rs(n, n) for n in (*_SCORES, 'uncertain'))}, label, {rs('(s1 - s2) / greatest(s1, 1e-12)', 'margin')} FROM un JOIN ra USING (day) JOIN ca2 ON ca2.region = day // 1000000""")
+def g20_keyed_pipeline(spark, sf_dir):
+    from skylattice.plans.fields import keyed_pipeline
+
+    part = lambda hours, region, where: b.obs_grid(spark, sf_dir, hours).where(where).select(F.lit(region).cast("bigint").alias("region"), "epoch", "iy", "ix", "v", "day")
+    cells = part(24, 0, "iy < 8").unionByName(part(12, 1, "iy >= 8"))
+    # a second frame, which says something else, for some epochs of the second region
+    other = cells.where("region = 1 AND day % 7 = 3").withColumn("v", F.col("v") + 1)
+    frames = cells.withColumn("frame", F.lit("a")).unionByName(other.withColumn("frame", F.lit("b"))).drop("day")
+    out, _ = keyed_pipeline(frames, b.ROWS, b.RING, 3.0, 2.0, 40.0, 60.0, [4.0, 6.0, 8.0, 12.0], _WAVES)
+    return out.select("region", "epoch", "status", *[r(n) for n in (*_SCORES, "uncertain")], "label", r("margin"))
+
+
 @query(f"""WITH {OBS}, t AS (SELECT unnest([{DAY0 + 10}, {DAY0 + 15}, {DAY0 + 20}, {DAY0 + 29}]) AS target), e AS (SELECT target, iy, ix, day, v FROM obs, t WHERE day <= target), m AS (SELECT *, median(v) OVER (PARTITION BY target, iy, ix) AS c FROM e),
 k AS (SELECT target, iy, ix, any_value(c) AS c, greatest(1.0, 1.4826 * median(abs(v - c))) AS s FROM m GROUP BY ALL), f AS (SELECT CAST(k.target AS BIGINT) AS day, k.iy, k.ix, (v - c) / s AS z FROM k JOIN obs ON obs.day = k.target AND obs.iy = k.iy AND obs.ix = k.ix),
 {_kernel_sql('b', 1.0)}, {_smooth_sql('f', ['z'], 'sm', 'b', 0.8)}, sn AS (SELECT * FROM sm WHERE z IS NOT NULL), {_slopes_sql('sn', 'z', 'sl', 'dx', 'dy')}
