@@ -285,3 +285,14 @@ def test_secrets(spark):
 def test_secrets_of_the_whole_table(spark):
     docs = queries.table(spark, DATA, "documents").select("doc_id", "text").collect()
     assert rows_of(queries.op13_secret_scan(spark, DATA)) == sorted(str(secret_row(*r)) for r in docs)
+
+
+def test_manifest_against_sql(spark):
+    import duckdb
+
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
+    answer = con.sql(queries.oracle_sql()["op11_merkle_manifest"])
+    df = queries.op11_merkle_manifest(spark, DATA)
+    assert answer.columns == df.columns
+    assert rows_of(df) == sorted(str(tuple(r)) for r in answer.fetchall())
