@@ -15,6 +15,17 @@ def frame_pairs(df: DataFrame, keys: list[str], at: str, value: str, cadence: fl
     return pairs.where(F.col("dt") <= 1.5 * cadence).withColumnRenamed(value, "current").where("previous IS NOT NULL AND current IS NOT NULL")
 
 
+def supported_pairs(pairs: DataFrame, keys: list[str], cells: int, least_share: float = 0.8, least_spread: float = 1e-10) -> DataFrame:
+    """The pairs of those frames that motion can be read from: enough of the region's ``cells`` have both values,
+
+    and neither frame is flat (95th less 5th percentile).
+    """
+    spread = [F.percentile(c, F.lit(0.95)) - F.percentile(c, F.lit(0.05)) for c in ("previous", "current")]
+    frames = pairs.groupBy(*keys).agg(F.count("*").alias("_n"), F.least(*spread).alias("_spread"))
+    good = frames.where((F.col("_n") >= least_share * cells) & (F.col("_spread") >= least_spread)).select(*keys)
+    return pairs.join(good.hint("merge"), keys, "left_semi")
+
+
 def feature_flow(pairs: DataFrame, keys: list[str], dy: float, dx: float, sigma: float, rows: int, columns: int, least: float = 0.4) -> DataFrame:
     """Velocity by windowed least squares: Gaussian sums of gradient products, a 2 x 2 solve for each cell.
 

@@ -16,18 +16,25 @@ from skylattice.operators.revisions import best_revision, chain_tips
 GRACE_SECONDS = 6 * 3600
 
 
-def issue_forecasts(requests: DataFrame, history: DataFrame, keys: list[str], minimum: float = 0.5) -> DataFrame:
+def issue_forecasts(requests: DataFrame, history: DataFrame, keys: list[str], minimum: float = 0.5, created: tuple[str, ...] = ()) -> DataFrame:
     """Persistence forecasts for requests (keys, origin_at, issued_at, valid_at, live).
 
     ``history`` has keys, observed_at, produced_at, value, coverage. The last observation at or before
-    the origin is used; its quality is tested without falling back to an older one.
+    the origin is used; its quality is tested without falling back to an older one. For each name in ``created``
+    (model, processing, region) requests have ``<name>_created_at``: what is newer than the forecast, or of
+    unknown age, may not have a part in it.
     """
     got = as_of_join(requests, history, keys, "origin_at", "observed_at", ["value", "coverage", "produced_at"])
     reason = (
         F.when(F.col("matched_observed_at").isNull(), "no_history")
         .when(F.col("ties") > 1, "ambiguous_history")
         .when(F.col("matched_coverage") < minimum, "coverage_below_minimum")
-        .when(F.col("live") & (F.col("matched_produced_at") > F.col("issued_at")), "input_not_available")
+    )
+    for name in created:
+        known = F.coalesce(F.col(f"{name}_created_at") <= F.col("issued_at"), F.lit(False))
+        reason = reason.when(~known, f"{name}_created_after_issue")
+    reason = (
+        reason.when(F.col("live") & (F.col("matched_produced_at") > F.col("issued_at")), "input_not_available")
         .when(F.col("live") & (F.col("issued_at") >= F.col("valid_at")), "issued_after_valid")
     )
     out = got.withColumn("reject_reason", reason).withColumn("predicted", F.when(reason.isNull(), F.col("matched_value")))
@@ -41,9 +48,24 @@ def match_actuals(forecasts: DataFrame, actuals: DataFrame, keys: list[str], ava
     return forecasts.join(rows, [*keys, "valid_at"], "left")
 
 
-def decide(df: DataFrame, mean: Column, sd: Column, threshold: float, minimum: float = 0.5, uncertain: Column | None = None) -> DataFrame:
-    """Residual, score and assessment of rows with ``actual`` and ``predicted``; unknown beats candidate."""
+def quality_floor(value: Column, coverage: Column, cells: Column, flags: Column, disqualifying: list[str], minimum: float = 0.5) -> Column:
+    """Why a readout is not good enough for a detector, or null: no finite value, no cells, too little coverage, a disqualifying flag."""
+    finite = value.isNotNull() & ~F.isnan(value) & (F.abs(value) < float("inf"))
+    bad = F.arrays_overlap(flags, F.array(*[F.lit(f) for f in disqualifying])) if disqualifying else F.lit(False)
+    return (
+        F.when(~F.coalesce(finite, F.lit(False)), "no_finite_value").when(F.coalesce(cells, F.lit(0)) <= 0, "no_cells")
+        .when(F.coalesce(coverage, F.lit(0.0)) < minimum, "coverage_below_minimum").when(F.coalesce(bad, F.lit(False)), "disqualifying_flag")
+    )
+
+
+def decide(df: DataFrame, mean: Column, sd: Column, threshold: float, minimum: float = 0.5, uncertain: Column | None = None, floor: Column | None = None) -> DataFrame:
+    """Residual, score and assessment of rows with ``actual`` and ``predicted``; unknown beats candidate.
+
+    ``floor`` (:func:`quality_floor`) says why a row may not be judged; without it, value and coverage count.
+    """
     usable = F.col("actual").isNotNull() & ~F.isnan("actual") & (F.coalesce(F.col("actual_coverage"), F.lit(0.0)) >= minimum)
+    if floor is not None:
+        usable = usable & floor.isNull()
     residual = F.when(usable, F.col("actual") - F.col("predicted"))
     score = F.abs((residual - mean) / sd)
     anomaly = score >= threshold

@@ -865,6 +865,16 @@ def g14_feature_flow(spark, sf_dir):
     return motion.feature_flow(_pairs(spark, sf_dir), ["day"], 3.0, 2.0, 1.5, b.ROWS, b.RING).select("day", "iy", "ix", r("u"), r("v"), r("confidence"), "accepted")
 
 
+_GATE = """gate AS (SELECT day FROM pa WHERE dt <= 1.5 GROUP BY day HAVING count(*) >= 0.8 * (SELECT count(*) FROM (SELECT DISTINCT iy, ix FROM obs)) AND least(quantile_cont(p, 0.95) - quantile_cont(p, 0.05), quantile_cont(c, 0.95) - quantile_cont(c, 0.05)) >= 1e-10)"""
+
+
+@query(f"WITH {OBS}, {_FLOW.replace('), pr AS (SELECT *', f'), {_GATE}, pr AS (SELECT *', 1).replace('FROM pa WHERE dt <= 1.5)', 'FROM pa WHERE dt <= 1.5 AND day IN (SELECT day FROM gate))', 1)} SELECT day, iy, ix, {rs('u', 'u')}, {rs('v', 'v')}, {rs('confidence', 'confidence')}, confidence >= 0.4 AS accepted FROM fl")
+def g14_gated_flow(spark, sf_dir):
+    cells = b.obs_grid(spark, sf_dir).select("iy", "ix").distinct().count()
+    pairs = motion.supported_pairs(_pairs(spark, sf_dir), ["day"], cells)
+    return motion.feature_flow(pairs, ["day"], 3.0, 2.0, 1.5, b.ROWS, b.RING).select("day", "iy", "ix", r("u"), r("v"), r("confidence"), "accepted")
+
+
 @query(f"""WITH {OBS}, p AS (SELECT day, v AS c, lag(v) OVER w AS p, day - lag(day) OVER w AS dt FROM obs WINDOW w AS (PARTITION BY iy, ix ORDER BY day)), q AS (SELECT * FROM p WHERE dt <= 1.5)
 SELECT day, {rs('covar_pop(p, c) / var_pop(p)', 'gain')}, {rs('corr(p, c)', 'correlation')}, {rs('greatest(0.0, 1 - (var_pop(c) - covar_pop(p, c) ** 2 / var_pop(p)) / var_pop(c - p))', 'ambiguity')}, count(*) AS cells FROM q GROUP BY day""")
 def g15_growth_ambiguity(spark, sf_dir):
@@ -1111,6 +1121,29 @@ def l1_issue_forecasts(spark, sf_dir):
     return lifecycle.issue_forecasts(_requests(spark, sf_dir), _history(spark, sf_dir), ["user_id"]).select("event_id", r("predicted"), "reject_reason")
 
 
+@query("""WITH h AS (SELECT user_id, date_trunc('minute', ts) AS at_, max(value) AS value, max(ts + INTERVAL 5 MINUTE) AS produced FROM events WHERE event_type = 'view' GROUP BY ALL),
+q AS (SELECT event_id, user_id, date_trunc('hour', ts) AS origin FROM events WHERE event_type = 'purchase'),
+j AS (SELECT q.*, h.at_, h.value, h.produced FROM q ASOF LEFT JOIN h ON q.user_id = h.user_id AND q.origin >= h.at_),
+k AS (SELECT *, CASE WHEN at_ IS NULL THEN 'no_history' WHEN event_id % 7 > 5 THEN 'model_created_after_issue' WHEN event_id % 11 > 8 THEN 'region_created_after_issue' WHEN event_id % 2 = 0 AND produced > origin + INTERVAL 1 MINUTE THEN 'input_not_available' END AS reject_reason FROM j)
+SELECT coalesce(reject_reason, 'issued') AS outcome, count(*) AS n, round(sum(CASE WHEN reject_reason IS NULL THEN value END), 4) + CAST(0 AS DOUBLE) AS total FROM k GROUP BY 1""")
+def l1_leak_rules(spark, sf_dir):
+    made = lambda m, k: F.col("issued_at") + F.make_dt_interval(hours=(F.col("event_id") % m - k).cast("int"))
+    requests = _requests(spark, sf_dir).withColumn("model_created_at", made(7, 5)).withColumn("region_created_at", made(11, 8))
+    issued = lifecycle.issue_forecasts(requests, _history(spark, sf_dir), ["user_id"], created=("model", "region"))
+    return issued.groupBy(F.coalesce("reject_reason", F.lit("issued")).alias("outcome")).agg(F.count("*").alias("n"), r(F.sum("predicted"), "total", 4))
+
+
+@query(f"""WITH {b.REV_SQL}, g AS (SELECT series, day, avg(value) AS v, count(*) FILTER (value < 150) AS cells, list(DISTINCT event_type) AS flags FROM rev GROUP BY ALL),
+f AS (SELECT *, CASE WHEN cells <= 0 THEN 'no_cells' WHEN cells / 3.0::DOUBLE < 0.5 THEN 'coverage_below_minimum' WHEN list_contains(flags, 'error') THEN 'disqualifying_flag' END AS reason FROM g)
+SELECT coalesce(reason, 'usable') AS outcome, count(*) AS n, {rs('sum(CASE WHEN reason IS NULL THEN abs(v - 50) END)', 'total')}, count(*) FILTER (reason IS NULL AND abs(v - 50) / 30.0::DOUBLE >= 1.0) AS candidates FROM f GROUP BY 1""")
+def l3_floor_reasons(spark, sf_dir):
+    days = b.obs_rev(spark, sf_dir).groupBy("series", "day").agg(F.avg("value").alias("actual"), F.count_if(F.col("value") < 150).alias("cells"), F.flatten(F.collect_set("flags")).alias("flags"))
+    days = days.withColumn("actual_coverage", F.col("cells") / 3.0).withColumn("predicted", F.lit(50.0))
+    floor = lifecycle.quality_floor(F.col("actual"), F.col("actual_coverage"), F.col("cells"), F.col("flags"), ["error"])
+    judged = lifecycle.decide(days.withColumn("reason", floor), F.lit(0.0), F.lit(30.0), 1.0, floor=F.col("reason"))
+    return judged.groupBy(F.coalesce("reason", F.lit("usable")).alias("outcome")).agg(F.count("*").alias("n"), r(F.sum(F.abs("residual")), "total"), F.count_if("is_anomaly").alias("candidates"))
+
+
 def _decided(spark, sf_dir, available: str) -> DataFrame:
     forecasts = _forecasts(spark, sf_dir).select("series", F.col("valid_day").cast("timestamp").alias("valid_at"), "predicted")
     forecasts = forecasts.withColumn("forecast_id", encode.stable_id("forecast", F.col("series"), F.unix_date(F.col("valid_at").cast("date"))))
@@ -1308,6 +1341,18 @@ def q4_split_contract(spark, sf_dir):
     return split_contract(timeseries.chronological_split(days, "day"), "part", "day")
 
 
+@query("""WITH d AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders), n AS (SELECT day, row_number() OVER (ORDER BY day) - 1 AS i, count(*) OVER () AS n FROM d),
+p AS (SELECT day, CASE WHEN i < floor(n * 0.7::DOUBLE) THEN 'train' WHEN i < floor(n * 0.8::DOUBLE) THEN 'validation' WHEN i < floor(n * 0.9::DOUBLE) THEN 'calibration' ELSE 'test' END AS part FROM n)
+SELECT sha256(concat(o_custkey, '|', o_orderstatus)) AS content, count(DISTINCT part) AS parts FROM orders JOIN p ON p.day = CAST(o_orderdate AS DATE) GROUP BY 1 HAVING count(DISTINCT part) > 1""")
+def q4_shared_content(spark, sf_dir):
+    from skylattice.operators.manifests import shared_content
+
+    orders = b.table(spark, sf_dir, "orders").withColumn("day", F.to_date("o_orderdate"))
+    parts = timeseries.chronological_split(orders.select("day").distinct(), "day")
+    rows = orders.join(parts.hint("merge"), "day").select("part", F.sha2(F.concat_ws("|", "o_custkey", "o_orderstatus"), 256).alias("content"))
+    return shared_content(rows, "part", "content")
+
+
 @query("""WITH d AS (SELECT CAST(o_orderdate AS DATE) AS day, count(*) AS n FROM orders GROUP BY 1), y AS (SELECT year(day) AS part, day, n FROM d)
 SELECT CAST(part AS INT) AS part, sha256(string_agg(CAST(day AS VARCHAR) || '=' || n, ',' ORDER BY day)) AS manifest, count(*) AS days FROM y GROUP BY part""")
 def q5_training_manifest(spark, sf_dir):

@@ -9,11 +9,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, or a folder of our own where it is unset."""
+    """spark.checkpoint.dir, or a folder of our own where it is unset and all work is done on this machine."""
     if path := spark.conf.get("spark.checkpoint.dir", None):
         return path.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="skylattice-"))
     return sc.getCheckpointDir().rstrip("/")
 
