@@ -18,12 +18,14 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share (spark.checkpoint.dir); a folder of our own only where none is set."""
+    """The folder that all executors share (spark.checkpoint.dir); a folder of our own only where none is set, in local mode."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if path:
         return path.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if sc.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="skylattice-"))
     return sc.getCheckpointDir().rstrip("/")
 
