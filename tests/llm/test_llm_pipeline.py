@@ -26,7 +26,7 @@ def test_matches_sql(spark, name):
 
 def test_stages_are_registered():
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "exact", "near", "benchmark", "encode"]
-    assert {f"op{n}" for n in range(1, 11)} == {k.split("_")[0] for k in llm.queries()}
+    assert {f"op{n}" for n in range(1, 14)} == {k.split("_")[0] for k in llm.queries()}
 
 
 def test_pipeline_equals_plain_stages(spark):
