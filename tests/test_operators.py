@@ -297,7 +297,7 @@ def test_broken_map_files_become_rejects(spark, tmp_path):
     (tmp_path / "good.txt").write_bytes(_map_file([[100, 9999, 300], [1, 2, 3]]))
     (tmp_path / "bad.txt").write_bytes(b"nothing here")
     cells, rejects = mapfiles.load_map_files(spark, str(tmp_path))
-    assert cells.count() == 5 and [r["reason"] for r in rejects.collect()] == ["no_grid_in_header"]
+    assert cells.count() == 5 and [r["reason"] for r in rejects.collect()] == ["no_version_record"]
 
 
 def test_context_series_rejects(spark):
