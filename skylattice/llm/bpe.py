@@ -27,6 +27,15 @@ SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{
 #: The same for texts without characters on which the standard library's classes differ; faster.
 _PLAIN_SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-zªµºÀ-ÖØ-öø-ɏ]+| ?[0-9]+| ?[!-&(-\/:-@\[-`{-~¡-©«-´¶-¹»¿×÷']+|\s+(?!\S)|\s+")
 _UNUSUAL = re.compile("[^\t-\r -~¡-±´-¸º»¿-ɏ]")
+#: Letters and numbers of the regex module (2026.9) that the tokenizers library (Unicode 16) takes for signs.
+_NEWER_LETTERS = """
+0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959
+10EC5-10EC7 10ED9-10EEE 11B0A 11DB0-11DDB 11DF1 16EA0-16EB8 16EBB-16ED3 16FF2-16FF3 187F8-187FF 18CD6-18CDA
+18D09-18D20 18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96
+1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2 1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD
+323B0-33479 3D000-3FC3F"""
+_NEWER_NUMBERS = "11DE0-11DE9 1246F 12475-1247F 12550-12686 16FF4-16FF6"
+_NEWER = re.compile("[" + "".join("-".join(chr(int(x, 16)) for x in part.split("-")) for part in (_NEWER_LETTERS + " " + _NEWER_NUMBERS).split()) + "]")
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -104,7 +113,13 @@ class Bpe:
 
     @staticmethod
     def split(text: str) -> list[str]:
-        return (SPLIT if _UNUSUAL.search(text) else _PLAIN_SPLIT).findall(text)
+        """Pre-tokens as the library cuts them; characters newer than its tables are signs to it."""
+        if not _UNUSUAL.search(text):
+            return _PLAIN_SPLIT.findall(text)
+        if not _NEWER.search(text):
+            return SPLIT.findall(text)
+        ends = [m.end() for m in SPLIT.finditer(_NEWER.sub("\u2603", text))]  # a sign of the same length
+        return [text[a:b] for a, b in zip([0, *ends], ends, strict=False)]
 
     def ids_of(self, text: str) -> bytes:
         """The ids of a text as 32-bit integers."""

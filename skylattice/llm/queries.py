@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from skylattice.llm.bpe import bpe_digest
@@ -23,7 +24,7 @@ from skylattice.llm.url_filter import filter_urls
 from skylattice.llm.url_filter import oracle_sql as url_sql
 
 #: Folder of the public tokenizers' vocabulary files.
-TOKENIZERS = os.environ.get("SKYLATTICE_TOKENIZERS", "/opt/tokenizers")
+TOKENIZERS = os.environ.get("SKYLATTICE_TOKENIZERS") or os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
