@@ -8,22 +8,23 @@ from pyspark.sql import functions as F
 MAD_FACTOR = 1.4826
 
 
-def regional_readout(df: DataFrame, keys: list[str], value: str, flags: str, excluded: list[str], expected: int, minimum: float = 0.5, low: float = 0.9) -> DataFrame:
+def regional_readout(df: DataFrame, keys: list[str], value: str, flags: str, excluded: list[str], expected: int, minimum: float = 0.5, low: float = 0.9, cell: list[str] | None = None) -> DataFrame:
     """Mean, median, coverage and flags of each group, with a reason where it is rejected.
 
     Coverage is usable cells over ``expected`` ones. Flags: those of usable cells, ``excluded_cell:x``
-    for dropped ones, and missing_cells, excluded_cells, low_coverage.
+    for dropped ones, and missing_cells, excluded_cells, low_coverage. With ``cell`` (columns that name a
+    cell within its group), a group that has a cell twice, usable or not, is rejected as duplicate_cell.
     """
     dropped = F.arrays_overlap(F.col(flags), F.array(*[F.lit(f) for f in excluded]))
     ok = F.col(value).isNotNull() & ~F.isnan(value) & ~dropped
     grouped = df.groupBy(*keys).agg(
-        F.avg(F.when(ok, F.col(value))).alias("mean_v"), F.median(F.when(ok, F.col(value))).alias("median_v"), F.count_if(ok).alias("cell_count"), F.count_if(~ok).alias("excluded_count"), F.count("*").alias("rows_in"),
+        F.avg(F.when(ok, F.col(value))).alias("mean_v"), F.median(F.when(ok, F.col(value))).alias("median_v"), F.count_if(ok).alias("cell_count"), F.count_if(~ok).alias("excluded_count"), F.count("*").alias("rows_in"), (F.count_distinct(F.struct(*cell)) if cell else F.count("*")).alias("_cells"),
         F.flatten(F.collect_set(F.when(ok, F.col(flags)))).alias("_kept"), F.flatten(F.collect_set(F.when(~ok, F.col(flags)))).alias("_dropped"),
     )
     coverage = F.col("cell_count") / F.lit(float(expected))
     gone = F.transform(F.array_distinct("_dropped"), lambda f: F.concat(F.lit("excluded_cell:"), f))
     extra = F.array_compact(F.array(F.when(F.col("rows_in") < expected, F.lit("missing_cells")), F.when(F.col("excluded_count") > 0, F.lit("excluded_cells")), F.when(coverage < low, F.lit("low_coverage"))))
-    reason = F.when(F.col("cell_count") == 0, "no_usable_cell").when(F.col("rows_in") > expected, "too_many_cells").when(coverage < minimum, "coverage_below_minimum")
+    reason = F.when(F.col("_cells") < F.col("rows_in"), "duplicate_cell").when(F.col("cell_count") == 0, "no_usable_cell").when(F.col("rows_in") > expected, "too_many_cells").when(coverage < minimum, "coverage_below_minimum")
     out = grouped.withColumn("coverage", coverage).withColumn("flags", F.array_sort(F.array_distinct(F.concat("_kept", gone, extra)))).withColumn("reject_reason", reason)
     return out.select(*keys, "mean_v", "median_v", "cell_count", "coverage", "flags", "reject_reason")
 
@@ -82,24 +83,29 @@ def shortest_arc(df: DataFrame, keys: list[str], lon: str) -> DataFrame:
     return cut.select(*keys, west.alias("west"), east.alias("east"), (360 - F.col("g._gap")).alias("width"))
 
 
-def shape_descriptors(cells: DataFrame, keys: list[str], iy: str, ix: str, dx: float, dy: float, weight: str | None = None) -> DataFrame:
-    """Area, perimeter, compactness and elongation of each object of cells, and its moments' axes."""
-    w = F.col(weight) if weight else F.lit(1.0)
+def shape_descriptors(cells: DataFrame, keys: list[str], iy: str, ix: str, dx: float, dy: float, weight: str | None = None, grid: tuple[int, int] | None = None) -> DataFrame:
+    """Area, perimeter, compactness and elongation of each object of cells; with ``grid`` (rows, columns), also whether it touches the border.
+
+    ``weight`` is the mass of a cell in the moments (1e-30 at least; a null counts as that), and has no part in area and perimeter.
+    """
+    w = F.greatest(F.col(weight), F.lit(1e-30)) if weight else F.lit(1.0)
     x, y = F.col(ix) * dx, F.col(iy) * dy
     sums = cells.groupBy(*keys).agg(
-        F.count("*").alias("cells"), F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * y).alias("wy"), F.sum(w * x * x).alias("wxx"), F.sum(w * x * y).alias("wxy"), F.sum(w * y * y).alias("wyy")
+        F.count("*").alias("cells"), F.sum(w).alias("w"), F.sum(w * x).alias("wx"), F.sum(w * y).alias("wy"), F.sum(w * x * x).alias("wxx"), F.sum(w * x * y).alias("wxy"), F.sum(w * y * y).alias("wyy"),
+        F.min(iy).alias("_y0"), F.max(iy).alias("_y1"), F.min(ix).alias("_x0"), F.max(ix).alias("_x1"),
     )
     own = cells.select(*keys, F.col(iy).alias("_y"), F.col(ix).alias("_x"))
     steps = F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.lit(s).alias("side")) for a, b, s in ((0, 1, dy), (0, -1, dy), (1, 0, dx), (-1, 0, dx))])
     around = own.select(*keys, F.explode(steps).alias("s"), "_y", "_x").select(*keys, (F.col("_y") + F.col("s.a")).alias("_y"), (F.col("_x") + F.col("s.b")).alias("_x"), "s.side")
-    rim = around.join(own, [*keys, "_y", "_x"], "left_anti").groupBy(*keys).agg(F.sum("side").alias("perimeter"))
-    out = sums.join(rim, keys)
+    rim = around.join(own.hint("merge"), [*keys, "_y", "_x"], "left_anti").groupBy(*keys).agg(F.sum("side").alias("perimeter"))
+    out = sums.join(rim.hint("merge"), keys)
     var = lambda a, b: F.col(f"w{a}{b}") / F.col("w") - F.col(f"w{a}") * F.col(f"w{b}") / F.col("w") ** 2
     out = out.withColumn("vx", var("x", "x") + dx * dx / 12).withColumn("vy", var("y", "y") + dy * dy / 12).withColumn("vxy", var("x", "y"))
     mid, half = (F.col("vx") + F.col("vy")) / 2, F.sqrt(((F.col("vx") - F.col("vy")) / 2) ** 2 + F.col("vxy") ** 2)
     area = F.col("cells") * (dx * dy)
     return out.select(
-        *keys, "cells", area.alias("area"), "perimeter", F.least(F.lit(1.0), 12.566370614359172 * area / F.col("perimeter") ** 2).alias("compactness"), F.sqrt((mid + half) / F.greatest(mid - half, F.lit(1e-12))).alias("elongation")
+        *keys, "cells", area.alias("area"), "perimeter", F.least(F.lit(1.0), 12.566370614359172 * area / F.col("perimeter") ** 2).alias("compactness"), F.sqrt((mid + half) / F.greatest(mid - half, F.lit(1e-12))).alias("elongation"),
+        *([((F.col("_y0") == 0) | (F.col("_x0") == 0) | (F.col("_y1") == grid[0] - 1) | (F.col("_x1") == grid[1] - 1)).alias("border")] if grid else []),
     )
 
 
@@ -128,8 +134,32 @@ def rank_correlation(df: DataFrame, x: str, y: str) -> DataFrame:
         placed = running_total(counts, column, "_n", "_before")
         return placed.select(F.col(column).alias(f"_{column}"), (F.col("_before") + (F.col("_n") + 1) / 2).alias(f"_r{column}"))
 
-    joined = df.join(ranks(x), F.col(x) == F.col(f"_{x}")).join(ranks(y), F.col(y) == F.col(f"_{y}"))
-    return joined.agg(F.corr(f"_r{x}", f"_r{y}").alias("rho"), F.count("*").alias("n"))
+    pairs = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).groupBy(x, y).agg(F.count("*").alias("_m"))
+    joined = pairs.join(ranks(x).hint("merge"), F.col(x) == F.col(f"_{x}")).join(ranks(y).hint("merge"), F.col(y) == F.col(f"_{y}"))
+    a, c, m = F.col(f"_r{x}"), F.col(f"_r{y}"), F.col("_m")
+    sums = joined.agg(F.sum(m).alias("n"), F.sum(m * a).alias("a"), F.sum(m * c).alias("c"), F.sum(m * a * a).alias("aa"), F.sum(m * c * c).alias("cc"), F.sum(m * a * c).alias("ac"))
+    spread = F.sqrt((F.col("aa") - F.col("a") ** 2 / F.col("n")) * (F.col("cc") - F.col("c") ** 2 / F.col("n")))
+    return sums.select(F.when(spread > 0, (F.col("ac") - F.col("a") * F.col("c") / F.col("n")) / spread).alias("rho"), F.coalesce("n", F.lit(0)).cast("bigint").alias("n"))
+
+
+def confidence_report(df: DataFrame, confidence: str, error: str, accepted: Column, limit: float) -> DataFrame:
+    """One row: Spearman's rho of confidence and error, the mean error of the least and the most confident third, accepted rows, and those of them with an error over ``limit``.
+
+    A third has n div 3 rows, one at least. Rows of equal confidence that a third holds only in part count with
+    their mean error, so the order within a tie makes no difference. Rows without confidence or error are left out;
+    an empty table gives nulls and zeros.
+    """
+    known = df.where(F.col(confidence).isNotNull() & F.col(error).isNotNull())
+    levels = known.groupBy(confidence).agg(F.count("*").alias("_n"), F.avg(error).alias("_mean"))
+    counted = known.agg(F.count("*").alias("n"), F.count_if(accepted).alias("accepted"), F.count_if(accepted & (F.col(error) > limit)).alias("accepted_wrong"))
+    counted = counted.withColumn("_third", F.greatest(F.lit(1), F.expr("n div 3")))
+    placed = running_total(levels, confidence, "_n", "_before").crossJoin(F.broadcast(counted))  # one row
+    end = F.col("_before") + F.col("_n")
+    low = F.greatest(F.lit(0), F.least(end, F.col("_third")) - F.col("_before"))
+    high = F.greatest(F.lit(0), end - F.greatest(F.col("_before"), F.col("n") - F.col("_third")))
+    thirds = placed.agg((F.sum(low * F.col("_mean")) / F.sum(low)).alias("low_error"), (F.sum(high * F.col("_mean")) / F.sum(high)).alias("high_error"))
+    rho = rank_correlation(known, confidence, error).select("rho")
+    return rho.crossJoin(F.broadcast(thirds)).crossJoin(F.broadcast(counted.drop("_third")))  # one row each
 
 
 def gram_sums(df: DataFrame, keys: list[str], features: list[str], target: str) -> DataFrame:

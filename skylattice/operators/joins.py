@@ -70,7 +70,11 @@ def changed_and_next(days: DataFrame, changed: DataFrame, day: str) -> DataFrame
     return days.join(again.hint("merge"), day, "left_semi")
 
 
-def violations(df: DataFrame, key: str, rules: dict) -> DataFrame:
-    """Rows (rule, key) for each rule that fails; a null result counts as a failure."""
-    checks = F.array(*[F.struct(F.lit(name).alias("rule"), F.coalesce(~ok, F.lit(True)).alias("failed")) for name, ok in rules.items()])
-    return df.select(F.col(key).alias("key"), F.explode(checks).alias("c")).where("c.failed").select("c.rule", "key")
+def violations(df: DataFrame, key: str, rules: dict, details: dict | None = None) -> DataFrame:
+    """Rows (rule, key) for each rule that fails; a null result counts as a failure.
+
+    With ``details`` (rule to the columns that it looks at), a third column says their values: ``name=value``, null for a null.
+    """
+    said = lambda name: F.concat_ws(", ", *[F.concat(F.lit(f"{c}="), F.coalesce(F.col(c).cast("string"), F.lit("null"))) for c in (details or {}).get(name, [])])
+    checks = F.array(*[F.struct(F.lit(name).alias("rule"), F.coalesce(~ok, F.lit(True)).alias("failed"), *([said(name).alias("detail")] if details else [])) for name, ok in rules.items()])
+    return df.select(F.col(key).alias("key"), F.explode(checks).alias("c")).where("c.failed").select("c.rule", "key", *(["c.detail"] if details else []))

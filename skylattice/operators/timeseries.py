@@ -15,6 +15,22 @@ def gap_report(df: DataFrame, keys: list[str], at: str) -> DataFrame:
     return out.select(*keys, "n", "cadence", "max_gap", (F.col("max_gap") == F.col("min_gap")).alias("regular"))
 
 
+def missing_gap(df: DataFrame, keys: list[str], at: str, step: float, start: float, end: float, requested: DataFrame | None = None) -> DataFrame:
+    """The longest stretch of each series without a slot it should have, both ends of the requested span included.
+
+    Slots are ``step`` apart from ``start`` to ``end``, the first and last slot. Before the first instant and after the last
+    one, all the time to the end of the span is missing; between two instants, what is beyond one step. Rows
+    outside the span and without an instant don't count. Series of ``requested`` (keys) without a row have a null.
+    """
+    inside = df.where(F.col(at).between(start, end))
+    w = Window.partitionBy(*keys).orderBy(at)
+    steps = inside.withColumn("_gap", F.col(at) - F.lag(at).over(w) - step)
+    out = steps.groupBy(*keys).agg(F.greatest(F.lit(0), F.min(at) - start, end - F.max(at), F.coalesce(F.max("_gap"), F.lit(0))).alias("missing_gap"), F.count("*").alias("n"))
+    if requested is None:
+        return out
+    return requested.select(*keys).distinct().join(out.hint("merge"), keys, "left").fillna(0, ["n"])
+
+
 def regular_slots(df: DataFrame, keys: list[str], at: str, step: int, values: list[str], coverage: str, filler: float = 1e-6) -> DataFrame:
     """Every slot from first to last instant; missing ones carry the values before them with coverage ``filler``."""
     span = df.groupBy(*keys).agg(F.min(at).alias("_a"), F.max(at).alias("_b"))
@@ -158,6 +174,23 @@ def block_mean(df: DataFrame, keys: list[str], iy: str, ix: str, value: str, fac
     return out.where(F.col("cells") == factor * factor)
 
 
+def degrade(df: DataFrame, keys: list[str], at: str, iy: str, ix: str, value: str, rms: str, factor: int, stride: int, noise: float = 0.0) -> DataFrame:
+    """Coarser maps at every ``stride``-th instant of each key, from its first: block means with the mean of their RMS.
+
+    All factor x factor cells must be there. The RMS of a block is the mean of its cells' plus ``noise``, with no reduction by
+    their number (errors are not known to be independent), and null where a cell's is missing, infinite or negative.
+    """
+    times = df.select(*keys, at).distinct()
+    order = Window.partitionBy(*keys).orderBy(at) if keys else Window.partitionBy(F.lit(0)).orderBy(at)  # instants, not rows
+    kept = times.withColumn("_k", F.row_number().over(order)).where((F.col("_k") - 1) % stride == 0).drop("_k")
+    by, bx = F.floor(F.col(iy) / factor).cast("int"), F.floor(F.col(ix) / factor).cast("int")
+    good = F.when((F.col(rms) >= 0) & (F.col(rms) < float("inf")), F.col(rms))
+    blocks = df.join(kept.hint("merge"), [*keys, at], "left_semi").groupBy(*keys, at, by.alias("by"), bx.alias("bx"))
+    size = factor * factor
+    out = blocks.agg(F.avg(value).alias(value), F.when(F.count(good) == size, F.avg(good) + noise).alias(rms), F.count(value).alias("_cells"))
+    return out.where(F.col("_cells") == size).drop("_cells")
+
+
 def even_sample(df: DataFrame, frame: list[str], order: list[str], most: int, phase: int = 0) -> DataFrame:
     """At most ``most`` rows of each frame at even distances, shifted by ``phase``."""
     w = Window.partitionBy(*frame)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from skylattice.operators.revisions import best
+
 
 def top(df: DataFrame, order: list[Column], n: int) -> DataFrame:
     """The first ``n`` rows in an order; planned as a top-k of each partition first."""
@@ -27,12 +29,16 @@ def best_label(scores: dict[str, Column]) -> tuple[Column, Column]:
     return first["name"], (first["score"] - second["score"]) / F.greatest(first["score"], F.lit(1e-12))
 
 
-def merge_series(parts: list[DataFrame], source: str, axes: list[str], keys: list[str]) -> tuple[DataFrame, DataFrame]:
-    """Daily tables on top of each other, and a table of sources whose axes differ from the first source's."""
+def merge_series(parts: list[DataFrame], source: str, axes: list[str], keys: list[str], revision: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
+    """Daily tables on top of each other, and the refused sources: those whose axes differ from the first source's.
+
+    Rows of refused sources are left out. With ``revision`` (descending sort columns), the best row for each of ``keys`` stays.
+    """
     whole = parts[0]
     for part in parts[1:]:
         whole = whole.unionByName(part)
     marks = whole.groupBy(source).agg(*[F.sort_array(F.collect_set(a)).alias(a) for a in axes])
     first = marks.orderBy(source).limit(1).select(*[F.col(a).alias(f"_{a}") for a in axes])
     odd = marks.crossJoin(F.broadcast(first)).where(" OR ".join(f"{a} <> _{a}" for a in axes)).select(source)
-    return whole, odd
+    whole = whole.join(odd.hint("merge"), source, "left_anti")
+    return (best(whole, keys, revision) if revision else whole), odd

@@ -211,6 +211,15 @@ def a1_regional_readout(spark, sf_dir):
     return out.select("day", r("mean_v"), r("median_v"), "cell_count", r("coverage"), F.array_join("flags", ",").alias("flags"), "reject_reason")
 
 
+@query(f"""WITH {b.REV_SQL}, c AS (SELECT day, series % 15 AS region, series, event_type, value FROM rev WHERE event_type IN ('signup', 'error')),
+g AS (SELECT day, region, avg(value) FILTER (event_type <> 'error') AS mean_v, count(*) FILTER (event_type <> 'error') AS cell_count, count(*) AS rows_in, count(DISTINCT series) AS cells FROM c GROUP BY ALL)
+SELECT day, region, {rs('mean_v', 'mean_v')}, cell_count, CASE WHEN cells < rows_in THEN 'duplicate_cell' WHEN cell_count = 0 THEN 'no_usable_cell' WHEN rows_in > 20 THEN 'too_many_cells' WHEN cell_count / 20.0 < 0.1 THEN 'coverage_below_minimum' END AS reject_reason FROM g""")
+def a1_duplicate_cells(spark, sf_dir):
+    rows = b.obs_rev(spark, sf_dir).where("array_contains(array('signup', 'error'), flags[0])").withColumn("region", F.col("series") % 15)
+    out = agg.regional_readout(rows, ["day", "region"], "value", "flags", ["error"], 20, 0.1, cell=["series"])
+    return out.select("day", "region", r("mean_v"), "cell_count", "reject_reason")
+
+
 @query(f"""WITH {b.obs_sql(2)}, e AS (SELECT day, epoch, count(*) AS cells, avg(v) AS m FROM obs GROUP BY ALL)
 SELECT day, count(*) AS readouts, min(cells) AS least_cells, {rs('avg(m)', 'mean_v')}, CASE WHEN min(cells) < 10 THEN 'incomplete_epoch' WHEN count(*) < 6 THEN 'too_few_readouts' END AS reject_reason FROM e GROUP BY day""")
 def a2_two_hour_readout(spark, sf_dir):
@@ -311,6 +320,15 @@ def a15_shape_descriptors(spark, sf_dir):
     return agg.shape_descriptors(cells, ["day"], "iy", "ix", 2.0, 3.0).select("day", "cells", "area", "perimeter", r("compactness"), r("elongation"))
 
 
+@query(f"""WITH {OBS}, c AS (SELECT day, iy, ix, v, ix * 2.0 AS x, iy * 3.0 AS y FROM obs WHERE v > 60 AND iy >= 1), s AS (
+  SELECT day, count(*) AS cells, sum(v) AS w, sum(v * x) / sum(v) AS mx, sum(v * y) / sum(v) AS my, min(iy) = 0 OR min(ix) = 0 OR max(iy) = {b.ROWS - 1} OR max(ix) = {b.RING - 1} AS border FROM c GROUP BY day),
+m AS (SELECT day, sum(v * (x - mx) ** 2) / any_value(w) + 4.0 / 12 AS vx, sum(v * (y - my) ** 2) / any_value(w) + 9.0 / 12 AS vy, sum(v * (x - mx) * (y - my)) / any_value(w) AS vxy FROM c JOIN s USING (day) GROUP BY day)
+SELECT day, cells, {rs('sqrt(((vx + vy) / 2 + sqrt(((vx - vy) / 2) ** 2 + vxy ** 2)) / greatest((vx + vy) / 2 - sqrt(((vx - vy) / 2) ** 2 + vxy ** 2), 1e-12))', 'elongation')}, border FROM s JOIN m USING (day)""")
+def a15_weighted_shapes(spark, sf_dir):
+    cells = b.obs_grid(spark, sf_dir).where("v > 60 AND iy >= 1").select("day", "iy", "ix", "v")
+    return agg.shape_descriptors(cells, ["day"], "iy", "ix", 2.0, 3.0, "v", (b.ROWS, b.RING)).select("day", "cells", r("elongation"), "border")
+
+
 def _event_scores() -> dict[str, Column]:
     anomaly, spread = F.tanh(F.avg(F.abs(F.col("v") - 50)) / 40), F.tanh(F.stddev_pop("v") / 60)
     support = F.avg(F.when(F.col("n") >= 2, 1.0).otherwise(0.0))
@@ -336,6 +354,17 @@ def a17_rank_correlation(spark, sf_dir):
     return agg.rank_correlation(users, "n_events", "total").select(r("rho"), "n")
 
 
+@query("""WITH x AS (SELECT user_id, CAST(count(*) AS DOUBLE) AS c, abs(avg(value) - 50) AS e FROM events GROUP BY user_id), n AS (SELECT count(*) AS n, greatest(1, count(*) // 3) AS third FROM x),
+k AS (SELECT rank() OVER (ORDER BY c) + (count(*) OVER (PARTITION BY c) - 1) / 2.0 AS rc, rank() OVER (ORDER BY e) + (count(*) OVER (PARTITION BY e) - 1) / 2.0 AS re FROM x),
+l AS (SELECT c, count(*) AS m, avg(e) AS e, sum(count(*)) OVER (ORDER BY c) AS upto FROM x GROUP BY c), t AS (SELECT e, greatest(0, least(upto, third) - (upto - m)) AS lo, greatest(0, upto - greatest(upto - m, n - third)) AS hi FROM l, n)
+SELECT round((SELECT corr(rc, re) FROM k), 6) + CAST(0 AS DOUBLE) AS rho, round(sum(lo * e) / sum(lo), 6) + CAST(0 AS DOUBLE) AS low_error, round(sum(hi * e) / sum(hi), 6) + CAST(0 AS DOUBLE) AS high_error, (SELECT n FROM n) AS n,
+  (SELECT count(*) FROM x WHERE c >= 5) AS accepted, (SELECT count(*) FROM x WHERE c >= 5 AND e > 20) AS accepted_wrong FROM t""")
+def a17_confidence_report(spark, sf_dir):
+    users = b.table(spark, sf_dir, "events").groupBy("user_id").agg(F.count("*").cast("double").alias("confidence"), F.abs(F.avg("value") - 50).alias("error"))
+    out = agg.confidence_report(users, "confidence", "error", F.col("confidence") >= 5, 20.0)
+    return out.select(r("rho"), r("low_error"), r("high_error"), "n", "accepted", "accepted_wrong")
+
+
 _GRAM = f"""{OBS}, l AS (SELECT ix, v AS y, lag(v) OVER (PARTITION BY iy, ix ORDER BY day) AS x FROM obs),
 g AS (SELECT ix, count(*) AS n, sum(x) AS sx, sum(y) AS sy, sum(x * x) + 10 AS sxx, sum(x * y) AS sxy FROM l WHERE x IS NOT NULL GROUP BY ix)"""
 
@@ -488,6 +517,14 @@ def w1_gap_report(spark, sf_dir):
     return timeseries.gap_report(b.obs_grid(spark, sf_dir), ["iy", "ix"], "day")
 
 
+@query(f"""WITH {OBS}, q AS (SELECT DISTINCT iy, ix FROM obs), k AS (SELECT iy, ix, day FROM obs WHERE n >= 2 AND day BETWEEN {DAY0} AND {DAY0 + 29}), s AS (SELECT *, day - lag(day) OVER (PARTITION BY iy, ix ORDER BY day) - 1 AS gap FROM k),
+g AS (SELECT iy, ix, greatest(0, min(day) - {DAY0}, {DAY0 + 29} - max(day), coalesce(max(gap), 0)) AS missing_gap, count(*) AS n FROM s GROUP BY iy, ix)
+SELECT q.iy, q.ix, g.missing_gap, coalesce(g.n, 0) AS n FROM q LEFT JOIN g ON g.iy = q.iy AND g.ix = q.ix""")
+def w1_missing_gap(spark, sf_dir):
+    obs = b.obs_grid(spark, sf_dir)
+    return timeseries.missing_gap(obs.where("n >= 2"), ["iy", "ix"], "day", 1, DAY0, DAY0 + 29, obs).select("iy", "ix", "missing_gap", "n")
+
+
 _SLOTS = f"{OBS}, sp AS (SELECT iy, ix, unnest(range(min(day), max(day) + 1)) AS day FROM obs GROUP BY iy, ix), j AS (SELECT sp.iy, sp.ix, sp.day, v FROM sp LEFT JOIN obs USING (iy, ix, day))"
 
 
@@ -584,6 +621,13 @@ def w13_block_mean(spark, sf_dir):
     return timeseries.block_mean(b.obs_grid(spark, sf_dir), ["day"], "iy", "ix", "v", 2).select("day", "by", "bx", r("v"))
 
 
+@query(f"""WITH {b.obs_sql(12)}, t AS (SELECT epoch FROM (SELECT epoch, row_number() OVER (ORDER BY epoch) - 1 AS k FROM (SELECT DISTINCT epoch FROM obs)) WHERE k % 3 = 0)
+SELECT epoch, CAST(iy // 2 AS INT) AS by, CAST(ix // 2 AS INT) AS bx, {rs('avg(v)', 'v')}, {rs('CASE WHEN min(2 - n) >= 0 THEN avg(2 - n) + 0.5 END', 'rms')} FROM obs JOIN t USING (epoch) GROUP BY ALL HAVING count(v) = 4""")
+def w13_degrade(spark, sf_dir):
+    obs = b.obs_grid(spark, sf_dir, 12).withColumn("rms", (2 - F.col("n")).cast("double"))
+    return timeseries.degrade(obs, [], "epoch", "iy", "ix", "v", "rms", 2, 3, 0.5).select("epoch", "by", "bx", r("v"), r("rms"))
+
+
 @query(f"""WITH {OBS}, k AS (SELECT day, iy, ix, row_number() OVER (PARTITION BY day ORDER BY iy, ix) - 1 AS i, count(*) OVER (PARTITION BY day) AS m FROM obs), s AS (SELECT *, (i + 3) % m AS j FROM k)
 SELECT day, iy, ix FROM s WHERE m <= 20 OR floor(j * 20 / m::DOUBLE) <> floor((j - 1) * 20 / m::DOUBLE)""")
 def w14_even_sample(spark, sf_dir):
@@ -649,6 +693,17 @@ def k7_merge_series(spark, sf_dir):
     return whole.groupBy("iy", "ix").agg(F.max("day").alias("day"), r(F.max_by("v", "day"), "v"), F.count("*").alias("versions"))
 
 
+@query(f"""WITH {b.REV_SQL}, p AS (SELECT *, series % 15 AS iy FROM rev WHERE event_type <> 'error' OR series % 15 < 7), x AS (SELECT event_type, list_sort(list(DISTINCT iy)) AS axis FROM p GROUP BY event_type),
+odd AS (SELECT event_type FROM x WHERE axis <> (SELECT axis FROM x ORDER BY event_type LIMIT 1)), g AS (SELECT * FROM p WHERE event_type NOT IN (SELECT event_type FROM odd))
+SELECT series, day, 'row' AS kind, artifact_id, event_type AS source FROM g QUALIFY row_number() OVER (PARTITION BY series, day ORDER BY revision_priority DESC, ingested_at DESC, artifact_id DESC) = 1
+UNION ALL SELECT NULL, NULL, 'refused', NULL, event_type FROM odd""")
+def k7_concatenate(spark, sf_dir):
+    rows = b.obs_rev(spark, sf_dir).select("*", F.col("flags")[0].alias("source"), (F.col("series") % 15).alias("iy")).where("source <> 'error' OR iy < 7")
+    parts = [rows.where(F.col("source") == k) for k in b.EVENT_TYPES]
+    whole, odd = topk.merge_series(parts, "source", ["iy"], ["series", "day"], [F.desc("revision_priority"), F.desc("ingested_at"), F.desc("artifact_id")])
+    return whole.select("series", "day", F.lit("row").alias("kind"), "artifact_id", "source").unionByName(odd.select("source", F.lit("refused").alias("kind")), allowMissingColumns=True)
+
+
 # --- grids and fields --------------------------------------------------------------------------
 
 
@@ -1314,6 +1369,26 @@ def q1_rule_check(spark, sf_dir):
     return joins.violations(b.table(spark, sf_dir, "events"), "event_id", rules)
 
 
+_RULES = ("clocks_in_order", "counts_add_up", "parent_exists", "known_priority", "id_not_empty")
+
+
+@query(f"""WITH l AS (SELECT l_orderkey, count(*) AS lines, count(*) FILTER (l_discount <= 0.05) AS valid, count(*) FILTER (l_discount > 0.05) AS missing, max(l_linenumber) AS expected, CAST(min(l_shipdate) AS DATE) AS shipped FROM lineitem GROUP BY l_orderkey),
+o AS (SELECT o_orderkey AS key, trim(o_orderstatus) AS status, CAST(o_orderdate AS DATE) AS ordered, shipped, valid, missing, expected, c.c_custkey AS parent, o_orderpriority AS priority FROM orders LEFT JOIN l ON l_orderkey = o_orderkey LEFT JOIN (SELECT c_custkey FROM customer WHERE c_custkey % 7 <> 0) c ON c.c_custkey = o_custkey),
+v AS (SELECT key, unnest({list(_RULES)}) AS rule, unnest([ordered <= shipped, valid + missing = expected, parent IS NOT NULL, priority IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '4-NOT SPECIFIED'), status <> '']) AS ok,
+  unnest(['ordered=' || coalesce(CAST(ordered AS VARCHAR), 'null') || ', shipped=' || coalesce(CAST(shipped AS VARCHAR), 'null'), 'valid=' || coalesce(CAST(valid AS VARCHAR), 'null') || ', missing=' || coalesce(CAST(missing AS VARCHAR), 'null') || ', expected=' || coalesce(CAST(expected AS VARCHAR), 'null'),
+    'parent=' || coalesce(CAST(parent AS VARCHAR), 'null'), 'priority=' || coalesce(priority, 'null'), 'status=' || coalesce(status, 'null')]) AS detail FROM o)
+SELECT rule, key, detail FROM v WHERE NOT coalesce(ok, false)""")
+def q1_rule_details(spark, sf_dir):
+    low = F.col("l_discount") <= 0.05
+    lines = b.table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("key")).agg(F.count_if(low).alias("valid"), F.count_if(~low).alias("missing"), F.max("l_linenumber").alias("expected"), F.to_date(F.min("l_shipdate")).alias("shipped"))
+    parents = b.table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0").select(F.col("c_custkey").alias("o_custkey"), F.col("c_custkey").alias("parent"))
+    o = b.table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("key"), F.trim("o_orderstatus").alias("status"), F.to_date("o_orderdate").alias("ordered"), F.col("o_orderpriority").alias("priority"), "o_custkey")
+    o = o.join(lines, "key", "left").join(parents, "o_custkey", "left")
+    checks = (F.col("ordered") <= F.col("shipped"), F.col("valid") + F.col("missing") == F.col("expected"), F.col("parent").isNotNull(), F.col("priority").isin("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED"), F.col("status") != "")
+    looked = (["ordered", "shipped"], ["valid", "missing", "expected"], ["parent"], ["priority"], ["status"])
+    return joins.violations(o, "key", dict(zip(_RULES, checks, strict=True)), dict(zip(_RULES, looked, strict=True)))
+
+
 @query(f"""WITH {OBS}, a AS (SELECT *, lag(day) OVER (PARTITION BY iy, ix ORDER BY day) AS before FROM obs), c AS (SELECT day, iy, ix, v <= 200 AND isfinite(v) AS finite, n <= 6 AS confidence, before IS NULL OR day - before <= 2 AS axis FROM a)
 SELECT rule, count(*) AS failures FROM (SELECT unnest(['finite_value', 'count_in_range', 'axis_steps']) AS rule, unnest([finite, confidence, axis]) AS ok FROM c) WHERE NOT ok GROUP BY rule""")
 def q2_field_contract(spark, sf_dir):
@@ -1455,6 +1530,24 @@ def s8_verified_archive(spark, sf_dir):
     return read_archive(spark, path, obs.schema, "day")[0].select("day", "iy", "ix", r("v"))
 
 
+@query(f"""WITH {OBS}, a AS (SELECT day, iy, ix, CASE WHEN v <= 150 THEN v END AS v, CASE WHEN n >= 4 THEN 'dense' WHEN n >= 2 THEN 'usual' ELSE 'thin' END AS flag FROM obs)
+SELECT day, count(*) AS rows, count(DISTINCT iy) || 'x' || count(DISTINCT ix) AS shape, count(v) AS valid, count(DISTINCT iy) * count(DISTINCT ix) - count(v) AS missing, array_to_string(list_sort(list(DISTINCT flag)), ',') AS flags FROM a GROUP BY day""")
+def s8_archive_manifest(spark, sf_dir):
+    from skylattice.operators.manifests import map_manifest
+    from skylattice.sources.tables import read_archive, write_archive
+
+    flag = F.when(F.col("n") >= 4, "dense").when(F.col("n") >= 2, "usual").otherwise("thin")
+    obs, path = b.obs_grid(spark, sf_dir).select("day", "iy", "ix", F.when(F.col("v") <= 150, F.col("v")).alias("v"), F.array(flag).alias("flags")), _folder(spark, "maps")
+
+    def describe(df: DataFrame, partition: str) -> DataFrame:
+        return map_manifest(df, partition, ["iy", "ix"], "v", "flags")
+
+    listed = write_archive(obs, path, "day", describe)
+    rows, _ = read_archive(spark, path, obs.schema, "day", describe)
+    kept = rows.select("day").distinct()
+    return listed.join(kept.hint("merge"), "day", "left_semi").select("day", "rows", F.array_join(F.transform("shape", lambda n: n.cast("string")), "x").alias("shape"), "valid", "missing", F.array_join("flags", ",").alias("flags"))
+
+
 @query("""WITH m AS (SELECT o_orderkey AS id, o_orderkey % 3 = 0 AS native, o_orderkey // 3 * 3 AS parent, o_custkey AS checksum FROM orders), n AS (SELECT id, checksum FROM m WHERE native AND id % 5 <> 0)
 SELECT m.id, CASE WHEN n.id IS NULL THEN 'no_native_parent' ELSE 'checksum_differs' END AS reason FROM m LEFT JOIN n ON n.id = m.parent WHERE NOT m.native AND (n.id IS NULL OR n.checksum % 10 <> m.checksum % 10)""")
 def s9_catalogue_lineage(spark, sf_dir):

@@ -45,19 +45,22 @@ def context_series(texts: DataFrame, now: Column | None = None) -> tuple[DataFra
     return judged.where("reason IS NULL").select("source", "time", "kp").distinct(), judged.where("reason IS NOT NULL").select("source", "time", "kp", "reason")
 
 
-def write_archive(df: DataFrame, path: str, partition: str) -> DataFrame:
-    """A Parquet archive by ``partition``, one sorted run a partition; returns its manifest, written last beside it."""
+def write_archive(df: DataFrame, path: str, partition: str, describe=snapshot_manifest) -> DataFrame:
+    """A Parquet archive by ``partition``, one sorted run a partition; returns its manifest, written last beside it.
+
+    ``describe`` (table, partition) makes the manifest: rows and content, or with :func:`map_manifest` also shape, counts and flags.
+    """
     df.repartition(partition).sortWithinPartitions(partition).write.partitionBy(partition).parquet(f"{path}/data")
-    manifest = snapshot_manifest(df, partition)
+    manifest = describe(df, partition)
     manifest.write.parquet(f"{path}/manifest")
     return df.sparkSession.read.parquet(f"{path}/manifest")
 
 
-def read_archive(spark: SparkSession, path: str, schema, partition: str) -> tuple[DataFrame, DataFrame]:
-    """Rows of the partitions whose content agrees with the manifest, and the refused partitions with a reason."""
+def read_archive(spark: SparkSession, path: str, schema, partition: str, describe=snapshot_manifest) -> tuple[DataFrame, DataFrame]:
+    """Rows of the partitions that agree with the manifest in all ``describe`` says, and the refused ones with a reason."""
     data = spark.read.schema(schema).parquet(f"{path}/data").select(*[f.name for f in schema])
-    refused = verify_manifest(data, spark.read.parquet(f"{path}/manifest"), partition)
-    return data.join(refused, partition, "left_anti"), refused
+    refused = verify_manifest(data, spark.read.parquet(f"{path}/manifest"), partition, describe)
+    return data.join(refused.hint("merge"), partition, "left_anti"), refused
 
 
 def catalogue_violations(manifests: DataFrame) -> DataFrame:
