@@ -173,7 +173,8 @@ def suppress_overlaps(footprints: DataFrame, scan: str, rank: str, cells: str, m
 def focus_region(frame: DataFrame, keys: list[str], value: str, scale: float, ring: int | None = None) -> DataFrame:
     """Cells of the strongest connected object of each frame, grown by one cell; all cells if there is no object.
 
-    Objects are cells with |value| of at least max(scale, a quarter of the peak); strength = sum of |value|.
+    Objects are cells with |value| of at least max(scale, a quarter of the peak); strength = sum of |value|, of equally
+    strong ones the one with the least ``blob``. ``focus`` marks the grown cells, ``object`` those of the object itself.
     """
     size = F.abs(value)
     peak = frame.groupBy(*keys).agg(F.max(size).alias("_peak"))
@@ -181,7 +182,8 @@ def focus_region(frame: DataFrame, keys: list[str], value: str, scale: float, ri
     blobs = frame_components(strong, keys, ring)
     strength = blobs.join(frame.select(*keys, "iy", "ix", size.alias("_s")).hint("merge"), [*keys, "iy", "ix"]).groupBy(*keys, "blob").agg(F.sum("_s").alias("_sum"))
     best = strength.groupBy(*keys).agg(F.max_by("blob", F.struct("_sum", -F.col("blob"))).alias("blob"))
-    grown = neighbours(blobs.join(best.hint("merge"), [*keys, "blob"], "left_semi"), keys, "iy", "ix", ring, itself=True).select(*keys, F.col("ny").alias("iy"), F.col("nx").alias("ix"), F.lit(True).alias("_in")).distinct()
+    own = blobs.join(best.hint("merge"), [*keys, "blob"], "left_semi").select(*keys, "iy", "ix")
+    grown = neighbours(own, keys, "iy", "ix", ring, itself=True).select(*keys, F.col("ny").alias("iy"), F.col("nx").alias("ix"), F.lit(True).alias("_in")).distinct()
     some = best.select(*keys, F.lit(True).alias("_any"))
-    marked = frame.join(grown.hint("merge"), [*keys, "iy", "ix"], "left").join(some.hint("merge"), keys, "left")
-    return marked.withColumn("focus", F.col("_in").isNotNull() | F.col("_any").isNull()).drop("_in", "_any")
+    marked = frame.join(grown.hint("merge"), [*keys, "iy", "ix"], "left").join(own.withColumn("_own", F.lit(True)).hint("merge"), [*keys, "iy", "ix"], "left").join(some.hint("merge"), keys, "left")
+    return marked.withColumn("focus", F.col("_in").isNotNull() | F.col("_any").isNull()).withColumn("object", F.col("_own").isNotNull()).drop("_in", "_own", "_any")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.operators import aggregates, grid, motion, revisions, spectral, timeseries, topk
+from skylattice.operators import aggregates, grid, motion, revisions, spectral, timeseries, topk, tracks
 from skylattice.plans.store import stored
 
 
@@ -38,31 +38,46 @@ def _shape(rows: int, columns: int) -> tuple[Column, Column, Column]:
     return F.sqrt(((vy + vx) / 2 + half) / ((vy + vx) / 2 - half)), F.count("*") / box, border
 
 
-def event_means(frames: DataFrame, wave: DataFrame, rows: int, columns: int, dy: float, dx: float, scale: float, strong: float) -> DataFrame:
+def event_means(frames: DataFrame, wave: DataFrame, rows: int, columns: int, dy: float, dx: float, scale: float, strong: float, focused: bool = False) -> DataFrame:
     """What the seven scores are made of, one row a day, for frames (day, iy, ix, a, n) and one wave score for all.
 
     If ``wave`` has a row a region instead, days are those of :func:`keyed_pipeline`, which tell their region.
 
     Objects are the cells with |a| of at least ``strong`` and a quarter of the day's largest, fronts those with
     a quarter of its steepest gradient. Days without a day before have no motion.
+
+    If ``focused``, the object is the strongest connected one alone, all means are over it and one cell around it
+    (over the whole frame where there is no object), compactness is that of its outline, and the front's
+    elongation is weighted by the gradient. Its share is still that of all cells of the frame.
     """
-    day = ["day"]
-    base = frames.groupBy("day").agg(F.avg(F.when(F.col("n") >= 2, 1.0).otherwise(0.0)).alias("support"), F.tanh(F.avg(F.abs("a")) / scale).alias("anomaly"), F.count("*").alias("_cells"), F.max(F.abs("a")).alias("_peak"))
+    day, cell = ["day"], ["day", "iy", "ix"]
+    if focused:
+        frames = stored(tracks.focus_region(frames.select(*cell, "a", "n"), day, "a", strong), "event-focus")
+        inside = frames.where("focus").select(*cell)
+    within = lambda t: t.join(inside.hint("merge"), cell, "left_semi") if focused else t
+    here = F.col("focus") if focused else F.lit(True)
+    base = frames.groupBy("day").agg(F.avg(F.when(here, F.when(F.col("n") >= 2, 1.0).otherwise(0.0))).alias("support"), F.tanh(F.avg(F.when(here, F.abs("a"))) / scale).alias("anomaly"), F.count("*").alias("_cells"), F.max(F.abs("a")).alias("_peak"))
     pairs = motion.frame_pairs(frames.select("day", "iy", "ix", "a"), [], "day", "a", 1.0)
-    temporal = pairs.groupBy("day").agg(F.tanh(F.avg(F.abs((F.col("current") - F.col("previous")) / F.col("dt"))) / scale).alias("temporal"))
+    temporal = within(pairs).groupBy("day").agg(F.tanh(F.avg(F.abs((F.col("current") - F.col("previous")) / F.col("dt"))) / scale).alias("temporal"))
     slopes = grid.spatial_derivatives(frames.select("day", "iy", "ix", "a"), day, "a", dy, dx)
     tensor = grid.structure_tensor(slopes, day, 1.0, rows, columns).select("day", "iy", "ix", "coherence")
-    steepest = slopes.groupBy("day").agg(F.max("grad_mag").alias("_peak"))
-    steep = slopes.join(steepest, day).where(F.col("grad_mag") >= F.greatest(0.25 * F.col("_peak"), F.lit(1e-12))).join(tensor, ["day", "iy", "ix"])
+    steepest = within(slopes).groupBy("day").agg(F.max("grad_mag").alias("_peak"))
+    steep = within(slopes).join(steepest, day).where(F.col("grad_mag") >= F.greatest(0.25 * F.col("_peak"), F.lit(1e-12))).join(tensor, ["day", "iy", "ix"])
     front = steep.groupBy("day").agg(F.tanh(F.avg("grad_mag") / 10).alias("gradient"), F.avg("coherence").alias("coherence"), _shape(rows, columns)[0].alias("front_elongation"))
-    elongation, compactness, border = _shape(rows, columns)
-    things = frames.join(base.select("day", "_peak"), day).where(F.abs("a") >= F.greatest(F.lit(strong), 0.25 * F.col("_peak")))
-    objects = things.groupBy("day").agg(elongation.alias("elongation"), compactness.alias("compactness"), border.alias("border"), F.count("*").alias("_object"))
+    if focused:
+        lean = aggregates.shape_descriptors(steep, day, "iy", "ix", dx, dy, "grad_mag").select("day", F.col("elongation").alias("front_elongation"))
+        front = front.drop("front_elongation").join(lean.hint("merge"), day)
+        objects = aggregates.shape_descriptors(frames.where("object"), day, "iy", "ix", dx, dy, grid=(rows, columns))
+        objects = objects.select("day", "elongation", "compactness", "border", F.col("cells").alias("_object"))
+    else:
+        elongation, compactness, border = _shape(rows, columns)
+        things = frames.join(base.select("day", "_peak"), day).where(F.abs("a") >= F.greatest(F.lit(strong), 0.25 * F.col("_peak")))
+        objects = things.groupBy("day").agg(elongation.alias("elongation"), compactness.alias("compactness"), border.alias("border"), F.count("*").alias("_object"))
     flow = motion.feature_flow(pairs, day, dy, dx, 1.5, rows, columns)
     rate = grid.spatial_derivatives(pairs, day, "current", dy, dx).withColumn("rate", (F.col("current") - F.col("previous")) / F.col("dt")).select("day", "iy", "ix", "rate", "d_dx", "d_dy")
     moved = motion.advection_residual(flow.join(rate, ["day", "iy", "ix"]), "rate", "d_dx", "d_dy", accepted="accepted")
-    motions = moved.groupBy("day").agg(F.tanh(F.avg(F.hypot("u", "v")) / 5).alias("speed"), F.avg("confidence").alias("flow_confidence"), F.tanh(F.avg(F.abs("residual")) / scale).alias("residual"))
-    growth = motion.local_ambiguity(pairs, day, 2.0, rows, columns, 0.5, 0.95).groupBy("day").agg(F.avg("ambiguity").alias("growth"))
+    motions = within(moved).groupBy("day").agg(F.tanh(F.avg(F.hypot("u", "v")) / 5).alias("speed"), F.avg("confidence").alias("flow_confidence"), F.tanh(F.avg(F.abs("residual")) / scale).alias("residual"))
+    growth = within(motion.local_ambiguity(pairs, day, 2.0, rows, columns, 0.5, 0.95)).groupBy("day").agg(F.avg("ambiguity").alias("growth"))
     out = base
     for part in (temporal, front, objects, motions, growth):
         out = out.join(part, day, "left")
@@ -105,14 +120,14 @@ def event_scores(means: DataFrame) -> DataFrame:
 FRAMES = 1_000_000
 
 
-def keyed_pipeline(frames: DataFrame, rows: int, columns: int, dy: float, dx: float, scale: float, strong: float, periods: list[float], waves: list[tuple[float, float]], limit: int = 2) -> tuple[DataFrame, DataFrame]:
+def keyed_pipeline(frames: DataFrame, rows: int, columns: int, dy: float, dx: float, scale: float, strong: float, periods: list[float], waves: list[tuple[float, float]], limit: int = 2, focused: bool = False) -> tuple[DataFrame, DataFrame]:
     """From the frames of many regions to seven scores an epoch, each region on its own cadence, in one plan.
 
     ``frames`` has region (a whole number from 0), epoch (seconds), frame, iy, ix, v; regions share no cells. Steps,
     all keyed by region: epochs whose frames contradict each other are refused; cadence and support decide what a
     region can show; its axis is filled between readings up to ``limit`` cadences apart; cells are taken
     against their own medians; motion, growth, fronts and objects follow, and waves where the region's status
-    is "supported" (``periods`` in cadences). A step that is switched off for a region leaves 0 and the status.
+    is "supported" (``periods`` in cadences). ``focused`` as for :func:`event_means`. A step that is switched off for a region leaves 0 and the status.
 
     Returns region, epoch, status, the scores, label and margin; and the refused epochs with their reason.
     """
@@ -140,7 +155,7 @@ def keyed_pipeline(frames: DataFrame, rows: int, columns: int, dy: float, dx: fl
     residual = spectral.hann(spectral.detrended(able, key, "slot", "a"), key, "slot")
     peaks = spectral.wave_peak(spectral.wave_power(residual, key, "slot", "residual", periods, waves, dy, dx, "hann"), key)
     wave = peaks.select(*key, (F.col("concentration") * F.coalesce("uniqueness", F.lit(0.0))).alias("wave"))
-    scores = event_scores(event_means(field.select("day", "iy", "ix", "a", "n"), stored(wave, "field-waves"), rows, columns, dy, dx, scale, strong))
+    scores = event_scores(event_means(field.select("day", "iy", "ix", "a", "n"), stored(wave, "field-waves"), rows, columns, dy, dx, scale, strong, focused))
     scores = scores.withColumn("region", F.expr(f"day div {FRAMES}")).join(axis.hint("merge"), key)
     epoch = F.col("_first") + F.col("day") % FRAMES * F.col("cadence")
     return scores.select(*key, epoch.cast("bigint").alias("epoch"), "status", *[c for c in scores.columns if c not in ("region", "day", "cadence", "status", "_first")]), refused

@@ -1109,6 +1109,42 @@ def a16_seven_scores(spark, sf_dir):
     return out.select("day", *[r(n) for n in (*_SCORES, "uncertain")], "label", r("margin"))
 
 
+def _focused_events_sql() -> str:
+    """The scores of ``_EVENTS`` on the strongest connected object (ob) and one cell around it (fo)."""
+    moments = lambda w: f"SELECT day, sum({w}) AS m, sum({w} * ix * 2.0) / sum({w}) AS mx, sum({w} * iy * 3.0) / sum({w}) AS my"
+    spread = lambda w: f"SELECT t.day, sum({w} * (ix * 2.0 - mx) ** 2) / any_value(m) + 4 / 12.0::DOUBLE AS vx, sum({w} * (iy * 3.0 - my) ** 2) / any_value(m) + 9 / 12.0::DOUBLE AS vy, sum({w} * (ix * 2.0 - mx) * (iy * 3.0 - my)) / any_value(m) AS vxy"
+    lean = "sqrt(((vx + vy) / 2 + sqrt(((vx - vy) / 2) ** 2 + vxy ** 2)) / greatest((vx + vy) / 2 - sqrt(((vx - vy) / 2) ** 2 + vxy ** 2), 1e-12))"
+    start, rest = _EVENTS.split("ob AS (SELECT", 1)
+    rest = rest[rest.index("m5 AS (") :]
+    on_focus = "JOIN fo ON fo.day = {0}.day AND fo.iy = {0}.iy AND fo.ix = {0}.ix"
+    start = start.replace("FROM gm) q JOIN", f"FROM gm {on_focus.format('gm')}) q JOIN", 1).replace("max(g) OVER (PARTITION BY day) AS pk", "max(g) OVER (PARTITION BY gm.day) AS pk", 1).replace("(SELECT *, max(g)", "(SELECT gm.*, max(g)", 1)
+    rest = rest.replace("AND pg.ix = fl.ix GROUP BY", f"AND pg.ix = fl.ix {on_focus.format('fl')} GROUP BY", 1).replace("FROM ml GROUP BY day", "FROM ml JOIN fo USING (day, iy, ix) GROUP BY day", 1)
+    found = f"""sg AS (SELECT day, iy, ix, a, iy * 100000 + ix AS id FROM (SELECT day, iy, ix, v - 50 AS a, max(abs(v - 50)) OVER (PARTITION BY day) AS pk FROM obs) WHERE abs(a) >= greatest(60.0, 0.25 * pk)),
+reach AS (SELECT day, id, id AS seed, iy, ix FROM sg UNION SELECT sg.day, sg.id, reach.seed, sg.iy, sg.ix FROM reach JOIN sg ON sg.day = reach.day AND abs(sg.iy - reach.iy) + abs(sg.ix - reach.ix) = 1),
+bb AS (SELECT day, iy, ix, min(seed) AS blob FROM reach GROUP BY ALL), bs AS (SELECT bb.day, blob, sum(abs(a)) AS s FROM bb JOIN sg ON sg.day = bb.day AND sg.iy = bb.iy AND sg.ix = bb.ix GROUP BY bb.day, blob), bw AS (SELECT day, blob FROM bs QUALIFY row_number() OVER (PARTITION BY day ORDER BY s DESC, blob) = 1),
+ob AS (SELECT bb.day, iy, ix FROM bb JOIN bw ON bw.day = bb.day AND bw.blob = bb.blob), st4(y, x, side) AS (VALUES (0, 0, 0.0), (0, 1, 3.0), (0, -1, 3.0), (1, 0, 2.0), (-1, 0, 2.0)),
+fo AS (SELECT DISTINCT obs.day, obs.iy, obs.ix FROM obs LEFT JOIN (SELECT day, iy + y AS iy, ix + x AS ix FROM ob, st4) g ON g.day = obs.day AND g.iy = obs.iy AND g.ix = obs.ix LEFT JOIN bw ON bw.day = obs.day WHERE g.day IS NOT NULL OR bw.day IS NULL)"""
+    parts = f"""m1 AS (SELECT an.day, avg(CASE WHEN fo.day IS NOT NULL THEN CASE WHEN n >= 2 THEN 1.0 ELSE 0.0 END END) AS support, tanh(avg(CASE WHEN fo.day IS NOT NULL THEN abs(a) END) / 40) AS anomaly, count(*) AS cells FROM an LEFT {on_focus.format('an')} GROUP BY an.day),
+m2 AS (SELECT day, tanh(avg(abs(gt)) / 40) AS temporal FROM pr JOIN fo USING (day, iy, ix) GROUP BY day),
+fm AS ({moments('g')} FROM mk GROUP BY day), fv AS ({spread('g')} FROM mk t JOIN fm ON fm.day = t.day GROUP BY t.day), m3 AS (SELECT mk.day, tanh(avg(g) / 10) AS gradient, avg(co) AS coherence, any_value({lean}) AS felong FROM mk JOIN fv ON fv.day = mk.day GROUP BY mk.day),
+om AS ({moments('1')} FROM ob GROUP BY day), ov AS ({spread('1')} FROM ob t JOIN om ON om.day = t.day GROUP BY t.day), op AS (SELECT ob.day, sum(side) AS rim FROM ob, st4 WHERE NOT EXISTS (SELECT 1 FROM ob d WHERE d.day = ob.day AND d.iy = ob.iy + y AND d.ix = ob.ix + x) GROUP BY ob.day),
+m4 AS (SELECT ob.day, any_value({lean}) AS elong, least(1.0, 4 * pi() * count(*) * 6 / any_value(rim) ** 2) AS compact, min(iy) = 0 OR min(ix) = 0 OR max(iy) = {b.ROWS - 1} OR max(ix) = {b.RING - 1} AS border, count(*) AS osize FROM ob JOIN ov ON ov.day = ob.day JOIN op ON op.day = ob.day GROUP BY ob.day),
+"""
+    return f"{found}, {start}{parts}{rest}"
+
+
+@query(f"""WITH RECURSIVE {OBS}, {_FLOW}, {_GROWTH}, wv AS (WITH {_PEAK} SELECT coalesce(avg(power / total * (1 - coalesce(other, 0) / power)), 0) AS wave FROM z), {_focused_events_sql()}
+SELECT day, {', '.join(rs(n, n) for n in (*_SCORES, 'uncertain'))}, label, {rs('(s1 - s2) / greatest(s1, 1e-12)', 'margin')} FROM un JOIN ra USING (day)""")
+def a16_focused_scores(spark, sf_dir):
+    from skylattice.plans.fields import event_means, event_scores, wave_score
+
+    obs = b.obs_grid(spark, sf_dir)
+    residual = spectral.hann(spectral.detrended(obs.withColumn("region", F.col("iy") % 3), ["region"], "day", "v"), ["region"], "day")
+    wave = wave_score(spectral.wave_peak(spectral.wave_power(residual, ["region"], "day", "residual", [4.0, 6.0, 8.0, 12.0], _WAVES, 2.0, 3.0, "hann"), ["region"]))
+    out = event_scores(event_means(obs.withColumn("a", F.col("v") - 50), wave, b.ROWS, b.RING, 3.0, 2.0, 40.0, 60.0, focused=True))
+    return out.select("day", *[r(n) for n in (*_SCORES, "uncertain")], "label", r("margin"))
+
+
 def _keyed_sql() -> str:
     """Two regions, daily and twice a day, prepared as frames ``obs`` named region * 1000000 + place, with a wave a region."""
     half = b.obs_sql(12).replace("obs AS (", "ob12 AS (", 1)

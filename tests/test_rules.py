@@ -110,3 +110,33 @@ def test_archives_are_refused_for_what_differs(spark, tmp_path):
     good, refused = tables.read_archive(spark, path, df.schema, "day", describe)
     assert {r["day"]: r["reason"] for r in refused.collect()} == {1: "shape_differs", 2: "counts_differ", 3: "flags_differ", 4: "differs", 7: "unlisted"}
     assert {r["day"] for r in good.select("day").distinct().collect()} == {5, 6}
+
+
+def test_scores_look_at_the_strongest_connected_object(spark):
+    import math
+
+    from skylattice.plans.fields import event_means, event_scores
+
+    def value(d, y, x):
+        if d == 2:
+            return 1.0  # a calm day
+        if 3 <= y <= 5 and 4 <= x <= 6:
+            return 100.0  # nine cells in the middle
+        return -90.0 if y == 0 and x in (0, 1, 2, 9, 10, 11) else 2.0  # two weaker objects on the border
+
+    frames = spark.createDataFrame([(d, y, x, value(d, y, x), 2 if x < 7 else 1) for d in (1, 2) for y in range(9) for x in range(12)], "day int, iy int, ix int, a double, n int")
+    wave = spark.createDataFrame([(0.0,)], "wave double")
+    means = {r["day"]: r for r in event_means(frames, wave, 9, 12, 1.0, 1.0, 40.0, 60.0, focused=True).collect()}
+    whole = {r["day"]: r for r in event_means(frames, wave, 9, 12, 1.0, 1.0, 40.0, 60.0).collect()}
+    one = means[1]
+    assert (one["border"], whole[1]["border"]) == (False, True)
+    assert one["share"] == pytest.approx(9 / 108) and whole[1]["share"] == pytest.approx(15 / 108)
+    assert one["compactness"] == pytest.approx(4 * math.pi * 9 / 12**2) and one["elongation"] == pytest.approx(1.0)
+    grown = [(y, x) for y in range(9) for x in range(12) if any(3 <= y + a <= 5 and 4 <= x + c <= 6 for a, c in ((0, 0), (0, 1), (0, -1), (1, 0), (-1, 0)))]
+    assert one["anomaly"] == pytest.approx(math.tanh(sum(abs(value(1, *c)) for c in grown) / len(grown) / 40))
+    assert one["support"] == pytest.approx(sum(c[1] < 7 for c in grown) / len(grown))
+    calm = means[2]
+    assert (calm["compactness"], calm["share"], calm["border"]) == (0.0, 0.0, False)
+    assert calm["anomaly"] == pytest.approx(math.tanh(1 / 40)) and calm["support"] == whole[2]["support"]
+    scores = {r["day"]: r for r in event_scores(event_means(frames, wave, 9, 12, 1.0, 1.0, 40.0, 60.0, focused=True)).collect()}
+    assert scores[1]["localized"] == pytest.approx(one["support"] * one["anomaly"] * math.sqrt(one["compactness"]) * math.sqrt(1 - 9 / 108))
