@@ -7,6 +7,11 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skylattice.plans.store import sized
+
+#: Targets of one regional table (fixed limit of the request).
+MOST_TARGETS = 10_000
+
 
 def axis(df: DataFrame, keys: list[str], column: str) -> DataFrame:
     """Regular step of an axis, its ends and number of values, and whether one odd gap cuts it: status regular, cut or ambiguous."""
@@ -25,11 +30,16 @@ def densify(df: DataFrame, epochs: DataFrame, lats: list[float], lons: list[floa
     spark = df.sparkSession
     cells = spark.createDataFrame([(i, y, j, x) for i, y in enumerate(lats) for j, x in enumerate(lons)], "iy int, lat double, ix int, lon double")
     full = epochs.crossJoin(F.broadcast(cells))
-    return full.join(df.select(*epochs.columns, "lat", "lon", value), [*epochs.columns, "lat", "lon"], "left").withColumn("valid", F.col(value).isNotNull() & ~F.isnan(value))
+    return full.join(df.select(*epochs.columns, "lat", "lon", value).hint("merge"), [*epochs.columns, "lat", "lon"], "left").withColumn("valid", F.col(value).isNotNull() & ~F.isnan(value))
 
 
 def corner_table(spark: SparkSession, lats: list[float], lons: list[float], step_lat: float, step_lon: float, targets_lat: list[float], targets_lon: list[float], ring: bool = False) -> DataFrame:
-    """Targets (ty, tx) with their one, two or four corners (iy, ix), bilinear weights, and the number needed. Size: the targets."""
+    """Targets (ty, tx) with their one, two or four corners (iy, ix), bilinear weights, and the number needed.
+
+    More than MOST_TARGETS targets are refused.
+    """
+    if len(targets_lat) * len(targets_lon) > MOST_TARGETS:
+        raise ValueError(f"a regional table has at most {MOST_TARGETS} targets")
 
     def places(targets: list[float], values: list[float], step: float, around: bool) -> list[list[tuple[int, float]]]:
         out = []
@@ -123,7 +133,7 @@ def regrid_metric(df: DataFrame, keys: list[str], value: str, lat0: float, lon0:
         corners = [(iy + a, ix + b, wy * wx) for a, wy in ((0, 1 - ay + iy), (1, ay - iy)) for b, wx in ((0, 1 - ax + ix), (1, ax - ix)) if wy * wx > 1e-12]
         rows += [(ty, tx, float(y), float(x), cy, cx, w, len(corners)) for cy, cx, w in corners]
     table = df.sparkSession.createDataFrame(rows, "ty int, tx int, y_m double, x_m double, iy int, ix int, weight double, needed int")
-    got = df.where(F.col(value).isNotNull()).join(F.broadcast(table), ["iy", "ix"])
+    got = df.where(F.col(value).isNotNull()).join(sized(table, rows=len(rows)), ["iy", "ix"])
     out = got.groupBy(*keys, "ty", "tx", "y_m", "x_m", "needed").agg(F.sum(F.col("weight") * F.col(value)).alias(value), F.count("*").alias("_n"))
     return out.where(F.col("_n") == F.col("needed")).drop("_n", "needed").withColumn("spatially_interpolated", F.lit(True))
 
@@ -156,7 +166,7 @@ def smooth(df: DataFrame, keys: list[str], values: list[str], sigma: float, rows
     part = along(along(valid.select(*keys, "iy", "ix", *sums), "iy", rows, sums), "ix", columns, sums)
     inside = lambda c, n: sum((F.when((F.col(c) - k).between(0, n - 1), w).otherwise(0.0) for k, w in kernel(sigma)), F.lit(0.0))
     part = part.withColumn("_d", inside("iy", rows) * inside("ix", columns))
-    joined = valid.select(*keys, "iy", "ix", *[F.col(f"_m_{v}").alias(f"_c_{v}") for v in values]).join(part, [*keys, "iy", "ix"])
+    joined = valid.select(*keys, "iy", "ix", *[F.col(f"_m_{v}").alias(f"_c_{v}") for v in values]).join(part.hint("merge"), [*keys, "iy", "ix"])
     result = lambda v: F.when((F.col(f"_c_{v}") > 0) & (F.col(f"_m_{v}") / F.col("_d") >= support), F.col(f"_v_{v}") / F.col(f"_m_{v}"))
     return joined.select(*keys, "iy", "ix", *[result(v).alias(f"{v}_smooth") for v in values])
 

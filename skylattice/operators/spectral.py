@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skylattice.plans.store import stored
+from skylattice.plans.store import sized, stored
 
 
 def capabilities(df: DataFrame, keys: list[str], at: str, value: str, least_epochs: int = 8, least_valid: float = 0.5, cells: int | None = None) -> DataFrame:
@@ -47,7 +47,7 @@ def wave_power(df: DataFrame, keys: list[str], at: str, residual: str, periods:
         bins = df.sparkSession.createDataFrame([(1.0 / p, kx, ky) for p in periods for kx, ky in waves], "f double, kx double, ky double")
     phase = 2 * math.pi * (F.col("f") * F.col(at) - F.col("kx") * F.col("ix") * dx - F.col("ky") * F.col("iy") * dy)
     held = df.where(F.col(residual).isNotNull()).withColumn("_w", F.col(weight) if weight else F.lit(1.0))
-    spread = held.join(sized(bins), keys) if own else held.crossJoin(F.broadcast(bins))
+    spread = held.join(sized(bins, "spectral-side"), keys) if own else held.crossJoin(F.broadcast(bins))
     spread = spread.withColumn("_cos", F.cos(phase)).withColumn("_sin", F.sin(phase))
     total = lambda e, name: F.sum(F.expr(f"_w * {e}")).alias(name)
     sums = spread.groupBy(*keys, "f", "kx", "ky").agg(
@@ -69,8 +69,8 @@ def wave_peak(power: DataFrame, keys: list[str]) -> DataFrame:
     placed = power.select(*power.columns, *places)
     best = placed.groupBy(*keys).agg(F.max_by(F.struct("f", "kx", "ky", "power", "amplitude", "phase", "_f", "_kx", "_ky"), F.struct("power", "f", "kx", "ky")).alias("p"), F.sum("power").alias("_all"))
     far = F.greatest(*[F.abs(F.col(f"_{c}") - F.col(f"p._{c}")) for c in ("f", "kx", "ky")]) > 1
-    other = placed.join(best.select(*keys, "p"), keys).where(far).groupBy(*keys).agg(F.max("power").alias("_other"))
-    best = best.join(other, keys, "left")
+    other = placed.join(best.select(*keys, "p").hint("merge"), keys).where(far).groupBy(*keys).agg(F.max("power").alias("_other"))
+    best = best.join(other.hint("merge"), keys, "left")
     k = F.hypot("p.kx", "p.ky")
     bearing = F.pmod(F.degrees(F.atan2(F.col("p.kx"), F.col("p.ky"))), F.lit(360.0))
     return best.select(
@@ -79,16 +79,6 @@ def wave_peak(power: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
-#: Rows of a table of bins or carriers, which has some for each region, up to which it is broadcast.
-BROADCAST_ROWS = 100_000
-
-
-def sized(small: DataFrame) -> DataFrame:
-    """``small``, written, to be broadcast if it has turned out to be small and merged otherwise."""
-    small = stored(small, "spectral-side")
-    return F.broadcast(small) if small.count() <= BROADCAST_ROWS else small.hint("merge")
-
-
 def admissible_bins(capable: DataFrame, keys: list[str], waves: list[tuple[float, float]]) -> DataFrame:
     """keys, f, kx, ky: the Fourier frequencies of each region's record whose periods lie in its admissible band.
 
@@ -138,7 +128,7 @@ def carrier_evidence(df: DataFrame, keys: list[str], at: str, residual: str, car
     active amplitudes' phases, weighted by size: 1 if the carrier keeps its phase, near 0 if it has none.
     """
     extent = df.groupBy(*keys).agg(*[f(c).alias(f"_{n}_{c}") for c in ("iy", "ix") for f, n in ((F.min, "low"), (F.max, "high"))])
-    side = sized(carrier.select(*keys, "f", "kx", "ky").join(extent.hint("merge"), keys))
+    side = sized(carrier.select(*keys, "f", "kx", "ky").join(extent.hint("merge"), keys), "spectral-side")
     cells = df.where(F.col(residual).isNotNull()).join(side, keys)
 
     def hanning(c: str):

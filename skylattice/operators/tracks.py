@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.operators.joins import neighbours
-from skylattice.plans.store import stored
+from skylattice.plans.store import sized, stored
 
 
 #: Rows and columns of a tile; a graph of at most SMALL edges is finished in one task, a larger one in turns.
@@ -164,9 +164,10 @@ def suppress_overlaps(footprints: DataFrame, scan: str, rank: str, cells: str, m
     for turn in range(most):
         best = stored(left.groupBy(scan).agg(F.min_by(F.struct(*left.columns), rank).alias("_b")).select("_b.*"), f"best-{turn}")
         kept = best if kept is None else kept.unionByName(best)
+        held = best.agg(F.coalesce(F.sum(F.size(cells) + 1), F.lit(0)).alias("n")).first()["n"]  # cells of one footprint a scan
         taken = best.select(scan, F.col(cells).alias("_cells"), F.col(rank).alias("_rank"))
         shared = F.size(F.array_intersect(cells, "_cells"))
-        left = left.join(taken.hint("merge"), scan).where((shared <= share * F.least(F.size(cells), F.size("_cells"))) & (F.col(rank) > F.col("_rank"))).drop("_cells", "_rank")
+        left = left.join(sized(taken, rows=held), scan).where((shared <= share * F.least(F.size(cells), F.size("_cells"))) & (F.col(rank) > F.col("_rank"))).drop("_cells", "_rank")
     return kept
 
 

@@ -62,7 +62,7 @@ def event_means(frames: DataFrame, wave: DataFrame, rows: int, columns: int, dy:
     slopes = grid.spatial_derivatives(frames.select("day", "iy", "ix", "a"), day, "a", dy, dx)
     tensor = grid.structure_tensor(slopes, day, 1.0, rows, columns).select("day", "iy", "ix", "coherence")
     steepest = within(slopes).groupBy("day").agg(F.max("grad_mag").alias("_peak"))
-    steep = within(slopes).join(steepest, day).where(F.col("grad_mag") >= F.greatest(0.25 * F.col("_peak"), F.lit(1e-12))).join(tensor, ["day", "iy", "ix"])
+    steep = within(slopes).join(steepest, day).where(F.col("grad_mag") >= F.greatest(0.25 * F.col("_peak"), F.lit(1e-12))).join(tensor.hint("merge"), ["day", "iy", "ix"])
     front = steep.groupBy("day").agg(F.tanh(F.avg("grad_mag") / 10).alias("gradient"), F.avg("coherence").alias("coherence"), _shape(rows, columns)[0].alias("front_elongation"))
     if focused:
         lean = aggregates.shape_descriptors(steep, day, "iy", "ix", dx, dy, "grad_mag").select("day", F.col("elongation").alias("front_elongation"))
@@ -75,7 +75,7 @@ def event_means(frames: DataFrame, wave: DataFrame, rows: int, columns: int, dy:
         objects = things.groupBy("day").agg(elongation.alias("elongation"), compactness.alias("compactness"), border.alias("border"), F.count("*").alias("_object"))
     flow = motion.feature_flow(pairs, day, dy, dx, 1.5, rows, columns)
     rate = grid.spatial_derivatives(pairs, day, "current", dy, dx).withColumn("rate", (F.col("current") - F.col("previous")) / F.col("dt")).select("day", "iy", "ix", "rate", "d_dx", "d_dy")
-    moved = motion.advection_residual(flow.join(rate, ["day", "iy", "ix"]), "rate", "d_dx", "d_dy", accepted="accepted")
+    moved = motion.advection_residual(flow.join(rate.hint("merge"), ["day", "iy", "ix"]), "rate", "d_dx", "d_dy", accepted="accepted")
     motions = within(moved).groupBy("day").agg(F.tanh(F.avg(F.hypot("u", "v")) / 5).alias("speed"), F.avg("confidence").alias("flow_confidence"), F.tanh(F.avg(F.abs("residual")) / scale).alias("residual"))
     growth = within(motion.local_ambiguity(pairs, day, 2.0, rows, columns, 0.5, 0.95)).groupBy("day").agg(F.avg("ambiguity").alias("growth"))
     out = base
@@ -118,6 +118,8 @@ def event_scores(means: DataFrame) -> DataFrame:
 
 #: A frame of the keyed pipeline is region * FRAMES + its place on the region's axis.
 FRAMES = 1_000_000
+#: Target days of one chain of prefixes.
+MOST_DAYS = 10_000
 
 
 def keyed_pipeline(frames: DataFrame, rows: int, columns: int, dy: float, dx: float, scale: float, strong: float, periods: list[float], waves: list[tuple[float, float]], limit: int = 2, focused: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -164,8 +166,11 @@ def keyed_pipeline(frames: DataFrame, rows: int, columns: int, dy: float, dx: fl
 def prefix_chain(obs: DataFrame, targets: DataFrame, rows: int, columns: int, dy: float, dx: float, floor: float = 1.0) -> DataFrame:
     """The chain of baseline, anomaly, smoothing, gradient at exact target days, each from the days up to it alone.
 
-    ``target`` is a key of every step, so all targets run in one job. A target without readings has no row.
+    ``target`` is a key of every step, so all targets run in one job. A target without readings has no row. More than
+    MOST_DAYS targets are refused: each holds all days up to it.
     """
+    if targets.count() > MOST_DAYS:
+        raise ValueError(f"a chain has at most {MOST_DAYS} target days")
     prefix = obs.join(F.broadcast(targets), F.col("day") <= F.col("target"))
     scale = aggregates.robust_scale(prefix, ["target", "iy", "ix"], "v", floor)
     now = prefix.where("day = target").select("target", "iy", "ix", "v").join(scale, ["target", "iy", "ix"])

@@ -140,3 +140,16 @@ def test_scores_look_at_the_strongest_connected_object(spark):
     assert calm["anomaly"] == pytest.approx(math.tanh(1 / 40)) and calm["support"] == whole[2]["support"]
     scores = {r["day"]: r for r in event_scores(event_means(frames, wave, 9, 12, 1.0, 1.0, 40.0, 60.0, focused=True)).collect()}
     assert scores[1]["localized"] == pytest.approx(one["support"] * one["anomaly"] * math.sqrt(one["compactness"]) * math.sqrt(1 - 9 / 108))
+
+
+def test_sides_are_broadcast_only_when_small(spark, monkeypatch):
+    from skylattice.operators import grid
+    from skylattice.plans import store
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    many, few = spark.range(50), spark.range(5)
+    assert "strategy=broadcast" in plan(many.join(store.sized(few), "id"))
+    monkeypatch.setattr(store, "BROADCAST_ROWS", 3)
+    assert "strategy=merge" in plan(many.join(store.sized(few), "id")) and "strategy=merge" in plan(many.join(store.sized(few, rows=4), "id"))
+    with pytest.raises(ValueError):
+        grid.corner_table(spark, [0.0, 1.0], [0.0, 1.0], 1.0, 1.0, [0.5] * 101, [0.5] * 100)
