@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 #: Distance from an edge within which a point counts as on it, in degrees.
 EDGE_TOLERANCE = 1e-10
+#: A mean of unit vectors that is shorter is rounding noise and points nowhere.
+NO_DIRECTION = 1e-9
 
 
 def canonical_longitude(lon: Column) -> Column:
@@ -46,6 +48,7 @@ def speed_and_bearing(east: Column, north: Column) -> tuple[Column, Column]:
 
 
 def circular_mean_longitude(lon: Column) -> Column:
-    """Aggregate: the direction of the mean unit vector; 180 is given as -180."""
-    mean = F.degrees(F.atan2(F.avg(F.sin(F.radians(lon))), F.avg(F.cos(F.radians(lon)))))
-    return F.when(F.abs(mean) >= 180.0 - 1e-9, -180.0).otherwise(mean)
+    """Aggregate: the direction of the mean unit vector; 180 is given as -180. Longitudes that cancel out have none."""
+    east, north = F.avg(F.sin(F.radians(lon))), F.avg(F.cos(F.radians(lon)))
+    mean = F.degrees(F.atan2(east, north))
+    return F.when(F.hypot(east, north) < NO_DIRECTION, F.lit(None)).when(F.abs(mean) >= 180.0 - 1e-9, -180.0).otherwise(mean)

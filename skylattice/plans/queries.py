@@ -298,7 +298,8 @@ def a12_outcome_counts(spark, sf_dir):
     return b.obs_grid(spark, sf_dir).groupBy("day").agg(F.count("*").alias("cells"), F.count_if(F.col("n") >= 3).alias("scored"), F.count_if(F.col("n") == 1).alias("insufficient"), (F.count_if(F.col("n") >= 2) >= 0.5 * F.count("*")).alias("available"))
 
 
-@query(f"WITH {OBS} SELECT day, iy, {rs('degrees(atan2(avg(sin(radians(lon))), avg(cos(radians(lon)))))', 'lon')} FROM obs GROUP BY day, iy")
+@query(f"""WITH {OBS}, m AS (SELECT day, iy, avg(sin(radians(lon))) AS east, avg(cos(radians(lon))) AS north FROM obs GROUP BY day, iy), d AS (SELECT *, degrees(atan2(east, north)) AS mean FROM m)
+SELECT day, iy, {rs('CASE WHEN sqrt(east * east + north * north) < 1e-9 THEN NULL WHEN abs(mean) >= 180 - 1e-9 THEN -180 ELSE mean END', 'lon')} FROM d""")
 def a13_circular_mean(spark, sf_dir):
     return b.obs_grid(spark, sf_dir).groupBy("day", "iy").agg(r(geo.circular_mean_longitude(F.col("lon")), "lon"))
 

@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from skylattice.functions.geo import circular_mean_longitude
 from skylattice.operators import aggregates, joins, timeseries, topk
 from skylattice.operators.manifests import map_manifest
 from skylattice.sources import tables
@@ -153,3 +154,28 @@ def test_sides_are_broadcast_only_when_small(spark, monkeypatch):
     assert "strategy=merge" in plan(many.join(store.sized(few), "id")) and "strategy=merge" in plan(many.join(store.sized(few, rows=4), "id"))
     with pytest.raises(ValueError):
         grid.corner_table(spark, [0.0, 1.0], [0.0, 1.0], 1.0, 1.0, [0.5] * 101, [0.5] * 100)
+
+
+def test_longitudes_that_cancel_out_have_no_mean(spark):
+    ring = [("ring", round(i * 3.6 - 180, 10)) for i in range(100)]
+    rows = [*ring, ("pair", -90.0), ("pair", 90.0), ("date line", 170.0), ("date line", -170.0), ("most", 90.0), *[("most", x) for _, x in ring]]
+    df = spark.createDataFrame(rows, "k string, lon double")
+    out = {r["k"]: r["lon"] for r in df.groupBy("k").agg(circular_mean_longitude(F.col("lon")).alias("lon")).collect()}
+    assert out["ring"] is None and out["pair"] is None and out["date line"] == -180.0 and out["most"] == pytest.approx(90.0)
+
+
+def test_full_rings_and_the_date_line_agree_with_sql(spark, tmp_path):
+    """Of each day and row: all longitudes, all but a few, and pairs about the date line."""
+    import duckdb
+
+    import __spark_entry__ as entry
+
+    rows = [(1000 * day + x, f"2024-01-0{day} 01:00:00", 15 * x + y, 1.0) for day in range(1, 5) for y in range(15) for x in range(100) if day == 1 or (day == 2 and x % 5) or (day == 3 and x % (y + 7)) or (day == 4 and x in (y, 100 - y))]
+    df = spark.createDataFrame(rows, "event_id long, ts string, user_id long, value double").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+    df.repartition(8).write.parquet(str(tmp_path / "events.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    got = entry.queries()["a13_circular_mean"](spark, str(tmp_path))
+    want = con.sql(entry.oracle_sql()["a13_circular_mean"]).select(*got.columns).fetchall()
+    assert sorted(map(str, want)) == sorted(str(tuple(r)) for r in got.collect())
+    assert sum(lon is None for _, _, lon in want) >= 30 and sum(lon == -180 for _, _, lon in want) >= 14
