@@ -1496,7 +1496,7 @@ def _map_archive(spark, sf_dir) -> str:
     return path
 
 
-@query(f"WITH {OBS6} SELECT epoch, lat, lon, CAST(floor(v * 10 + 0.5) / 10 AS DOUBLE) AS vtec FROM obs")
+@query(f"WITH {OBS6} SELECT epoch, lat, lon, CAST(floor(round(v * 10, 6) + 0.5) / 10 AS DOUBLE) AS vtec FROM obs")
 def s1_map_file_load(spark, sf_dir):
     from skylattice.sources.mapfiles import load_map_files
 

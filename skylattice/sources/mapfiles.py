@@ -254,7 +254,9 @@ def load_map_files(spark, path: str) -> tuple[DataFrame, DataFrame]:
 def map_file_texts(grid: DataFrame, epoch: str, value: str, rms: str, lats: list[float], lons: list[float]) -> DataFrame:
     """One text a day (column ``product_date``) in the exchange format, from rows (epoch, lat, lon): a sink for archives."""
     label = lambda body, name: F.concat(F.rpad(body, 60, " "), F.lit(name))
-    cell = lambda c: F.lpad(F.when(F.col(c).isNull(), str(MISSING)).otherwise(F.round(F.col(c) * 10).cast("int").cast("string")), 5, " ")
+    # tenths, halves up; six decimals first, so that a mean half way is one in whatever order it was added up
+    tenths = lambda c: F.floor(F.round(F.col(c) * 10, 6) + 0.5)
+    cell = lambda c: F.lpad(F.when(F.col(c).isNull(), str(MISSING)).otherwise(tenths(c).cast("int").cast("string")), 5, " ")
     rows = grid.groupBy(epoch, "lat").agg(*[F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("lon", cell(c).alias("t")))), lambda x: x["t"]), "").alias(c) for c in (value, rms)])
     head = label(F.concat(F.lit("  "), F.format_string("%6.1f%6.1f%6.1f%6.1f%6.1f", F.col("lat"), F.lit(lons[0]), F.lit(lons[-1]), F.lit(round(lons[1] - lons[0], 10)), F.lit(450.0))), "LAT/LON1/LON2/DLON/H")
     rows = rows.select(epoch, "lat", *[F.concat_ws("\n", head, F.regexp_replace(F.col(c), "(.{80})(?=.)", "$1\n")).alias(c) for c in (value, rms)])

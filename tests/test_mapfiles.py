@@ -4,7 +4,7 @@ import gzip
 
 import pytest
 
-from skylattice.sources.mapfiles import MapFileError, load_map_files, parse_map_file
+from skylattice.sources.mapfiles import MapFileError, load_map_files, map_file_texts, parse_map_file
 
 
 def record(body, label):
@@ -91,3 +91,12 @@ def test_broken_files_are_rejects_beside_good_ones(spark, tmp_path):
     assert cells.count() == 10 and cells.select("artifact_id").distinct().count() == 1
     got = {r["path"].rsplit("/", 1)[1]: (r["line"], r["reason"]) for r in rejects.collect()}
     assert got == {"cut": (13, "file_ends_in_a_map"), "headless": (1, "no_version_record"), "blank": (1, "no_version_record"), "zipped": (0, "unreadable")}
+
+
+def test_means_half_way_are_written_alike_whatever_their_last_bit(spark):
+    halves = [47.449999999999996, 47.45, 47.45000000000001, -0.25, 0.05, 12.349]
+    rows = [(0, lat, float(lon), v, 3.0) for lat in (0.0, 2.5) for lon, v in enumerate(halves)]
+    df = spark.createDataFrame(rows, "epoch long, lat double, lon double, v double, n double")
+    content = map_file_texts(df, "epoch", "v", "n", [0.0, 2.5], [float(i) for i in range(6)]).first()["content"]
+    cells = [v for kind, _, _, lat, _, v in parse_map_file(content.encode()) if kind == "tec" and lat == 0.0]
+    assert cells == [47.5, 47.5, 47.5, -0.2, 0.1, 12.3]
