@@ -239,6 +239,44 @@ def fold_step(state: dict, x: float, decay: float, gain: float) -> tuple[float,
     return forecast, score
 
 
+def fold_many(held: dict, at: np.ndarray, x: np.ndarray, decay: float, gain: float) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`fold_step` for one value of each of several keys; ``held`` has arrays, and ``at`` no place twice."""
+    n, mean, m2, h = (held[c][at] for c in ("n", "mean", "m2", "h"))
+    scale = np.where(n > 1, np.maximum(np.sqrt(m2 / np.maximum(n - 1, 1)), 1e-6), 1.0)
+    forecast = np.where(n > 0, mean + scale * h, x)
+    score = np.where(n > 1, np.abs(x - forecast) / scale, 0.0)
+    z = np.where(n > 0, (x - mean) / scale, 0.0)
+    a = decay ** (1 + gain * np.minimum(np.abs(z), 10.0))
+    held["h"][at], held["n"][at] = a * h + (1 - a) * np.tanh(z), n + 1
+    held["mean"][at] = after = mean + (x - mean) / (n + 1)
+    held["m2"][at] = m2 + (x - mean) * (x - after)
+    return forecast, score
+
+
+def fold_rows(held: dict, at: np.ndarray, x: np.ndarray, decay: float, gain: float, few: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """:func:`fold_step` for all rows of several keys, those of a key together and in order.
+
+    The j-th rows of all keys are taken at once; keys that go on when fewer than ``few`` are left are taken by themselves.
+    """
+    forecast, score = np.empty(len(x)), np.empty(len(x))
+    first = np.flatnonzero(np.concatenate([np.ones(min(1, len(at)), bool), at[1:] != at[:-1]]))
+    count = np.diff(np.append(first, len(at)))
+    order = np.argsort(-count, kind="stable")
+    first, count, j = first[order], count[order], 0
+    while (left := int(np.searchsorted(-count, -j))) >= max(1, few):
+        rows = first[:left] + j
+        forecast[rows], score[rows] = fold_many(held, at[rows], x[rows], decay, gain)
+        j += 1
+    for start, end in zip((first[:left] + j).tolist(), (first[:left] + count[:left]).tolist(), strict=True):
+        k = at[start]
+        state = {c: held[c][k].item() for c in ("n", "mean", "m2", "h")}
+        for i in range(start, end):
+            forecast[i], score[i] = fold_step(state, float(x[i]), decay, gain)
+        for c, v in state.items():
+            held[c][k] = v
+    return forecast, score
+
+
 def fold_series(x: np.ndarray, decay: float, gain: float) -> tuple[list[float], list[float]]:
     state = {"n": 0, "mean": 0.0, "m2": 0.0, "h": 0.0}
     got = [fold_step(state, float(v), decay, gain) for v in x]

@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from skylattice.operators.joins import array_median, changed_and_next, same_time_history
-from skylattice.operators.timeseries import fold_step
+from skylattice.operators.timeseries import fold_rows
+from skylattice.streaming.buckets import BUCKETS, bucket, grown, joined, key_text, placed
 
 
 def read_stream(spark: SparkSession, path: str, schema, pattern: str = "*.parquet", files: int = 1) -> DataFrame:
@@ -56,30 +58,41 @@ def forecasts_with_grace(forecasts: DataFrame, actuals: DataFrame, keys: list[st
     return left.join(right, condition, "left").drop(*[f"_{k}" for k in keys])
 
 
-def recurrence_stream(stream: DataFrame, key: str, at: str, value: str, delay: str, decay: float = 0.9, gain: float = 0.5) -> DataFrame:
+_NEVER, _UNDATED = -(1 << 63), (1 << 63) - 1
+
+
+def recurrence_stream(stream: DataFrame, key: str, at: str, value: str, delay: str, decay: float = 0.9, gain: float = 0.5, buckets: int = BUCKETS) -> DataFrame:
     """Scores rows before they are seen, with one small state a key; each batch's rows are taken in order of time.
 
-    Rows that arrive after later ones of their key were scored come back with late = true and no score.
+    Rows that arrive after later ones of their key were scored come back with late = true and no score. A batch's rows
+    without an instant are its last. The states of the keys of one of ``buckets`` buckets are kept together, and their
+    rows are folded side by side (:mod:`skylattice.streaming.buckets`).
     """
     import pandas as pd
 
-    def fold(key_values: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, mean, m2, h, last = state.get if state.exists else (0, 0.0, 0.0, 0.0, pd.Timestamp(0))
-        held = {"n": n, "mean": mean, "m2": m2, "h": h}
-        frame = pd.concat(list(frames)).sort_values(at, kind="stable")
-        rows = []
-        for t, x in zip(frame[at], frame[value], strict=True):
-            late = t < last
-            forecast, score = (None, None) if late else fold_step(held, float(x), decay, gain)
-            last = max(last, t)
-            rows.append((key_values[0], t, x, forecast, score, late))
-        state.update((held["n"], held["mean"], held["m2"], held["h"], last.to_pydatetime()))
-        yield pd.DataFrame(rows, columns=[key, at, value, "forecast", "score", "late"])
+    def fold(_: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        keys, *before, last = state.get if state.exists else ([], [], [], [], [], [])
+        frame = joined(frames)
+        keys, place = placed(list(keys), frame["key"])
+        held = {c: grown(v, len(keys), 0, t) for c, v, t in zip(("n", "mean", "m2", "h"), before, (np.int64, float, float, float), strict=True)}
+        last = grown(last, len(keys), _NEVER, np.int64)
+        order = np.lexsort((frame["us"].to_numpy(np.int64), place))
+        frame, place = frame.iloc[order], place[order]
+        us, x = frame["us"].to_numpy(np.int64), frame["v"].to_numpy(float)
+        late = us < last[place]
+        forecast, score = np.full(len(x), np.nan), np.full(len(x), np.nan)
+        forecast[~late], score[~late] = fold_rows(held, place[~late], x[~late], decay, gain)
+        dated = us != _UNDATED
+        np.maximum.at(last, place[dated], us[dated])
+        state.update((keys, *(a.tolist() for a in held.values()), last.tolist()))
+        yield pd.DataFrame({"key": frame["key"].to_numpy(), "us": us, "v": x, "forecast": forecast, "score": score, "late": late})
 
     kinds = {f.name: f.dataType.simpleString() for f in stream.schema}
-    out = f"{key} {kinds[key]}, {at} {kinds[at]}, {value} double, forecast double, score double, late boolean"
-    rows = stream.withWatermark(at, delay).select(key, at, value)
-    return rows.groupBy(key).applyInPandasWithState(fold, out, "n bigint, mean double, m2 double, h double, last timestamp", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.withWatermark(at, delay).select(bucket(key, buckets).alias("bucket"), key_text(key).alias("key"), F.coalesce(F.unix_micros(F.col(at).cast("timestamp")), F.lit(_UNDATED)).alias("us"), F.col(value).cast("double").alias("v"))
+    state = "keys array<string>, n array<bigint>, mean array<double>, m2 array<double>, h array<double>, last array<bigint>"
+    out = rows.groupBy("bucket").applyInPandasWithState(fold, "key string, us bigint, v double, forecast double, score double, late boolean", state, "append", GroupStateTimeout.NoTimeout)
+    instant = F.when(F.col("us") != _UNDATED, F.timestamp_micros("us")).cast(kinds[at])
+    return out.select(F.col("key").cast(kinds[key]).alias(key), instant.alias(at), F.col("v").alias(value), "forecast", "score", "late")
 
 
 def sessions(stream: DataFrame, keys: list[str], at: str, gap: str, delay: str) -> DataFrame:
