@@ -54,3 +54,44 @@ def test_whole_number_keys_come_back_as_they_were(spark, tmp_path):
     feed = [(None if k is None else str(k), START, 1.0) for k in keys]
     got, _ = run(spark, tmp_path, [feed], lambda s: streams.recurrence_stream(s.withColumn("k", F.col("k").cast("bigint")), "k", "ts", "v", "1 day"))
     assert {r["k"] for r in got} == set(keys)
+
+
+def slots_by_hand(feeds, most):
+    """Hourly slots of each key, one feed after the other: rows of (key, slot, value, n, gap, late)."""
+    hour = lambda at: int((at - dt.datetime(1970, 1, 1)).total_seconds() // 3600)
+    out, held, mark = [], {}, 0
+    for feed in [*feeds, []]:  # a batch without rows ends the stream
+        for k, at, v in feed:
+            state = held.setdefault(k, {"next": None, "quiet": 0, "open": {}})
+            if state["next"] is not None and hour(at) < state["next"]:
+                out.append((k, hour(at), v, 1, False, True))
+            else:
+                state["open"].setdefault(hour(at), []).append(v)
+        for k, state in held.items():
+            if state["quiet"] >= most and not state["open"]:
+                continue
+            first = state["next"] if state["next"] is not None else min(state["open"])
+            for slot in range(first, mark):
+                values = state["open"].pop(slot, None)
+                if values or state["quiet"] < most:
+                    state["quiet"] = 0 if values else state["quiet"] + 1
+                    out.append((k, slot, sum(values) / len(values) if values else None, len(values or ()), not values, False))
+            state["next"] = max(first, mark)
+        mark = max([mark, *(hour(at - dt.timedelta(hours=2)) for _, at, _ in feed)])  # counts from the next batch on
+    return out
+
+
+@pytest.mark.parametrize("most", [1 << 40, 3])
+def test_slots_share_buckets_and_timers(spark, tmp_path, most):
+    from skylattice.streaming.stateful import rocksdb, slot_scores
+
+    feeds = feeds_of([None, "", *map(str, range(12))], 2)
+    feeds[2].append(("3", START, 9.0))  # late
+    with rocksdb(spark):
+        got, states = run(spark, tmp_path, feeds, lambda s: slot_scores(s, "k", "ts", "v", 3600, "2 hours", most_gaps=most, buckets=3))
+    assert states <= 3 * 3  # a bucket's value, and its timer in two tables
+    plain = lambda rows: sorted(str((k, s, None if v is None else round(v, 6), n, gap, late)) for k, s, v, n, gap, late in rows)
+    assert plain((r["k"], r["slot"], r["value"], r["n"], r["gap"], r["late"]) for r in got) == plain(slots_by_hand(feeds, most))
+    full = sorted((r["slot"], r["value"], r["forecast"], r["score"]) for r in got if r["k"] == "busy" and not r["gap"])
+    forecast, score = fold_series(np.array([r[1] for r in full]), 0.9, 0.5)
+    assert len(full) > 60 and [r[2] for r in full] == pytest.approx(forecast) and [r[3] for r in full] == pytest.approx(score)
