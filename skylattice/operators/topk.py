@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from skylattice.operators.revisions import best
+from skylattice.plans.store import sized, stored
 
 
 def top(df: DataFrame, order: list[Column], n: int) -> DataFrame:
@@ -32,7 +33,8 @@ def best_label(scores: dict[str, Column]) -> tuple[Column, Column]:
 def merge_series(parts: list[DataFrame], source: str, axes: list[str], keys: list[str], revision: list[Column] | None = None) -> tuple[DataFrame, DataFrame]:
     """Daily tables on top of each other, and the refused sources: those whose axes differ from the first source's.
 
-    Rows of refused sources are left out. With ``revision`` (descending sort columns), the best row for each of ``keys`` stays.
+    Rows of refused sources are left out. The refused are written and counted first: all rows of a source share a key, so
+    the tables are not dealt by it unless there are very many. With ``revision`` (descending sort columns), the best row for each of ``keys`` stays.
     """
     whole = parts[0]
     for part in parts[1:]:
@@ -40,5 +42,6 @@ def merge_series(parts: list[DataFrame], source: str, axes: list[str], keys: lis
     marks = whole.groupBy(source).agg(*[F.sort_array(F.collect_set(a)).alias(a) for a in axes])
     first = marks.orderBy(source).limit(1).select(*[F.col(a).alias(f"_{a}") for a in axes])
     odd = marks.crossJoin(F.broadcast(first)).where(" OR ".join(f"{a} <> _{a}" for a in axes)).select(source)
-    whole = whole.join(odd.hint("merge"), source, "left_anti")
+    odd = stored(odd, "refused")
+    whole = whole.join(sized(odd, rows=odd.count()), source, "left_anti")
     return (best(whole, keys, revision) if revision else whole), odd

@@ -80,6 +80,15 @@ def test_sources_with_other_axes_are_left_out_and_the_best_revision_stays(spark)
     assert topk.merge_series([a, b, odd], "source", ["lat"], ["t", "lat"])[0].count() == 4
 
 
+def test_merged_series_are_not_dealt_by_their_source(spark):
+    """All rows of a source share its key: a join dealt by it gives one task a whole source."""
+    a = spark.range(3000).selectExpr("'a' AS source", "id AS t", "id % 5 AS lat")
+    odd = spark.range(30).selectExpr("'b' AS source", "id AS t", "id % 4 AS lat")
+    whole, refused = topk.merge_series([a, odd], "source", ["lat"], ["t", "lat"])
+    assert whole.count() == 3000 and [r["source"] for r in refused.collect()] == ["b"]
+    assert "SortMergeJoin" not in (plan := whole._jdf.queryExecution().executedPlan().toString()) and "hashpartitioning(source" not in plan
+
+
 def test_violations_say_what_they_saw(spark):
     df = spark.createDataFrame([(1, 5, 3), (2, None, 3), (3, 1, 2)], "key int, a int, b int")
     out = joins.violations(df, "key", {"order": F.col("a") <= F.col("b"), "b": F.col("b") > 2}, {"order": ["a", "b"]})
