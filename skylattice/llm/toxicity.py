@@ -36,6 +36,8 @@ ALIKE, SLACK = 0.2, 0.002
 #: The threshold lies at least so far below the decisions for the words that tell most.
 MARGIN = 0.05
 TABLE = 1 << 20
+#: Characters whose subsequences are added up at a time.
+BLOCK = 1 << 17
 THRESHOLD = 0.7
 #: Offsets of the second and third character of a subsequence.
 _GAPS = [(a, b) for b in range(2, SPAN) for a in range(1, b)]
@@ -60,11 +62,24 @@ class WordFeatures:
     def sums(self, weights: np.ndarray) -> np.ndarray:
         """For each word the sum of ``weights`` over its subsequences, over the norm of the word."""
         total = np.zeros(len(self.start))
-        for slot, at, size in self.slots():
-            run = np.concatenate([[0.0], np.cumsum(weights[slot] * at)])
-            total += self.within(run, size)
+        for words, part in self.blocks():
+            for slot, at, size in part.slots():
+                run = np.concatenate([[0.0], np.cumsum(weights[slot] * at, dtype=float)])
+                total[words] += part.within(run, size)
         return total / np.sqrt(np.maximum(self.norms(), 1e-9))
 
+    def blocks(self) -> Iterator[tuple[slice, WordFeatures]]:
+        """The words again in blocks of about BLOCK characters, or one word: what sums need beside them has a bound."""
+        at = 0
+        while at < len(self.start):
+            first = self.start[at]
+            to = max(at + 1, int(np.searchsorted(self.end, first + BLOCK, side="right")))
+            part = object.__new__(WordFeatures)
+            part.codes, part.text = self.codes[first : self.end[to - 1]], self.text[at:to]
+            part.start, part.end = self.start[at:to] - first, self.end[at:to] - first
+            yield slice(at, to), part
+            at = to
+
     def slots(self) -> Iterator[tuple[np.ndarray, float, int]]:
         """For each pair of gaps: slot of the subsequence from each character, its weight, its span."""
         c, n = self.codes, len(self.codes)
@@ -226,12 +241,12 @@ def _machine(texts: list[str], toxic: np.ndarray) -> ToxicityModel | None:
         frequent = np.argsort(-n_toxic[positive], kind="stable")[: LANDMARKS // 2]
         marks = np.unique(np.concatenate([frequent, len(positive) + rng.permutation(len(negative))[: LANDMARKS - len(frequent)]]))
         columns = np.unique(np.concatenate([rows[i][0] for i in marks]))
-        dense = _dense(rows, columns)
-        land = dense[marks]
+        land = _dense([rows[i] for i in marks], columns)
+        kernel = np.concatenate([_dense(rows[i : i + 128], columns) @ land.T for i in range(0, len(rows), 128)])
         values, vectors = np.linalg.eigh(land @ land.T)
         able = values > 1e-6 * values.max()
         root = vectors[:, able] / np.sqrt(values[able])
-        w, bias = train_svm(dense @ land.T @ root, y)
+        w, bias = train_svm(kernel @ root, y)
         weights = np.zeros(TABLE, dtype=np.float32)
         weights[columns] = (root @ w) @ land
         value = features.sums(weights) + bias

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from skylattice.llm import conversation_repair as repair
 from skylattice.llm import merkle_manifest as merkle
-from skylattice.llm import queries, secret_scan
+from skylattice.llm import queries, secret_scan, toxicity
 from skylattice.llm.common import text_bytes
 
 DATA = "/root/testdata/sf0.001"
@@ -296,3 +296,20 @@ def test_manifest_against_sql(spark):
     df = queries.op11_merkle_manifest(spark, DATA)
     assert answer.columns == df.columns
     assert rows_of(df) == sorted(str(tuple(r)) for r in answer.fetchall())
+
+
+def test_toxicity_sums_do_not_depend_on_what_stands_beside_a_word():
+    """Neither their value nor, but for a bound, their memory: running sums start again with each block of words."""
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    weights = rng.normal(size=toxicity.TABLE).astype(np.float32)
+    words = ["".join(chr(97 + c) for c in rng.integers(0, 26, n)) for n in rng.integers(1, 14, 30_000)]
+    features = toxicity.WordFeatures([" ".join(words[:20_000]), "", " ".join(words[20_000:])])
+    tracemalloc.start()
+    together = features.sums(weights)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 12e6  # of all characters at once: 18 MB and more
+    some = range(0, 30_000, 601)
+    assert np.allclose([toxicity.WordFeatures([words[i]]).sums(weights)[0] for i in some], together[list(some)], rtol=1e-9, atol=1e-9)
