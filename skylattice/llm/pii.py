@@ -5,16 +5,18 @@ digits, and tokens that may be a secret. Trees score them by their format and co
 for each kind, calibrated on held-out candidates, selects those to redact. What the base patterns find
 always stays.
 
-The trees are fitted on candidates of a bounded sample of documents. Texts are not labelled, so labels
-are made: spans that the base patterns confirm are personal data, and so are spans of ours that are put
-between the words of the sample in writings that the base patterns don't know (spelled-out signs, other
-separators, no plus, keys and passwords); numbers, versions, dates and names of ours that are none, and
-all other candidates of the sample, are not.
+The trees are fitted on the candidates of all documents, and thresholds calibrated on them. Texts are not
+labelled, so labels are made: spans that the base patterns confirm are personal data, so are long tokens
+that are assigned to a name for a secret, and so are spans of ours that are put between the words of each document in writings that the base patterns don't know
+(spelled-out signs, other separators, no plus, keys and passwords); numbers, versions, dates and names of
+ours that are none, and all other candidates, are not. Proposals and examples are written once, as small
+whole numbers; the fit adds up histograms of them in Spark's tasks, and the scoring reads them again.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 import random
 import re
 from collections.abc import Iterator
@@ -25,16 +27,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skylattice.llm.boosting import Boosted, threshold_for
-from skylattice.llm.common import sliced
+from skylattice.llm.boosting import BINS, Boosted
+from skylattice.llm.common import discard, sliced, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The trees also select keys, tokens and passwords; no base pattern finds these.
 ADDED = (*KINDS, "secret")
-#: Documents (by hash) and candidates (by hash) that the trees are fitted on at most.
-TRAIN_DOCUMENTS, TRAIN_CANDIDATES = 4_000, 20_000
-#: So much of a sampled document is read for training at most; what is scored is always the whole text.
-TRAIN_CHARS = 20_000
+#: Made spans and look-alikes that are put into each document, beside its own candidates; more into each of a few, so that there are MADE_ALL.
+MADE, MADE_ALL = 2, 20_000
+#: One document of so many calibrates.
+HELD = 4
 PRECISION = 0.98
 
 #: The base patterns of the task, written so that no search starts inside a run that has failed.
@@ -61,8 +63,16 @@ _CUES = {
     "phone": re.compile(r"phone|tel|call|fax|mobile", re.I),
     "secret": re.compile(r"key|token|secret|passw|pwd|auth|bearer|credential", re.I),
 }
+#: Confirms a token as a secret where the trees learn: what stands before it assigns it to a name for one.
+_ASSIGNED = re.compile(r"(?:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?\Z", re.I)
 _HEX = re.compile(r"[0-9a-f]+|[0-9A-F]+")
 _UPPER_ALNUM = re.compile(r"[A-Z0-9]+")
+#: What a candidate is made of: digits, capitals, small letters, signs; candidates have no letters beyond ASCII.
+_CLASSES = {i: "0" if chr(i).isdigit() else "A" if chr(i).isupper() else "a" if chr(i).islower() else "." for i in range(128)} | {0xA0: "."}
+_SAME = re.compile(r"0+|[Aa]+|\.+")
+_ALNUM_END, _NOT_ALNUM = re.compile(r"[A-Za-z0-9]*\Z"), re.compile(r"[^A-Za-z0-9]")
+_AT_WORD, _DOT_WORD = re.compile(r"[(\[{ ](?:at|AT)[)\]} ]"), re.compile(r"[(\[{ ](?:dot|DOT)[)\]} ]")
+_DIGIT_BEFORE, _DIGIT_AFTER = re.compile(r"[0-9][ .\-/)]\Z"), re.compile(r"[ .\-/(]?[0-9]")
 
 Span = tuple[str, int, int]
 
@@ -135,22 +145,20 @@ def features(text: str, span: Span) -> list[float]:
     """Format and context of a candidate."""
     kind, start, end = span
     body, before, after = text[start:end], text[max(0, start - 32) : start], text[end : end + 1]
-    groups = [len(g) for g in re.findall(r"[0-9]+", body)]
-    digits = "".join(re.findall(r"[0-9]+", body))
-    upper, lower = sum(c.isupper() for c in body), sum(c.islower() for c in body)
-    kinds = ["d" if c.isdigit() else "a" if c.isalpha() else "s" for c in body]
-    turns = sum(x != y for x, y in zip(kinds, kinds[1:], strict=False))
-    last = re.split(r"[^A-Za-z0-9]+", body)[-1]
-    separators = set(re.sub(r"[A-Za-z0-9]", "", body))
+    numbers = _GROUP.findall(body)
+    groups, digits = [len(g) for g in numbers], "".join(numbers)
+    letters = body.translate(_CLASSES)
+    last = _ALNUM_END.search(body)[0]
+    separators = set(_NOT_ALNUM.findall(body))
     return [
-        float(ADDED.index(kind)), len(body), len(digits), upper, lower, len(set(body)) / max(1, len(body)), turns / max(1, len(body)),
+        float(ADDED.index(kind)), len(body), len(digits), letters.count("A"), letters.count("a"), len(set(body)) / max(1, len(body)), (len(_SAME.findall(letters)) - 1) / max(1, len(body)),
         len(groups), max(groups, default=0), min(groups, default=0), groups[0] if groups else 0, groups[-1] if groups else 0,
         body.count("."), body.count("-"), body.count(" "), body.count("(") + body.count("["), body.count("/"), body.count("@"), len(separators),
-        len(last) if last.isalpha() else 0, float(bool(re.search(r"[(\[{ ](?:at|AT)[)\]} ]", body))), float(bool(re.search(r"[(\[{ ](?:dot|DOT)[)\]} ]", body))),
-        float(body[:1] == "+"), float(len(digits) >= 13 and luhn(digits)), max((int(g) for g in re.findall(r"[0-9]+", body) if len(g) < 5), default=9999),
+        len(last) if last.isalpha() else 0, float(bool(_AT_WORD.search(body))), float(bool(_DOT_WORD.search(body))),
+        float(body[:1] == "+"), float(len(digits) >= 13 and luhn(digits)), max((int(g) for g in numbers if len(g) < 5), default=9999),
         float(bool(_HEX.fullmatch(body))), float(bool(_UPPER_ALNUM.fullmatch(body))),
-        float(before[-1:].isalnum()), float(before[-1:] in "+-./(@#$€_"), float(before[-1:] in "=:\"'"), float(bool(re.search(r"[0-9][ .\-/)]$", before))),
-        float(bool(_CUES[kind].search(before))), float(after.isalnum()), float(after in "-/_%"), float(bool(re.match(r"[ .\-/(]?[0-9]", text[end : end + 2]))),
+        float(before[-1:].isalnum()), float(before[-1:] in "+-./(@#$€_"), float(before[-1:] in "=:\"'"), float(bool(_DIGIT_BEFORE.search(before[-2:]))),
+        float(bool(_CUES[kind].search(before))), float(after.isalnum()), float(after in "-/_%"), float(bool(_DIGIT_AFTER.match(text[end : end + 2]))),
     ]
 
 
@@ -204,82 +212,131 @@ def made_other(rng: random.Random) -> str:
     ])()
 
 
+#: Features of a candidate.
+_WIDTH = 35
+#: Where the bins of features end. Counts and lengths; parts of one; the largest number of up to four digits.
+_COUNTS = np.array([*range(21), 22, 24, 28, 32, 39, 40, 48, 64, 128, 256], dtype=float)
+_SHARES = np.arange(1, BINS) / BINS
+_NUMBERS = np.array([9, 12, 19, 31, 59, 99, 127, 199, 255, 299, 365, 499, 599, 799, 999, 1499, 1899, 1949, 1989, 2030, 2099, 4999, 9998], dtype=float)
+
+
+def binned(text: str, spans: list[Span]) -> bytes:
+    """The features of candidates of a text, a byte for each."""
+    out = []
+    for i in range(0, len(spans), 2048):
+        x = np.array([features(text, c) for c in spans[i : i + 2048]], dtype=float)
+        z = np.searchsorted(_COUNTS, x).astype(np.uint8)
+        z[:, 0] = x[:, 0]
+        z[:, 5:7], z[:, 24] = np.searchsorted(_SHARES, x[:, 5:7]), np.searchsorted(_NUMBERS, x[:, 24])
+        out.append(z.tobytes())
+    return b"".join(out)
+
+
+def _packed(spans: list[Span]) -> bytes:
+    return np.array([(ADDED.index(k), s, e) for k, s, e in spans], dtype=np.int32).tobytes()
+
+
+def _unpacked(packed: bytes) -> list[Span]:
+    return [(ADDED[k], s, e) for k, s, e in np.frombuffer(packed, dtype=np.int32).reshape(-1, 3).tolist()]
+
+
 @dataclass
 class PiiModel:
     trees: Boosted
     thresholds: dict[str, float]
 
+    def passing(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Probabilities of candidates, and whether they pass their kind's threshold."""
+        p = self.trees.probability(x)
+        return p, p >= np.array([self.thresholds[k] for k in ADDED])[x[:, 0]]
+
     def select(self, text: str, base: list[Span]) -> list[Span]:
         """Candidates that pass their kind's threshold and overlap neither the base spans nor better ones."""
-        able = [c for c in candidates(text) if self.thresholds[c[0]] <= 1]
-        if base and able:
-            held = sorted((s, e) for _, s, e in base)
-            starts, ends = np.array([s for s, _ in held]), np.maximum.accumulate([e for _, e in held])
-            able = [c for c in able if (i := int(np.searchsorted(starts, c[2]))) == 0 or ends[i - 1] <= c[1]]
-        if not able:
-            return []
-        p = self.trees.probability(np.array([features(text, c) for c in able], dtype=float))
-        passed = [i for i in range(len(able)) if p[i] >= self.thresholds[able[i][0]]]
-        taken = np.zeros(len(text) if len(passed) > 1 else 0, dtype=bool)
-        out: list[Span] = []
-        for i in sorted(passed, key=lambda i: (-p[i], able[i][1] - able[i][2], able[i][1], able[i][0])):
-            _, s, e = able[i]
-            if not taken[s:e].any():
-                taken[s:e] = True
-                out.append(able[i])
-        return out
-
-
-def _examples(text: str, seed: int) -> tuple[list[list[float]], list[float]]:
-    """Features and labels of the candidates of a text, and of the text with made spans between its words."""
-    x, y = [], []
-    base = base_spans(text)
-    for c in candidates(text):
-        x.append(features(text, c))
-        # the generators' ends may differ from the base pattern's by a sign or a bracket
-        y.append(float(any(k == c[0] and s < c[2] and c[1] < e and abs(s - c[1]) <= 4 and abs(e - c[2]) <= 1 for k, s, e in base)))
+        able = candidates(text)
+        p, passed = self.passing(np.frombuffer(binned(text, able), dtype=np.uint8).reshape(-1, _WIDTH))
+        return _best([able[i] for i in np.flatnonzero(passed)], p[passed], base)
+
+
+def _best(able: list[Span], p: np.ndarray, base: list[Span]) -> list[Span]:
+    """Of the given candidates the likeliest, then longest, then first ones, that overlap neither ``base`` nor each other."""
+    if not able:
+        return []
+    taken = np.zeros(max(e for _, _, e in [*able, *base]), dtype=bool)
+    for _, s, e in base:
+        taken[s:e] = True
+    out: list[Span] = []
+    for i in sorted(range(len(able)), key=lambda i: (-p[i], able[i][1] - able[i][2], able[i][1], able[i][0])):
+        _, s, e = able[i]
+        if not taken[s:e].any():
+            taken[s:e] = True
+            out.append(able[i])
+    return out
+
+
+def _examples(text: str, base: list[Span], able: list[Span], seed: int, made_spans: int) -> tuple[bytes, list[bool]]:
+    """Features and labels of the candidates of a text, then of made spans between its words."""
+    ends = {(k, s): e for k, s, e in base}
+    # the generators' ends may differ from the base pattern's by a sign or a bracket
+    y = [any(abs(ends.get((k, s + d), -9) - e) <= 1 for d in range(-4, 5)) or (k == "secret" and e - s >= 12 and bool(_ASSIGNED.search(text[max(0, s - 32) : s]))) for k, s, e in able]
+    x = [binned(text, able)]
     rng = random.Random(seed)
-    blanks = [m.end() for m in re.finditer(r" ", text[:4000])] or [len(text)]
-    for _ in range(4):
+    for _ in range(made_spans):
         kind, value = made_span(rng) if rng.random() < 0.6 else ("", made_other(rng))
-        at = rng.choice(blanks)
+        at = text.find(" ", rng.randrange(len(text))) + 1
         cue = rng.choice(["", "", "", {"email": "mail ", "ip": "host ", "card": "card ", "phone": "tel. ", "secret": rng.choice(["key=", 'token = "', "password=", "api_key: "])}.get(kind, rng.choice(["no. ", "id ", "order ", "id=", "see "]))])
         end = '"' if cue.endswith('"') else rng.choice(["", "", ".", ","])
         beside = [made_span(rng)[1] + " " if rng.random() < 0.15 else "" for _ in range(2)]
         lead = text[max(0, at - 60) : at] + beside[0] + cue
         made, start = lead + value + end + " " + beside[1] + text[at : at + 60], len(lead)
-        for c in candidates(made):
-            if c[1] < start + len(value) and start < c[2]:
-                x.append(features(made, c))
-                y.append(float(c[0] == kind and c[1] == start and c[2] == start + len(value)))
-    return x, y
+        near = [c for c in candidates(made) if c[1] < start + len(value) and start < c[2]]
+        x.append(binned(made, near))
+        y += [c == (kind, start, start + len(value)) for c in near]
+    return b"".join(x), y
 
 
-def fit_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", train_documents: int = TRAIN_DOCUMENTS, train_candidates: int = TRAIN_CANDIDATES) -> PiiModel:
-    """Fits on candidates of a hash sample of about ``train_documents`` documents; every fourth one calibrates."""
-    share = min(1.0, train_documents / max(1, docs.count()))
-    at = F.xxhash64(F.col(id_col), F.substring(F.col(text_col), 1, 100))
-    sample = docs.where(F.pmod(at, F.lit(1 << 20)) < round(share * (1 << 20))).select(F.substring(F.col(text_col), 1, TRAIN_CHARS).alias("text"), at.alias("seed"))
+def propose(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", made: int | None = None) -> DataFrame:
+    """One row per row of ``docs``: doc_id, base, able, x, y. Base spans and candidates; features and labels of these and of made spans.
 
-    def propose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
-            x, y = [], []
-            for t, seed in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                if t:
-                    some = _examples(t, seed)
-                    x += some[0]
-                    y += some[1]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.list_(pa.float64())), pa.array(y, pa.float64())], ["x", "y"])
-
-    # the same rows whatever the order in which tasks end
-    rows = sample.mapInArrow(propose, "x array<double>, y double").withColumn("at", F.xxhash64("x", "y")).orderBy("at", "y").limit(train_candidates).toPandas()
-    if len(rows) < 50 or rows["y"].nunique() < 2:
-        return PiiModel(Boosted(), dict.fromkeys(ADDED, 2.0))
-    x, y = np.array([list(v) for v in rows["x"]], dtype=float), rows["y"].to_numpy(float)
-    held = np.arange(len(y)) % 4 == 3
-    trees = Boosted(trees=80, depth=5).fit(x[~held], y[~held])
-    p = trees.probability(x[held])
-    return PiiModel(trees, {k: max(0.5, threshold_for(p[x[held, 0] == i], y[held][x[held, 0] == i], PRECISION)) for i, k in enumerate(ADDED)})
+    Labels of the documents that calibrate have 2 added.
+    """
+    made = max(MADE, math.ceil(MADE_ALL / max(1, docs.count()))) if made is None else made
+    text = F.col(text_col)
+    seed, held = F.xxhash64(F.col(id_col), F.substring(text, 1, 100)), F.pmod(F.xxhash64(text), F.lit(HELD)) == HELD - 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in sliced(batches, limit=1 << 20):
+            out: list[list[bytes]] = [[], [], [], []]
+            for t, seed, held in zip(*(b.column(i).to_pylist() for i in (1, 2, 3)), strict=True):
+                base, able = (base_spans(t), candidates(t)) if t else ([], [])
+                x, y = _examples(t, base, able, seed, made) if t else (b"", [])
+                for o, v in zip(out, (_packed(base), _packed(able), x, (np.array(y, dtype=np.uint8) + 2 * held).astype(np.uint8).tobytes()), strict=True):
+                    o.append(v)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(o, pa.binary()) for o in out)], ["doc_id", "base", "able", "x", "y"])
+
+    rows = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), text.alias("text"), seed.alias("seed"), held.alias("held"))
+    return rows.mapInArrow(run, "doc_id bigint, base binary, able binary, x binary, y binary")
+
+
+def _rows(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    y = np.frombuffer(b"".join(batch.column(1).to_pylist()), dtype=np.uint8)
+    x = np.frombuffer(b"".join(batch.column(0).to_pylist()), dtype=np.uint8)
+    return x.reshape(-1, _WIDTH), y & 1, y >= 2
+
+
+def fit_proposed(table: DataFrame) -> PiiModel:
+    """Fits on all examples of a written table of :func:`propose`; documents that are held out calibrate."""
+    examples = table.where(F.length("y") > 0).select("x", "y")
+    trees = Boosted(groups=len(ADDED), trees=20, depth=5).fit(examples, _rows)
+    found = trees.thresholds(examples, _rows, PRECISION) if trees.grown else [2.0] * len(ADDED)
+    return PiiModel(trees, {k: max(0.5, t) for k, t in zip(ADDED, found, strict=True)})
+
+
+def fit_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", made: int | None = None) -> PiiModel:
+    """Fits on the candidates of all of ``docs``, whole texts, and on ``made`` made spans or look-alikes in each of them (None: MADE, more where documents are few)."""
+    table = written(propose(docs, id_col, text_col, made), "pii")
+    model = fit_proposed(table)
+    discard(table)
+    return model
 
 
 def written_spans(spans: list[Span]) -> str:
@@ -293,27 +350,41 @@ def find_pii(docs: DataFrame, model: PiiModel | None = None, id_col: str = "doc_
     that the trees add (of the same kinds, or "secret"), which overlap no base span. Positions are code
     points. A null text counts as empty; repeated rows and rows without an id each get a row; other
     columns are ignored. Of candidates that overlap, the likeliest is added, then the longest, then the
-    first. An empty table gives an empty result, and one without personal data a model that adds nothing.
+    first. Without ``model`` one is fitted on all of ``docs`` first, by way of a
+    table in the shared folder. An empty table gives an empty result.
     """
-    model = model or fit_pii(docs, id_col, text_col)
+    if model is None:
+        table = written(propose(docs, id_col, text_col), "pii")
+        model = fit_proposed(table)
+    else:
+        table = propose(docs, id_col, text_col, made=0)
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in sliced(batches):
+        for b in sliced(batches, "x", 8 << 20):
             counts, digests, spans, added = [], [], [], []
-            for t in b.column(1).to_pylist():
-                base = base_spans(t or "")
-                more = shared.value.select(t, base) if t else []
+            packed = b.column(2).to_pylist()
+            sizes = np.array([len(a) // 12 for a in packed], dtype=np.int64)
+            # a document's own candidates come first in its features
+            p, passed = shared.value.passing(np.concatenate([np.frombuffer(x, np.uint8, n * _WIDTH) for x, n in zip(b.column(3).to_pylist(), sizes, strict=True)] or [np.zeros(0, np.uint8)]).reshape(-1, _WIDTH))
+            at = 0
+            for held, able, n in zip(b.column(1).to_pylist(), packed, sizes, strict=True):
+                base, more = _unpacked(held), []
+                some = np.flatnonzero(passed[at : at + n])
+                if len(some):
+                    proposed = _unpacked(able)
+                    more = _best([proposed[i] for i in some], p[at + some], base)
+                at += n
                 kinds = [k for k, _, _ in base]
                 counts.append([kinds.count(k) for k in KINDS])
                 digests.append(hashlib.sha256(written_spans(base).encode()).hexdigest())
                 spans.append(written_spans(base + more))
                 added.append(len(more))
             n = np.array(counts, dtype=np.int64).reshape(-1, len(KINDS))
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(n[:, i]) for i in range(len(KINDS))), pa.array(digests), pa.array(spans), pa.array(added, pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(n[:, i]) for i in range(len(KINDS))), pa.array(digests, pa.string()), pa.array(spans, pa.string()), pa.array(added, pa.int64())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "n_added"])
 
     schema = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_added bigint"
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, schema)
+    return table.select("doc_id", "base", "able", "x").mapInArrow(run, schema)
 
 
 def redact(docs: DataFrame, model: PiiModel | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

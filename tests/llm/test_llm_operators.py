@@ -10,7 +10,7 @@ from brute import contaminated, exact, near, repeats, shared
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from skylattice.llm import bpe, decontaminate, exact_dedup, language_id, near_dedup, pii, substring_dedup, suffix_dedup, toxicity, url_filter
+from skylattice.llm import boosting, bpe, decontaminate, exact_dedup, language_id, near_dedup, pii, substring_dedup, suffix_dedup, toxicity, url_filter
 
 DATA = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, n long, h long, word string, label long, place int, seed long, size int"
@@ -220,6 +220,47 @@ def test_pii_fit_does_not_depend_on_the_order_of_rows(spark):
     assert one.thresholds == two.thresholds and all((a == b).all() for x, y in zip(one.trees.grown, two.trees.grown, strict=True) for a, b in zip(x, y, strict=True))
 
 
+def test_pii_fit_takes_every_candidate_of_whole_texts(spark):
+    """Histograms and thresholds of the fit against those of all candidates of all documents, counted one by one."""
+    rng = random.Random(9)
+    texts = {i: "word " * rng.randrange(1, 9) + " and ".join(rng.choice([pii.made_span(rng)[1], pii.made_other(rng), "mail a.b@c.org", "+1 (415) 555-2671"]) for _ in range(4)) for i in range(900)}
+    texts |= {1000: "word " * 6000 + "mail to zed@example.org", 1001: None, 1002: "", 1003: "no number at all"}
+    found = pii.propose(table(spark, texts), made=0)
+    got = {r["doc_id"]: r for r in found.collect()}
+    plain = {i: pii.candidates(t or "") for i, t in texts.items()}
+    assert all(pii._unpacked(got[i]["able"]) == plain[i] and len(got[i]["y"]) == len(plain[i]) for i in texts)
+    assert got[1000]["y"] in (b"\1", b"\3") and plain[1000][0][1] > 30_000
+    made = {r["doc_id"]: r for r in pii.propose(table(spark, texts), made=3).collect()}
+    assert all(made[i]["x"].startswith(got[i]["x"]) and len(made[i]["y"]) > len(got[i]["y"]) for i in texts if texts[i])
+    rows = [(x, y & 1, y >= 2) for r in got.values() for x, y in zip(np.frombuffer(r["x"], np.uint8).reshape(-1, 35), r["y"], strict=True)]
+    x, y, held = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
+    examples = found.select("x", "y").repartition(7)
+    trees = boosting.Boosted(groups=5, trees=2, depth=2).fit(examples, pii._rows)
+    none = np.full((5, 3), -1)
+    sums = boosting.added_up(examples, boosting.Boosted(groups=5)._counter(pii._rows, none, none, 0)).reshape(2, 35, 5, boosting.BINS)
+    for j in range(35):
+        for k in range(5):
+            mine = (x[:, 0] == k) & ~held
+            assert (sums[1, j, k] == np.bincount(x[mine, j], minlength=32) * boosting.UNIT // 4).all()
+            assert (sums[0, j, k] == (np.bincount(x[mine, j], y[mine] - 0.5, 32) * boosting.UNIT).astype(int)).all()
+    p = trees.probability(x)
+    for k, cut in enumerate(trees.thresholds(examples, pii._rows, 0.5)):
+        mine = (x[:, 0] == k) & held
+        able = [c for c in np.floor(p[mine] * boosting.STEPS) / boosting.STEPS if (p[mine] >= c).sum() >= 20 and y[mine][p[mine] >= c].mean() >= 0.5]
+        assert cut == min(able, default=2.0)
+    assert len(set(np.round(p, 6))) > 5
+
+
+def test_pii_fit_knows_rare_writings_of_all_documents(spark):
+    """Candidates in one document of ten, most of them after 20,000 characters; a cut or a sample loses what they say."""
+    rng = random.Random(5)
+    digits = lambda n: "".join(rng.choices("0123456789", k=n))
+    secrets = {i: "word " * (5000 if i % 20 else 5) + f'token = "{digits(4)}-{digits(4)}-abcd" and ref {digits(4)}-{digits(4)}-abcd on' for i in range(0, 2000, 10)}
+    docs = spark.createDataFrame([(i, secrets.get(i, "a word")) for i in range(2000)], "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["spans"] for r in pii.find_pii(docs).collect()}
+    assert len(got) == 2000 and all(got[i] == f"secret:{t.index('token') + 9}:{t.index('token') + 23}" for i, t in secrets.items())
+
+
 def test_language_on_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify_language(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out")
